@@ -1,14 +1,12 @@
-"""Value predicates, field-name context and confidence as Column expressions.
+"""Value predicates, field-name context and confidence as Spark SQL expressions.
 
-Everything here is a built-in Spark expression: a value is tested in the JVM, in the same
-stage as its scan, without a join, a shuffle or Python.
+A value is tested in the JVM, in the same stage as its scan, without a join, a shuffle or Python.
+The functions take SQL fragments (a column name, a lambda variable) and return SQL text: parsing
+one text is far cheaper on the driver than building hundreds of Column objects one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tracelight.schemas import PRIORITY
 
 # The fifteen value patterns in detection order (search semantics, ASCII classes).
@@ -75,156 +73,142 @@ SUPPORTED_TYPES = list(VALUE_PATTERNS)
 # Position of a finding in the list of one value: the patterns, then the two field-name hints.
 DETECTION_ORDER = {t: i for i, t in enumerate([*VALUE_PATTERNS, "NAME_HINT", "ADDRESS"])}
 
-_STRIP = " \t\n\r\x0b\x0c"
+_STRIP = r"' \t\n\r\u000B\u000C'"
 
 
-def strip(value: Column) -> Column:
+def strip(value: str) -> str:
     """Value without leading and trailing ASCII white space."""
-    return F.btrim(value, F.lit(_STRIP))
+    return f"btrim({value}, {_STRIP})"
 
 
-def path_has(path: Column, words: list[str]) -> Column:
-    """True where the lower-cased path contains any of the words."""
-    return F.lower(path).rlike("|".join(words))
-
-
-def _all_of(path: Column, alternatives: list[list[str]]) -> Column:
-    lowered = F.lower(path)
-    any_alternative = F.lit(False)
-    for words in alternatives:
-        every_word = F.lit(True)
-        for word in words:
-            every_word = every_word & lowered.contains(word)
-        any_alternative = any_alternative | every_word
-    return any_alternative
-
-
-def _shape(pii_type: str, value: Column) -> Column:
-    """A cheap condition every match of the type meets; saves the regex on most values."""
-    size = F.length(value)
-    shapes = {
-        "SSN": size.isin(9, 11),
-        "EMAIL": value.contains("@"),
-        "PHONE_NUMBER": size >= 10,
-        "CREDIT_CARD": size >= 16,
-        "IP_ADDRESS": size >= 7,
-        "DATE_OF_BIRTH": size >= 10,
-        "BANK_ACCOUNT": size.between(8, 17),
-        "IBAN": size.between(8, 34),
-        "SWIFT_CODE": size.isin(8, 11),
-        "AWS_ACCESS_KEY": size == 20,
-        "AWS_SECRET_KEY": size == 40,
-        "ITIN": size == 9,
-        "NATIONAL_INSURANCE_NUMBER": size.isin(8, 9),
-        "MAC_ADDRESS": size == 17,
-    }
-    return shapes.get(pii_type, F.lit(True))
-
-
-def may_hold_pii(path: Column, value: Column) -> Column:
-    """Necessary condition for a finding on a stripped value: three regexes at most, all codegen.
+def matches(value: str, pattern: str) -> str:
+    """True where a part of the value matches."""
+    return f"rlike({value}, r'{pattern}')"
 
-    The first regex drops most prose words in one scan: every pattern needs a digit, ``@`` or
-    ``:``, except names (capitalised word then space), SWIFT codes and keys (six capitals),
-    40-letter keys and hyphenated MAC addresses of letters; the shortest match (a name) has five
-    characters. The second one is all patterns as one
-    alternation, so the array of findings is built only for values that have any.
-    """
-    size = F.length(value)
-    candidate = (size >= 5) & (
-        value.rlike(r"[0-9@:]|^[A-Z]{6}|^[A-Z][a-z]+\s") | size.isin(17, 40)
-    )
-    any_pattern = value.rlike("|".join(VALUE_PATTERNS.values()))
-    return (candidate & any_pattern) | _name_hint(path, value) | _address_hint(path, value)
 
+def path_has(path: str, words: list[str]) -> str:
+    """True where the lower-cased path contains any of the words."""
+    return matches(f"lower({path})", "|".join(words))
+
+
+def _all_of(path: str, alternatives: list[list[str]]) -> str:
+    every = [" and ".join(f"contains(lower({path}), '{w}')" for w in words) for words in alternatives]
+    return " or ".join(f"({e})" for e in every)
+
+
+# A cheap condition every match of the type meets; saves the regex on most values.
+_SHAPES = {
+    "SSN": "length({v}) in (9, 11)",
+    "EMAIL": "contains({v}, '@')",
+    "PHONE_NUMBER": "length({v}) >= 10",
+    "CREDIT_CARD": "length({v}) >= 16",
+    "IP_ADDRESS": "length({v}) >= 7",
+    "DATE_OF_BIRTH": "length({v}) >= 10",
+    "NAME": "length({v}) >= 5",
+    "BANK_ACCOUNT": "length({v}) between 8 and 17",
+    "IBAN": "length({v}) between 8 and 34",
+    "SWIFT_CODE": "length({v}) in (8, 11)",
+    "AWS_ACCESS_KEY": "length({v}) = 20",
+    "AWS_SECRET_KEY": "length({v}) = 40",
+    "ITIN": "length({v}) = 9",
+    "NATIONAL_INSURANCE_NUMBER": "length({v}) in (8, 9)",
+    "MAC_ADDRESS": "length({v}) = 17",
+}
 
-def _name_hint(path: Column, value: Column) -> Column:
-    return _name_path(path) & (F.length(value) >= 2) & value.rlike(r"\p{L}")
 
+# The patterns that may match inside a value; all others only match a whole value.
+_INNER = ["PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH"]
 
-def _address_hint(path: Column, value: Column) -> Column:
-    return _address_path(path) & (F.length(value) >= 5) & ~value.rlike("^[0-9]+$")
 
+def may_hold_pii(path: str, value: str) -> str:
+    """Necessary condition for a finding on a stripped value: three regexes at most, all codegen.
 
-def _hint_path(path: Column) -> Column:
-    return F.replace(F.lower(path), F.lit("-"), F.lit("_"))
+    The first regex drops most prose words in one scan: every pattern needs a digit, ``@`` or
+    ``:``, except names (capitalised word then space), SWIFT codes and keys (six capitals),
+    40-letter keys and hyphenated MAC addresses of letters; the shortest match (a name) has five
+    characters. Then come all whole-value patterns as one alternation, tried at the first position
+    only, and the inner patterns as another. So the array of findings is built only for values
+    that have any.
+    """
+    shape = matches(value, r"[0-9@:]|^[A-Z]{6}|^[A-Z][a-z]+\s")
+    candidate = f"length({value}) >= 5 and ({shape} or length({value}) in (17, 40))"
+    whole = matches(value, "^(?:" + "|".join(p for t, p in VALUE_PATTERNS.items() if t not in _INNER) + ")")
+    inner = matches(value, "|".join(VALUE_PATTERNS[t] for t in _INNER))
+    found = f"{candidate} and ({whole} or (length({value}) >= 7 and {inner}))"
+    return f"({found}) or {_name_hint(path, value)} or {_address_hint(path, value)}"
 
 
-def _name_path(path: Column) -> Column:
+def _name_hint(path: str, value: str) -> str:
     # Every indicator holds "name", so most paths are settled by one substring test.
-    return F.lower(path).contains("name") & _hint_path(path).rlike("|".join(NAME_INDICATORS))
+    named = matches(f"replace(lower({path}), '-', '_')", "|".join(NAME_INDICATORS))
+    letter = matches(value, r"\p{L}")
+    return f"(contains(lower({path}), 'name') and {named} and length({value}) >= 2 and {letter})"
 
 
-def _address_path(path: Column) -> Column:
+def _address_hint(path: str, value: str) -> str:
     # "address" is part of every other address indicator.
-    return F.lower(path).contains("address")
+    digits = matches(value, "^[0-9]+$")
+    return f"(contains(lower({path}), 'address') and length({value}) >= 5 and not {digits})"
 
 
-def luhn_ok(text: Column) -> Column:
+def luhn_ok(text: str) -> str:
     """Luhn check of a card match after dropping hyphens and blanks."""
-    return F.call_function("luhn_check", F.translate(text, "- ", ""))
+    return f"luhn_check(translate({text}, '- ', ''))"
 
 
-def confidence(pii_type: str, path: Column, value: Column, matched: Column) -> Column:
+def unlikely_ssn(text: str) -> str:
+    """Numbers never given out, and the textbook example."""
+    digits = f"replace({text}, '-', '')"
+    return f"(startswith({digits}, '000') or startswith({digits}, '666') or {digits} = '123456789')"
+
+
+def confidence(pii_type: str, path: str, value: str, matched: str) -> str:
     """Confidence of a pattern match, from the field path and the match itself."""
     if pii_type == "CREDIT_CARD":
-        return F.when(luhn_ok(matched), 0.95).otherwise(0.50)
+        return f"if({luhn_ok(matched)}, 0.95D, 0.50D)"
     if pii_type == "NAME":
-        words = F.size(F.split(value, r"\s+"))
-        named = F.lower(path).contains("name")
-        return (
-            F.when(named & (words <= 5), 0.90)
-            .when(named, 0.70)
-            .when(words <= 5, 0.50)
-            .otherwise(0.30)
-        )
+        short = f"size(split({value}, r'\\s+')) <= 5"
+        named = f"contains(lower({path}), 'name')"
+        return f"if({named}, if({short}, 0.90D, 0.70D), if({short}, 0.50D, 0.30D))"
     boost, alternatives = PATH_BOOSTS[pii_type]
-    score = F.when(_all_of(path, alternatives), boost).otherwise(BASE_CONFIDENCE)
+    score = f"if({_all_of(path, alternatives)}, {boost}D, {BASE_CONFIDENCE}D)"
     if pii_type == "SSN":
-        digits = F.replace(matched, F.lit("-"), F.lit(""))
-        unlikely = digits.startswith("000") | digits.startswith("666") | (digits == "123456789")
-        score = F.when(unlikely, 0.30).otherwise(score)
+        score = f"if({unlikely_ssn(matched)}, 0.30D, {score})"
     return score
 
 
-def pattern_test(pii_type: str, value: Column) -> Column:
+def pattern_test(pii_type: str, value: str) -> str:
     """True where the stripped value matches the type's pattern."""
-    return _shape(pii_type, value) & value.rlike(VALUE_PATTERNS[pii_type])
+    return f"({_SHAPES[pii_type].format(v=value)} and {matches(value, VALUE_PATTERNS[pii_type])})"
 
 
-def _accepts_path(pii_type: str, path: Column) -> Column:
-    """Field paths on which a match counts as no finding at all."""
+def _accepted(pii_type: str, path: str, value: str) -> str:
+    """The pattern matches, and not on a field path where that counts as no finding at all."""
+    test = pattern_test(pii_type, value)
     if pii_type == "PHONE_NUMBER":
-        return ~path_has(path, TIME_WORDS)
+        return f"({test} and not {path_has(path, TIME_WORDS)})"
     if pii_type == "NAME":
-        return ~path_has(path, PLATE_WORDS)
-    return F.lit(True)
-
-
-def _hit(order: str, pii_type: str, score: Column, matched: Column) -> Column:
-    return F.struct(
-        F.lit(DETECTION_ORDER[order]).alias("seq"),
-        F.lit(pii_type).alias("pii_type"),
-        score.alias("confidence"),
-        F.lit(PRIORITY.get(pii_type, 0)).alias("priority"),
-        matched.alias("pattern_matched"),
-        F.lit("pattern").alias("provider"),
+        return f"({test} and not {path_has(path, PLATE_WORDS)})"
+    return test
+
+
+def _hit(order: str, pii_type: str, score: str, matched: str) -> str:
+    return (
+        f"named_struct('seq', {DETECTION_ORDER[order]}, 'pii_type', '{pii_type}', 'confidence', {score}, "
+        f"'priority', {PRIORITY.get(pii_type, 0)}, 'pattern_matched', {matched}, 'provider', 'pattern')"
     )
 
 
-def pattern_hits(path: Column, value: Column) -> Column:
+def pattern_hits(path: str, value: str) -> str:
     """All raw findings of a stripped value as one array of structs, in detection order."""
     hits = []
     for pii_type, pattern in VALUE_PATTERNS.items():
-        matched = F.regexp_extract(value, pattern, 0)
-        found = pattern_test(pii_type, value) & _accepts_path(pii_type, path)
-        hits.append(
-            F.when(found, _hit(pii_type, pii_type, confidence(pii_type, path, value, matched), matched))
-        )
-    hint_text = F.concat(F.lit("field_name_hint:"), path)
-    name_found = value.rlike(VALUE_PATTERNS["NAME"]) & _accepts_path("NAME", path)
-    name_hint = _name_hint(path, value) & ~name_found
-    address_hint = _address_hint(path, value)
-    hits.append(F.when(name_hint, _hit("NAME_HINT", "NAME", F.lit(HINT_CONFIDENCE), hint_text)))
-    hits.append(F.when(address_hint, _hit("ADDRESS", "ADDRESS", F.lit(HINT_CONFIDENCE), hint_text)))
-    return F.array_compact(F.array(*hits))
+        matched = f"regexp_extract({value}, r'{pattern}', 0)"
+        hit = _hit(pii_type, pii_type, confidence(pii_type, path, value, matched), matched)
+        hits.append(f"if({_accepted(pii_type, path, value)}, {hit}, null)")
+    hint = f"concat('field_name_hint:', {path})"
+    name_hint = f"{_name_hint(path, value)} and not {_accepted('NAME', path, value)}"
+    hits.append(f"if({name_hint}, {_hit('NAME_HINT', 'NAME', f'{HINT_CONFIDENCE}D', hint)}, null)")
+    address = _hit("ADDRESS", "ADDRESS", f"{HINT_CONFIDENCE}D", hint)
+    hits.append(f"if({_address_hint(path, value)}, {address}, null)")
+    return f"array_compact(array({', '.join(hits)}))"

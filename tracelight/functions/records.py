@@ -1,145 +1,100 @@
-"""JSON message bytes to records and (path, value) entries, as JVM expressions."""
+"""JSON message bytes to records and (path, value) entries, as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def bracket_text(text: str) -> str:
+    """Only the brackets of a JSON text, those inside strings left out."""
+    plain = f"regexp_replace({text}, r'\\\\.', '')"
+    return rf"""regexp_replace({plain}, r'"[^"]*"|[^\[\]{{}}"]+', '')"""
 
-def _utf8(data: Column) -> Column:
-    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
 
-
-def bracket_text(text: Column) -> Column:
-    """Only the brackets of a JSON text, those inside strings left out."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"|[^\[\]{}"]+', "")
-
-
-def _walk(brackets: Column) -> Column:
-    """Deepest level, and how often the level returns to zero, over a bracket text."""
-    step = lambda acc, c: F.struct(
-        (acc["level"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("level"),
-        F.greatest(acc["deepest"], acc["level"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias(
-            "deepest"
-        ),
-        (
-            acc["closed"] + F.when((acc["level"] == 1) & c.isin("}", "]"), 1).otherwise(0)
-        ).alias("closed"),
-    )
-    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("deepest"), F.lit(0).alias("closed"))
-    # "{}" and "[]" are by far the most common shapes and need no loop.
-    flat = F.struct(F.lit(0).alias("level"), F.lit(1).alias("deepest"), F.lit(1).alias("closed"))
-    return F.when(brackets.isin("{}", "[]"), flat).otherwise(
-        F.aggregate(F.split(brackets, ""), start, step)
-    )
+def _walk(text: str) -> str:
+    """Deepest level, and how often the level returns to zero, over the brackets of a text."""
+    step = """(acc, c) -> named_struct(
+        'level', acc.level + if(c in ('{', '['), 1, -1),
+        'deepest', greatest(acc.deepest, acc.level + if(c in ('{', '['), 1, 0)),
+        'closed', acc.closed + if(acc.level = 1 and c in ('}', ']'), 1, 0))"""
+    start = "named_struct('level', 0, 'deepest', 0, 'closed', 0)"
+    return f"aggregate(split({bracket_text(text)}, ''), {start}, {step})"
 
 
-def nesting(text: Column) -> Column:
+def nesting(text: str) -> str:
     """How deep objects and arrays are nested in a JSON text."""
-    return _walk(bracket_text(text))["deepest"]
+    # "{}" and "[]" are by far the most common shapes and need no loop.
+    return f"if({bracket_text(text)} in ('{{}}', '[]'), 1, {_walk(text)}.deepest)"
 
 
-def _record_text(text: Column) -> Column:
+def _one_record(text: str) -> str:
     """The text if it can be one JSON object or array, without trailing content."""
-    trimmed = F.btrim(text, F.lit(" \t\n\r"))
-    whole = trimmed.rlike(r"^[{\[]") & trimmed.rlike(r"[}\]]$")
-    return F.when(whole & (_walk(bracket_text(trimmed))["closed"] == 1), trimmed)
+    trimmed = f"btrim({text}, ' \\t\\n\\r')"
+    single = f"({bracket_text(trimmed)} in ('{{}}', '[]') or {_walk(trimmed)}.closed = 1)"
+    outer = rf"rlike({trimmed}, r'^[{{\[]') and rlike({trimmed}, r'[}}\]]$')"
+    return f"if({outer} and {single} and try_parse_json({trimmed}) is not null, {trimmed}, null)"
 
 
-def record_text(data: Column) -> Column:
-    """JSON text of a message value, or null.
+def record_text(data: str) -> str:
+    """JSON text of a message value (binary), or null.
 
     Whole value first; when that is no JSON, again from the first ``{``, else the first ``[``,
     which skips a binary prefix.
     """
+    whole = f"if(is_valid_utf8(cast({data} as string)), cast({data} as string), null)"
     # One character per byte, so positions count bytes even where the text is no valid UTF-8.
-    as_bytes = F.decode(data, "ISO-8859-1")
-    brace = F.instr(as_bytes, "{")
-    start = F.when(brace > 0, brace).otherwise(F.instr(as_bytes, "["))
-    whole = _record_text(_utf8(data))
-    tail = F.when(start > 1, _record_text(_utf8(F.substring(data, start, F.length(data)))))
-    return F.coalesce(
-        F.when(F.try_parse_json(whole).isNotNull(), whole),
-        F.when(F.try_parse_json(tail).isNotNull(), tail),
-    )
+    chars = f"decode({data}, 'ISO-8859-1')"
+    start = f"if(instr({chars}, '{{') > 0, instr({chars}, '{{'), instr({chars}, '['))"
+    rest = f"cast(substring({data}, {start}, length({data})) as string)"
+    tail = f"if({start} > 1 and is_valid_utf8({rest}), {rest}, null)"
+    return f"coalesce({_one_record(whole)}, {_one_record(tail)})"
+
+
+_ENTRY = "struct<path:string,node:variant,depth:int,in_object:boolean,is_root:boolean>"
 
 
 def entries(
-    text: Column,
+    text: str,
     *,
     expand_nested_lists: bool,
     include_arrays: bool = True,
     max_depth: int | None = None,
-) -> Column:
-    """All leaves of a JSON text as an array of ``(path, node)``.
+) -> str:
+    """All leaves of a JSON text as an array of ``(path, node, …)``.
 
     A fold runs once per nesting level of this very record and opens every object and array found
     so far, so a flat record costs one round and no depth limit has to be planned in.
     ``depth`` counts levels the way the schemaless extraction does: an array directly inside an
     object opens at the level of that object.
     """
+    nothing = f"cast(array() as array<{_ENTRY}>)"
 
-    def child(path: Column, node: Column, depth: Column, in_object: bool) -> Column:
-        return F.struct(
-            path.alias("path"),
-            node.alias("node"),
-            depth.alias("depth"),
-            F.lit(in_object).alias("in_object"),
-            F.lit(False).alias("is_root"),
-        )
+    def bounded(depth: str, opened: str) -> str:
+        return opened if max_depth is None else f"if({depth} > {int(max_depth)}, {nothing}, {opened})"
 
-    def open_entry(entry: Column) -> Column:
-        node, path = entry["node"], entry["path"]
-        as_object = node.try_cast("map<string,variant>")
-        as_array = node.try_cast("array<variant>")
-        object_depth = entry["depth"] + 1
-        array_depth = F.when(entry["in_object"], entry["depth"]).otherwise(entry["depth"] + 1)
-        nothing = F.filter(F.array(entry), lambda _: F.lit(False))
-
-        def bounded(depth: Column, opened: Column) -> Column:
-            return opened if max_depth is None else F.when(depth > max_depth, nothing).otherwise(opened)
-
-        fields = F.transform(
-            F.map_entries(as_object),
-            lambda e: child(
-                F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])),
-                e["value"],
-                object_depth,
-                True,
-            ),
-        )
-        items = F.transform(
-            as_array,
-            lambda x, i: child(
-                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, array_depth, False
-            ),
-        )
-        if not include_arrays:
-            items = nothing
-        else:
-            items = bounded(array_depth, items)
-        if not expand_nested_lists:
-            # Only arrays that are object members are opened; a list in a list stays one value.
-            items = (
-                F.when(entry["is_root"], nothing)
-                .when(entry["in_object"], items)
-                .otherwise(F.array(entry))
-            )
+    def child(path: str, node: str, depth: str, in_object: str) -> str:
         return (
-            F.when(as_object.isNotNull(), bounded(object_depth, fields))
-            .when(as_array.isNotNull(), items)
-            .when(entry["is_root"], nothing)
-            .otherwise(F.array(entry))
+            f"named_struct('path', {path}, 'node', {node}, 'depth', {depth}, "
+            f"'in_object', {in_object}, 'is_root', false)"
         )
 
-    root = F.array(
-        F.struct(
-            F.lit("").alias("path"),
-            F.try_parse_json(text).alias("node"),
-            F.lit(-1).alias("depth"),
-            F.lit(False).alias("in_object"),
-            F.lit(True).alias("is_root"),
-        )
+    object_depth = "e.depth + 1"
+    array_depth = "if(e.in_object, e.depth, e.depth + 1)"
+    member = child("if(e.path = '', m.key, concat(e.path, '.', m.key))", "m.value", object_depth, "true")
+    item = child("concat(e.path, '[', i, ']')", "x", array_depth, "false")
+    as_object = "try_cast(e.node as map<string,variant>)"
+    as_array = "try_cast(e.node as array<variant>)"
+    members = bounded(object_depth, f"transform(map_entries({as_object}), m -> {member})")
+    items = bounded(array_depth, f"transform({as_array}, (x, i) -> {item})") if include_arrays else nothing
+    if not expand_nested_lists:
+        # Only arrays that are object members are opened; a list in a list stays one value.
+        items = f"case when e.is_root then {nothing} when e.in_object then {items} else array(e) end"
+    opened = f"""case
+        when {as_object} is not null then {members}
+        when {as_array} is not null then {items}
+        when e.is_root then {nothing}
+        else array(e) end"""
+    root = (
+        f"array(named_struct('path', '', 'node', try_parse_json({text}), 'depth', -1, "
+        "'in_object', false, 'is_root', true))"
     )
-    levels = F.sequence(F.lit(1), F.greatest(nesting(text), F.lit(1)))
-    return F.aggregate(levels, root, lambda acc, _: F.flatten(F.transform(acc, open_entry)))
+    levels = f"sequence(1, greatest({nesting(text)}, 1))"
+    return f"aggregate({levels}, {root}, (acc, level) -> flatten(transform(acc, e -> {opened})))"

@@ -1,4 +1,4 @@
-"""Conflict rules between the findings of one value, as array expressions.
+"""Conflict rules between the findings of one value, as Spark SQL array expressions.
 
 All findings of one (field, value) sit in one small array, at most one entry per type and
 provider, so the rules need no self-join. Each rule looks at the complete array, not at what
@@ -7,70 +7,49 @@ other rules have left over.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tracelight.functions.patterns import (
     CARD_WORDS,
     DATE_WORDS,
     ID_WORDS,
     PLATE_WORDS,
     TIME_WORDS,
+    matches,
     path_has,
 )
 
-_EPOCH = r"^[0-9]{10,13}(\.[0-9]+)?$"
-_DIGITS = "^[0-9]+$"
-
 
-def resolve(hits: Column, path: Column, field_value: Column, value: Column) -> Column:
+def resolve(hits: str, path: str, field_value: str, value: str) -> str:
     """Findings that survive the conflict rules.
 
     ``field_value`` is the whole stripped field, ``value`` the text the findings share; they
     differ only for providers that report spans.
     """
-    on_time = path_has(path, TIME_WORDS)
-    on_plate = path_has(path, PLATE_WORDS)
-    on_card = path_has(path, CARD_WORDS)
-    on_date = path_has(path, DATE_WORDS)
-    on_id = path_has(path, ID_WORDS)
-    numeric = field_value.rlike(_DIGITS) | value.rlike(_DIGITS)
-    has_card = F.exists(hits, lambda h: h["pii_type"] == "CREDIT_CARD")
-
-    phone_out = (on_time & field_value.rlike(_EPOCH)) | has_card
-    birth_out = on_time | (on_id & numeric) | has_card | on_card
-
-    def outranked(hit: Column) -> Column:
-        # The strongest rival of another type; among equal priorities the earliest finding.
-        rivals = F.filter(hits, lambda r: r["pii_type"] != hit["pii_type"])
-        top = F.array_max(
-            F.transform(
-                rivals,
-                lambda r: F.struct(
-                    r["priority"].alias("priority"),
-                    (-r["seq"]).alias("earliest"),
-                    r["confidence"].alias("confidence"),
-                ),
-            )
-        )
-        return F.coalesce(
-            (top["priority"] > hit["priority"]) & (top["confidence"] >= hit["confidence"]),
-            F.lit(False),
-        )
-
-    def removed(hit: Column) -> Column:
-        kind = hit["pii_type"]
-        return (
-            ((kind == "PHONE_NUMBER") & phone_out)
-            | ((kind == "DATE_OF_BIRTH") & birth_out)
-            | (kind.isin("DRIVER_LICENSE", "NAME", "ADDRESS") & on_plate)
-            | ((kind == "CREDIT_CARD") & on_date & ~on_card & (hit["confidence"] < 0.8))
-            | outranked(hit)
-        )
-
-    return F.filter(hits, lambda hit: ~removed(hit))
-
-
-def keep_types(hits: Column, enabled: list[str]) -> Column:
+    on_card, on_time = path_has(path, CARD_WORDS), path_has(path, TIME_WORDS)
+    epoch = matches(field_value, r"^[0-9]{10,13}(\.[0-9]+)?$")
+    numeric = f"({matches(field_value, '^[0-9]+$')} or {matches(value, '^[0-9]+$')})"
+    has_card = f"exists({hits}, c -> c.pii_type = 'CREDIT_CARD')"
+    # The strongest rival of another type; among equal priorities the earliest finding.
+    top = (
+        f"array_max(transform(filter({hits}, r -> r.pii_type <> h.pii_type), "
+        "r -> named_struct('priority', r.priority, 'earliest', -r.seq, 'confidence', r.confidence)))"
+    )
+    return f"""filter({hits}, h -> not (
+        case h.pii_type
+            when 'PHONE_NUMBER' then ({on_time} and {epoch}) or {has_card}
+            when 'DATE_OF_BIRTH' then
+                {on_time} or ({path_has(path, ID_WORDS)} and {numeric}) or {has_card} or {on_card}
+            when 'CREDIT_CARD' then
+                h.confidence < 0.8D and {path_has(path, DATE_WORDS)} and not {on_card}
+            when 'DRIVER_LICENSE' then {path_has(path, PLATE_WORDS)}
+            when 'NAME' then {path_has(path, PLATE_WORDS)}
+            when 'ADDRESS' then {path_has(path, PLATE_WORDS)}
+            else false
+        end
+        or coalesce(exists(array({top}), t -> t.priority > h.priority and t.confidence >= h.confidence), false)
+    ))"""
+
+
+def keep_types(hits: str, enabled: list[str]) -> str:
     """Findings of the enabled types; runs last, so a disabled type can still suppress others."""
-    return F.filter(hits, lambda hit: hit["pii_type"].isin(*enabled) if enabled else F.lit(False))
+    names = ", ".join(f"'{t}'" for t in enabled)
+    return f"filter({hits}, e -> e.pii_type in ({names}))" if enabled else f"filter({hits}, e -> false)"

@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.functions import patterns
+from tracelight.functions import patterns, records
 from tracelight.functions.resolve import keep_types, resolve
 from tracelight.operators.fields import MESSAGE_KEY, flatten, parse_json_lenient
 from tracelight.schemas import CORE_TYPES, DETECTION, PRIORITY, TYPE_NAMES
 
 
-def _prepared(fields: DataFrame, null_as_text: bool) -> DataFrame:
-    value = F.col("value")
-    if null_as_text:
-        value = F.coalesce(value, F.lit("None"))
-    rows = fields.select(*MESSAGE_KEY, "field_path", patterns.strip(value).alias("value"))
-    return rows.where(patterns.may_hold_pii(F.col("field_path"), F.col("value")))
-
-
-def _with_hits(fields: DataFrame, null_as_text: bool) -> DataFrame:
-    return _prepared(fields, null_as_text).withColumn(
-        "hits", patterns.pattern_hits(F.col("field_path"), F.col("value"))
+def _with_hits(fields: DataFrame, null_as_text: bool, keep: Sequence[str]) -> DataFrame:
+    value = "coalesce(value, 'None')" if null_as_text else "value"
+    rows = fields.select(*MESSAGE_KEY, "field_path", F.expr(patterns.strip(value)).alias("value"), *keep)
+    return rows.where(patterns.may_hold_pii("field_path", "value")).withColumn(
+        "hits", F.expr(patterns.pattern_hits("field_path", "value"))
     )
 
 
-def _unnest(rows: DataFrame, hits: str) -> DataFrame:
+def _unnest(rows: DataFrame, hits: str, keep: Sequence[str]) -> DataFrame:
     # posexplode_outer, not inline: for a non-outer generator Catalyst adds a size() > 0 filter
     # and copies the whole array expression into it.
     out = rows.select(
-        *MESSAGE_KEY, "field_path", "value", F.posexplode_outer(hits).alias("pos", "hit")
+        *MESSAGE_KEY, "field_path", "value", *keep, F.posexplode_outer(hits).alias("pos", "hit")
     ).where(F.col("hit").isNotNull())
     return out.select(
         *MESSAGE_KEY,
@@ -40,37 +36,65 @@ def _unnest(rows: DataFrame, hits: str) -> DataFrame:
         F.col("hit.pattern_matched").alias("pattern_matched"),
         F.col("hit.provider").alias("provider"),
         (F.col("pos") + 1).alias("hit_no"),
+        *keep,
     )
 
 
-def detect_pattern(fields: DataFrame, null_as_text: bool = False) -> DataFrame:
+def detect_pattern(fields: DataFrame, null_as_text: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Raw pattern and field-name findings, before conflict rules. Narrow: no shuffle."""
-    return _unnest(_with_hits(fields, null_as_text), "hits")
+    return _unnest(_with_hits(fields, null_as_text, keep), "hits", keep)
 
 
 def detect_fields(
-    fields: DataFrame, enabled: list[str] | None = None, null_as_text: bool = False
+    fields: DataFrame,
+    enabled: list[str] | None = None,
+    null_as_text: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Resolved findings of the built-in patterns, one row per finding. Narrow: no shuffle.
 
-    ``enabled`` defaults to the ten core types; an empty list gives no rows.
+    ``enabled`` defaults to the ten core types; an empty list gives no rows. ``keep`` names further
+    columns to carry along.
     """
     enabled = CORE_TYPES if enabled is None else enabled
-    hits = _with_hits(fields, null_as_text)
-    path, value = F.col("field_path"), F.col("value")
-    kept = keep_types(resolve(F.col("hits"), path, value, value), enabled)
-    return _unnest(hits.withColumn("kept", kept), "kept")
+    hits = _with_hits(fields, null_as_text, keep)
+    kept = keep_types(resolve("hits", "field_path", "value", "value"), enabled)
+    return _unnest(hits.withColumn("kept", F.expr(kept)), "kept", keep)
 
 
-def detect_messages(msgs: DataFrame, enabled: list[str] | None = None) -> DataFrame:
+def detect_messages(
+    msgs: DataFrame, enabled: list[str] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """JSON messages to resolved findings: parse, flatten, detect. Works on streams as well."""
     parsed = parse_json_lenient(msgs).where(F.col("json").isNotNull())
-    return detect_fields(flatten(parsed), enabled)
+    return detect_fields(flatten(parsed, keep), enabled, keep=keep)
+
+
+def message_types(msgs: DataFrame, enabled: list[str] | None = None) -> DataFrame:
+    """Each message with ``pii_types``, the sorted set of types found in it.
+
+    All of it happens inside the row, so on a stream it needs no state.
+    """
+    enabled = CORE_TYPES if enabled is None else enabled
+
+    # transform over a one-element array gives an expression a name, so it is evaluated once.
+    types = f"transform({keep_types(resolve('hits', 'l.path', 'value', 'value'), enabled)}, k -> k.pii_type)"
+    hits = f"if({patterns.may_hold_pii('l.path', 'value')}, {patterns.pattern_hits('l.path', 'value')}, array())"
+    per_hits = f"flatten(transform(array({hits}), hits -> {types}))"
+    value = patterns.strip("cast(l.node as string)")
+    per_value = f"flatten(transform(array({value}), value -> coalesce({per_hits}, array())))"
+    scalars = "filter(leaves, l -> try_cast(l.node as array<variant>) is null)"
+    parsed = parse_json_lenient(msgs).where(F.col("json").isNotNull())
+    leaves = parsed.withColumn("leaves", F.expr(records.entries("json", expand_nested_lists=False)))
+    return leaves.select(
+        *MESSAGE_KEY,
+        F.expr(f"array_sort(array_distinct(flatten(transform({scalars}, l -> {per_value}))))").alias("pii_types"),
+    )
 
 
 def priority_of(pii_type: Column) -> Column:
     """Conflict priority of a type."""
-    lookup = F.create_map(*[F.lit(x) for pair in PRIORITY.items() for x in pair])
+    lookup = F.expr("map(" + ", ".join(f"'{t}', {p}" for t, p in PRIORITY.items()) + ")")
     return F.coalesce(F.element_at(lookup, pii_type), F.lit(0))
 
 
@@ -80,8 +104,8 @@ def _detection_order(findings: DataFrame) -> Column:
     if "seq" in findings.columns:
         parts.append(F.col("seq"))
     else:
-        ordinals = F.array(*[F.lit(t) for t in TYPE_NAMES])
-        parts.append(F.array_position(ordinals, F.col("pii_type")).cast("int"))
+        ordinals = ", ".join(f"'{t}'" for t in TYPE_NAMES)
+        parts.append(F.expr(f"cast(array_position(array({ordinals}), pii_type) as int)"))
     return (parts[0] * 1000 + parts[1]).cast("int")
 
 
@@ -121,11 +145,8 @@ def resolve_findings(findings: DataFrame, enabled: list[str] | None = None) -> D
         F.array_sort(F.collect_list(hit)).alias("hits"),
         F.max("field_value").alias("field_value"),
     )
-    kept = keep_types(
-        resolve(F.col("hits"), F.col("field_path"), patterns.strip(F.col("field_value")), F.col("value")),
-        enabled,
-    )
-    rows = groups.withColumn("kept", kept)
+    kept = keep_types(resolve("hits", "field_path", patterns.strip("field_value"), "value"), enabled)
+    rows = groups.withColumn("kept", F.expr(kept))
     out = rows.select(
         *MESSAGE_KEY, "field_path", "value", F.explode_outer("kept").alias("hit")
     ).where(F.col("hit").isNotNull())
@@ -146,24 +167,17 @@ def resolve_findings(findings: DataFrame, enabled: list[str] | None = None) -> D
 def number_hits(findings: DataFrame) -> DataFrame:
     """Add ``hit_no`` so that exactly one finding of each field of each message carries 1.
 
-    The first finding is an aggregate joined back on the message key, which stays spread over
-    all messages; other findings carry 2.
+    All other findings carry 2. Groups are single fields of single messages.
     """
     order = F.struct(F.col("seq") if "seq" in findings.columns else F.lit(0), "pii_type", "value")
     key = [*MESSAGE_KEY, "field_path"]
     marked = findings.withColumn("place", order)
-    first = F.min("place").over(_per_field(key))
+    first = F.min("place").over(Window.partitionBy(*key))
     return marked.withColumn("hit_no", F.when(F.col("place") == first, 1).otherwise(2)).select(
         *DETECTION.fieldNames()
     )
 
 
-def _per_field(key: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*key)
-
-
 def filter_enabled(findings: DataFrame, enabled: list[str]) -> DataFrame:
     """Only findings of the enabled types."""
     return findings.where(F.col("pii_type").isin(*enabled)) if enabled else findings.limit(0)

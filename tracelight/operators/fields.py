@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelight.functions import records
-from tracelight.functions.patterns import strip
 
 MESSAGE_KEY = ["topic", "partition", "offset"]
 
 
 def stringify(value: Column) -> Column:
     """Text form of any value, without outer white space."""
-    return strip(value.cast("string"))
+    return F.btrim(value.cast("string"), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def split_wire_format(msgs: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def split_wire_format(msgs: DataFrame) -> DataFrame:
 
 def parse_json_lenient(msgs: DataFrame, column: str = "value") -> DataFrame:
     """Add ``json``: the record text of a message, null where there is none."""
-    return msgs.withColumn("json", records.record_text(F.col(column).cast("binary")))
+    return msgs.withColumn("json", F.expr(records.record_text(f"cast({column} as binary)")))
 
 
 def decode_records(msgs: DataFrame, catalog: DataFrame | None = None, decoders=None) -> DataFrame:
@@ -63,14 +64,14 @@ def decode_records(msgs: DataFrame, catalog: DataFrame | None = None, decoders=N
     as_record = F.when(decoded.rlike(r"^\s*\{"), decoded).otherwise(
         F.concat(F.lit('{"value":'), decoded, F.lit("}"))
     )
-    rows = typed.withColumn("json", F.coalesce(as_record, records.record_text(F.col("value"))))
+    rows = typed.withColumn("json", F.coalesce(as_record, F.expr(records.record_text("value"))))
     return rows.where(~F.col("json").rlike(r"^\s*(\{\s*\}|\[\s*\])\s*$")).drop("framed", "payload")
 
 
-def _leaf_rows(msgs: DataFrame, entry_array: Column) -> DataFrame:
+def _leaf_rows(msgs: DataFrame, entry_array: str, keep: Sequence[str]) -> DataFrame:
     # inline_outer keeps Catalyst from copying the whole fold into a pre-filter; rows without
     # leaves come out as nulls and are dropped right after.
-    rows = msgs.select(*MESSAGE_KEY, F.inline_outer(entry_array)).where(F.col("path").isNotNull())
+    rows = msgs.select(*MESSAGE_KEY, *keep, F.expr(f"inline_outer({entry_array})")).where(F.col("path").isNotNull())
     kind = F.schema_of_variant("node")
     value_type = (
         F.when(kind == "BOOLEAN", "boolean")
@@ -83,14 +84,15 @@ def _leaf_rows(msgs: DataFrame, entry_array: Column) -> DataFrame:
     )
     text = F.when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json("node")).otherwise(F.col("node").cast("string"))
     return rows.select(
-        *MESSAGE_KEY, F.col("path").alias("field_path"), value_type.alias("value_type"), text.alias("value")
+        *MESSAGE_KEY, F.col("path").alias("field_path"), value_type.alias("value_type"), text.alias("value"), *keep
     )
 
 
-def flatten(decoded: DataFrame) -> DataFrame:
+def flatten(decoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Field rows of records with a schema: ``a.b``, ``a[0]``, ``a[0].b``; a list directly inside a
-    list stays one value, empty containers vanish. ``value_type`` is null for a JSON null."""
-    return _leaf_rows(decoded, records.entries(F.col("json"), expand_nested_lists=False))
+    list stays one value, empty containers vanish. ``value_type`` is null for a JSON null. ``keep``
+    names further message columns to carry along, here and in the functions below."""
+    return _leaf_rows(decoded, records.entries("json", expand_nested_lists=False), keep)
 
 
 def extract_fields(
@@ -98,19 +100,21 @@ def extract_fields(
     max_depth: int = 10,
     include_arrays: bool = True,
     flatten_nested: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Field rows of schemaless records: also nested lists and top-level arrays, down to
     ``max_depth``."""
     if flatten_nested:
-        return flatten(decoded)
+        return flatten(decoded, keep)
     return _leaf_rows(
         decoded,
         records.entries(
-            F.col("json"),
+            "json",
             expand_nested_lists=True,
             include_arrays=include_arrays,
             max_depth=max_depth,
         ),
+        keep,
     )
 
 
@@ -146,7 +150,7 @@ def table_fields(
                 F.struct(
                     F.lit(field.name).alias("field_path"),
                     F.lit(kind).alias("value_type"),
-                    strip(text).alias("value"),
+                    stringify(text).alias("value"),
                 )
             )
     return df.select(
