@@ -17,7 +17,7 @@ READ_CAP = 200
 KEEP_CAP = 100
 
 _PARTITION = ["topic", "partition"]
-_BY_OFFSET = Window.partitionBy(*_PARTITION).orderBy("offset")
+_PLACE = "row_number() over (partition by topic, partition order by offset)"
 
 
 def _first(msgs: DataFrame, n: int, latest: bool = False) -> DataFrame:
@@ -70,7 +70,7 @@ def sample_percentage(
     )
     return (
         tail.withColumn("_size", size)
-        .withColumn("_place", F.row_number().over(_BY_OFFSET) - 1)
+        .withColumn("_place", F.expr(f"{_PLACE} - 1"))
         .withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_size") / target).cast("int")))
         .where(
             (F.col("_place") % F.col("_step") == 0)
@@ -96,7 +96,7 @@ def sample_every_nth(
     interval = max(1, int(1 / fraction(percentage)))
     tail = tail_per_partition(msgs, tail_size(percentage, max_per_partition, min_per_partition, read_cap))
     picked = (
-        tail.withColumn("_place", F.row_number().over(_BY_OFFSET))
+        tail.withColumn("_place", F.expr(_PLACE))
         .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*_PARTITION)))
     )
     keep = (F.col("_place") % interval == 0) & (F.col("_place") / interval <= max_per_partition)
