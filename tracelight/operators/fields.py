@@ -129,15 +129,13 @@ def _column_text(field: T.StructField) -> tuple[Column, str]:
         return column.cast("string"), "number"
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(column), "array" if isinstance(kind, T.ArrayType) else "object"
-    if isinstance(kind, T.TimestampType):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss"), "string"
     return column.cast("string"), "string"
 
 
-def table_fields(
-    df: DataFrame, topic: str, key: str, n_partitions: int = 3, columns: list[str] | None = None
+def table_cells(
+    df: DataFrame, topic: str, key: str, n_partitions: int = 3, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Field rows straight from a table: one narrow pass, no JSON in between.
+    """Each table row as a message with all its fields in one array ``cells``.
 
     The integer ``key`` gives the message partition (``key`` modulo ``n_partitions``) and offset.
     """
@@ -157,10 +155,26 @@ def table_fields(
         F.lit(topic).alias("topic"),
         F.pmod(F.col(key), F.lit(n_partitions)).cast("int").alias("partition"),
         F.col(key).cast("long").alias("offset"),
-        F.inline(F.array(*cells)),
+        F.array(*cells).alias("cells"),
     )
 
 
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """Field rows of one or several tables.
+
+    Tables are put together as cells and opened afterwards: a generator stays above a union, so
+    everything that follows is planned and compiled once and not once per table.
+    """
+    return cells.select(*MESSAGE_KEY, F.inline("cells"))
+
+
+def table_fields(
+    df: DataFrame, topic: str, key: str, n_partitions: int = 3, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Field rows straight from a table: one narrow pass, no JSON in between."""
+    return cell_rows(table_cells(df, topic, key, n_partitions, columns))
+
+
 def field_universe(fields: DataFrame) -> DataFrame:
     """All field paths of each topic."""
     return fields.select("topic", "field_path").distinct()

@@ -31,7 +31,7 @@ def doc_annotation(cls: DataFrame) -> DataFrame:
             F.lit("PII: "),
             F.array_join(F.array_sort("pii_types"), ", "),
             F.lit(" (confidence: "),
-            F.format_string("%.2f", F.col("confidence")),
+            F.format_number("confidence", 2),
             F.lit(")"),
         ),
     )
@@ -52,7 +52,7 @@ def subject_metadata(cls: DataFrame) -> DataFrame:
             F.concat("topic", F.lit("-value")).alias("subject"),
             "tags",
             F.array_join("fields", ",").alias("pii_fields"),
-            F.format_string("%.2f", F.col("mean")).alias("classification_confidence"),
+            F.format_number("mean", 2).alias("classification_confidence"),
             "fields_tagged",
             F.current_timestamp().alias("tagged_at"),
         )

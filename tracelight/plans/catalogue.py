@@ -49,18 +49,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_table(prepare_session(spark), f"{sf}/{name}.parquet")
 
 
-def topic_fields(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def topic_cells(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = table(spark, sf, name)
-    columns = df.columns
-    return FL.table_fields(df.withColumn("_key", F.expr(TABLE_KEYS[name])), name, "_key", columns=columns)
+    return FL.table_cells(df.withColumn("_key", F.expr(TABLE_KEYS[name])), name, "_key", columns=df.columns)
+
+
+def topic_fields(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    cells = topic_cells(spark, sf, names[0])
+    for name in names[1:]:
+        cells = cells.unionByName(topic_cells(spark, sf, name))
+    return FL.cell_rows(cells)
 
 
 def all_table_fields(spark: SparkSession, sf: str) -> DataFrame:
-    union = None
-    for name in TABLE_KEYS:
-        rows = topic_fields(spark, sf, name)
-        union = rows if union is None else union.unionByName(rows)
-    return union
+    return topic_fields(spark, sf, *TABLE_KEYS)
 
 
 def word_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +135,7 @@ def profile_messages(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("offset"),
         F.lit(None).cast("binary").alias("key"),
         F.when(plain, F.col("source")).otherwise(body).cast("binary").alias("value"),
-        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(doc_id as int))").alias("timestamp"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id)").alias("timestamp"),
         F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
     )
 
@@ -626,7 +628,7 @@ def q_whole_value_spans(spark, sf):
 
 
 def _uncovered(spark, sf):
-    fields = topic_fields(spark, sf, "orders").unionByName(topic_fields(spark, sf, "customer"))
+    fields = topic_fields(spark, sf, "orders", "customer")
     return fields, V.uncovered_fields(fields, D.detect_fields(fields))
 
 
@@ -710,7 +712,7 @@ def _brand_detector(path: str, value: str):
 
 def q_detect_with_providers(spark, sf):
     V.register_provider("brands", lambda: V.RowProvider("brands", _brand_detector, ["USERNAME"]))
-    fields = topic_fields(spark, sf, "part").unionByName(topic_fields(spark, sf, "orders"))
+    fields = topic_fields(spark, sf, "part", "orders")
     return V.detect_with(fields, ["brands"], TYPE_NAMES).select(*_FOUND, "provider")
 
 

@@ -14,17 +14,17 @@ from tracelight.operators.spans import SPAN_PATTERNS
 from tracelight.plans.catalogue import TABLE_KEYS, WORD_PATHS
 from tracelight.schemas import CORE_TYPES, HIGH_RISK, PII_TYPES, PRIORITY, TYPE_NAMES
 
-# Columns of the tables that are read as topics; t marks timestamps.
+# Columns of the tables that are read as topics.
 _COLUMNS = {
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate:t o_orderpriority",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
     "supplier": "s_suppkey s_name s_nationkey s_acctbal",
     "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
     "nation": "n_nationkey n_name n_regionkey",
     "region": "r_regionkey r_name",
-    "events": "event_id ts:t user_id event_type value props",
+    "events": "event_id ts user_id event_type value props",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
-                "l_returnflag l_linestatus l_shipdate:t",
+                "l_returnflag l_linestatus l_shipdate",
 }
 _FIRST = ["o_orderkey", "c_custkey", "s_suppkey", "p_partkey", "n_nationkey", "r_regionkey", "event_id", "l_orderkey"]
 
@@ -42,8 +42,7 @@ def _table_fields(names: list[str]) -> str:
     for name in names:
         key = TABLE_KEYS[name]
         for column in _COLUMNS[name].split():
-            column, _, kind = column.partition(":")
-            text = f"strftime({column}, '%Y-%m-%d %H:%M:%S')" if kind else f"cast({column} as varchar)"
+            text = f"cast({column} as varchar)"
             rows.append(f"select '{name}' topic, ({key}) % 3 part, cast({key} as bigint) off, '{column}' path, {text} raw from {name}")
     return " union all ".join(rows)
 
@@ -108,7 +107,7 @@ def _hits(fields: str) -> str:
         unless = {"PHONE_NUMBER": TIME_WORDS, "NAME": PLATE_WORDS}.get(t)
         extra = f" and not {_has(unless)}" if unless else ""
         parts.append(
-            f"select topic, part, off, path, v, {seq} seq, '{t}' t, cast({_confidence(t)} as double) conf, "
+            f"select rid, topic, part, off, path, v, {seq} seq, '{t}' t, cast({_confidence(t)} as double) conf, "
             f"{PRIORITY.get(t, 0)} prio, m from (select *, regexp_extract(v, '{pattern}', 0) m from f "
             f"where regexp_matches(v, '{pattern}'){extra})"
         )
@@ -116,17 +115,17 @@ def _hits(fields: str) -> str:
     named = " or ".join(f"contains({low}, '{w}')" for w in NAME_INDICATORS)
     digits = "regexp_matches(v, '^[0-9]+$')"
     parts.append(
-        f"select topic, part, off, path, v, 15, 'NAME', 0.85, 65, 'field_name_hint:' || path from f where ({named}) "
+        f"select rid, topic, part, off, path, v, 15, 'NAME', 0.85, 65, 'field_name_hint:' || path from f where ({named}) "
         rf"and length(v) >= 2 and not {digits} and regexp_matches(v, '\p{{L}}') "
         f"and (not regexp_matches(v, '{VALUE_PATTERNS['NAME']}') or {_has(PLATE_WORDS)})"
     )
     parts.append(
-        "select topic, part, off, path, v, 16, 'ADDRESS', 0.85, 70, 'field_name_hint:' || path from f "
+        "select rid, topic, part, off, path, v, 16, 'ADDRESS', 0.85, 70, 'field_name_hint:' || path from f "
         f"where contains({low}, 'address') and length(v) >= 5 and not {digits}"
     )
     white = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
     return (
-        f"f as materialized (select topic, part, off, path, trim(raw, {white}) v from ({fields}) where raw is not null), "
+        f"f as materialized (select row_number() over () rid, topic, part, off, path, trim(raw, {white}) v from ({fields}) where raw is not null), "
         f"hits as materialized ({' union all '.join(parts)})"
     )
 
@@ -141,15 +140,14 @@ def _kept(fields: str, enabled: list[str] = CORE_TYPES) -> str:
         f"(t in ('DRIVER_LICENSE', 'NAME', 'ADDRESS') and {_has(PLATE_WORDS)}) or "
         f"(t = 'CREDIT_CARD' and conf < 0.8 and {_has(DATE_WORDS)} and not {_has(CARD_WORDS)})"
     )
-    key = "topic, part, off, path"
+    key = "rid"  # one field of one message
     return (
         _hits(fields)
         + f""", ranked as (select *, row_number() over (partition by {key} order by prio desc, seq) place,
               bool_or(t = 'CREDIT_CARD') over (partition by {key}) card from hits),
         rivals as (select h.*, r.prio rival_prio, r.conf rival_conf from ranked h left join ranked r
-              on h.topic = r.topic and h.part = r.part and h.off = r.off and h.path = r.path
-              and r.place = case when h.place = 1 then 2 else 1 end),
-        kept as (select topic, part, off, path, v, seq, t, conf, m from rivals where not ({removed})
+              on h.rid = r.rid and r.place = case when h.place = 1 then 2 else 1 end),
+        kept as (select rid, topic, part, off, path, v, seq, t, conf, m from rivals where not ({removed})
               and not coalesce(rival_prio > prio and rival_conf >= conf, false)),
         det as materialized (select *, row_number() over (partition by {key} order by seq) hit_no from kept
               where t in {_list(enabled) if enabled else "('')"})"""
@@ -285,6 +283,8 @@ def _values(rows: list[tuple]) -> str:
 
 
 _ENTITIES = _values([(p, e, t) for p, m in PROVIDER_ENTITIES.items() for e, t in m.items()])
+# A schema id with the byte of an opening brace spoils the search for the start of the JSON text.
+_BRACED = "(kind = 0 and (user_id % 256 = 123 or user_id // 256 % 256 = 123 or user_id // 65536 % 256 = 123))"
 _BODY = (
     "select event_type topic, event_id off, user_id, props, event_id % 5 kind from events"
 )
@@ -320,11 +320,18 @@ _WINDOW_SHOW = _SHOW.replace(
     "window_start, field_path", 1,
 )
 _DOC_OF = "select cast(off // 1000000 as bigint) doc_id, * from det"
-_DOC_FIELD = '{"name":"contact","type":{"type":"record","name":"c","fields":[{"name":"email","type":"string"}]}}'
+_DOC_SCHEMA = (
+    '{"type":"record","name":"r","fields":[{"name":"contact","type":{"type":"record","name":"c","fields":'
+    '[{"name":"email","type":"string"}]}}]}'
+)
+_DOC_TAGGED = (
+    '{"type": "record", "name": "r", "fields": [{"name": "contact", "type": {"type": "record", "name": "c", "fields": '
+    '[{"name": "email", "type": "string", "doc": "PII: EMAIL (confidence: 0.95)"}]}}]}'
+)
 
 
 def _avro(name: str) -> str:
-    return ", ".join(c.partition(":")[0] for c in _COLUMNS[name].split())
+    return ", ".join(_COLUMNS[name].split())
 
 
 ORACLE: dict[str, str] = {
@@ -360,10 +367,10 @@ ORACLE: dict[str, str] = {
     "wire_format": f"""select topic, off as "offset", kind = 0 framed, cast(case when kind = 0 then user_id end as int) schema_id,
         cast(length(props) + case kind when 2 then 3 when 3 then 5 else 0 end as int) payload_bytes from ({_BODY}) where kind <> 4
         union all select topic, off, false, null, 2 from ({_BODY}) where kind = 4""",
-    "parse_json_lenient": f"""select topic, off as "offset", case kind when 3 then null when 4 then '{{}}' else props end json from ({_BODY})""",
+    "parse_json_lenient": f"""select topic, off as "offset", case when kind = 3 or {_BRACED} then null when kind = 4 then '{{}}' else props end json from ({_BODY})""",
     "decode_records": f"""select topic, off as "offset", case when kind = 0 and p_type = 'PROMO'
         then '{{"value":' || regexp_extract(props, '[0-9]+', 0) || '}}' else props end json
-        from ({_BODY}) left join part on p_partkey = user_id where kind < 3""",
+        from ({_BODY}) left join part on p_partkey = user_id where kind < 3 and not (coalesce(p_type, '') <> 'PROMO' and {_BRACED})""",
     "flatten_json_fields": """select event_type topic, event_id as "offset", path field_path, kind value_type, v as value from events,
         lateral (values ('u.id', 'integer', cast(user_id as varchar)), ('u.t[0]', 'string', event_type),
         ('u.t[1]', 'array', '[' || event_id || ',7]'), ('p.k', 'integer', regexp_extract(props, '[0-9]+', 0)), ('n', null, null)) x(path, kind, v)""",
@@ -513,8 +520,8 @@ ORACLE: dict[str, str] = {
         'PII: ' || array_to_string(list_sort(types), ', ') || printf(' (confidence: %.2f)', confidence) doc from cls""",
     "subject_metadata": f"""with {_classes(_ALL, **_LOW)}, t as (select topic, string_agg(distinct tag, ',' order by tag) tags from
             (select topic, unnest(tags) tag from cls) group by topic)
-        select topic || '-value' subject, tags, string_agg(field_path, ',' order by field_path) pii_fields,
-        printf('%.2f', avg(confidence)) classification_confidence, count(*) fields_tagged from cls join t using (topic) group by topic, tags""",
+        select topic || '-value' subject, t.tags, string_agg(field_path, ',' order by field_path) pii_fields,
+        printf('%.2f', avg(confidence)) classification_confidence, count(*) fields_tagged from cls join t using (topic) group by topic, t.tags""",
     "tag_schema": f"""with {_classes(_table_fields(['orders']), **_STD)} select field, case when types is not null then
         'PII: ' || array_to_string(list_sort(types), ', ') || printf(' (confidence: %.2f)', confidence) end "comment",
         cast((select count(*) from cls) as int) fields_tagged, (select count(*) from orders) table_rows
@@ -542,5 +549,11 @@ ORACLE: dict[str, str] = {
         select ends.topic, cast(0 as int) "partition", coalesce(max(failures) filter (end_offset = last_off), 0) streak,
         coalesce(max(failures), 0) longest, coalesce(max(failures), 0) >= 5 tripped from ends left join runs on ends.topic = runs.topic group by ends.topic""",
     "stream_classify": f"with {_classes(_PROFILE_FIELDS, **_PROFILE_CLS)} select {_SHOW} from cls",
+    "stream_tag": f"""with {_classes(_PROFILE_FIELDS, **_PROFILE_CLS)} select l.lang || '-value' subject, case when cls.topic is null
+        then '{_DOC_SCHEMA}' else '{_DOC_TAGGED}' end as "schema" from (select distinct lang from documents) l
+        left join cls on cls.topic = l.lang and field_path = 'contact.email'""",
+    "monitor_stream": f"""with {_classes(_WINDOWED, **_WINDOW_CLS)}, shown as (select {_WINDOW_SHOW} from cls)
+        select * exclude (sample_values) from shown where window_start + interval 5 minute <=
+        (select timestamp '2024-01-01 00:00:00' + to_seconds(max(doc_id)) - interval 1 minute from documents)""",
     "monitor_windows": f"with {_classes(_WINDOWED, **_WINDOW_CLS)} select {_WINDOW_SHOW} from cls",
 }

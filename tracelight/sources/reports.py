@@ -35,8 +35,8 @@ def report_rows(cls: DataFrame, include_samples: bool = True) -> DataFrame:
         "field_path",
         F.array_join("pii_types", ", ").alias("pii_types"),
         F.array_join("tags", " ").alias("tags"),
-        F.format_string("%.2f", F.col("confidence")).alias("confidence"),
-        F.format_string("%.1f%%", F.col("detection_rate") * 100).alias("detection_rate"),
+        F.format_number("confidence", 2).alias("confidence"),
+        F.concat(F.format_number(F.col("detection_rate") * 100, 1), F.lit("%")).alias("detection_rate"),
         F.concat(F.array_join(short, ", "), more).alias("samples"),
     )
 
