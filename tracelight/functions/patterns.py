@@ -100,10 +100,13 @@ def _all_of(path: str, alternatives: list[list[str]]) -> str:
 _SHAPES = {
     "SSN": "length({v}) in (9, 11)",
     "EMAIL": "contains({v}, '@')",
-    "PHONE_NUMBER": "length({v}) >= 10",
+    "PHONE_NUMBER": r"length({v}) >= 10 and rlike({v}, r'\d{{3}}[-.\s]?\d{{4}}')",
     "CREDIT_CARD": "length({v}) >= 16",
-    "IP_ADDRESS": "length({v}) >= 7",
-    "DATE_OF_BIRTH": "length({v}) >= 10",
+    "IP_ADDRESS": (
+        "(contains({v}, '.') and length({v}) - length(replace({v}, '.', '')) >= 3 "
+        "or contains({v}, ':') and length({v}) - length(replace({v}, ':', '')) >= 7)"
+    ),
+    "DATE_OF_BIRTH": "length({v}) >= 10 and (contains({v}, '-') or contains({v}, '/'))",
     "NAME": "length({v}) >= 5",
     "BANK_ACCOUNT": "length({v}) between 8 and 17",
     "IBAN": "length({v}) between 8 and 34",
@@ -121,20 +124,20 @@ _INNER = ["PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH"]
 
 
 def may_hold_pii(path: str, value: str) -> str:
-    """Necessary condition for a finding on a stripped value: three regexes at most, all codegen.
+    """Necessary condition for a finding on a stripped value: a few short regexes, all codegen.
 
     The first regex drops most prose words in one scan: every pattern needs a digit, ``@`` or
     ``:``, except names (capitalised word then space), SWIFT codes and keys (six capitals),
     40-letter keys and hyphenated MAC addresses of letters; the shortest match (a name) has five
     characters. Then come all whole-value patterns as one alternation, tried at the first position
-    only, and the inner patterns as another. So the array of findings is built only for values
+    only, and the four inner patterns behind their shapes. So the array of findings is built only for values
     that have any.
     """
     shape = matches(value, r"[0-9@:]|^[A-Z]{6}|^[A-Z][a-z]+\s")
     candidate = f"length({value}) >= 5 and ({shape} or length({value}) in (17, 40))"
     whole = matches(value, "^(?:" + "|".join(p for t, p in VALUE_PATTERNS.items() if t not in _INNER) + ")")
-    inner = matches(value, "|".join(VALUE_PATTERNS[t] for t in _INNER))
-    found = f"{candidate} and ({whole} or (length({value}) >= 7 and {inner}))"
+    inner = " or ".join(pattern_test(t, value) for t in _INNER)
+    found = f"{candidate} and ({whole} or {inner})"
     return f"({found}) or {_name_hint(path, value)} or {_address_hint(path, value)}"
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelight.operators.detect import value_findings
 from tracelight.operators.fields import MESSAGE_KEY
 from tracelight.schemas import HIGH_RISK, PII_TYPES, TYPE_NAMES, pii_types
 
@@ -122,6 +123,18 @@ def classify_fields(
     return classify_counts(merge_types(counts), totals, thresholds, smallest_values(counts))
 
 
+def classify_values(
+    fields: DataFrame,
+    totals: DataFrame,
+    thresholds: Thresholds = Thresholds(),
+    enabled: list[str] | None = None,
+) -> DataFrame:
+    """``classify_fields`` straight from field rows, for the built-in patterns: each distinct value
+    is searched once and weighted by its count."""
+    counts = value_findings(fields, enabled)
+    return classify_counts(merge_types(counts), totals, thresholds, smallest_values(counts))
+
+
 def classify_counts(
     stats: DataFrame, totals: DataFrame, thresholds: Thresholds, samples: DataFrame
 ) -> DataFrame:
@@ -264,7 +277,8 @@ def classification_metrics(run_log: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "Thresholds", "classification_metrics", "classify_counts", "classify_fields", "detection_counts",
+    "Thresholds", "classification_metrics", "classify_counts", "classify_fields", "classify_values",
+    "detection_counts",
     "detection_summary", "high_risk", "merge_types", "risk_rollup", "run_summary", "sample_values",
     "smallest_values", "tags_of", "tags_summary", "topic_summary", "triage_topics", "type_stats",
     "value_counts",

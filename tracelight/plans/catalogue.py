@@ -82,14 +82,17 @@ def word_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def field_totals(fields: DataFrame) -> DataFrame:
-    """Messages per topic; a message is counted at the first field of its table or its word."""
-    firsts = {"orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
-              "nation": "n_nationkey", "region": "r_regionkey", "events": "event_id", "lineitem": "l_orderkey"}
-    first = F.col("topic") == "words"
-    for topic, path in firsts.items():
-        first = first | ((F.col("topic") == topic) & (F.col("field_path") == path))
-    return M.topic_totals(fields.where(first))
+def all_totals(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """Messages per topic: rows of each table, and words of the documents if no table is named."""
+    cells = None
+    for name in names or TABLE_KEYS:
+        one = topic_cells(spark, sf, name)
+        cells = one if cells is None else cells.unionByName(one)
+    totals = M.topic_totals(cells)
+    if names:
+        return totals
+    words = table(spark, sf, "documents").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("total_samples"))
+    return totals.unionByName(words.select(F.lit("words").alias("topic"), "total_samples"))
 
 
 def event_messages(spark: SparkSession, sf: str, value: Column | None = None) -> DataFrame:
@@ -436,7 +439,13 @@ def _joined(cls: DataFrame) -> DataFrame:
 
 def _classified(spark, sf, thresholds=C.Thresholds(), enabled=None) -> DataFrame:
     fields = word_fields(spark, sf).unionByName(all_table_fields(spark, sf))
-    return C.classify_fields(D.detect_fields(fields, enabled), field_totals(fields), thresholds)
+    return C.classify_values(fields, all_totals(spark, sf), thresholds, enabled)
+
+
+def q_classify_findings(spark, sf):
+    """The same classification from finding rows, as needed for several providers."""
+    fields = word_fields(spark, sf).unionByName(all_table_fields(spark, sf))
+    return _joined(C.classify_fields(D.detect_fields(fields), all_totals(spark, sf)))
 
 
 # Word fields are one of twelve paths each, so their share of all words is small.
@@ -458,7 +467,7 @@ def q_type_stats(spark, sf):
 
 def q_detection_rates(spark, sf):
     fields = word_fields(spark, sf)
-    rates = C.detection_counts(D.detect_fields(fields, TYPE_NAMES), field_totals(fields))
+    rates = C.detection_counts(D.detect_fields(fields, TYPE_NAMES), M.topic_totals(fields))
     return rates.withColumn("detection_rate", F.round("detection_rate", 9))
 
 
@@ -468,12 +477,9 @@ def q_sample_values(spark, sf):
 
 
 def _summary(spark, sf):
-    fields = word_fields(spark, sf).unionByName(all_table_fields(spark, sf))
-    cls = C.classify_fields(D.detect_fields(fields), field_totals(fields))
-    names = field_totals(fields).select("topic").unionByName(
-        table(spark, sf, "documents").select(F.col("source").alias("topic"))
-    )
-    return C.topic_summary(cls, field_totals(fields), names)
+    totals = all_totals(spark, sf)
+    names = totals.select("topic").unionByName(table(spark, sf, "documents").select(F.col("source").alias("topic")))
+    return C.topic_summary(_classified(spark, sf), totals, names)
 
 
 def q_topic_summary(spark, sf):
@@ -538,9 +544,8 @@ def q_masked_samples(spark, sf):
 
 
 def q_topic_reports(spark, sf):
-    fields = word_fields(spark, sf).unionByName(all_table_fields(spark, sf))
-    cls = C.classify_fields(D.detect_fields(fields), field_totals(fields))
-    rows = R.topic_reports(C.topic_summary(cls, field_totals(fields)), cls)
+    cls = _classified(spark, sf)
+    rows = R.topic_reports(C.topic_summary(cls, all_totals(spark, sf)), cls)
     paths = F.coalesce(F.array_join("classifications.field_path", ","), F.lit(""))
     return rows.select("topic", "samples", "pii_fields_found", paths.alias("classified"))
 
@@ -582,8 +587,7 @@ def q_mask_values(spark, sf):
 
 
 def q_mask_classified(spark, sf):
-    fields = topic_fields(spark, sf, "orders")
-    cls = C.classify_fields(D.detect_fields(fields), field_totals(fields))
+    cls = C.classify_values(topic_fields(spark, sf, "orders"), all_totals(spark, sf, "orders"))
     return S.mask_classified(table(spark, sf, "orders"), cls, "orders", 4).select("o_orderkey", "o_orderdate", "o_orderstatus")
 
 
@@ -730,8 +734,7 @@ def q_subject_metadata(spark, sf):
 
 def q_tag_schema(spark, sf):
     """The orders schema with classifications in its metadata, shown next to the row count."""
-    fields = topic_fields(spark, sf, "orders")
-    cls = C.classify_fields(D.detect_fields(fields), field_totals(fields))
+    cls = C.classify_values(topic_fields(spark, sf, "orders"), all_totals(spark, sf, "orders"))
     tagged, count = G.tag_schema(table(spark, sf, "orders"), cls, "orders")
     notes = [(f.name, f.metadata.get("comment")) for f in tagged.schema.fields]
     docs = spark.createDataFrame(notes, "field string, comment string")
@@ -739,8 +742,7 @@ def q_tag_schema(spark, sf):
 
 
 def q_path_matches(spark, sf):
-    fields = topic_fields(spark, sf, "orders")
-    cls = C.classify_fields(D.detect_fields(fields), field_totals(fields))
+    cls = C.classify_values(topic_fields(spark, sf, "orders"), all_totals(spark, sf, "orders"))
     rows = G.path_matches(table(spark, sf, "orders").schema, cls, "orders")
     return rows.select("field_path", "detection_count")
 

@@ -426,6 +426,7 @@ ORACLE: dict[str, str] = {
     "message_types": f"""with {_kept(_PROFILE_FIELDS)} select p.topic, p.off as "offset", coalesce(ts, '') pii_types from ({_PROFILES}) p
         left join (select off, string_agg(distinct t, ',' order by t) ts from det group by off) d on p.off = d.off where not plain""",
     "classify_fields": f"with {_classes(_ALL, **_STD)} select {_SHOW} from cls",
+    "classify_findings": f"with {_classes(_ALL, **_STD)} select {_SHOW} from cls",
     "classify_all_types": f"with {_classes(_ALL, **_LOW)} select {_SHOW} from cls",
     "type_stats": f"""with {_kept(_WORDS, TYPE_NAMES)} select topic, path field_path, t pii_type, count(*) type_count,
         round(avg(conf), 6) type_confidence from det group by all""",

@@ -71,7 +71,7 @@ def analyze(
     totals = topic_totals(sampled)
     fields = field_rows(sampled, catalog, options.decoders)
     per_field, schema_level = active_providers(options.providers)
-    if [name for name, _ in per_field] == ["pattern"]:
+    if len(per_field) == 1 and per_field[0][0] == "pattern":
         det = detect_fields(fields, options.enabled)
     else:
         det = detect_with(fields, [name for name, _ in per_field], options.enabled)
@@ -82,5 +82,9 @@ def analyze(
             findings = provider.detect_in_schema(prompts)
             known = findings.join(uncovered, ["topic", "field_path"], "left_semi")
             det = det.unionByName(spread_schema_findings(known, fields, options.enabled, name))
-    cls = C.classify_fields(det, totals, options.thresholds)
+    only_patterns = len(per_field) == 1 and per_field[0][0] == "pattern" and not schema_level
+    if not only_patterns:
+        cls = C.classify_fields(det, totals, options.thresholds)
+    else:
+        cls = C.classify_values(fields, totals, options.thresholds, options.enabled)
     return RunResult(fields, det, cls, C.topic_summary(cls, totals, topics, catalog))

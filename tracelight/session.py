@@ -14,7 +14,7 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Wide generated methods beyond the JIT's 8 KB limit run interpreted, so fall back before that.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.codegen.hugeMethodLimit": "65535",
 }
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"

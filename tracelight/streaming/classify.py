@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.operators import classify as C
-from tracelight.operators.detect import detect_messages
+from tracelight.operators.detect import detect_messages, value_findings
+from tracelight.operators.fields import flatten, parse_json_lenient
 from tracelight.operators.tagging import tag_catalog
 
 
@@ -22,8 +23,8 @@ class RunningClassification:
         self.path, self.enabled = path.rstrip("/"), enabled
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        det = detect_messages(batch, self.enabled)
-        counts = C.value_counts(det).persist()
+        parsed = parse_json_lenient(batch).where(F.col("json").isNotNull())
+        counts = value_findings(flatten(parsed), self.enabled).persist()
         try:
             self._write(C.merge_types(counts), "types", batch_id)
             self._write(C.smallest_values(counts), "samples", batch_id)
