@@ -34,6 +34,8 @@ def value_counts(det: DataFrame) -> DataFrame:
         # Findings from outside: give one finding of each field and message the number 1.
         per_field = Window.partitionBy(*MESSAGE_KEY, "field_path").orderBy("pii_type", "value")
         det = det.withColumn("hit_no", F.row_number().over(per_field))
+    # Joins further up add these null filters to one branch only, which would split the shuffle.
+    det = det.where(F.col("topic").isNotNull() & F.col("field_path").isNotNull())
     return det.groupBy(*_FIELD, "value", "pii_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("confidence").alias("confidence_sum"),

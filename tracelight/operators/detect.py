@@ -72,7 +72,10 @@ def value_findings(fields: DataFrame, enabled: list[str] | None = None) -> DataF
     enabled = CORE_TYPES if enabled is None else enabled
     rows = fields.select("topic", "field_path", F.expr(patterns.strip("value")).alias("value"))
     values = (
-        rows.where(patterns.may_hold_pii("field_path", "value"))
+        # Joins of the callers add the null filters to one branch only; stated here, all branches
+        # read one shuffle.
+        rows.where("topic is not null and field_path is not null")
+        .where(patterns.may_hold_pii("field_path", "value"))
         .groupBy("topic", "field_path", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -99,8 +102,9 @@ def detect_messages(
     msgs: DataFrame, enabled: list[str] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """JSON messages to resolved findings: parse, flatten, detect. Works on streams as well."""
-    parsed = parse_json_lenient(msgs).where(F.col("json").isNotNull())
-    return detect_fields(flatten(parsed, keep), enabled, keep=keep)
+    # No filter on the parsed text: it would be pushed down and parse every message twice. A message
+    # without a record has no leaves.
+    return detect_fields(flatten(parse_json_lenient(msgs), keep), enabled, keep=keep)
 
 
 def message_types(msgs: DataFrame, enabled: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelight.functions import records
+from tracelight.functions.patterns import strip
 
 MESSAGE_KEY = ["topic", "partition", "offset"]
 
@@ -37,13 +38,16 @@ def parse_json_lenient(msgs: DataFrame, column: str = "value") -> DataFrame:
     return msgs.withColumn("json", F.expr(records.record_text(f"cast({column} as binary)")))
 
 
-def decode_records(msgs: DataFrame, catalog: DataFrame | None = None, decoders=None) -> DataFrame:
+def decode_records(
+    msgs: DataFrame, catalog: DataFrame | None = None, decoders=None, drop_empty: bool = True
+) -> DataFrame:
     """Messages that hold a record, with its JSON text in ``json`` and ``schema_type``.
 
     ``decoders`` maps a schema type (``AVRO``, ``JSON`` …) to ``Column -> Column`` from the framed
     payload to JSON text, for example a ``from_avro`` wrapper where spark-avro is deployed. A type
     without a decoder, an unframed value and a failing decoder all take the lenient JSON path.
-    Empty records are dropped.
+    Empty records are dropped; ``drop_empty=False`` keeps all messages, for callers that go on to
+    the leaves, where a message without a record has none and a filter would only parse twice.
     """
     decoders = {k.upper(): v for k, v in (decoders or {}).items()}
     framed = split_wire_format(msgs)
@@ -64,8 +68,12 @@ def decode_records(msgs: DataFrame, catalog: DataFrame | None = None, decoders=N
     as_record = F.when(decoded.rlike(r"^\s*\{"), decoded).otherwise(
         F.concat(F.lit('{"value":'), decoded, F.lit("}"))
     )
-    rows = typed.withColumn("json", F.coalesce(as_record, F.expr(records.record_text("value"))))
-    return rows.where(~F.col("json").rlike(r"^\s*(\{\s*\}|\[\s*\])\s*$")).drop("framed", "payload")
+    text = F.expr(records.record_text("value"))
+    rows = typed.withColumn("json", F.coalesce(as_record, text) if decoders else text)
+    rows = rows.drop("framed", "payload")
+    if not drop_empty:
+        return rows
+    return rows.where(~F.col("json").rlike(r"^\s*(\{\s*\}|\[\s*\])\s*$"))
 
 
 def _leaf_rows(msgs: DataFrame, entry_array: str, keep: Sequence[str]) -> DataFrame:
@@ -118,18 +126,21 @@ def extract_fields(
     )
 
 
-def _column_text(field: T.StructField) -> tuple[Column, str]:
-    kind = field.dataType
-    column = F.col(f"`{field.name}`")
+def _cell(field: T.StructField) -> str:
+    kind, name = field.dataType, field.name.replace("`", "``")
+    text, label = f"cast(`{name}` as string)", "string"
+    if isinstance(kind, T.StringType):
+        text = strip(f"`{name}`")
     if isinstance(kind, T.BooleanType):
-        return column.cast("string"), "boolean"
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return column.cast("string"), "integer"
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return column.cast("string"), "number"
-    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(column), "array" if isinstance(kind, T.ArrayType) else "object"
-    return column.cast("string"), "string"
+        label = "boolean"
+    elif isinstance(kind, T.IntegralType):
+        label = "integer"
+    elif isinstance(kind, (T.FractionalType,)):
+        label = "number"
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        text, label = f"to_json(`{name}`)", "array" if isinstance(kind, T.ArrayType) else "object"
+    path = field.name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"named_struct('field_path', '{path}', 'value_type', '{label}', 'value', {text})"
 
 
 def table_cells(
@@ -140,22 +151,12 @@ def table_cells(
     The integer ``key`` gives the message partition (``key`` modulo ``n_partitions``) and offset.
     """
     names = columns or df.columns
-    cells = []
-    for field in df.schema.fields:
-        if field.name in names:
-            text, kind = _column_text(field)
-            cells.append(
-                F.struct(
-                    F.lit(field.name).alias("field_path"),
-                    F.lit(kind).alias("value_type"),
-                    stringify(text).alias("value"),
-                )
-            )
+    cells = ", ".join(_cell(f) for f in df.schema.fields if f.name in names)
     return df.select(
         F.lit(topic).alias("topic"),
         F.pmod(F.col(key), F.lit(n_partitions)).cast("int").alias("partition"),
         F.col(key).cast("long").alias("offset"),
-        F.array(*cells).alias("cells"),
+        F.expr(f"array({cells})").alias("cells"),
     )
 
 

@@ -45,8 +45,15 @@ TABLE_KEYS = {
 }
 
 
+_tables: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(prepare_session(spark), f"{sf}/{name}.parquet")
+    """A provided table; its footer is read once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _tables:
+        _tables[key] = read_table(prepare_session(spark), f"{sf}/{name}.parquet")
+    return _tables[key]
 
 
 def topic_cells(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -46,7 +46,7 @@ class RunOptions:
 
 def field_rows(msgs: DataFrame, catalog: DataFrame | None = None, decoders: dict | None = None) -> DataFrame:
     """Field rows of all topics: schema mode where the catalog knows the topic, else schemaless."""
-    decoded = decode_records(msgs, catalog, decoders)
+    decoded = decode_records(msgs, catalog, decoders, drop_empty=False)
     if catalog is None:
         return extract_fields(decoded)
     flagged = flag_schemaless(decoded, catalog)

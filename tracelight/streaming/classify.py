@@ -23,8 +23,7 @@ class RunningClassification:
         self.path, self.enabled = path.rstrip("/"), enabled
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_json_lenient(batch).where(F.col("json").isNotNull())
-        counts = value_findings(flatten(parsed), self.enabled).persist()
+        counts = value_findings(flatten(parse_json_lenient(batch)), self.enabled).persist()
         try:
             self._write(C.merge_types(counts), "types", batch_id)
             self._write(C.smallest_values(counts), "samples", batch_id)
