@@ -1,0 +1,135 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracelight.operators import spans as S
+from tracelight.operators import tagging as G
+from tracelight.sources import catalog as K
+from tracelight.sources import reports as R
+
+
+def classes(spark, paths, topic="t", types=("EMAIL",), confidence=0.95):
+    rows = [(topic, p, list(types), ["PII", *(f"PII-{t}" for t in types)], confidence, 4, 10, 0.4, ["abcdefgh", "x" * 60]) for p in paths]
+    return spark.createDataFrame(
+        rows, "topic string, field_path string, pii_types array<string>, tags array<string>, confidence double,"
+              "detection_count long, total_samples long, detection_rate double, sample_values array<string>")
+
+
+def record(*fields):
+    return {"type": "record", "name": "r", "fields": list(fields)}
+
+
+def f(name, kind="string"):
+    return {"name": name, "type": kind}
+
+
+@pytest.mark.parametrize("schema,path,count", [
+    (record(f("email"), f("id", "int")), "email", 1),
+    (record(f("address", record(f("street"), f("city")))), "address.street", 1),
+    (record(f("contact", ["null", record(f("phone"))])), "contact.phone", 1),
+    (record(f("outer", record(f("inner", record(f("email")))))), "outer.inner.email", 1),
+    (record(f("contacts", {"type": "array", "items": record(f("email"))})), "contacts.email", 1),
+    (record(f("m", {"type": "map", "values": record(f("email"))})), "m.email", 1),
+    (record(f("deep", record(f("email")))), "email", 1),
+    (record(f("status"), f("count", "int")), "email", 0),
+])
+def test_avro_annotation(schema, path, count):
+    assert G.annotate_avro(schema, {path: "PII: X"}) == count
+    assert json.dumps(schema).count('"doc"') == count
+
+
+def test_annotation_text(spark):
+    assert G.doc_annotation(classes(spark, ["a"], types=("SSN", "EMAIL"), confidence=0.88)).first()["doc"] == "PII: EMAIL, SSN (confidence: 0.88)"
+
+
+def test_spark_schema(spark):
+    df = spark.createDataFrame([], "id int, contacts array<struct<email:string,n:int>>, m map<string,struct<email:string>>")
+    schema = df.schema
+    tagged, count = G.tag_schema(df, classes(spark, ["contacts[0].email"]), "t")
+    assert count == 1
+    inner = tagged.schema["contacts"].dataType.elementType
+    assert inner["email"].metadata == {"comment": "PII: EMAIL (confidence: 0.95)", "pii.tags": ["PII", "PII-EMAIL"]}
+    assert G.nested_paths(schema) == ["id", "contacts", "contacts.email", "contacts.n", "m", "m.email"]
+    assert G.path_matches(schema, classes(spark, ["contacts[3].email", "zip"]), "t").count() == 1
+
+
+def catalog(spark):
+    good = json.dumps(record(f("email"), f("id", "int")))
+    rows = [("t-value", 1, 5, "AVRO", "{}"), ("t-value", 2, 6, "AVRO", good), ("n-value", 1, 7, None, '{"type":"string"}'),
+            ("q-value", 1, 8, "AVRO", json.dumps(record(f("zip"))))]
+    return spark.createDataFrame([(*r, None) for r in rows],
+                                 "subject string, version int, schema_id int, schema_type string, schema string, registered_at timestamp")
+
+
+def test_tag_catalog(spark, tmp_path):
+    cls = classes(spark, ["email"]).union(classes(spark, ["email"], "n")).union(classes(spark, ["email"], "q")).union(classes(spark, ["email"], "gone"))
+    log, new = G.tag_catalog(catalog(spark), cls, backup_path=str(tmp_path / "b"))
+    rows = {r["subject"]: r for r in log.collect()}
+    t = rows["t-value"]
+    assert (t["success"], t["fields_tagged"], t["schema_version"], t["schema_id"], t["metadata_applied"]) == (True, 1, 3, 9, True)
+    assert rows["q-value"]["success"] and rows["q-value"]["schema_version"] is None
+    assert not rows["n-value"]["success"] and "no fields" in rows["n-value"]["errors"][0]
+    assert not rows["gone-value"]["success"] and rows["gone-value"]["errors"]
+    row = new.first()
+    assert json.loads(row["schema"])["fields"][0]["doc"] == "PII: EMAIL (confidence: 0.95)"
+    backup = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert [(b["subject"], b["version"]) for b in backup] == [("t-value", 2)] and "doc" not in backup[0]["schema"]
+    description, _ = G.tag_catalog(catalog(spark), cls, "description")
+    assert not description.where("subject = 't-value'").first()["metadata_applied"]
+    bad, nothing = G.tag_catalog(catalog(spark), cls, "other")
+    assert bad.where("success").count() == 0 and nothing.count() == 0
+    off, _ = G.tag_catalog(catalog(spark), cls, enabled=False)
+    assert off.count() == 0
+    again = catalog(spark).unionByName(new)
+    assert G.tag_catalog(again, classes(spark, ["email"]), only_changes=True)[1].count() == 0
+
+
+def test_catalog(spark, tmp_path):
+    path = str(tmp_path / "c")
+    catalog(spark).write.parquet(path)
+    stored = K.schema_catalog(spark, path)
+    assert K.latest_schema(stored, ["t-value"]).first()["version"] == 2
+    assert K.schema_by_id(stored, 7).first()["schema_type"] == "AVRO"
+    assert K.register_schema(stored, path, "t-value", "{}") == 9
+    fresh = K.schema_catalog(spark, path)
+    assert K.schema_as_of(fresh, "t-value", 3).count() == 1 and K.list_subjects(fresh).count() == 3
+    names = spark.createDataFrame([("t-value",), ("x",)], "subject string")
+    assert {r["subject"]: r["exists"] for r in K.schema_exists(names, fresh).collect()} == {"t-value": True, "x": False}
+
+
+def test_metadata_and_reports(spark, tmp_path):
+    cls = classes(spark, ["b", "a"])
+    row = G.subject_metadata(cls).first()
+    assert (row["subject"], row["pii_fields"], row["classification_confidence"], row["fields_tagged"]) == ("t-value", "a,b", "0.95", 2)
+    report = R.report_rows(cls).where("field_path = 'a'").first()
+    assert (report["confidence"], report["detection_rate"]) == ("0.95", "40.0%")
+    assert report["samples"] == "****efgh, " + "*" * 47 + "..."
+    assert R.masked_samples(cls, False).first()["sample_values"] == []
+    summary = spark.createDataFrame([("t", 10, 2, 2, False, False)], "topic string, samples long, fields_classified long, pii_fields_found long, schemaless boolean, empty boolean")
+    target = R.write_report(summary, cls, str(tmp_path), errors=spark.createDataFrame([("bad", "why")], "topic string, message string"))
+    assert spark.read.json(f"{target}/run").first()["total_pii_fields"] == 2
+    assert len(spark.read.json(f"{target}/topics").first()["classifications"]) == 2
+
+
+TEXT = "Mail a.b@c.com or d@e.org; card 4111 1111 1111 1111, ip 10.0.0.1, ssn 123-45-6789 é 234-56-7890 end"
+
+
+def test_spans_and_masks(spark):
+    df = spark.createDataFrame([(1, TEXT), (2, "nothing here"), (3, None), (4, "a@b.com")], "id long, text string")
+    rows = S.find_spans(df, "text", ["id"]).collect()
+    for r in rows:
+        text = TEXT if r["id"] == 1 else "a@b.com"
+        assert text[r["start"]:r["end"]] == r["value"]
+    found = {(r["id"], r["pii_type"], r["span_no"]): (r["value"], r["confidence"]) for r in rows}
+    assert found[(1, "EMAIL", 1)] == ("d@e.org", 0.7) and found[(4, "EMAIL", 0)][0] == "a@b.com"
+    assert found[(1, "CREDIT_CARD", 0)][1] == 0.95 and found[(1, "SSN", 0)][1] == 0.3 and found[(1, "SSN", 1)][1] == 0.7
+    out = {r["id"]: r["text"] for r in S.redact_text(df, "text").collect()}
+    assert out[1].startswith("Mail [EMAIL] or [EMAIL]; card [CREDIT_CARD], ip [IP_ADDRESS], ssn [SSN] é [SSN] end") and out[2] == "nothing here"
+    masked = {r["id"]: r["text"] for r in S.redact_text(df, "text", style="mask").collect()}
+    assert len(masked[1]) == len(TEXT) and "4111" not in masked[1] and masked[2] == "nothing here" and masked[4] == "*" * 7
+    kept = S.redact_text(df.where("id = 1"), "text", ["CREDIT_CARD"], "mask", 4).first()["text"]
+    assert "***************1111" in kept
+    assert [r["valid"] for r in S.luhn_cards(df, "text", ["id"]).collect()] == [True]
+    assert S.mask_classified(df, classes(spark, ["text", "zip"]), "t").where("id = 4").first()["text"] == "*" * 7
+    assert S.mask_columns(df, ["id"]).first()["id"] == "*"
