@@ -67,6 +67,8 @@ def test_prompts(field_rows, spark):
 def test_registry():
     V.register_provider("Mine", V.PatternProvider, aliases=["other"])
     assert isinstance(V.create_provider("MINE"), V.PatternProvider) and "other" in V.available_providers()
+    V.register_provider("aws", V.PatternProvider)
+    assert isinstance(V.create_provider("comprehend"), V.PatternProvider)
     with pytest.raises(ValueError):
         V.create_provider("unknown")
     with pytest.raises(ValueError):

@@ -451,6 +451,14 @@ class RowProvider:
         return list(self._types)
 
 
+# Second names, added when a provider is registered under the first.
+PROVIDER_ALIASES = {
+    "aws": ["comprehend"],
+    "gcp": ["dlp"],
+    "openai": ["chatgpt"],
+    "anthropic": ["claude"],
+}
+
 _registry: dict[str, Callable[[], object]] = {}
 _lock = threading.Lock()
 
@@ -461,7 +469,7 @@ def register_provider(name: str, factory: Callable[[], object], aliases: Iterabl
     if not (hasattr(probe, "detect") or hasattr(probe, "detect_in_schema")) or not hasattr(probe, "is_available"):
         raise ValueError("a provider needs is_available and detect or detect_in_schema")
     with _lock:
-        for key in (name, *aliases):
+        for key in (name, *aliases, *PROVIDER_ALIASES.get(name.lower(), [])):
             _registry[key.lower()] = factory
 
 
@@ -483,15 +491,6 @@ def available_providers() -> list[str]:
 
 register_provider("pattern", PatternProvider)
 
-# Other names of providers a user may register.
-PROVIDER_ALIASES = {
-    "aws": ["comprehend"],
-    "gcp": ["dlp"],
-    "openai": ["chatgpt"],
-    "anthropic": ["claude"],
-}
-
-
 def active_providers(names: list[str] | None = None, use_pattern: bool = True) -> tuple[list, list]:
     """The available providers of a list as (per-field, schema-level); unavailable ones are skipped."""
     names = list(names or ["pattern"])

@@ -9,6 +9,7 @@ from tracelight.operators import classify as C
 from tracelight.operators.detect import detect_messages, value_findings
 from tracelight.operators.fields import flatten, parse_json_lenient
 from tracelight.operators.tagging import tag_catalog
+from tracelight.session import shared_folder
 
 
 class RunningClassification:
@@ -79,8 +80,8 @@ class StreamTagger:
         catalog = spark.read.parquet(self.catalog_path)
         _, appended = tag_catalog(catalog, cls, only_changes=True)
         # A few rows per changed schema; fixed before the append, as it reads the same folder.
-        rows = appended.checkpoint() if spark.sparkContext.getCheckpointDir() else appended
-        rows.write.mode("append").parquet(self.catalog_path)
+        shared_folder(spark)
+        appended.checkpoint().write.mode("append").parquet(self.catalog_path)
 
 
 def _in_window(msgs: DataFrame, interval: str) -> DataFrame:
