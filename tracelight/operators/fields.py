@@ -171,7 +171,9 @@ def cell_rows(cells: DataFrame) -> DataFrame:
     Tables are put together as cells and opened afterwards: a generator stays above a union, so
     everything that follows is planned and compiled once and not once per table.
     """
-    opened = cells.select(*MESSAGE_KEY, "paths", "kinds", F.posexplode("cells").alias("pos", "value"))
+    # Outer, although no row is without cells: otherwise a size() > 0 filter is pushed into the scan
+    # and turns every column into text a second time.
+    opened = cells.select(*MESSAGE_KEY, "paths", "kinds", F.posexplode_outer("cells").alias("pos", "value"))
     return opened.select(
         *MESSAGE_KEY,
         F.col("paths")[F.col("pos")].alias("field_path"),
