@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,16 +27,16 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables, seen by the driver and all executors.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    a local folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, a laptop) it is the
+    folder ``_scratch`` of the warehouse, which all executors reach as well.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF, None
     )
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tracelight-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set(CHECKPOINT_CONF, configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
