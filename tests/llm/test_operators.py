@@ -197,10 +197,10 @@ def test_trigram_queries():
 
 
 def test_extra_rules_add_spans_only(frame):
-    text = "k ghp_" + "a1" * 20 + " xoxb-1234567890ab AKIA" + "B" * 16
+    text = "k ghp_" + "Gh" * 20 + " xoxb-1234567890ab AKIA" + "B" * 16
     row = scan_documents(frame([(1, text)])).first()
-    assert row.spans == "github:2:46,slack:47:65,access:66:86"
-    assert row.base_sha256 == brute.sha("access:66:86") and (row.n_assign, row.n_access, row.n_hex) == (0, 1, 0)
+    assert row.spans == "github:2:46,slack:47:64,access:65:85"
+    assert row.base_sha256 == brute.sha("access:65:85") and (row.n_assign, row.n_access, row.n_hex) == (0, 1, 0)
 
 
 def test_quality_separates_held_out_documents(spark):
@@ -217,10 +217,8 @@ def test_quality_separates_held_out_documents(spark):
 def test_languages_of_held_out_documents(spark):
     """Half of the documents declare no language; their text and host have to tell."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    blind = docs.withColumn("lang", docs.lang).selectExpr(
-        "doc_id", "text", "if(doc_id % 2 = 0, lang, null) as lang", "source", "lang as truth"
-    )
-    found = identify_documents(blind).join(docs.select("doc_id", "lang").withColumnRenamed("lang", "truth"), on=None, how="cross") if False else identify_documents(blind)
+    blind = docs.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, lang, null) as lang", "source")
+    found = identify_documents(blind)
     truth = {r.doc_id: r.lang for r in docs.collect()}
     rows = [r for r in found.collect() if r.owner % 2]
     assert np.mean([r.lang == truth[r.owner] for r in rows]) > 0.98
@@ -271,7 +269,7 @@ def test_rates_meet_targets_and_are_optimal(spark):
     assert np.abs(x - rows.rate).max() < 0.02
 
 
-def test_mixture_repeats_by_rate(spark, monkeypatch):
+def test_mixture_repeats_by_rate(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     mixed = sample_mix(docs, labels)

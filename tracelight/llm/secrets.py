@@ -184,10 +184,11 @@ def scan_documents(
         F.transform(column, lambda s: F.concat_ws(":", kinds[s["number"]], s["start"], s["end"])), ","
     )
     base = F.filter("spans", lambda s: s["number"] < len(BASE))
+    numbers = F.transform("spans", lambda s: s["number"])
     told = lists.select(
         "rid",
         *[
-            F.size(F.filter("spans", lambda s, n=n: s["number"] == n)).cast("long").alias(f"n_{kind}")
+            (F.size(numbers) - F.size(F.array_remove(numbers, n))).cast("long").alias(f"n_{kind}")
             for n, kind in enumerate(BASE)
         ],
         F.sha2(shown(base), 256).alias("base_sha256"),
