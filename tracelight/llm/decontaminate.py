@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm import arrays as A
-from tracelight.llm.suffix_dedup import same_bytes
+from tracelight.llm.repeats import same_bytes
 from tracelight.llm.tables import gathered
 
 WINDOW_WORDS = 10

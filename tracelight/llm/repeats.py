@@ -9,10 +9,12 @@ the k-gram of least hash in it; equal windows have equal anchors at the same pla
    from the document and sent to the task of that hash;
 4. that task compares whole groups (``judge``) and returns stretches of the documents.
 
-Nothing is lost in steps 1-3, they only leave out windows that have no equal. An anchor that a large
-share of all documents has would pile up in one task. ``heavy_anchors`` finds those; their windows
-meet by the hash of the whole window instead, each block of documents sends each of them once, and
-what the block already knows is settled there.
+Nothing is lost in steps 1-3, they only leave out windows that have no equal.
+
+A few anchors may belong to a large share of all documents. Each block of documents (about 2 MB)
+therefore works ahead: an anchor it has twice needs no other to be known as recurring, so only one of
+its rows goes to the task of that hash and the others are dealt over many; and equal pieces of a block
+travel once, with the list of rows that have them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from tracelight.llm import arrays as A
 from tracelight.llm.tables import gathered, slices
 
 
+#: Stands for a null owner.
+NOBODY = np.iinfo(np.int64).max
+
+
 class Scheme(NamedTuple):
     """What is compared: runs of ``width`` bytes or words, anchored at their least ``gram``-gram."""
 
@@ -68,11 +74,76 @@ def unpacked(at):
     return first, first + ((at >> 10) & 1023), first + (at & 1023)
 
 
+_KNOWN = 1 << 62  # in ``at``: the block has this anchor more than once
+_DEALT = 1021
 _ANCHORS = "h long, rid long, at long"
-_PIECES = "h long, rid long, owner long, at long, piece binary"
+_PIECES = "h long, shape long, who binary, piece binary"
 SPANS = "rid long, first long, last long"
 
 
+class Pieces(NamedTuple):
+    """Pieces of whole groups, and the rows that have them."""
+
+    h: np.ndarray
+    shape: np.ndarray  # anchor - first window << 10 | last window - first window
+    data: np.ndarray
+    ends: np.ndarray
+    member: np.ndarray  # piece of each row
+    rid: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray
+
+
+def bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values laid end to end, and where each begins and ends."""
+    data, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for c in (c.cast(pa.large_binary()) for c in column.chunks):
+        at = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        data.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]])
+        sizes.append(np.diff(at))
+    return np.concatenate(data), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def pieces_of(table: pa.Table) -> Pieces:
+    data, ends = bytes_of(table.column("piece"))
+    who, who_ends = bytes_of(table.column("who"))
+    rid, owner, first = who.view(np.int64).reshape(-1, 3).T
+    member = np.repeat(np.arange(len(table)), np.diff(who_ends) // 24)
+    return Pieces(table.column("h").to_numpy(), table.column("shape").to_numpy(), data, ends, member, rid, owner, first)
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from x and from y on agree, one by one."""
+    same = np.ones(len(x), bool)
+    step = max(1, 8_000_000 // max(1, int(size.max(initial=1))))
+    for i in range(0, len(x), step):
+        n = size[i : i + step]
+        at, left = gathered(x[i : i + step], x[i : i + step] + n)
+        _, right = gathered(y[i : i + step], y[i : i + step] + n)
+        wrong = np.append(0, np.cumsum(data[left] != data[right]))
+        same[i : i + step] = wrong[at[1:]] == wrong[at[:-1]]
+    return same
+
+
+def distinct_pieces(data, starts, ends, h, shape) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the number of its distinct text, and a piece that has it.
+
+    Pieces are the same if anchor, place of the anchor and bytes agree; the bytes are compared.
+    """
+    looks = A.PrefixHash(data).of(starts, ends) ^ A.mixed(shape.view(np.uint64))
+    order = np.lexsort((looks, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (looks[order][1:] != looks[order][:-1])
+    one = order[new]
+    copy_of = np.empty(len(h), np.int64)
+    copy_of[order] = np.cumsum(new) - 1
+    rep, size = one[copy_of], ends - starts
+    short = np.minimum(size, size[rep])
+    odd = np.flatnonzero((size != size[rep]) | (shape != shape[rep]) | ~same_bytes(data, starts, starts[rep], short))
+    copy_of[odd] = len(one) + np.arange(len(odd))  # equal hashes, other bytes: texts of their own
+    return copy_of, np.append(one, odd)
+
+
 def _anchor_rows(scheme: Scheme):
     def run(batches):
         for block in A.blocks(batches):
@@ -80,14 +151,14 @@ def _anchor_rows(scheme: Scheme):
             grams = A.PrefixHash(u.values).grams(scheme.gram)
             doc, anchor, first, last = A.anchors(grams, u.offsets, scheme.width, scheme.gram)
             start = u.offsets[doc]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(grams[anchor].view(np.int64)),
-                    block.column("rid").take(pa.array(doc)),
-                    pa.array(packed(first - start, anchor - start, last - start)),
-                ],
-                names=["h", "rid", "at"],
-            )
+            h, rid = grams[anchor], block.column("rid").to_numpy()[doc]
+            _, one, same, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            known = times[same] > 1
+            salt = np.where(known, 1 + rid % _DEALT, 0)
+            salt[one] = 0
+            at = packed(first - start, anchor - start, last - start) | np.where(known, _KNOWN, 0)
+            columns = [h.view(np.int64), rid, at, salt]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "rid", "at", "salt"])
 
     return run
 
@@ -117,28 +188,31 @@ def whole_groups(batches, column: str = "h", limit: int = 4_000_000):
 
 
 def _recurring(batches):
-    """Anchors that have an equal one; the rows come sorted by hash, so an equal one is a neighbour."""
+    """Anchors that have an equal one, known from their block or as a neighbour: the rows are sorted by hash."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column("h").to_numpy()
+        h, rid, at = (batch.column(c).to_numpy() for c in ("h", "rid", "at"))
+        keep = (at & _KNOWN) != 0
         same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        if held is not None:
-            row, kept = held
-            if row.column("h")[0].as_py() == h[0]:
-                keep[0] = True
-                if not kept:
-                    yield row
-        yield batch.filter(pa.array(keep))
-        held = batch.slice(batch.num_rows - 1), bool(keep[-1])
+        rows = [h, rid, at & ~_KNOWN]
+        if held is not None and held[0][0] == h[0]:
+            keep[0] = True
+            if not held[3]:
+                yield _batch([c for c in held[:3]], ["h", "rid", "at"])
+        yield _batch([c[keep] for c in rows], ["h", "rid", "at"])
+        held = (*[c[-1:] for c in rows], keep[-1])
+
+
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
 def _pieces(scheme: Scheme):
-    """The text around each requested anchor, all its windows."""
+    """The text around each requested anchor, all its windows; equal pieces of a block once."""
 
     def run(batches):
         for block in A.blocks(batches):
@@ -147,24 +221,23 @@ def _pieces(scheme: Scheme):
             if not counts.sum():
                 continue
             inner = asked.flatten()
-            h, at = inner.field("h"), inner.field("at").to_numpy()
+            h, at = inner.field("h").to_numpy(), inner.field("at").to_numpy()
             doc = np.repeat(np.arange(block.num_rows), counts)
             u = units(block.column("text"), scheme.words)
             first, _, last = unpacked(at)
             start = u.offsets[doc]
-            pieces = slices(u.data, u.starts[first + start], u.ends[last + start + scheme.width - 1])
-            owner = pa.array(doc)
-            for i in range(0, len(at), 20_000):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        h.slice(i, 20_000),
-                        block.column("rid").take(owner[i : i + 20_000]),
-                        block.column("owner").take(owner[i : i + 20_000]),
-                        pa.array(at[i : i + 20_000]),
-                        pieces.slice(i, 20_000),
-                    ],
-                    names=["h", "rid", "owner", "at", "piece"],
-                )
+            begin, end = u.starts[first + start], u.ends[last + start + scheme.width - 1]
+            copy_of, one = distinct_pieces(u.data, begin, end, h, at & 0xFFFFF)
+            owner = block.column("owner").fill_null(NOBODY).to_numpy()
+            order = np.argsort(copy_of, kind="stable")
+            who = np.stack([block.column("rid").to_numpy()[doc], owner[doc], first], axis=1)[order].reshape(-1)
+            ends = np.cumsum(np.bincount(copy_of, minlength=len(one))) * 24
+            lists = slices(who.astype(np.int64).view(np.uint8), np.append(0, ends[:-1]), ends)
+            texts = slices(u.data, begin[one], end[one])
+            for i in range(0, len(one), 20_000):
+                some = slice(i, i + 20_000)
+                columns = [h[one][some], (at & 0xFFFFF)[one][some], lists[some], texts[some]]
+                yield _batch(columns, ["h", "shape", "who", "piece"])
 
     return run
 
@@ -173,10 +246,11 @@ def repeated_spans(keyed: DataFrame, scheme: Scheme, judge: Callable) -> DataFra
     """Stretches [first, last) of units of the rows of ``keyed`` that ``judge`` returns.
 
     ``keyed`` is the result of ``row_keyed``. ``judge`` gets an iterator of Arrow batches
-    (h, rid, owner, at, piece) sorted by h, with whole groups of h in one task.
+    (h, shape, who, piece) sorted by h, with whole groups of h in one task; see ``pieces_of``.
     """
-    anchors = keyed.select("rid", "text").mapInArrow(_anchor_rows(scheme), _ANCHORS)
-    met = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_recurring, _ANCHORS)
+    anchors = keyed.select("rid", "text").mapInArrow(_anchor_rows(scheme), f"{_ANCHORS}, salt long")
+    dealt = anchors.repartition("h", "salt").drop("salt").sortWithinPartitions("h")
+    met = dealt.mapInArrow(_recurring, _ANCHORS)
     asked = met.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
     empty = F.array().cast("array<struct<h:bigint,at:bigint>>")
     pieces = (

@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame
 
 from tracelight.llm import arrays as A
 from tracelight.llm import repeats as R
-from tracelight.llm.suffix_dedup import bytes_of, distinct_pieces, spans_of
-from tracelight.llm.tables import row_keyed
+from tracelight.llm.suffix_dedup import spans_of
+from tracelight.llm.tables import gathered, row_keyed
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 4
-_NOBODY = np.iinfo(np.int64).max
 
 
 def confirmed(pieces: list[tuple[int, ...]], least: np.ndarray, most: np.ndarray, sure: np.ndarray, width: int):
@@ -62,18 +61,16 @@ def _judge(width: int):
 
 
 def _located(table: pa.Table, width: int):
-    h, at, rid = (table.column(c).to_numpy() for c in ("h", "at", "rid"))
-    owner = table.column("owner")
-    nobody = owner.is_null().to_numpy()
-    owner = owner.fill_null(0).to_numpy()
-    data, ends = bytes_of(table.column("piece"))
-    first, _, last = R.unpacked(at)
-    copy_of, one = distinct_pieces(data, ends, h, at)
-    least = np.full(len(one), _NOBODY)
-    most = np.full(len(one), -_NOBODY)
-    np.minimum.at(least, copy_of[~nobody], owner[~nobody])
-    np.maximum.at(most, copy_of[~nobody], owner[~nobody])
-    known = least != _NOBODY  # pieces of null ids neither remove nor are removed
+    p = R.pieces_of(table)
+    data, ends = p.data, p.ends
+    copy_of, one = R.distinct_pieces(data, ends[:-1], ends[1:], p.h, p.shape)
+    text = copy_of[p.member]
+    named = p.owner != R.NOBODY
+    least = np.full(len(one), R.NOBODY)
+    most = np.full(len(one), -R.NOBODY)
+    np.minimum.at(least, text[named], p.owner[named])
+    np.maximum.at(most, text[named], p.owner[named])
+    known = least != R.NOBODY  # pieces of null ids neither remove nor are removed
     numbers: dict[bytes, int] = {}
     raw = data.tobytes()
     pieces = [
@@ -92,16 +89,18 @@ def _located(table: pa.Table, width: int):
     if not phrases:
         return
     find = automaton(phrases)
-    smallest = np.full(base[-1], _NOBODY)  # smallest id of each window of each piece
+    smallest = np.full(base[-1], R.NOBODY)  # smallest id of each window of each piece
     for words, start in zip(pieces, base[:-1].tolist(), strict=True):
         if len(words) >= width:
             for end, small in find.iter(words):
                 smallest[start + end - width + 1] = small
     # a row loses the windows that a smaller id has: rows of one piece may differ, so judge row by row
-    row_at, row_window = R.gathered(base[copy_of], base[copy_of + 1])
-    row = np.repeat(np.arange(len(rid)), np.diff(row_at))
-    lost = (smallest[row_window] < owner[row]) & ~nobody[row]
-    yield from spans_of(lost, row_at, np.arange(len(rid)), rid, first, width)
+    found = np.bincount(piece[smallest != R.NOBODY], minlength=len(count)) > 0
+    some = np.flatnonzero(found[text])
+    row_at, row_window = gathered(base[text[some]], base[text[some] + 1])
+    row = np.repeat(some, np.diff(row_at))
+    lost = (smallest[row_window] < p.owner[row]) & named[row]
+    yield from spans_of(lost, row_at, np.arange(len(some)), p.rid[some], p.first[some], width)
 
 
 def _cut(with_text: bool):
@@ -113,7 +112,7 @@ def _cut(with_text: bool):
             total = np.append(0, np.cumsum(gone))
             left = np.flatnonzero(~gone)
             begin, end = (np.searchsorted(left, x) for x in (u.offsets[:-1], u.offsets[1:]))
-            at, picked = R.gathered(u.starts[left], u.ends[left] + 1)
+            at, picked = gathered(u.starts[left], u.ends[left] + 1)
             text = u.data[picked].tobytes()
             kept = [text[at[a] : max(at[a], at[b] - 1)] for a, b in zip(begin, end, strict=True)]
             columns = [

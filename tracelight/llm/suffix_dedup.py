@@ -82,61 +82,17 @@ class Suffixes:
 def _judge(width: int):
     def run(batches):
         for table in R.whole_groups(batches):
-            h, at, rid = (table.column(c).to_numpy() for c in ("h", "at", "rid"))
-            data, ends = bytes_of(table.column("piece"))
-            first, anchor, last = R.unpacked(at)
-            copy_of, one = distinct_pieces(data, ends, h, at)
-            dup, base = _repeated_windows(data, ends[one], h[one], (anchor - first)[one], (last - first)[one] + 1, width)
-            dup |= np.repeat(np.bincount(copy_of, minlength=len(one)) > 1, np.diff(base))
-            yield from spans_of(dup, base, copy_of, rid, first, width)
+            p = R.pieces_of(table)
+            copy_of, one = R.distinct_pieces(p.data, p.ends[:-1], p.ends[1:], p.h, p.shape)
+            before, count = p.shape[one] >> 10, (p.shape[one] & 1023) + 1
+            dup, base = _repeated_windows(p.data, p.ends[one], p.h[one], before, count, width)
+            text = copy_of[p.member]
+            dup |= np.repeat(np.bincount(text, minlength=len(one)) > 1, count)
+            yield from spans_of(dup, base, text, p.rid, p.first, width)
 
     return run
 
 
-def bytes_of(piece: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all pieces laid end to end, and where each begins and ends."""
-    chunks = [c.cast(pa.large_binary()) for c in piece.chunks]
-    data, sizes = [], []
-    for c in chunks:
-        at = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
-        data.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]])
-        sizes.append(np.diff(at))
-    return np.concatenate(data), np.append(0, np.cumsum(np.concatenate(sizes)))
-
-
-def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the ``size`` bytes from x and from y on agree, one by one."""
-    same = np.ones(len(x), bool)
-    step = max(1, 8_000_000 // max(1, int(size.max(initial=1))))
-    for i in range(0, len(x), step):
-        n = size[i : i + step]
-        at, left = gathered(x[i : i + step], x[i : i + step] + n)
-        _, right = gathered(y[i : i + step], y[i : i + step] + n)
-        wrong = np.append(0, np.cumsum(data[left] != data[right]))
-        same[i : i + step] = wrong[at[1:]] == wrong[at[:-1]]
-    return same
-
-
-def distinct_pieces(data, ends, h, at) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece the number of its distinct text, and a row that has it.
-
-    Pieces are the same if anchor, place of the anchor and bytes agree; the bytes are compared.
-    """
-    looks = A.PrefixHash(data).of(ends[:-1], ends[1:]) ^ A.mixed((at & 0xFFFFF).view(np.uint64))
-    order = np.lexsort((looks, h))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (looks[order][1:] != looks[order][:-1])
-    one = order[new]
-    copy_of = np.empty(len(h), np.int64)
-    copy_of[order] = np.cumsum(new) - 1
-    size = np.diff(ends)
-    rep = one[copy_of]
-    short = np.minimum(size, size[rep])
-    odd = np.flatnonzero((size != size[rep]) | (at & 0xFFFFF != at[rep] & 0xFFFFF) | ~same_bytes(data, ends[:-1], ends[rep], short))
-    copy_of[odd] = len(one) + np.arange(len(odd))  # equal hashes, other bytes: texts of their own
-    return copy_of, np.append(one, odd)
-
-
 def _repeated_windows(data, begin, h, before, count, width) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each distinct piece, whether another piece of its anchor has it too.
 
@@ -158,7 +114,7 @@ def _repeated_windows(data, begin, h, before, count, width) -> tuple[np.ndarray,
     x, y = at[order[:-1]], at[order[1:]]
     pair = np.flatnonzero(key[1:] == key[:-1])
     pair = pair[suffixes.extension(x[pair], y[pair]) == width]
-    pair = pair[same_bytes(data, x[pair], y[pair], np.full(len(pair), width))]
+    pair = pair[R.same_bytes(data, x[pair], y[pair], np.full(len(pair), width))]
     dup[shared[order[pair]]] = dup[shared[order[pair + 1]]] = True
     return dup, base
 
