@@ -163,7 +163,7 @@ def _anchor_rows(scheme: Scheme):
     return run
 
 
-def whole_groups(batches, column: str = "h", limit: int = 4_000_000):
+def whole_groups(batches, column: str = "h", limit: int = 2_500_000):
     """Batches sorted by ``column`` again, cut between groups, in tables of about ``limit`` bytes."""
     kept: list[pa.RecordBatch] = []
     size = 0
@@ -248,15 +248,14 @@ def repeated_spans(keyed: DataFrame, scheme: Scheme, judge: Callable) -> DataFra
     ``keyed`` is the result of ``row_keyed``. ``judge`` gets an iterator of Arrow batches
     (h, shape, who, piece) sorted by h, with whole groups of h in one task; see ``pieces_of``.
     """
-    anchors = keyed.select("rid", "text").mapInArrow(_anchor_rows(scheme), f"{_ANCHORS}, salt long")
+    anchors = keyed.select("rid", "owner", "text").mapInArrow(_anchor_rows(scheme), f"{_ANCHORS}, salt long")
     dealt = anchors.repartition("h", "salt").drop("salt").sortWithinPartitions("h")
     met = dealt.mapInArrow(_recurring, _ANCHORS)
     asked = met.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
     empty = F.array().cast("array<struct<h:bigint,at:bigint>>")
     pieces = (
-        keyed.select("rid", "owner", "text")
-        .join(asked, "rid", "left")
-        .withColumn("asked", F.coalesce("asked", empty))
+        keyed.join(asked, "rid", "left")
+        .select("rid", "owner", "text", F.coalesce("asked", empty).alias("asked"))
         .mapInArrow(_pieces(scheme), _PIECES)
     )
     return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(judge, SPANS)
@@ -266,9 +265,7 @@ def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """``keyed`` with the array ``spans`` of its stretches (empty if none)."""
     lists = spans.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     empty = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    return (
-        keyed.select("rid", "owner", "text").join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", empty))
-    )
+    return keyed.join(lists, "rid", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
 def span_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,11 +14,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracelight.llm import arrays as A
 from tracelight.llm import repeats as R
 from tracelight.llm.suffix_dedup import spans_of
-from tracelight.llm.tables import gathered, row_keyed
+from tracelight.llm.tables import gathered, keyed_and_unique
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 4
@@ -103,12 +104,14 @@ def _located(table: pa.Table, width: int):
     yield from spans_of(lost, row_at, np.arange(len(some)), p.rid[some], p.first[some], width)
 
 
-def _cut(with_text: bool):
+def _cut(window: int, with_text: bool):
     def run(batches):
         for block in A.blocks(batches):
             u = R.units(block.column("text"), words=True)
             row, first, last = R.span_arrays(block.column("spans"))
-            gone = A.covered(len(u.starts), u.offsets[row] + first, u.offsets[row] + last)
+            n_words = np.diff(u.offsets)
+            whole = block.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (n_words >= window)
+            gone = np.repeat(whole, n_words) | A.covered(len(u.starts), u.offsets[row] + first, u.offsets[row] + last)
             total = np.append(0, np.cumsum(gone))
             left = np.flatnonzero(~gone)
             begin, end = (np.searchsorted(left, x) for x in (u.offsets[:-1], u.offsets[1:]))
@@ -117,7 +120,7 @@ def _cut(with_text: bool):
             kept = [text[at[a] : max(at[a], at[b] - 1)] for a, b in zip(begin, end, strict=True)]
             columns = [
                 block.column("owner"),
-                pa.array(np.diff(u.offsets)),
+                pa.array(n_words),
                 pa.array(total[u.offsets[1:]] - total[u.offsets[:-1]]),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
             ]
@@ -143,8 +146,19 @@ def remove_passages(
     gives an empty result.
     """
     scheme = R.Scheme(words=True, width=window, gram=min(GRAM_WORDS, window))
-    keyed = row_keyed(docs, id_col, text_col)
-    spans = R.repeated_spans(keyed, scheme, _judge(window))
+    keyed, unique = keyed_and_unique(docs, id_col, text_col)
+    rows = _with_copies(keyed) if unique else keyed.withColumn("copy", F.lit(False))
+    own = rows.withColumn("text", F.when(~F.col("copy"), F.col("text")))
+    spans = R.repeated_spans(own, scheme, _judge(window))
     schema = "owner long, n_words long, n_removed long, kept_sha256 string"
-    cut = R.with_spans(keyed, spans).mapInArrow(_cut(with_text), schema + (", kept string" if with_text else ""))
+    cut = R.with_spans(rows, spans).mapInArrow(_cut(window, with_text), schema + (", kept string" if with_text else ""))
     return cut.withColumnRenamed("owner", id_col)
+
+
+def _with_copies(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``copy``: whether a smaller id has the very same text.
+
+    All windows of such a row recur, and none of them is needed to judge others.
+    """
+    first = keyed.groupBy(F.sha2("text", 256)).agg(F.min("rid").alias("rid")).select("rid", F.lit(False).alias("other"))
+    return keyed.join(first, "rid", "left").select("rid", "owner", "text", F.coalesce("other", F.lit(True)).alias("copy"))

@@ -18,7 +18,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """``rid`` (long, unique, never null), ``owner`` (the id), ``text`` and the columns to keep.
+    """``rid`` (long, unique, never null), ``owner`` (the id), ``text`` and the columns to keep."""
+    return keyed_and_unique(docs, id_col, text_col, keep)[0]
+
+
+def keyed_and_unique(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """``row_keyed``, and whether the ids are the key.
 
     Ids that are unique and not null are the key themselves. Otherwise the rows are numbered and
     written to the shared folder first, so that the numbers stay the same when a task is repeated.
@@ -26,8 +31,8 @@ def row_keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | Non
     rows = docs.select(F.col(id_col).cast("long").alias("owner"), F.col(text_col).cast("string").alias("text"), *(keep or []))
     repeated = rows.groupBy("owner").count().filter("count > 1 or owner is null").limit(1).count()
     if repeated:
-        return stored(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    return rows.withColumn("rid", F.coalesce("owner", F.lit(0)))
+        return stored(rows.withColumn("rid", F.monotonically_increasing_id()), "rows"), False
+    return rows.withColumn("rid", F.coalesce("owner", F.lit(0))), True
 
 
 def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
