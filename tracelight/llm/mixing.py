@@ -2,7 +2,7 @@
 
 A classifier fitted on the labelled documents gives each document a posterior over the domains. The
 expected tokens of a domain are the sum over documents of rate * tokens * posterior. Projected gradient
-descent finds rates, none negative, whose expected domain tokens come closest to the targets.
+descent finds rates, none negative and none above ``MAX_RATE``, whose expected domain tokens come closest to the targets.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 from tracelight.llm.tables import row_keyed, stored
 
-#: Domains by label: quality + 2 * toxic.
-DOMAINS = ("poor", "good", "poor_toxic", "good_toxic")
+#: Domains by label: toxic documents, else by quality 0 or 1.
+DOMAINS = ("poor", "good", "toxic")
 #: Share of the tokens that each domain shall have.
-TARGETS = (0.12, 0.85, 0.01, 0.02)
+TARGETS = (0.12, 0.85, 0.03)
+#: Greatest rate of a document.
+MAX_RATE = 8.0
 BUCKETS = 8192
 #: Labelled documents that the classifier is fitted on, at most; chosen by hash of the id.
 LABELLED_SAMPLE = 200_000
+#: Words that the distribution over all domains counts for in each domain's.
+SMOOTHING = 20_000.0
 #: Words that count in full as evidence; longer texts weigh as much as this many.
 EVIDENCE = 60.0
 MAX_STEPS = 48
@@ -38,13 +42,13 @@ def _words(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def fit_domains(rows: DataFrame, labels: DataFrame, n: int = len(DOMAINS)) -> DataFrame | None:
-    """For each word bucket the log probability in each domain (``l0``, ``l1``, ...), counts plus one.
+def fit_domains(rows: DataFrame, labels: DataFrame, n: int = len(DOMAINS)) -> tuple[DataFrame, list[float]] | None:
+    """For each word bucket the log probability in each domain (``l0``, ``l1``, ...), and the domains' log priors.
 
-    At most ``BUCKETS`` rows. None if no document is labelled. Labels with nulls are not used; of
+    A domain's counts are smoothed towards those of all domains. At most ``BUCKETS`` rows. None if no document is labelled. Labels with nulls are not used; of
     several labels of one document the greatest counts.
     """
-    domain = (F.col("quality") + 2 * F.col("toxic")).cast("int")
+    domain = F.when(F.col("toxic") == 1, n - 1).when(F.col("toxic") == 0, F.col("quality")).cast("int")
     known = (
         labels.select(F.col("doc_id").alias("owner"), domain.alias("domain"))
         .filter(f"owner is not null and domain between 0 and {n - 1}")
@@ -63,23 +67,31 @@ def fit_domains(rows: DataFrame, labels: DataFrame, n: int = len(DOMAINS)) -> Da
     total = counts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(n)]).first()
     if not sum(total):
         return None
-    logs = [F.log((F.coalesce(f"n{k}", F.lit(0)) + 1) / F.lit(float(total[k] + BUCKETS))).alias(f"l{k}") for k in range(n)]
+    seen = reduce(lambda a, b: a + b, [F.coalesce(f"n{k}", F.lit(0)) for k in range(n)])
+    overall = (seen + 1) / F.lit(float(sum(total) + BUCKETS))
+    logs = [
+        F.log((F.coalesce(f"n{k}", F.lit(0)) + SMOOTHING * overall) / F.lit(float(total[k] + SMOOTHING))).alias(f"l{k}")
+        for k in range(n)
+    ]
+    prior = [float(np.log((t + 1) / (sum(total) + n))) for t in total]
     every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    return every.join(counts, "bucket", "left").select("bucket", *logs)
+    return every.join(counts, "bucket", "left").select("bucket", *logs), prior
 
 
-def memberships(rows: DataFrame, model: DataFrame | None, n: int = len(DOMAINS)) -> DataFrame:
+def memberships(rows: DataFrame, model: tuple[DataFrame, list[float]] | None, n: int = len(DOMAINS)) -> DataFrame:
     """rid, tokens and posterior ``p0``, ``p1``, ... of each row of (rid, text); a uniform one without words or model."""
     words = _words(rows, "rid")
     if model is None:
         sums = words.groupBy("rid").agg(F.count("*").alias("tokens"), *[F.lit(0.0).alias(f"s{k}") for k in range(n)])
     else:
-        sums = words.join(F.broadcast(model), "bucket").groupBy("rid").agg(
+        sums = words.join(F.broadcast(model[0]), "bucket").groupBy("rid").agg(
             F.count("*").alias("tokens"), *[F.sum(f"l{k}").alias(f"s{k}") for k in range(n)]
         )
     weight = F.least(F.col("tokens"), F.lit(EVIDENCE)) / F.col("tokens")
-    top = F.greatest(*[F.col(f"s{k}") for k in range(n)])
-    share = [F.exp((F.col(f"s{k}") - top) * weight) for k in range(n)]
+    prior = model[1] if model else [0.0] * n
+    scores = [F.col(f"s{k}") * weight + prior[k] for k in range(n)]
+    top = F.greatest(*scores)
+    share = [F.exp(s - top) for s in scores]
     total = reduce(lambda a, b: a + b, share)
     soft = sums.select("rid", "tokens", *[F.round(s / total, 6).alias(f"p{k}") for k, s in enumerate(share)])
     return rows.select("rid").join(soft, "rid", "left").select(
@@ -92,7 +104,8 @@ def memberships(rows: DataFrame, model: DataFrame | None, n: int = len(DOMAINS))
 def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """``soft`` (rid, tokens, p0, ...) with the column ``rate``.
 
-    Descent starts at rate 1. Each domain's miss is weighted by its own curvature, which makes the
+    The targets are shares of a total that leaves the domain of largest target its own tokens, so
+    documents of that domain keep rates near 1. Descent starts at rate 1. Each domain's miss is weighted by its own curvature, which makes the
     problem well conditioned; only sums over all documents come to the driver. Documents without
     tokens keep rate 1.
     """
@@ -100,6 +113,7 @@ def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFram
     part = [F.col("tokens") * F.col(f"p{k}") for k in range(n)]
     sums = soft.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"),
+        *[F.sum(p).alias(f"t{k}") for k, p in enumerate(part)],
         *[F.coalesce(F.sum(part[i] * part[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(n) for j in range(n)],
     ).first()
     gram = np.array([[sums[f"g{i}_{j}"] for j in range(n)] for i in range(n)], float)
@@ -109,16 +123,19 @@ def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFram
         return rates
     weight = 1 / np.maximum(np.diag(gram), 1e-12)
     size = 1 / np.linalg.eigvalsh(np.sqrt(np.outer(weight, weight)) * gram)[-1]
-    goal = np.array(targets) / sum(targets) * whole
+    share = np.array(targets) / sum(targets)
+    # the total is what leaves the domain of largest target its own tokens
+    first = int(share.argmax())
+    goal = share * (sums[f"t{first}"] or whole) / share[first]
     for step in range(MAX_STEPS):
         if step and step % STEPS_PER_TABLE == 0:
             rates = stored(rates, "rates")
         now = rates.agg(*[F.sum(F.col("rate") * p) for p in part]).first()
         miss = np.array(now, float) - goal
-        if np.abs(miss).max() <= TOLERANCE * whole:
+        if np.abs(miss).max() <= TOLERANCE * goal.sum():
             break
         pull: Column = reduce(lambda a, b: a + b, [p * float(size * weight[k] * miss[k]) for k, p in enumerate(part)])
-        rates = rates.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - pull))
+        rates = rates.withColumn("rate", F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), F.col("rate") - pull)))
     return rates.withColumn("rate", F.round("rate", 6))
 
 
