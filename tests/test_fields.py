@@ -107,3 +107,12 @@ def test_text_helpers(spark):
     one = spark.createDataFrame([("_user@email#field_", "a[0].b[12][3]")], "n string, p string")
     row = one.select(sanitize_field_name(F.col("n")).alias("n"), normalize_path(F.col("p")).alias("p")).first()
     assert (row["n"], row["p"]) == ("user_email_field", "a.b")
+
+
+def test_deep_records_are_found_by_a_run(spark, messages):
+    """A value at level 13 is found with and without a schema."""
+    from tracelight.plans.run import RunOptions, analyze
+
+    value = b'{"a":' * 12 + b'{"email": "someone@example.com"}' + b"}" * 12
+    found = analyze(messages([value] * 3), options=RunOptions(strategy="all"))
+    assert [r["field_path"] for r in found.classifications.collect()] == ["a." * 12 + "email"]

@@ -84,8 +84,10 @@ def test_detect_with(field_rows):
 
     V.register_provider("shout", lambda: V.RowProvider("shout", shout, ["PASSWORD"]))
     fields = field_rows([("email", "a@b.com"), ("k", "SECRET"), ("x", "4111111111111111")])
-    got = {(r["offset"], r["pii_type"], r["provider"], r["hit_no"]) for r in V.detect_with(fields, ["shout", "gone"], TYPE_NAMES).collect()}
+    got = {(r["offset"], r["pii_type"], r["provider"], r["hit_no"]) for r in V.detect_with(fields, ["shout"], TYPE_NAMES).collect()}
     assert got == {(0, "EMAIL", "pattern", 1), (1, "PASSWORD", "shout", 1), (2, "CREDIT_CARD", "pattern", 1)}
+    with pytest.raises(ValueError, match="gone"):
+        V.detect_with(fields, ["shout", "gone"], TYPE_NAMES)
 
 
 def test_spread(field_rows, spark):

@@ -23,17 +23,17 @@ def log(spark, n, partitions=1):
 )
 def test_sampling_vectors(spark, n, pct, low, high, expected, nth):
     msgs = log(spark, n)
-    assert L.sample_percentage(msgs, pct, low, high).count() == expected
-    assert L.sample_every_nth(msgs, pct, high, low).count() == nth
+    assert L.sample_percentage(msgs, pct, low, high, read_cap=200).count() == expected
+    assert L.sample_every_nth(msgs, pct, high, low, read_cap=200).count() == nth
 
 
 def test_tail_and_count(spark):
     msgs = log(spark, 500, 2)
     tail = L.tail_per_partition(msgs, 30)
     assert tail.count() == 60 and tail.agg(F.min("offset")).first()[0] == 470
-    assert sorted(r["offset"] for r in L.sample_count(msgs, 3).where("partition = 0").collect()) == [300, 301, 302]
-    assert L.sample_count(msgs, 300).count() == 200
-    assert L.sample_count(msgs, 300, compat_caps=False).count() == 600
+    assert sorted(r["offset"] for r in L.sample_count(msgs, 3, compat_caps=True).where("partition = 0").collect()) == [300, 301, 302]
+    assert L.sample_count(msgs, 300, compat_caps=True).count() == 200
+    assert L.sample_count(msgs, 300).count() == 600
     assert L.sample_all(msgs).count() == 1000 and L.sample_all(msgs, compat_caps=True).count() == 200
 
 
@@ -101,3 +101,10 @@ def test_topics(spark):
     assert topics(M.resolve_topics(msgs, exclude_patterns=["orders", "y.x["])) == sorted(set(names) - {"orders", "xorders"})
     catalog = spark.createDataFrame([("orders",), ("nothing",)], "topic string")
     assert {r["topic"]: r["is_empty"] for r in M.empty_topics(catalog, msgs).collect()} == {"orders": False, "nothing": True}
+
+
+def test_no_caps_unless_asked_for(spark):
+    msgs = log(spark, 12_000)
+    assert L.sample_percentage(msgs, 5).count() == 600
+    assert L.sample_every_nth(msgs, 5).count() == 600
+    assert L.sample_count(msgs, 500).count() == 500

@@ -7,6 +7,7 @@ them (what to ask, how to read the answer, how to merge it) is done on the clust
 from __future__ import annotations
 
 import threading
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol, runtime_checkable
 
@@ -492,18 +493,27 @@ def available_providers() -> list[str]:
 register_provider("pattern", PatternProvider)
 
 def active_providers(names: list[str] | None = None, use_pattern: bool = True) -> tuple[list, list]:
-    """The available providers of a list as (per-field, schema-level); unavailable ones are skipped."""
+    """The available providers of a list as (per-field, schema-level).
+
+    An unknown name is an error. Providers that cannot be made or are unavailable are left out with a warning.
+    """
     names = list(names or ["pattern"])
     if use_pattern and "pattern" not in names:
         names.insert(0, "pattern")
+    known = available_providers()
+    if unknown := [n for n in names if n.lower() not in known]:
+        raise ValueError(f"unknown providers: {unknown}; known providers: {known}")
     ready = []
     for name in names:
         try:
             provider = create_provider(name)
             if provider.is_available():
                 ready.append((name, provider))
-        except Exception:
-            continue
+                continue
+            reason = "it is not available"
+        except Exception as error:
+            reason = str(error)
+        warnings.warn(f"provider {name} is left out: {reason}", stacklevel=2)
     if not ready:
         raise ValueError("no provider is available")
     schema_level = [(n, p) for n, p in ready if callable(getattr(p, "detect_in_schema", None))]

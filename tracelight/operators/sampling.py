@@ -53,28 +53,38 @@ def tail_per_partition(msgs: DataFrame, n: int) -> DataFrame:
     return _first(msgs, n, latest=True)
 
 
+def _tail(
+    msgs: DataFrame, percentage: float, most: int | None, least: int, read_cap: int | None
+) -> DataFrame:
+    if most is not None:
+        return tail_per_partition(msgs, tail_size(percentage, most, least, read_cap))
+    return msgs if read_cap is None else tail_per_partition(msgs, read_cap)
+
+
 def sample_percentage(
     msgs: DataFrame,
     percentage: float = 5,
     min_per_partition: int = 10,
-    max_per_partition: int = KEEP_CAP,
-    read_cap: int | None = READ_CAP,
+    max_per_partition: int | None = None,
+    read_cap: int | None = None,
 ) -> DataFrame:
-    """An even stride through the tail of each partition, for about ``percentage`` of it."""
+    """An even stride through each partition, for about ``percentage`` of it.
+
+    With ``max_per_partition`` the stride goes through the tail that is enough for that many, and
+    with ``read_cap`` through at most so many of the latest messages.
+    """
     share = fraction(percentage)
-    tail = tail_per_partition(msgs, tail_size(percentage, max_per_partition, min_per_partition, read_cap))
+    tail = _tail(msgs, percentage, max_per_partition, min_per_partition, read_cap)
     size = F.count(F.lit(1)).over(Window.partitionBy(*_PARTITION))
-    target = F.greatest(
-        F.lit(min_per_partition),
-        F.least(F.floor(F.col("_size") * share).cast("int"), F.lit(max_per_partition)),
-    )
+    most = F.col("_size") if max_per_partition is None else F.lit(max_per_partition)
+    target = F.greatest(F.lit(min_per_partition), F.least(F.floor(F.col("_size") * share).cast("long"), most))
     return (
         tail.withColumn("_size", size)
         .withColumn("_place", F.expr(f"{_PLACE} - 1"))
         .withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_size") / target).cast("int")))
         .where(
             (F.col("_place") % F.col("_step") == 0)
-            & (F.col("_place") / F.col("_step") < max_per_partition)
+            & (F.col("_place") / F.col("_step") < most)
         )
         .drop("_size", "_place", "_step")
     )
@@ -83,31 +93,33 @@ def sample_percentage(
 def sample_every_nth(
     msgs: DataFrame,
     percentage: float = 5,
-    max_per_partition: int = KEEP_CAP,
+    max_per_partition: int | None = None,
     min_per_partition: int = 10,
-    read_cap: int | None = READ_CAP,
+    read_cap: int | None = None,
     fill_min: bool = False,
 ) -> DataFrame:
-    """The Nth, 2Nth … message of the tail of each partition, N being ``1 / percentage``.
+    """The Nth, 2Nth … message of each partition (of its tail, see ``sample_percentage``), N being ``1 / percentage``.
 
     A partition shorter than N yields nothing, unless ``fill_min`` adds its first messages up to
     the minimum.
     """
     interval = max(1, int(1 / fraction(percentage)))
-    tail = tail_per_partition(msgs, tail_size(percentage, max_per_partition, min_per_partition, read_cap))
+    tail = _tail(msgs, percentage, max_per_partition, min_per_partition, read_cap)
     picked = (
         tail.withColumn("_place", F.expr(_PLACE))
         .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*_PARTITION)))
     )
-    keep = (F.col("_place") % interval == 0) & (F.col("_place") / interval <= max_per_partition)
+    keep = F.col("_place") % interval == 0
+    if max_per_partition is not None:
+        keep &= F.col("_place") / interval <= max_per_partition
     if fill_min:
         short = F.floor(F.col("_size") / interval) < min_per_partition
         keep = F.when(short, F.col("_place") <= min_per_partition).otherwise(keep)
     return picked.where(keep).drop("_place", "_size")
 
 
-def sample_count(msgs: DataFrame, count: int, compat_caps: bool = True) -> DataFrame:
-    """The first ``count`` messages of the tail of each partition."""
+def sample_count(msgs: DataFrame, count: int, compat_caps: bool = False) -> DataFrame:
+    """The first ``count`` messages of each partition; ``compat_caps``: of its tail, at most 100."""
     if not compat_caps:
         return _first(msgs, count)
     return _first(tail_per_partition(msgs, tail_size()), min(count, KEEP_CAP))
@@ -115,7 +127,7 @@ def sample_count(msgs: DataFrame, count: int, compat_caps: bool = True) -> DataF
 
 def sample_all(msgs: DataFrame, compat_caps: bool = False) -> DataFrame:
     """Every message; ``compat_caps`` keeps the first 100 of the latest 200 per partition."""
-    return sample_count(msgs, KEEP_CAP) if compat_caps else msgs
+    return sample_count(msgs, KEEP_CAP, compat_caps=True) if compat_caps else msgs
 
 
 def parse_time_window(text: str) -> timedelta:

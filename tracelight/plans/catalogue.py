@@ -338,7 +338,7 @@ def q_sample_tail(spark, sf):
 
 
 def q_sample_percentage(spark, sf):
-    return _picked(L.sample_percentage(event_messages(spark, sf), 5, 10, 1000))
+    return _picked(L.sample_percentage(event_messages(spark, sf), 5, 10, 1000, read_cap=L.READ_CAP))
 
 
 def q_sample_percentage_uncapped(spark, sf):
@@ -346,11 +346,11 @@ def q_sample_percentage_uncapped(spark, sf):
 
 
 def q_sample_nth(spark, sf):
-    return _picked(L.sample_every_nth(event_messages(spark, sf), 5, 1000))
+    return _picked(L.sample_every_nth(event_messages(spark, sf), 5, 1000, read_cap=L.READ_CAP))
 
 
 def q_sample_count(spark, sf):
-    return _picked(L.sample_count(event_messages(spark, sf), 30))
+    return _picked(L.sample_count(event_messages(spark, sf), 30, compat_caps=True))
 
 
 def q_sample_all_capped(spark, sf):

@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", spread: bool = True) -> DataFrame:
-    """A stored table; ``spread`` makes use of all cores where the files are few.
-
-    Pattern search is bound by the processor. A table in fewer scan partitions than cores (one
-    small file, one row group) is dealt out to all of them; a large table already has more and is
-    left as it is.
-    """
-    df = spark.read.format(fmt).load(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A stored table in the partitions of its scan; ``spark.sql.files.maxPartitionBytes`` sets their size."""
+    return spark.read.format(fmt).load(path)
