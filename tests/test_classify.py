@@ -140,3 +140,15 @@ def test_analyze_with_schema_provider(messages, spark):
     rows = {r["field_path"]: r["pii_types"] for r in
             analyze(messages(docs), options=RunOptions(providers=["test-model"])).classifications.collect()}
     assert rows == {"email": ["EMAIL"], "code": ["PASSPORT"]}
+
+
+def test_array_items_count_as_one_field(messages):
+    from tracelight.plans.run import RunOptions, analyze
+
+    values = [b'{"c": [{"e": "a@b.com"}, {"e": "a@b.com"}, {"e": "d@e.org"}]}', b'{"c": [{"e": "x@y.net"}]}', b'{"c": []}', b"{}"]
+    plain = analyze(messages(values)).classifications.collect()
+    assert {(r["field_path"], r["detection_count"]) for r in plain} == {("c[0].e", 2)}
+    merged = analyze(messages(values), options=RunOptions(normalize_paths=True))
+    row = merged.classifications.collect()
+    assert [(r["field_path"], r["detection_count"], r["detection_rate"]) for r in row] == [("c.e", 2, 0.5)]
+    assert row[0]["sample_values"] == ["a@b.com", "d@e.org", "x@y.net"] and merged.errors.count() == 0

@@ -61,7 +61,8 @@ def test_prompts(field_rows, spark):
     fields = field_rows([("a", "1"), ("b", "x" * 250), ("a", "2"), ("a", "3"), ("a", "4"), ("c", None)])
     uncovered = fields.select("topic", "field_path").distinct()
     assert V.build_schema_prompts(fields, uncovered).first()["fields_text"] == "- a: [1, 2, 3]\n- b\n- c"
-    assert V.eligible_values(field_rows([("a", "xx"), ("a", "xxx"), ("a", "x" * 1001)])).count() == 1
+    values = field_rows([("a", "xx"), ("a", "xxx"), ("a", "x" * 1001)])
+    assert V.eligible_values(values).count() == 2 and V.eligible_values(values, most=1000).count() == 1
 
 
 def test_registry():
@@ -98,3 +99,18 @@ def test_spread(field_rows, spark):
     assert sorted((r["offset"], r["pii_type"], r["hit_no"]) for r in got.collect()) == [(0, "NAME", 1), (0, "SSN", 2), (1, "NAME", 1), (1, "SSN", 2)]
     assert V.uncovered_fields(fields, got).first()["field_path"] == "b"
     assert D.filter_enabled(got, []).count() == 0
+
+
+def test_failing_detector_gives_error_rows(field_rows):
+    def picky(path, value):
+        if value == "boom":
+            raise KeyError("no")
+        return [("PASSWORD", 0.9, value)] if value == "secret" else []
+
+    V.register_provider("picky", lambda: V.RowProvider("picky", picky, ["PASSWORD"]))
+    fields = field_rows([("a", "secret"), ("b", "boom"), ("c", "a@b.com"), ("d", "boom")])
+    got = {(r["offset"], r["pii_type"]) for r in V.detect_with(fields, ["picky"], TYPE_NAMES).collect()}
+    assert got == {(0, "PASSWORD"), (2, "EMAIL")}
+    errors = [tuple(r) for r in V.provider_errors(fields, ["picky"]).collect()]
+    assert errors == [("t", "picky", "KeyError: 'no'", 2)]
+    assert V.provider_errors(fields).count() == 0

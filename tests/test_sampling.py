@@ -108,3 +108,12 @@ def test_no_caps_unless_asked_for(spark):
     assert L.sample_percentage(msgs, 5).count() == 600
     assert L.sample_every_nth(msgs, 5).count() == 600
     assert L.sample_count(msgs, 500).count() == 500
+
+
+def test_sampling_by_name(messages):
+    rows = messages([b"{}"] * 700)
+    assert L.sample(rows, "count", count=500).count() == 500
+    assert L.sample(rows, "every_nth", percentage=10).count() == 70
+    assert L.sample(rows, "bernoulli", percentage=100, max_per_partition=5).count() == 5
+    with pytest.raises(ValueError):
+        L.sample(rows, "none of these")

@@ -96,7 +96,7 @@ def _all_of(path: str, alternatives: list[list[str]]) -> str:
     return " or ".join(f"({e})" for e in every)
 
 
-# A cheap condition every match of the type meets; saves the regex on most values.
+# A cheap condition every match of the type meets; saves the regex on most values.
 _SHAPES = {
     "SSN": "length({v}) in (9, 11)",
     "EMAIL": "contains({v}, '@')",

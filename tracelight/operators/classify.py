@@ -276,12 +276,3 @@ def classification_metrics(run_log: DataFrame) -> DataFrame:
         F.sum("total_pii_fields").alias("pii_fields_found"),
         F.max("finished_at").alias("last_run"),
     )
-
-
-__all__ = [
-    "Thresholds", "classification_metrics", "classify_counts", "classify_fields", "classify_values",
-    "detection_counts",
-    "detection_summary", "high_risk", "merge_types", "risk_rollup", "run_summary", "sample_values",
-    "smallest_values", "tags_of", "tags_summary", "topic_summary", "triage_topics", "type_stats",
-    "value_counts",
-]

@@ -66,7 +66,7 @@ def value_findings(fields: DataFrame, enabled: list[str] | None = None) -> DataF
     """Resolved findings per distinct value of a field, with how often it occurs.
 
     A finding depends on the field path and the value only. Values that may hold one are counted
-    first, equal ones already within their task, and each distinct value is searched once. The
+    first, equal ones already within their task, and the patterns run on distinct values only. The
     result has the shape of ``classify.value_counts`` without a second shuffle.
     """
     enabled = CORE_TYPES if enabled is None else enabled

@@ -330,9 +330,10 @@ def parse_field_response(responses: DataFrame, provider: str = "model") -> DataF
     )
 
 
-def eligible_values(fields: DataFrame) -> DataFrame:
-    """Values worth a per-value request: 3 to 1000 characters."""
-    return fields.where(F.length("value").between(3, 1000))
+def eligible_values(fields: DataFrame, least: int = 3, most: int | None = None) -> DataFrame:
+    """Values worth a per-value request: ``least`` characters or more, and ``most`` at most if given."""
+    kept = fields.where(F.length("value") >= least)
+    return kept if most is None else kept.where(F.length("value") <= most)
 
 
 def verification_gate(analyses: DataFrame, verdicts: DataFrame, samples: DataFrame | None = None) -> DataFrame:
@@ -418,31 +419,44 @@ class PatternProvider:
 
 class RowProvider:
     """A Python detector ``(field_path, value) -> [(type, confidence, matched)]`` run in Arrow
-    batches; for detectors that exist only as a Python library."""
+    batches; for detectors that exist only as a Python library.
+
+    A value on which the detector raises becomes an error row and the other values keep their
+    findings: ``detect`` gives the findings, ``errors`` the error rows.
+    """
 
     def __init__(self, name: str, detect_value: Callable[[str, str], Iterable[tuple]], types: list[str]):
         self.name, self._detect_value, self._types = name, detect_value, types
 
     def detect(self, fields: DataFrame) -> DataFrame:
+        return self._run(fields).where("error is null").drop("error")
+
+    def errors(self, fields: DataFrame) -> DataFrame:
+        """(topic, field_path, error) of each value on which the detector raised."""
+        return self._run(fields).where("error is not null").select("topic", "field_path", "error")
+
+    def _run(self, fields: DataFrame) -> DataFrame:
         name, detect_value = self.name, self._detect_value
 
+        def findings(t, p, o, path, value):
+            try:
+                return [(t, p, o, path, kind, float(score), value, m, name, None) for kind, score, m in detect_value(path, value)]
+            except Exception as error:  # noqa: BLE001 - any failure of a foreign detector becomes a row
+                return [(t, p, o, path, None, None, value, None, name, f"{type(error).__name__}: {error}")]
+
         def run(batches: Iterator) -> Iterator:
             import pandas as pd
 
-            columns = [*MESSAGE_KEY, "field_path", "pii_type", "confidence", "value", "pattern_matched", "provider"]
+            columns = [*MESSAGE_KEY, "field_path", "pii_type", "confidence", "value", "pattern_matched", "provider", "error"]
             for batch in batches:
-                out = [
-                    (t, p, o, path, kind, float(score), value, matched, name)
-                    for t, p, o, path, value in batch.itertuples(index=False, name=None)
-                    for kind, score, matched in detect_value(path, value)
-                ]
+                out = [f for row in batch.itertuples(index=False, name=None) for f in findings(*row)]
                 yield pd.DataFrame(out, columns=columns)
 
         rows = fields.where(F.col("value").isNotNull()).select(*MESSAGE_KEY, "field_path", "value")
         return rows.mapInPandas(
             run,
             "topic string, partition int, offset long, field_path string, pii_type string, confidence double,"
-            "value string, pattern_matched string, provider string",
+            "value string, pattern_matched string, provider string, error string",
         )
 
     def is_available(self) -> bool:
@@ -533,7 +547,8 @@ def detect_with(
     for number, (name, provider) in enumerate(per_field):
         try:
             found = provider.detect(fields)
-        except Exception:
+        except Exception as error:
+            warnings.warn(f"provider {name} is left out: {error}", stacklevel=2)
             continue
         if "provider" not in found.columns:
             found = found.withColumn("provider", F.lit(name))
@@ -548,3 +563,18 @@ def detect_with(
     if "field_value" in union.columns:
         union = union.withColumn("field_value", F.coalesce("field_value", "value"))
     return resolve_findings(union, enabled)
+
+
+def provider_errors(fields: DataFrame, providers: list[str] | None = None) -> DataFrame:
+    """Error rows of a run: topic, provider, error and on how many values (``failures``).
+
+    Only providers that report errors (``RowProvider.errors``) have any. The detectors run again for
+    this table, so it costs nothing unless it is read.
+    """
+    schema = "topic string, provider string, error string, failures bigint"
+    rows = fields.sparkSession.createDataFrame([], schema)
+    for name, provider in active_providers(providers)[0]:
+        if callable(getattr(provider, "errors", None)):
+            failed = provider.errors(fields).groupBy("topic", F.lit(name).alias("provider"), "error")
+            rows = rows.unionByName(failed.agg(F.count(F.lit(1)).alias("failures")))
+    return rows

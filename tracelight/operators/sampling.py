@@ -208,11 +208,15 @@ def target_sample_count(
 
 
 def sample(msgs: DataFrame, strategy: str = "percentage", **options) -> DataFrame:
-    """Sampling by strategy name; an unknown name means ``percentage``."""
-    if strategy == "all":
-        return sample_all(msgs, **options)
-    if strategy == "count":
-        return sample_count(msgs, **options)
-    if strategy == "time_based":
-        return sample_time_window(msgs, **options)
-    return sample_percentage(msgs, **options)
+    """Sampling by strategy name; an unknown name is an error."""
+    strategies = {
+        "all": sample_all,
+        "count": sample_count,
+        "time_based": sample_time_window,
+        "percentage": sample_percentage,
+        "every_nth": sample_every_nth,
+        "bernoulli": bernoulli_fill,
+    }
+    if strategy not in strategies:
+        raise ValueError(f"unknown sampling strategy: {strategy}")
+    return strategies[strategy](msgs, **options)

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.functions.patterns import luhn_ok, unlikely_ssn
+from tracelight.functions.patterns import VALUE_PATTERNS, luhn_ok, unlikely_ssn
 from tracelight.functions.text import mask
 
-# The value patterns as they are searched inside running text, in redaction order.
-SPAN_PATTERNS = {
-    "EMAIL": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    "CREDIT_CARD": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
-    "IBAN": r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b",
-    "AWS_ACCESS_KEY": r"\bAKIA[0-9A-Z]{16}\b",
-    "AWS_SECRET_KEY": r"\b[A-Za-z0-9/+=]{40}\b",
-    "MAC_ADDRESS": r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b",
-    "IP_ADDRESS": r"\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
-    "SSN": r"\b\d{3}-\d{2}-\d{4}\b",
-    "DATE_OF_BIRTH": (
-        r"\b(?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])[-/](?:19|20)\d{2}\b"
-        r"|\b(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])\b"
-    ),
-    "PHONE_NUMBER": r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|\+?\d{10,15}",
-}
+# Redaction order: what is more specific comes first.
+SPAN_TYPES = [
+    "EMAIL", "CREDIT_CARD", "NATIONAL_INSURANCE_NUMBER", "IBAN", "AWS_ACCESS_KEY", "AWS_SECRET_KEY", "MAC_ADDRESS",
+    "IP_ADDRESS", "ITIN", "SSN", "DATE_OF_BIRTH", "BANK_ACCOUNT", "PHONE_NUMBER", "SWIFT_CODE", "NAME",
+]
+
+
+def _inside_text(pii_type: str) -> str:
+    """A value pattern as it is searched inside running text: its anchors become word boundaries.
+
+    An address may stand between any characters, so EMAIL just loses its anchors.
+    """
+    edge = "" if pii_type == "EMAIL" else r"\b"
+    return VALUE_PATTERNS[pii_type].replace("^", edge).replace("$", edge)
+
+
+SPAN_PATTERNS = {t: _inside_text(t) for t in SPAN_TYPES}
 
 # A text without any of these shapes has no span of the type; one contains() or short regex each.
 _NEEDS = {
@@ -34,7 +35,12 @@ _NEEDS = {
     "AWS_SECRET_KEY": "[A-Za-z0-9/+=]{40}",
     "MAC_ADDRESS": "[:-]",
     "IP_ADDRESS": r"\d\.\d|[0-9a-fA-F]:",
-    "SSN": r"\d{3}-\d{2}-\d{4}",
+    "ITIN": r"9\d{2}[78]\d{5}",
+    "SSN": r"\d{3}-\d{2}-\d{4}|\d{9}",
+    "NATIONAL_INSURANCE_NUMBER": r"[A-Z]{2}\d{6}",
+    "BANK_ACCOUNT": r"\d{8}",
+    "SWIFT_CODE": "[A-Z]{6}[A-Z0-9]{2}",
+    "NAME": r"[A-Z][a-z]+\s+[A-Z][a-z]",
     "DATE_OF_BIRTH": r"(?:19|20)\d{2}",
     "PHONE_NUMBER": r"\d{4}",
 }
@@ -68,10 +74,10 @@ def find_spans(df: DataFrame, text_col: str, keys: list[str], types: list[str] |
         F.struct(F.lit(t).alias("pii_type"), F.lit(SPAN_PATTERNS[t]).alias("pattern"), _matches(text, t).alias("m"))
         for t in types or SPAN_PATTERNS
     ]
-    per_type = (
-        df.select(*keys, text.alias("_text"), F.inline_outer(F.array(*found)))
-        .where(F.size("m") > 0)
-    )
+    # Types without a match go before the text is copied for each type. inline_outer, as Catalyst
+    # adds a size() > 0 filter with a second copy of the array to a generator that is not outer.
+    some = F.filter(F.array(*found), lambda f: F.size(f["m"]) > 0)
+    per_type = df.select(*keys, text.alias("_text"), F.inline_outer(some)).where(F.col("m").isNotNull())
     # Split per type with a literal pattern, so Spark compiles it once.
     pieces = F.lit(None).cast("array<string>")
     for t in types or SPAN_PATTERNS:

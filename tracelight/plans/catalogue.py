@@ -32,7 +32,7 @@ WORD_PATHS = [
     "home_address", "full_name", "aws_secret_key", "birth_date", "phone", "license_plate",
 ]
 
-# Tables read as topics, with the expression that identifies a row.
+# Tables read as topics, with the expression that identifies a row. A second number takes 31 bits.
 TABLE_KEYS = {
     "orders": "o_orderkey",
     "customer": "c_custkey",
@@ -41,7 +41,7 @@ TABLE_KEYS = {
     "nation": "cast(n_nationkey as bigint)",
     "region": "cast(r_regionkey as bigint)",
     "events": "event_id",
-    "lineitem": "l_orderkey * 10 + l_linenumber",
+    "lineitem": "l_orderkey * 2147483648 + l_linenumber",
 }
 
 
@@ -82,7 +82,7 @@ def word_fields(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(
         F.lit("words").alias("topic"),
         F.pmod("doc_id", F.lit(3)).cast("int").alias("partition"),
-        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("offset"),
+        (F.col("doc_id") * (1 << 31) + F.col("pos")).alias("offset"),
         "field_path",
         F.lit("string").alias("value_type"),
         "value",
@@ -338,18 +338,30 @@ def q_sample_tail(spark, sf):
 
 
 def q_sample_percentage(spark, sf):
-    return _picked(L.sample_percentage(event_messages(spark, sf), 5, 10, 1000, read_cap=L.READ_CAP))
+    return _picked(L.sample_percentage(event_messages(spark, sf), 5))
 
 
 def q_sample_percentage_uncapped(spark, sf):
     return _picked(L.sample_percentage(event_messages(spark, sf), 10, 10, 100, read_cap=None))
 
 
+def q_sample_percentage_capped(spark, sf):
+    return _picked(L.sample_percentage(event_messages(spark, sf), 5, 10, 1000, read_cap=L.READ_CAP))
+
+
 def q_sample_nth(spark, sf):
+    return _picked(L.sample(event_messages(spark, sf), "every_nth", percentage=5))
+
+
+def q_sample_nth_capped(spark, sf):
     return _picked(L.sample_every_nth(event_messages(spark, sf), 5, 1000, read_cap=L.READ_CAP))
 
 
 def q_sample_count(spark, sf):
+    return _picked(L.sample_count(event_messages(spark, sf), 500))
+
+
+def q_sample_count_capped(spark, sf):
     return _picked(L.sample_count(event_messages(spark, sf), 30, compat_caps=True))
 
 
@@ -511,14 +523,14 @@ def q_risk_rollup(spark, sf):
 
 
 def q_detection_summary(spark, sf):
-    docs = word_fields(spark, sf).withColumn("doc_id", F.floor(F.col("offset") / 1_000_000))
+    docs = word_fields(spark, sf).withColumn("doc_id", F.shiftright("offset", 31))
     det = D.detect_fields(docs, TYPE_NAMES, keep=["doc_id"])
     rows = C.detection_summary(det, table(spark, sf, "documents"), by=["doc_id"])
     return rows.withColumn("pii_types", F.array_join("pii_types", ","))
 
 
 def q_high_risk_docs(spark, sf):
-    docs = word_fields(spark, sf).withColumn("doc_id", F.floor(F.col("offset") / 1_000_000))
+    docs = word_fields(spark, sf).withColumn("doc_id", F.shiftright("offset", 31))
     return C.high_risk(D.detect_fields(docs, TYPE_NAMES, keep=["doc_id"]), by=["doc_id"])
 
 
@@ -538,6 +550,28 @@ def q_analyze_messages(spark, sf):
     return _joined(result.classifications)
 
 
+def list_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON message per document with arrays of all emails, addresses and cards of its whole text."""
+    every = lambda t: F.regexp_extract_all("text", F.lit(S.SPAN_PATTERNS[t]), F.lit(0))
+    contacts = F.transform(every("EMAIL"), lambda e: F.struct(e.alias("email")))
+    body = F.struct("doc_id", contacts.alias("contacts"), every("IP_ADDRESS").alias("client_ip"), every("CREDIT_CARD").alias("cards"))
+    return table(spark, sf, "documents").select(
+        F.col("lang").alias("topic"),
+        F.pmod("doc_id", F.lit(3)).cast("int").alias("partition"),
+        F.col("doc_id").alias("offset"),
+        F.lit(None).cast("binary").alias("key"),
+        F.to_json(body).cast("binary").alias("value"),
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
+    )
+
+
+def q_classify_arrays(spark, sf):
+    """The whole batch run with all items of an array as one field."""
+    options = RunOptions(thresholds=C.Thresholds(0.5, 0.0, False), normalize_paths=True)
+    return _joined(analyze(list_messages(spark, sf), options=options).classifications)
+
+
 # Reports and free text ---------------------------------------------------------------------------
 
 
@@ -727,6 +761,23 @@ def q_detect_with_providers(spark, sf):
     return V.detect_with(fields, ["brands"], TYPE_NAMES).select(*_FOUND, "provider")
 
 
+def _flaky_detector(path: str, value: str):
+    """A detector that fails on some values."""
+    if value.startswith("Brand#1"):
+        raise ValueError("cannot read")
+    return _brand_detector(path, value)
+
+
+def q_run_errors(spark, sf):
+    """Findings of a detector that fails on some values, and the errors of the run, by topic."""
+    V.register_provider("flaky", lambda: V.RowProvider("flaky", _flaky_detector, ["USERNAME"]))
+    fields = topic_fields(spark, sf, "part", "orders")
+    found = V.detect_with(fields, ["flaky"], TYPE_NAMES).where("provider = 'flaky'").groupBy("topic", "provider").agg(
+        F.lit(None).cast("string").alias("error"), F.count(F.lit(1)).alias("n")
+    )
+    return found.unionByName(V.provider_errors(fields, ["flaky"]).withColumnRenamed("failures", "n"))
+
+
 # Tagging -----------------------------------------------------------------------------------------
 
 
@@ -902,7 +953,7 @@ def q_monitor_stream(spark, sf):
     stream = _stream(spark, sf, profile_messages(spark, sf), per_trigger=6)
     types, totals = WC.monitor_stream(stream, "5 minutes", "1 minute")
     cls = WC.classify_closed(_drain(spark, types), _drain(spark, totals), C.Thresholds(0.5, 0.0, False))
-    return _joined(cls).drop("sample_values")
+    return _joined(cls)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.functions.text import normalize_path
 from tracelight.operators import classify as C
 from tracelight.operators import sampling
 from tracelight.operators.detect import detect_fields
@@ -15,6 +16,7 @@ from tracelight.operators.providers import (
     active_providers,
     build_schema_prompts,
     detect_with,
+    provider_errors,
     spread_schema_findings,
     uncovered_fields,
 )
@@ -29,11 +31,17 @@ class RunResult:
     detections: DataFrame
     classifications: DataFrame
     summary: DataFrame
+    errors: DataFrame
 
 
 @dataclass
 class RunOptions:
-    """What to sample, which types to look for, when a field counts."""
+    """What to sample, which types to look for, when a field counts.
+
+    ``normalize_paths`` takes the positions out of array paths before fields are classified, so that
+    all items of an array are one field. A message then counts once for the field, however many
+    items it has.
+    """
 
     strategy: str = "all"
     sampling: dict = field(default_factory=dict)
@@ -42,6 +50,7 @@ class RunOptions:
     providers: list[str] | None = None
     thresholds: C.Thresholds = C.Thresholds()
     decoders: dict | None = None
+    normalize_paths: bool = False
 
 
 def field_rows(msgs: DataFrame, catalog: DataFrame | None = None, decoders: dict | None = None) -> DataFrame:
@@ -70,6 +79,8 @@ def analyze(
     sampled = sampling.sample(msgs, options.strategy, **options.sampling)
     totals = topic_totals(sampled)
     fields = field_rows(sampled, catalog, options.decoders)
+    if options.normalize_paths:
+        fields = fields.withColumn("field_path", normalize_path(F.col("field_path")))
     per_field, schema_level = active_providers(options.providers)
     if len(per_field) == 1 and per_field[0][0] == "pattern":
         det = detect_fields(fields, options.enabled)
@@ -83,8 +94,12 @@ def analyze(
             known = findings.join(uncovered, ["topic", "field_path"], "left_semi")
             det = det.unionByName(spread_schema_findings(known, fields, options.enabled, name))
     only_patterns = len(per_field) == 1 and per_field[0][0] == "pattern" and not schema_level
-    if not only_patterns:
+    if options.normalize_paths:
+        # The numbers of findings hold for single items; without them one per message and field is counted.
+        cls = C.classify_fields(det.drop("hit_no"), totals, options.thresholds)
+    elif not only_patterns:
         cls = C.classify_fields(det, totals, options.thresholds)
     else:
         cls = C.classify_values(fields, totals, options.thresholds, options.enabled)
-    return RunResult(fields, det, cls, C.topic_summary(cls, totals, topics, catalog))
+    errors = provider_errors(fields, options.providers)
+    return RunResult(fields, det, cls, C.topic_summary(cls, totals, topics, catalog), errors)

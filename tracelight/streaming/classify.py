@@ -91,38 +91,32 @@ def _in_window(msgs: DataFrame, interval: str) -> DataFrame:
 def monitor_stream(
     stream: DataFrame, interval: str = "1 hour", delay: str = "10 minutes", enabled: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Statistics per event-time window, as two streams: field types and message totals.
+    """Statistics per event-time window, as two streams: counts per found value and message totals.
 
     Both are append-mode aggregates that emit a window once the watermark has passed it; store
-    them and give them to ``classify_closed``.
+    them and give them to ``classify_closed``. The key of the counts holds the value, so the state of
+    a hot field is spread over all tasks, and a window's values leave the state when it closes.
     """
     windowed = _in_window(stream.withWatermark("timestamp", delay), interval)
     det = detect_messages(windowed, enabled, keep=["window"])
-    types = det.groupBy("window", "topic", "field_path", "pii_type").agg(
-        F.count(F.lit(1)).alias("type_count"),
+    counts = det.groupBy("window", "topic", "field_path", "pii_type", "value").agg(
+        F.count(F.lit(1)).alias("n"),
         F.sum("confidence").alias("confidence_sum"),
         F.sum((F.col("hit_no") == 1).cast("long")).alias("messages"),
-        F.min("value").alias("sample_value"),
     )
     totals = windowed.groupBy("window", "topic").agg(F.count(F.lit(1)).alias("total_samples"))
     return (
-        types.withColumn("window_start", F.col("window.start")).drop("window"),
+        counts.withColumn("window_start", F.col("window.start")).drop("window"),
         totals.withColumn("window_start", F.col("window.start")).drop("window"),
     )
 
 
-def classify_closed(types: DataFrame, totals: DataFrame, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
+def classify_closed(counts: DataFrame, totals: DataFrame, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
     """Classifications per closed window from the stored statistics of ``monitor_stream``."""
     slot = F.struct("topic", "window_start")
-    stats = types.withColumn("topic", slot).withColumn(
-        "type_confidence", F.col("confidence_sum") / F.col("type_count")
-    )
-    samples = stats.groupBy("topic", "field_path").agg(
-        # One value per type.
-        F.array_sort(F.collect_set("sample_value")).alias("sample_values")
-    )
-    cls = C.classify_counts(stats, totals.select(slot.alias("topic"), "total_samples"), thresholds, samples)
-    return _split_slot(cls)
+    found = counts.withColumn("topic", slot)
+    seen = totals.select(slot.alias("topic"), "total_samples")
+    return _split_slot(C.classify_counts(C.merge_types(found), seen, thresholds, C.smallest_values(found)))
 
 
 def classify_windows(
