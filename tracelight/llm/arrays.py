@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2_000_000
+#: Text at once where every document stands for itself and a larger block gains nothing.
+SMALL_BLOCK_BYTES = 500_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

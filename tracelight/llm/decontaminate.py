@@ -169,6 +169,18 @@ def _report(batches):
         yield pa.RecordBatch.from_arrays([block.column(n) for n in kept] + list(columns.values()), names=kept + list(columns))
 
 
+_REPORTED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _reporting(search):
+    """A search whose rows are reported in the same Python worker."""
+
+    def run(batches):
+        return _report(search(batches))
+
+    return run
+
+
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -209,9 +221,11 @@ def find_passages(
     for r in range(rounds):
         part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(rounds)) == r)
         tests = compile_tests(sorted((tuple(x) for x in part.collect()), key=str), window)
-        rows = rows.mapInArrow(_search(tests, window, rows.columns), _fields(rows))
-    added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return rows.mapInArrow(_report, f"{_fields(rows)}, {added}").drop("text")
+        search, fields = _search(tests, window, rows.columns), _fields(rows)
+        if r == rounds - 1:
+            search, fields = _reporting(search), f"{fields}, {_REPORTED}"
+        rows = rows.mapInArrow(search, fields)
+    return rows.drop("text")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

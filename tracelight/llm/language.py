@@ -46,7 +46,7 @@ def _trigrams(block: pa.RecordBatch):
 def _count(languages: tuple[str, ...]):
     def run(batches):
         total = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
-        for block in A.blocks(batches):
+        for block in A.blocks(batches, limit=A.SMALL_BLOCK_BYTES):
             buckets, doc = _trigrams(block)
             declared = pc.index_in(block.column("declared"), pa.array(languages)).fill_null(-1).to_numpy()[doc]
             total += np.bincount(
@@ -76,7 +76,7 @@ def fit_text(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndar
 
 def _likelihoods(model: np.ndarray):
     def run(batches):
-        for block in A.blocks(batches):
+        for block in A.blocks(batches, limit=A.SMALL_BLOCK_BYTES):
             buckets, doc = _trigrams(block)
             n = np.bincount(doc, minlength=block.num_rows)
             logs = [np.bincount(doc, weights=m[buckets], minlength=block.num_rows) for m in model]

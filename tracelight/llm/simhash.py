@@ -39,7 +39,7 @@ def covering_masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for block in A.blocks(batches):
+        for block in A.blocks(batches, limit=A.SMALL_BLOCK_BYTES):
             u = R.units(block.column("text"), words=True)
             text = A.LOWER[u.data].tobytes()
             found = np.zeros(block.num_rows, np.uint64)
