@@ -101,6 +101,19 @@ def test_running_classification(spark, messages, tmp_path):
     assert live["total_samples"] == 15
 
 
+def test_running_classification_keeps_two_slots(spark, messages, tmp_path):
+    msgs = messages([b'{"email":"a%d@example.com"}' % i for i in range(24)])
+    running = WC.RunningClassification(str(tmp_path / "run"))
+    with pytest.raises(ValueError):
+        running.classify(spark)
+    for batch_id in (0, 1, 1, 2, 3, 3):
+        running(msgs.where(f"offset % 4 = {batch_id}"), batch_id)
+    live = WC.RunningClassification(str(tmp_path / "run")).classify(spark).first()
+    assert live["detection_count"] == live["total_samples"] == 24
+    assert live["sample_values"] == sorted(f"a{i}@example.com" for i in range(24))[:10]
+    assert {p.name for p in (tmp_path / "run" / "types").iterdir()} == {"slot=0", "slot=1"}
+
+
 def test_windows(spark, messages, tmp_path):
     msgs = store(messages, str(tmp_path / "in"), 1)
     bound = C.Thresholds(0.7, 0.3, True)

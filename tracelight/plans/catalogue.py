@@ -124,17 +124,25 @@ LIST_EVENT = "concat('[{\"id\":', event_id, '},[\"', event_type, '\",[', user_id
 
 
 def profile_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON message per document: the first email, phone, card and address in its whole text.
+    """One JSON message per document: all emails, phones, cards and addresses in its whole text.
 
-    The language is the topic. Documents whose id ends in 7 carry their text without JSON around it.
+    The first of a kind has a field of its own, later ones are items of a list. The language is the
+    topic. Documents whose id ends in 7 carry their text without JSON around it.
     """
-    first = lambda t: F.nullif(F.regexp_extract("text", S.SPAN_PATTERNS[t], 0), F.lit(""))
+    every = lambda t: F.regexp_extract_all("text", F.lit(S.SPAN_PATTERNS[t]), F.lit(0))
+    first = lambda t: F.get(every(t), F.lit(0))
+    later = lambda t: F.slice(every(t), 2, F.greatest(F.size(every(t)), F.lit(1)))
+    contact = F.struct(
+        first("EMAIL").alias("email"), first("PHONE_NUMBER").alias("phone"),
+        later("EMAIL").alias("emails"), later("PHONE_NUMBER").alias("phones"),
+    )
     body = F.to_json(
         F.struct(
             "doc_id",
-            F.struct(first("EMAIL").alias("email"), first("PHONE_NUMBER").alias("phone")).alias("contact"),
-            F.array(F.struct(first("CREDIT_CARD").alias("card_number"))).alias("payment"),
+            contact.alias("contact"),
+            F.transform(every("CREDIT_CARD"), lambda c: F.struct(c.alias("card_number"))).alias("payment"),
             first("IP_ADDRESS").alias("client_ip"),
+            later("IP_ADDRESS").alias("proxy_ips"),
             "source",
         )
     )

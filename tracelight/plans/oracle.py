@@ -60,16 +60,32 @@ _DATES = " union all ".join(
 )
 
 
-def _first(t: str) -> str:
-    return f"regexp_extract(text, '{SPAN_PATTERNS[t]}', 0)"
+_PROFILES = "select doc_id, lang topic, doc_id % 3 part, doc_id off, doc_id % 10 = 7 plain, source from documents"
+
+
+def _every(t: str, path: str) -> str:
+    """All matches of a type in the texts, under a path that may name the number ``i`` of the match, from one on."""
+    return (
+        f"select lang topic, doc_id % 3 part, doc_id off, {path} path, raw from (select lang, doc_id, unnest(ms) raw, "
+        f"generate_subscripts(ms, 1) i from (select lang, doc_id, regexp_extract_all(text, '{SPAN_PATTERNS[t]}') ms "
+        "from documents where doc_id % 10 <> 7))"
+    )
+
+
+def _numbered(one: str, more: str) -> str:
+    return f"case when i = 1 then '{one}' else '{more}[' || (i - 2) || ']' end"
 
 
-_PROFILES = "select doc_id, lang topic, doc_id % 3 part, doc_id off, doc_id % 10 = 7 plain, source from documents"
 _PROFILE_FIELDS = " union all ".join(
-    f"select lang topic, doc_id % 3 part, doc_id off, '{path}' path, {value} raw from documents where doc_id % 10 <> 7 and {value} <> ''"
-    for path, value in [
-        ("doc_id", "cast(doc_id as varchar)"), ("contact.email", _first("EMAIL")), ("contact.phone", _first("PHONE_NUMBER")),
-        ("payment[0].card_number", _first("CREDIT_CARD")), ("client_ip", _first("IP_ADDRESS")), ("source", "source"),
+    [
+        f"select lang topic, doc_id % 3 part, doc_id off, '{path}' path, {value} raw from documents where doc_id % 10 <> 7 and {value} <> ''"
+        for path, value in [("doc_id", "cast(doc_id as varchar)"), ("source", "source")]
+    ]
+    + [
+        _every("EMAIL", _numbered("contact.email", "contact.emails")),
+        _every("PHONE_NUMBER", _numbered("contact.phone", "contact.phones")),
+        _every("CREDIT_CARD", "'payment[' || (i - 1) || '].card_number'"),
+        _every("IP_ADDRESS", _numbered("client_ip", "proxy_ips")),
     ]
 )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,57 +16,83 @@ from tracelight.session import shared_folder
 
 
 class RunningClassification:
-    """``foreachBatch`` sink that adds each micro-batch to running statistics.
+    """``foreachBatch`` sink that merges each micro-batch into running statistics.
 
-    A batch leaves three small tables: counts per field and type, messages per topic, and the ten
-    smallest values per field. Each batch writes its own folder, so a repeated batch replaces its
-    earlier attempt and nothing is counted twice. Classifying sums up the folders.
+    The statistics are three small tables: counts per field and type, messages per topic, and the ten
+    smallest values per field. They lie in two slots. A batch reads the slot of the batch before it and
+    overwrites the other, so what is read and stored does not grow with the number of batches. A
+    repeated batch starts from the same slot as its first attempt; nothing is counted twice.
     """
 
     def __init__(self, path: str, enabled: list[str] | None = None):
         self.path, self.enabled = path.rstrip("/"), enabled
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = {slot: n for slot, n in self._held(spark).items() if n < batch_id}
+        old = max(held, key=held.get, default=None)
+        new = 0 if old is None else 1 - old
         counts = value_findings(flatten(parse_json_lenient(batch)), self.enabled).persist()
         try:
-            self._write(C.merge_types(counts), "types", batch_id)
-            self._write(C.smallest_values(counts), "samples", batch_id)
+            self._merge(C.merge_types(counts), "types", old, new, _sum_types)
+            self._merge(C.smallest_values(counts), "samples", old, new, _smallest)
         finally:
             counts.unpersist()
-        self._write(batch.groupBy("topic").agg(F.count(F.lit(1)).alias("total_samples")), "totals", batch_id)
-
-    def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch_id}")
+        totals = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("total_samples"))
+        self._merge(totals, "totals", old, new, _sum_totals)
+        # Last, so that an interrupted batch leaves the slot of the batch before it as the latest.
+        done = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch"))
+        done.write.mode("overwrite").parquet(f"{self.path}/done/slot={new}")
+
+    def _merge(self, df: DataFrame, kind: str, old: int | None, new: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+        if old is not None:
+            df = merge(df.unionByName(df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{kind}/slot={old}")))
+        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/slot={new}")
+
+    def _held(self, spark: SparkSession) -> dict[int, int]:
+        """The batch that each slot holds: two rows at most."""
+        try:
+            rows = spark.read.schema("batch long, slot int").parquet(f"{self.path}/done").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        return {r["slot"]: r["batch"] for r in rows}
+
+    def _latest(self, spark: SparkSession, kind: str) -> DataFrame:
+        held = self._held(spark)
+        if not held:
+            raise ValueError(f"no batch has been stored in {self.path}")
+        return spark.read.parquet(f"{self.path}/{kind}/slot={max(held, key=held.get)}")
 
     def totals(self, spark: SparkSession) -> DataFrame:
         """Messages per topic so far."""
-        rows = spark.read.parquet(f"{self.path}/totals")
-        return rows.groupBy("topic").agg(F.sum("total_samples").alias("total_samples"))
+        return self._latest(spark, "totals")
 
     def classify(self, spark: SparkSession, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
-        """Classifications over everything seen so far."""
-        stats = (
-            spark.read.parquet(f"{self.path}/types")
-            .groupBy("topic", "field_path", "pii_type")
-            .agg(
-                F.sum("type_count").alias("type_count"),
-                F.sum("confidence_sum").alias("confidence_sum"),
-                F.sum("messages").alias("messages"),
-            )
-            .withColumn("type_confidence", F.col("confidence_sum") / F.col("type_count"))
-        )
-        kept = spark.read.parquet(f"{self.path}/samples").select(
-            "topic", "field_path", F.explode("sample_values").alias("value")
-        )
-        rank = F.expr("dense_rank() over (partition by topic, field_path order by value)")
-        samples = (
-            kept.withColumn("rank", rank).where(F.col("rank") <= C.MAX_SAMPLES)
-            .groupBy("topic", "field_path")
-            .agg(F.array_sort(F.collect_set("value")).alias("sample_values"))
-        )
+        """Classifications over everything seen so far; to be used before the next batch but one."""
+        stats, samples = self._latest(spark, "types"), self._latest(spark, "samples")
         return C.classify_counts(stats, self.totals(spark), thresholds, samples)
 
 
+def _sum_types(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("type_count", "confidence_sum", "messages")]
+    return (
+        rows.groupBy("topic", "field_path", "pii_type").agg(*sums)
+        .withColumn("type_confidence", F.col("confidence_sum") / F.col("type_count"))
+    )
+
+
+def _sum_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("topic").agg(F.sum("total_samples").alias("total_samples"))
+
+
+def _smallest(rows: DataFrame) -> DataFrame:
+    """One list of the ten smallest values out of two for each field."""
+    both = F.array_distinct(F.flatten(F.collect_list("sample_values")))
+    return rows.groupBy("topic", "field_path").agg(F.slice(F.array_sort(both), 1, C.MAX_SAMPLES).alias("sample_values"))
+
+
 class StreamTagger:
     """``foreachBatch`` sink that tags the schema catalog from running classifications.
 
