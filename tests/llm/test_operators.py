@@ -10,7 +10,7 @@ from tracelight.llm import queries as Q
 from tracelight.llm.components import components
 from tracelight.llm.decontaminate import find_passages
 from tracelight.llm.language import address_suffix, identify_documents, markup_language
-from tracelight.llm.mixing import TARGETS, mix_documents, sample_mix
+from tracelight.llm.mixing import TARGETS, MixtureWarning, fit_rates, mix_documents, sample_mix, solve_rates
 from tracelight.llm.quality import judge_quality
 from tracelight.llm.secrets import RULES, scan_documents, trigram_query
 from tracelight.llm.sharding import assign_shards
@@ -270,6 +270,36 @@ def test_rates_meet_targets_and_are_optimal(spark):
     assert np.abs(x - rows.rate).max() < 0.02
 
 
+def soft_rows(spark, shares, lift, n=4000):
+    """Posteriors of ``n`` documents; the less ``lift``, the more blurred."""
+    rng = np.random.default_rng(3)
+    domain = rng.choice(3, n, p=shares)
+    score = rng.normal(0, 1, (n, 3)) + np.log(shares)
+    score[np.arange(n), domain] += lift
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    rows = [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(rng.integers(1, 2000, n), p, strict=True))]
+    return spark.createDataFrame(rows, "rid long, tokens long, p0 double, p1 double, p2 double")
+
+
+@pytest.mark.parametrize(("shares", "lift"), [((0.3, 0.4, 0.3), 1.0), ((0.01, 0.95, 0.04), 6.0), ((0.3, 0.695, 0.005), 4.0)])
+def test_rates_meet_targets_of_blurred_and_rare_domains(spark, shares, lift):
+    soft = soft_rows(spark, shares, lift)
+    rows = fit_rates(soft).toPandas()
+    part = rows[["p0", "p1", "p2"]].to_numpy() * rows.tokens.to_numpy()[:, None]
+    goal = np.array(TARGETS) / max(TARGETS) * part[:, int(np.argmax(TARGETS))].sum()
+    assert np.abs(rows.rate.to_numpy() @ part - goal).max() <= 2e-4 * goal.sum()
+    assert rows.rate.min() >= 0
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    even = spark.range(100).selectExpr("id as rid", "id + 1 as tokens", "1/3D as p0", "1/3D as p1", "1/3D as p2")
+    with pytest.warns(MixtureWarning, match="not met"):
+        assert fit_rates(even).count() == 100
+    fit = solve_rates(even)
+    assert not fit.met and fit.expected.std() < 1 and abs(fit.goal.sum() - 5050 / 3 / 0.85) < 1
+
+
 def test_mixture_repeats_by_rate(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

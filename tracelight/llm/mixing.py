@@ -1,13 +1,15 @@
 """Document rates that bring a corpus to target domain weights (soft-membership mixing).
 
 A classifier fitted on the labelled documents gives each document a posterior over the domains. The
-expected tokens of a domain are the sum over documents of rate * tokens * posterior. Projected gradient
-descent finds rates, none negative and none above ``MAX_RATE``, whose expected domain tokens come closest to the targets.
+expected tokens of a domain are the sum over documents of rate * tokens * posterior. Of the rates, none
+negative, whose expected domain tokens come closest to the targets, those nearest to 1 are found.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,6 @@ from tracelight.llm.tables import row_keyed, stored
 DOMAINS = ("poor", "good", "toxic")
 #: Share of the tokens that each domain shall have.
 TARGETS = (0.12, 0.85, 0.03)
-#: Greatest rate of a document.
-MAX_RATE = 8.0
 BUCKETS = 8192
 #: Labelled documents that the classifier is fitted on, at most; chosen by hash of the id.
 LABELLED_SAMPLE = 200_000
@@ -28,11 +28,10 @@ LABELLED_SAMPLE = 200_000
 SMOOTHING = 20_000.0
 #: Words that count in full as evidence; longer texts weigh as much as this many.
 EVIDENCE = 60.0
-MAX_STEPS = 48
-#: Steps after which the rates are written, which keeps the expression short.
-STEPS_PER_TABLE = 6
-#: Largest miss of a domain, as a share of all tokens, that ends the descent.
+#: Largest miss of a domain, as a share of the goal's tokens, with which the targets count as met.
 TOLERANCE = 1e-4
+#: Weights of the rates' distance from 1 against the miss: the first, and the last if the targets are not met before.
+PENALTY, LEAST_PENALTY = 1e-7, 1e-13
 
 
 def _words(rows: DataFrame, *keep: str) -> DataFrame:
@@ -101,42 +100,90 @@ def memberships(rows: DataFrame, model: tuple[DataFrame, list[float]] | None, n:
     )
 
 
-def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """``soft`` (rid, tokens, p0, ...) with the column ``rate``.
+class MixtureWarning(UserWarning):
+    """The targets are out of reach of any rates found."""
+
+
+class Fit(NamedTuple):
+    """Rates, and each domain's expected and target tokens."""
+
+    rates: DataFrame
+    expected: np.ndarray
+    goal: np.ndarray
+
+    @property
+    def met(self) -> bool:
+        return bool(np.abs(self.expected - self.goal).max() <= TOLERANCE * self.goal.sum())
+
+
+def solve_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> Fit:
+    """``soft`` (rid, tokens, p0, ...) with the column ``rate``, and what the rates bring about.
 
     The targets are shares of a total that leaves the domain of largest target its own tokens, so
-    documents of that domain keep rates near 1. Descent starts at rate 1. Each domain's miss is weighted by its own curvature, which makes the
-    problem well conditioned; only sums over all documents come to the driver. Documents without
-    tokens keep rate 1.
+    documents of that domain keep rates near 1. The rates are those projected gradient descent from
+    rate 1 tends to: 1 less a weighted sum of the document's domain tokens, at least 0. There is one
+    weight per domain; Newton steps with line search raise the concave dual over them, so a step needs
+    only sums over all documents, and neither steps nor rates are bounded. Documents without tokens
+    keep rate 1.
     """
     n = len(targets)
     part = [F.col("tokens") * F.col(f"p{k}") for k in range(n)]
     sums = soft.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"),
         *[F.sum(p).alias(f"t{k}") for k, p in enumerate(part)],
-        *[F.coalesce(F.sum(part[i] * part[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(n) for j in range(n)],
+        *[F.coalesce(F.sum(p * p), F.lit(0.0)).alias(f"g{k}") for k, p in enumerate(part)],
     ).first()
-    gram = np.array([[sums[f"g{i}_{j}"] for j in range(n)] for i in range(n)], float)
     whole = float(sums["all"])
-    rates = soft.withColumn("rate", F.lit(1.0))
     if not whole:
-        return rates
-    weight = 1 / np.maximum(np.diag(gram), 1e-12)
-    size = 1 / np.linalg.eigvalsh(np.sqrt(np.outer(weight, weight)) * gram)[-1]
+        return Fit(soft.withColumn("rate", F.lit(1.0)), np.zeros(n), np.zeros(n))
     share = np.array(targets) / sum(targets)
     # the total is what leaves the domain of largest target its own tokens
     first = int(share.argmax())
     goal = share * (sums[f"t{first}"] or whole) / share[first]
-    for step in range(MAX_STEPS):
-        if step and step % STEPS_PER_TABLE == 0:
-            rates = stored(rates, "rates")
-        now = rates.agg(*[F.sum(F.col("rate") * p) for p in part]).first()
-        miss = np.array(now, float) - goal
-        if np.abs(miss).max() <= TOLERANCE * goal.sum():
+    # domains measured in units in which their tokens have length 1
+    unit = np.sqrt(np.maximum([sums[f"g{k}"] for k in range(n)], 1e-12))
+
+    def rate(y: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), reduce(lambda a, b: a - b, [p * float(w) for p, w in zip(part, y / unit)], F.lit(1.0)))
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum of squared rates, expected tokens, and the Gram matrix of the documents of positive rate."""
+        x = F.col("rate")
+        pairs = [F.when(x > 0, part[i] * part[j]).otherwise(0.0) for i in range(n) for j in range(n)]
+        got = soft.withColumn("rate", rate(y)).agg(*map(F.sum, [x * x, *[x * p for p in part], *pairs])).first()
+        return got[0], np.array(got[1 : n + 1], float), np.array(got[n + 1 :], float).reshape(n, n)
+
+    y, penalty, before = np.zeros(n), PENALTY, np.inf
+    squares, expected, gram = at(y)
+    while True:
+        slope = (expected - goal) / unit - penalty * y
+        miss = np.abs(expected - goal).max()
+        if np.abs(slope * unit).max() <= TOLERANCE / 100 * goal.sum():
+            if miss <= TOLERANCE * goal.sum() or penalty <= LEAST_PENALTY or miss > 0.99 * before:
+                break
+            penalty, before = penalty / 100, miss
+            continue
+        step = np.linalg.solve(gram / np.outer(unit, unit) + penalty * np.eye(n), slope)
+        value = lambda s, v: -s / 2 - goal / unit @ v - penalty / 2 * v @ v  # noqa: B023, E731
+        length, now = 1.0, value(squares, y)
+        while length > 1e-6:
+            there = at(y + length * step)
+            if value(there[0], y + length * step) >= now + 1e-4 * length * (slope @ step):
+                break
+            length /= 2
+        else:  # no higher place: as near as sums of doubles tell
             break
-        pull: Column = reduce(lambda a, b: a + b, [p * float(size * weight[k] * miss[k]) for k, p in enumerate(part)])
-        rates = rates.withColumn("rate", F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), F.col("rate") - pull)))
-    return rates.withColumn("rate", F.round("rate", 6))
+        y, (squares, expected, gram) = y + length * step, there
+    return Fit(soft.withColumn("rate", F.round(rate(y), 6)), expected, goal)
+
+
+def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
+    """``solve_rates``' rates; a ``MixtureWarning`` with expected and target tokens if the targets are not met."""
+    fit = solve_rates(soft, targets)
+    if not fit.met:
+        told = ", ".join(f"{e:.0f} for {g:.0f}" for e, g in zip(fit.expected, fit.goal, strict=True))
+        warnings.warn(f"mixture targets not met: expected tokens of each domain {told}", MixtureWarning, stacklevel=2)
+    return fit.rates
 
 
 def mix_documents(
