@@ -224,6 +224,32 @@ def test_languages_of_held_out_documents(spark):
     assert np.mean([r.lang == truth[r.owner] for r in rows]) > 0.98
 
 
+def test_foreign_text_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = np.random.default_rng(2)
+    noise = ["".join(rng.choice(list("qwertyuiopasdfghjklzxcvbnm    "), 200)) for _ in range(5)]
+    foreign = [
+        "Сегодня утром мы долго гуляли по старому городу и говорили о новых книгах и друзьях",
+        "今日は朝から雨が降っていたので、家で本を読んで過ごしました。夕方には友達が来ました",
+        "Questa mattina abbiamo passeggiato a lungo nella vecchia città e parlato degli ultimi libri che gli amici leggono",
+        "Dziś rano długo spacerowaliśmy po starym mieście i rozmawialiśmy o nowych książkach oraz przyjaciołach",
+        *noise,
+    ]
+    rows = [(-1 - i, t, lang, "src0") for i, t in enumerate(foreign) for lang in (None, "xx")]
+    found = identify_documents(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()
+    odd = [r for r in found if r.owner < 0]
+    assert len(odd) == len(rows) and not any(r.kept or r.lang for r in odd)
+    assert all(r.kept for r in found if r.owner >= 0)
+
+
+def test_languages_are_those_declared(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    renamed = docs.selectExpr("doc_id", "text", "if(lang = 'fr', 'fr-CA', lang) as lang", "source")
+    assert {r.lang for r in identify_documents(renamed).collect()} == {"de", "en", "es", "fr-CA"}
+    silent = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source")
+    assert not any(r.kept for r in identify_documents(silent).collect())
+
+
 def test_languages_of_pages_use_markup_suffix_and_host(spark):
     from tracelight.llm.url_filter import url_host_path
 

@@ -1,6 +1,8 @@
 """Language of each document from text, declared language, address suffix and host, fused by Bayes' rule.
 
-1. Hashed character trigrams are counted per declared language: a multinomial for each language.
+1. The languages are those that enough rows declare. Hashed character trigrams are counted for each: a
+   multinomial, whose counts are discounted by one, so what was seen once is no better than unseen. One
+   more class, the background, stands for all other text: single bytes of the corpus, or any bucket alike.
 2. Every document's trigram likelihoods are evaluated once and stored without the text.
 3. Grouped aggregation over those rows gives how often each language is declared, which address
    suffixes it has and which languages each host and each address suffix has.
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 from tracelight.llm import arrays as A
 from tracelight.llm.tables import row_keyed, stored
 
-LANGUAGES = ("de", "en", "es", "fr")
+#: Rows that have to declare a language.
+MIN_SUPPORT = 10
+#: More declared languages than this are an error: their counts would not fit the tasks.
+MAX_LANGUAGES = 256
 BUCKET_BITS = 15
 #: Trigrams of a text that count in full as evidence; longer texts weigh as much as this many.
 EVIDENCE = 40.0
@@ -33,6 +38,7 @@ _GRAM = 3
 
 
 def _trigrams(block: pa.RecordBatch):
+    """Bucket, document and the three bytes of each trigram."""
     data, offsets = A.utf8(block.column("text"))
     data = A.LOWER[data]
     data = np.where(A.ALNUM[data] & ~((data >= 0x30) & (data <= 0x39)), data, 0x20).astype(np.uint8)
@@ -40,18 +46,32 @@ def _trigrams(block: pa.RecordBatch):
     solid = (data[first] != 0x20) | (data[first + 1] != 0x20) if len(first) else np.zeros(0, bool)
     first = first[solid]
     buckets = (A.PrefixHash(data).grams(_GRAM)[first] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return buckets, np.searchsorted(offsets, first, "right") - 1
+    return buckets, np.searchsorted(offsets, first, "right") - 1, [data[first + i] for i in range(_GRAM)]
+
+
+def declared_languages(rows: DataFrame, min_support: int = MIN_SUPPORT) -> tuple[str, ...]:
+    """The values of ``declared`` that at least ``min_support`` rows have, in order."""
+    counts = rows.filter("declared <> ''").groupBy("declared").count().filter(F.col("count") >= min_support)
+    found = sorted(r.declared for r in counts.limit(MAX_LANGUAGES + 1).collect())
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} declared languages")
+    return tuple(found)
 
 
 def _count(languages: tuple[str, ...]):
+    size = len(languages)
+
     def run(batches):
-        total = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
+        # one row for each language; the last has the bytes that their trigrams begin with
+        total = np.zeros((size + 1, 1 << BUCKET_BITS), np.int64)
         for block in A.blocks(batches, limit=A.SMALL_BLOCK_BYTES):
-            buckets, doc = _trigrams(block)
-            declared = pc.index_in(block.column("declared"), pa.array(languages)).fill_null(-1).to_numpy()[doc]
-            total += np.bincount(
-                (declared + 1) * total.shape[1] + buckets, minlength=total.size + total.shape[1]
-            ).reshape(-1, total.shape[1])[1:]
+            buckets, doc, data = _trigrams(block)
+            declared = pc.index_in(block.column("declared"), pa.array(languages, pa.string()))
+            declared = declared.fill_null(-1).to_numpy()[doc]
+            listed = declared >= 0
+            place, n = np.unique(declared[listed].astype(np.int64) * total.shape[1] + buckets[listed], return_counts=True)
+            total.reshape(-1)[place] += n
+            total[size, :256] += np.bincount(data[0][listed], minlength=256)
         language, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(language), pa.array(bucket), pa.array(total[language, bucket])], names=["language", "bucket", "n"]
@@ -60,8 +80,9 @@ def _count(languages: tuple[str, ...]):
     return run
 
 
-def fit_text(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log probability of each trigram bucket in each language, from all rows that declare it."""
+def fit_text(rows: DataFrame, languages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each trigram bucket in each language, from all rows that declare it, and of each byte."""
+    size, width = len(languages), 1 << BUCKET_BITS
     counts = (
         rows.select("text", "declared")
         .mapInArrow(_count(languages), "language long, bucket long, n long")
@@ -69,20 +90,29 @@ def fit_text(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndar
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    n = np.ones((len(languages), 1 << BUCKET_BITS))
+    n = np.zeros((size + 1, width))
     n[counts["language"], counts["bucket"]] += counts["n"]
-    return np.log(n / n.sum(axis=1, keepdims=True))
+    seen = n[:size]
+    # what the discount takes is spread over all buckets
+    left = np.maximum((seen > 0).sum(axis=1, keepdims=True), 1) / width
+    smooth = np.maximum(seen - 1, 0) + left
+    single = n[size, :256] + 1
+    return np.log(smooth / smooth.sum(axis=1, keepdims=True)), np.log(single / single.sum())
+
 
+def _likelihoods(model: np.ndarray, single: np.ndarray):
+    size = len(model)
 
-def _likelihoods(model: np.ndarray):
     def run(batches):
         for block in A.blocks(batches, limit=A.SMALL_BLOCK_BYTES):
-            buckets, doc = _trigrams(block)
+            buckets, doc, data = _trigrams(block)
             n = np.bincount(doc, minlength=block.num_rows)
+            other = np.logaddexp(sum(single[d] for d in data), -BUCKET_BITS * np.log(2)) - np.log(2)
             logs = [np.bincount(doc, weights=m[buckets], minlength=block.num_rows) for m in model]
+            logs.append(np.bincount(doc, weights=other, minlength=block.num_rows))
             weight = np.minimum(n, EVIDENCE) / np.maximum(n, 1)
             values = np.round(np.stack(logs, axis=1) * weight[:, None], 6)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), len(model)).cast(pa.list_(pa.float64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), size + 1).cast(pa.list_(pa.float64()))
             columns = [block.column(c) for c in ("rid", "declared", "host", "suffix")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], names=[*_EVIDENCE, "n_trigrams", "logs"])
 
@@ -103,44 +133,45 @@ def address_suffix(host: Column) -> Column:
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
 
 
-def _shares(rows: DataFrame, key: str, languages: tuple[str, ...]) -> DataFrame:
-    """Rows of each language, and of all, for each value of ``key``."""
-    counts = [F.count_if(F.col("guess") == i).cast("double") for i in range(len(languages))]
+def _shares(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of each of ``size`` classes for each value of ``key``."""
+    counts = [F.count_if(F.col("guess") == i).cast("double") for i in range(size)]
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*counts).alias(f"n_{key}"))
 
 
 def identify(
-    rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_posterior: float = MIN_POSTERIOR
+    rows: DataFrame, languages: tuple[str, ...] | None = None, min_posterior: float = MIN_POSTERIOR
 ) -> DataFrame:
     """rid, lang, posterior, n_trigrams, kept of rows (rid, text, declared, host, suffix).
 
-    Null text, no letters: no text evidence. Null or unlisted declared languages, null hosts and null
-    suffixes are no evidence. A row is kept if it has letters and its best language reaches
-    ``min_posterior``; of equal posteriors the first language counts.
+    ``languages`` are by default those that enough rows declare. Null text, no letters: no text evidence.
+    Null or unlisted declared languages, null hosts and null suffixes are no evidence. ``lang`` is null
+    where the background is likelier than any language. A row is kept if it has letters and its best
+    class is a language that reaches ``min_posterior``; of equal posteriors the first language counts.
     """
-    size = len(languages)
+    languages = declared_languages(rows) if languages is None else languages
+    size = len(languages) + 1  # the last class is the background
     model = fit_text(rows, languages)
     schema = "rid long, declared string, host string, suffix string, n_trigrams long, logs array<double>"
     seen = stored(
-        rows.select("text", *_EVIDENCE).mapInArrow(_likelihoods(model), schema)
+        rows.select("text", *_EVIDENCE).mapInArrow(_likelihoods(*model), schema)
         .withColumn("guess", F.expr("if(n_trigrams > 0, array_position(logs, array_max(logs)) - 1, null)")),
         "language",
     )
-    guess = [F.coalesce(F.sum((F.col("guess") == i).cast("long")), F.lit(0)) for i in range(size)]
-    told = [
-        F.coalesce(F.sum(((F.col("guess") == i) & (F.col("declared") == d)).cast("long")), F.lit(0))
-        for i in range(size)
-        for d in languages
-    ]
-    totals = seen.agg(F.array(*guess), F.array(*told)).first()
-    n = np.array(totals[0], float)
+    n, told = np.zeros(size), np.ones((size, len(languages)))
+    known = F.when(F.col("declared").isin(*languages), F.col("declared")).alias("declared")
+    for r in seen.filter("guess is not null").groupBy("guess", known).count().collect():
+        n[r.guess] += r["count"]
+        if r.declared is not None:
+            told[r.guess, languages.index(r.declared)] += r["count"]
     base = (n + 1) / (n + 1).sum()
-    declared = np.array(totals[1], float).reshape(size, size) + 1
-    declared /= declared.sum(axis=1, keepdims=True)
+    told = np.log(told / told.sum(axis=1, keepdims=True))
+    words = [(d, told[:, k].tolist()) for k, d in enumerate(languages)]
+    words = rows.sparkSession.createDataFrame(words, "declared string, told array<double>")
     # suffix: likelihood of a language up to a factor, share of the suffix's rows over share of all rows
-    suffixes = _shares(seen, "suffix", languages)
-    hosts = _shares(seen, "host", languages)
-    joined = seen.join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    suffixes = _shares(seen, "suffix", size)
+    hosts = _shares(seen, "host", size)
+    joined = seen.join(suffixes, "suffix", "left").join(hosts, "host", "left").join(F.broadcast(words), "declared", "left")
     zero = F.array(*[F.lit(0.0)] * size)
     of = lambda column, i: F.coalesce(F.col(column), zero)[i]
     total = lambda column: reduce(lambda a, b: a + b, [of(column, i) for i in range(size)])
@@ -148,19 +179,14 @@ def identify(
     for i in range(size):
         parent = (of("n_suffix", i) + F.lit(SMOOTHING * float(base[i]))) / (total("n_suffix") + SMOOTHING)
         prior = (of("n_host", i) + SMOOTHING * parent) / (total("n_host") + SMOOTHING)
-        told_i = reduce(
-            lambda c, d: c.when(F.col("declared") == languages[d], F.lit(float(np.log(declared[i, d])))),  # noqa: B023
-            range(1, size),
-            F.when(F.col("declared") == languages[0], F.lit(float(np.log(declared[i, 0])))),
-        ).otherwise(F.lit(0.0))
-        score.append(F.col("logs")[i] + told_i + F.log(parent / F.lit(float(base[i]))) * F.lit(0.5) + F.log(prior))
+        score.append(F.col("logs")[i] + of("told", i) + F.log(parent / F.lit(float(base[i]))) * F.lit(0.5) + F.log(prior))
     best = F.array(*score)
     posterior = F.expr("1 / aggregate(score, 0D, (a, s) -> a + exp(s - array_max(score)))")
     return (
         joined.withColumn("score", best)
         .withColumn("posterior", F.round(posterior, 6))
-        .withColumn("lang", F.element_at(F.array(*map(F.lit, languages)), F.expr("int(array_position(score, array_max(score)))")))
-        .withColumn("kept", (F.col("n_trigrams") > 0) & (F.col("posterior") >= min_posterior))
+        .withColumn("lang", F.element_at(F.array(*map(F.lit, [*languages, None])).cast("array<string>"), F.expr("int(array_position(score, array_max(score)))")))
+        .withColumn("kept", (F.col("n_trigrams") > 0) & F.col("lang").isNotNull() & (F.col("posterior") >= min_posterior))
         .select("rid", "lang", "posterior", "n_trigrams", "kept")
     )
 
