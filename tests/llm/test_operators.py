@@ -160,6 +160,14 @@ def test_one_document_of_a_group_stays(frame):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "9", "None"]
 
 
+def test_rows_that_share_an_id_stay_or_go_by_their_own_group(frame, documents):
+    a, b, c, d = (t for _, t in documents[:4])
+    rows = [(1, a), (7, a), (7, b), (8, c), (8, c), (None, d), (None, d), (None, a)]
+    kept = keep_one(frame(rows))
+    assert kept.columns == frame(rows).columns
+    assert got(kept, "doc_id", "text") == sorted([(1, a), (7, b), (8, c), (None, d)], key=str)
+
+
 def url_verdict(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))

@@ -150,22 +150,34 @@ def link_documents(
     zero and link like any other. Rows may repeat; a null id gives its group no id, and a group of
     null ids only has a null component_id. An empty table gives an empty result.
     """
-    keyed = row_keyed(docs, id_col, text_col)
+    linked = _linked(row_keyed(docs, id_col, text_col), radius, shingle)
+    return linked.select(
+        "rid",
+        F.col("owner").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("least.owner").alias("component_id"),
+    )
+
+
+def _linked(keyed: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """rid, owner, ``fp`` and ``least``, the first row (owner, rid; null owners last) of its group, of every row."""
     prints = stored(
         keyed.select("rid", "owner", "text").mapInArrow(_fingerprints(shingle), "rid long, owner long, fp long"), "prints"
     )
-    distinct = stored(prints.groupBy("fp").agg(F.min("owner").alias("least")), "distinct")
+    place = F.struct(F.col("owner").isNull().alias("nobody"), "owner", "rid")
+    distinct = stored(prints.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
     found = components(near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     grouped = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = grouped.join(named, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
-        "rid", F.col("owner").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = grouped.groupBy("component").agg(F.min("first").alias("least"))
+    return prints.join(grouped.join(named, "component").select("fp", "least"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one of smallest id; columns as they are. Null ids stay."""
-    linked = link_documents(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
-    lost = linked.filter("_id <> component_id").select("_id").distinct()
-    return docs.join(lost, docs[id_col] == lost["_id"], "left_anti")
+    """One row of each group, the first by id, null ids last; columns as they are.
+
+    Rows of one id are told apart: of equal ones any one stays, and others go only with their own group.
+    """
+    inner = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    keyed = row_keyed(inner, "_id", "_text", ["_row"])
+    lost = _linked(keyed, RADIUS, SHINGLE_WORDS).filter("rid <> least.rid").select("rid")
+    return keyed.join(lost, "rid", "left_anti").select("_row.*")
