@@ -351,4 +351,4 @@ def test_weighted_shards(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")) == list(range(1, 14))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight.llm import centroids
+from tracelight.llm.centroids import cluster_vectors
 from tracelight.llm.decontaminate import find_passages
 from tracelight.llm.language import identify_documents
 from tracelight.llm.mixing import DOMAINS, mix_documents
+from tracelight.llm.periodic import find_runs, with_echoes
 from tracelight.llm.quality import judge_quality
 from tracelight.llm.secrets import scan_documents
 from tracelight.llm.sharding import assign_shards
@@ -18,6 +20,7 @@ from tracelight.llm.simhash import link_documents
 from tracelight.llm.substring_dedup import remove_passages
 from tracelight.llm.suffix_dedup import remove_repeats
 from tracelight.llm.tables import read_docs
+from tracelight.llm.toxicity import judge_toxicity
 from tracelight.llm.url_filter import RULES, judge_urls, rule_table
 
 
@@ -67,6 +70,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, read_docs(spark, sf_dir, "labels")).select("row.doc_id", "*").drop("row")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(read_docs(spark, sf_dir), read_docs(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_docs(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(with_echoes(read_docs(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,12 +95,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_secret_scans,
         op10_quality_rules,
+        op11_toxicity,
+        op12_centroid_clustering,
+        op13_periodic_runs,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
 
 ORACLE: dict[str, str] = {
+    "op12_centroid_clustering": centroids.ORACLE,
     "op2_url_filters": f"""
         WITH cut AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
