@@ -79,39 +79,71 @@ def test_streak_thresholds(spark):
     assert WS.failure_streaks(events(spark, [1, 1, 0, 1]), 3).where("tripped").count() == 0
 
 
-def test_streak_monitor_carries_over(spark, tmp_path):
-    monitor, seen = WS.StreakMonitor(str(tmp_path / "s"), 5), []
-    for batch, flags in enumerate([[0, 1, 1], [1, 1], [1, 0, 1]]):
-        monitor(events(spark, flags, batch * 10), batch)
-        row = monitor.state(spark, batch).first()
-        seen.append((row["streak"], row["longest"], monitor.tripped))
-    assert seen == [(2, 2, False), (4, 4, False), (1, 5, True)]
-
-
-def test_running_classification(spark, messages, tmp_path):
-    msgs = store(messages, str(tmp_path / "in"))
-    stream = W.read_stream(spark, str(tmp_path / "in"), starting_position="earliest", per_trigger=1)
-    running = WC.RunningClassification(str(tmp_path / "run"))
-    query = stream.writeStream.foreachBatch(running).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    running(msgs.limit(0), 99)
-    batch = C.classify_fields(D.detect_messages(msgs), msgs.groupBy("topic").agg(F.count("*").alias("total_samples"))).first()
-    live = running.classify(spark).first()
-    assert live["sample_values"] == batch["sample_values"] and live["detection_count"] == batch["detection_count"] == 12
-    assert live["total_samples"] == 15
-
-
-def test_running_classification_keeps_two_slots(spark, messages, tmp_path):
-    msgs = messages([b'{"email":"a%d@example.com"}' % i for i in range(24)])
-    running = WC.RunningClassification(str(tmp_path / "run"))
-    with pytest.raises(ValueError):
-        running.classify(spark)
-    for batch_id in (0, 1, 1, 2, 3, 3):
-        running(msgs.where(f"offset % 4 = {batch_id}"), batch_id)
-    live = WC.RunningClassification(str(tmp_path / "run")).classify(spark).first()
-    assert live["detection_count"] == live["total_samples"] == 24
-    assert live["sample_values"] == sorted(f"a{i}@example.com" for i in range(24))[:10]
-    assert {p.name for p in (tmp_path / "run" / "types").iterdir()} == {"slot=0", "slot=1"}
+def run(df, checkpoint, handle=lambda batch, number: batch.count()):
+    query = df.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_streaks_in_state(spark, tmp_path):
+    """Files in any order within the delay, a restart in the middle, events on hold at the end."""
+    rng = random.Random(4)
+    flags = rng.choices([0, 1], weights=[1, 3], k=240)
+    stamp = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, offset)").alias("timestamp")
+    rows = events(spark, flags).select("*", stamp)
+    rows = rows.unionByName(rows.withColumn("partition", F.lit(1)).withColumn("failed", ~F.col("failed")))
+    path, checkpoint, seen = str(tmp_path / "in"), str(tmp_path / "ck"), []
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for first, last in ((40, 80), (0, 40), (80, 120), (160, 200), (120, 160), (200, 240)):
+        part = rows.where(f"offset >= {first} and offset < {last}").orderBy(F.rand(1)).coalesce(1)
+        part.write.mode("append").parquet(path)
+        run(WS.stream_streaks(stream, 5, "2 hours"), checkpoint, lambda b, _: seen.extend(b.collect()))
+    want = {}
+    for partition, own in ((0, flags), (1, [1 - x for x in flags])):
+        runs = brute(own)
+        streak = next((n for _, end, n in runs if end == 239), 0)
+        longest = max(n for _, _, n in runs)
+        want[partition] = (streak, longest, longest >= 5)
+    got = {r["partition"]: (r["streak"], r["longest"], r["tripped"]) for r in WS.streak_state(spark, checkpoint, 5).collect()}
+    assert got == want
+    assert seen and any(r["tripped"] for r in seen) and all(r["longest"] <= want[r["partition"]][1] for r in seen)
+
+
+def test_running_classification_survives_a_restart(spark, messages, tmp_path):
+    """The second run goes on from the state of the first; nothing is counted twice."""
+    path, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")
+    msgs = messages(DOCS + [b'{"email": "u3@x.com", "phone": "555-123-4567"}', b'{"email": "555-123-4567"}'])
+    for low, high in ((0, 6), (6, 20)):
+        msgs.where(f"offset >= {low} and offset < {high}").repartition(2, "offset").write.mode("append").parquet(path)
+        stream = W.read_stream(spark, path, starting_position="earliest", per_trigger=1)
+        run(WC.running_statistics(stream), checkpoint)
+    run(WC.running_statistics(stream), checkpoint)
+    state = WC.running_state(spark, checkpoint)
+    assert WC.message_totals(state).first()["total_samples"] == 17
+    totals = msgs.groupBy("topic").agg(F.count("*").alias("total_samples"))
+    loose = C.Thresholds(0.5, 0.0, False)
+    show = lambda df: sorted(str(r.asDict()) for r in df.withColumn("confidence", F.round("confidence", 9)).collect())
+    batch = show(C.classify_fields(D.detect_messages(msgs), totals, loose))
+    assert len(batch) == 3 and show(WC.classify_running(state, loose)) == batch
+
+
+def test_statistics_of_a_batch_hold_all_types_of_its_fields(spark, messages, tmp_path):
+    path, seen = str(tmp_path / "in"), []
+    for value in (b'{"contact": "a@x.com"}', b'{"contact": "555-123-4567", "other": "b@x.com"}', b"[]"):
+        messages([value]).coalesce(1).write.mode("append").parquet(path)
+    stream = W.read_stream(spark, path, starting_position="earliest", per_trigger=1)
+    run(WC.running_statistics(stream), str(tmp_path / "ck"), lambda b, _: seen.append({(r["field_path"], r["pii_type"]): r for r in b.collect()}))
+    assert {t for p, t in seen[1] if p == "contact"} == {"EMAIL", "PHONE_NUMBER"}
+    assert seen[1]["contact", "EMAIL"]["sample_values"] == ["555-123-4567", "a@x.com"]
+    assert list(seen[2]) == [("", "")] and seen[2]["", ""]["type_count"] == 3
+
+
+def test_samples_and_partial_sums_are_bounded(spark):
+    rows = [("t", "f", "EMAIL", 1, 0.95, 1, f"{i % 50:03d}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "topic string, field_path string, pii_type string, n long, confidence_sum double, messages long, value string")
+    parts = df.coalesce(1).mapInArrow(WC._parts, WC._PARTS).collect()
+    assert sum(r["n"] for r in parts) == 1000 and len(parts) < 5
+    assert all(r["sample_values"] == [f"{i:03d}" for i in range(10)] for r in parts)
 
 
 def test_windows(spark, messages, tmp_path):

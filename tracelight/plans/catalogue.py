@@ -842,17 +842,21 @@ def _stream(spark, sf, msgs: DataFrame, per_trigger: int = 2) -> DataFrame:
     return W.read_stream(spark, path, starting_position="earliest", per_trigger=per_trigger)
 
 
-def _drain(spark, df: DataFrame) -> DataFrame:
-    """Run a stream over all there is and read its output."""
+def _drain(spark, df: DataFrame, mode: str = "append", commits: str | None = None) -> DataFrame:
+    """Run a stream over all there is and read its output; a batch of a stream in update mode has a folder of its own."""
     out = scratch_path(spark, "out")
-    W.write_stream(df, out, scratch_path(spark, "commits")).awaitTermination()
+    if mode == "append":
+        W.write_stream(df, out, commits or scratch_path(spark, "commits")).awaitTermination()
+    else:
+        store = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        _drain_batches(spark, df, store, mode, commits)
     return spark.read.schema(df.schema).parquet(out)
 
 
-def _drain_batches(spark, df: DataFrame, handle: Callable, mode: str = "append") -> None:
+def _drain_batches(spark, df: DataFrame, handle: Callable, mode: str = "append", commits: str | None = None) -> None:
     query = (
         df.writeStream.outputMode(mode).foreachBatch(handle)
-        .option("checkpointLocation", scratch_path(spark, "commits"))
+        .option("checkpointLocation", commits or scratch_path(spark, "commits"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -892,13 +896,14 @@ def q_resume_offsets(spark, sf):
     return _picked(W.resume(msgs, seen))
 
 
-def _outcomes(spark, sf):
+def _outcomes(spark, sf, *more: Column):
     """Events of all types in one topic per user group; errors and purchases count as failures."""
     return table(spark, sf, "events").select(
         F.when(F.col("event_id") % 3 == 0, "hot").otherwise("cold").alias("topic"),
         F.lit(0).alias("partition"),
         F.col("event_id").alias("offset"),
         F.col("event_type").isin("error", "purchase", "view").alias("failed"),
+        *more,
     )
 
 
@@ -907,32 +912,21 @@ def q_failure_streaks(spark, sf):
 
 
 def q_stream_streaks(spark, sf):
-    outcomes = _outcomes(spark, sf)
-    path = scratch_path(spark, "events")
-    # Four writes one after the other, so the files are dated, and read, in the order of offsets.
-    bounds = outcomes.approxQuantile("offset", [0.25, 0.5, 0.75], 0.0)
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:]):
-        rows = outcomes if low is None else outcomes.where(F.col("offset") > low)
-        rows = rows if high is None else rows.where(F.col("offset") <= high)
-        rows.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(outcomes.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    monitor = WS.StreakMonitor(scratch_path(spark, "streaks"), threshold=5)
-    last = []
-
-    def handle(batch, batch_id):
-        monitor(batch, batch_id)
-        last[:] = [batch_id]
-
-    _drain_batches(spark, stream, handle)
-    return monitor.state(spark, last[0])
+    """Streaks out of the state of a stream over files in any order."""
+    outcomes = _outcomes(spark, sf, F.col("ts").alias("timestamp"))
+    path, commits = scratch_path(spark, "events"), scratch_path(spark, "commits")
+    outcomes.repartition(6, "topic", "partition", "offset").write.parquet(path)
+    stream = spark.readStream.schema(outcomes.schema).parquet(path)
+    _drain(spark, WS.stream_streaks(stream, threshold=5), "update", commits)
+    return WS.streak_state(spark, commits, threshold=5)
 
 
 def q_stream_classify(spark, sf):
+    """Classifications out of the state of a stream."""
+    commits = scratch_path(spark, "commits")
     stream = _stream(spark, sf, profile_messages(spark, sf))
-    running = WC.RunningClassification(scratch_path(spark, "running"))
-    _drain_batches(spark, stream, running)
-    return _joined(running.classify(spark, C.Thresholds(0.5, 0.0, True)))
+    _drain(spark, WC.running_statistics(stream), "update", commits)
+    return _joined(WC.classify_running(WC.running_state(spark, commits), C.Thresholds(0.5, 0.0, True)))
 
 
 def q_stream_tag(spark, sf):
@@ -946,8 +940,8 @@ def q_stream_tag(spark, sf):
         F.lit("AVRO").alias("schema_type"), F.lit(schema).alias("schema"), F.current_timestamp().alias("registered_at"),
     )
     langs.write.parquet(path)
-    running = WC.RunningClassification(scratch_path(spark, "running"))
-    _drain_batches(spark, stream, WC.StreamTagger(running, path, C.Thresholds(0.5, 0.0, True)))
+    tagger = WC.StreamTagger(path, C.Thresholds(0.5, 0.0, True))
+    _drain_batches(spark, WC.running_statistics(stream), tagger, "update")
     return K.latest_schema(spark.read.parquet(path)).select("subject", "schema")
 
 

@@ -14,6 +14,11 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Wide generated methods beyond the JIT's 8 KB limit run interpreted, so fall back before that.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Stateful operators keep several variables per key, which only this store offers; it also holds
+    # state beyond the memory of an executor.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -29,14 +34,18 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables, seen by the driver and all executors.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, a laptop) it is the
-    folder ``_scratch`` of the warehouse, which all executors reach as well.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset it is the folder ``_scratch`` of
+    the warehouse, if that is no local path or all of Spark runs on this machine; else it is an error.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF, None
     )
     if not configured:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        remote = "://" in warehouse and not warehouse.startswith("file:")
+        if not remote and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors reach")
+        configured = f"{warehouse}/_scratch"
         spark.conf.set(CHECKPOINT_CONF, configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

@@ -2,114 +2,134 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelight.operators import classify as C
-from tracelight.operators.detect import detect_messages, value_findings
-from tracelight.operators.fields import flatten, parse_json_lenient
+from tracelight.operators.detect import detect_messages
 from tracelight.operators.tagging import tag_catalog
 from tracelight.session import shared_folder
 
+# One row for each type of a field; the row without a type holds the messages of a topic.
+_NO_TYPE = ""
+_PARTS = "topic string, field_path string, pii_type string, n long, confidence_sum double, messages long, sample_values array<string>"
+RUNNING = (
+    "topic string, field_path string, pii_type string, type_count long, confidence_sum double, messages long, "
+    "sample_values array<string>"
+)
 
-class RunningClassification:
-    """``foreachBatch`` sink that merges each micro-batch into running statistics.
 
-    The statistics are three small tables: counts per field and type, messages per topic, and the ten
-    smallest values per field. They lie in two slots. A batch reads the slot of the batch before it and
-    overwrites the other, so what is read and stored does not grow with the number of batches. A
-    repeated batch starts from the same slot as its first attempt; nothing is counted twice.
-    """
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Findings summed up within each Arrow batch, so that a hot field sends few rows to its one key."""
+    key = ["topic", "field_path", "pii_type"]
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        sums = table.group_by(key).aggregate([("n", "sum"), ("confidence_sum", "sum"), ("messages", "sum"), ("value", "distinct")])
+        values = [sorted(v for v in vs if v)[: C.MAX_SAMPLES] for vs in sums.column("value_distinct").to_pylist()]
+        columns = [sums.column(c).combine_chunks() for c in (*key, "n_sum", "confidence_sum_sum", "messages_sum")]
+        names = [*key, "n", "confidence_sum", "messages", "sample_values"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.list_(pa.string()))], names=names)
 
-    def __init__(self, path: str, enabled: list[str] | None = None):
-        self.path, self.enabled = path.rstrip("/"), enabled
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = {slot: n for slot, n in self._held(spark).items() if n < batch_id}
-        old = max(held, key=held.get, default=None)
-        new = 0 if old is None else 1 - old
-        counts = value_findings(flatten(parse_json_lenient(batch)), self.enabled).persist()
-        try:
-            self._merge(C.merge_types(counts), "types", old, new, _sum_types)
-            self._merge(C.smallest_values(counts), "samples", old, new, _smallest)
-        finally:
-            counts.unpersist()
-        totals = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("total_samples"))
-        self._merge(totals, "totals", old, new, _sum_totals)
-        # Last, so that an interrupted batch leaves the slot of the batch before it as the latest.
-        done = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch"))
-        done.write.mode("overwrite").parquet(f"{self.path}/done/slot={new}")
-
-    def _merge(self, df: DataFrame, kind: str, old: int | None, new: int, merge: Callable[[DataFrame], DataFrame]) -> None:
-        if old is not None:
-            df = merge(df.unionByName(df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{kind}/slot={old}")))
-        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/slot={new}")
-
-    def _held(self, spark: SparkSession) -> dict[int, int]:
-        """The batch that each slot holds: two rows at most."""
-        try:
-            rows = spark.read.schema("batch long, slot int").parquet(f"{self.path}/done").collect()
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return {}
-        return {r["slot"]: r["batch"] for r in rows}
-
-    def _latest(self, spark: SparkSession, kind: str) -> DataFrame:
-        held = self._held(spark)
-        if not held:
-            raise ValueError(f"no batch has been stored in {self.path}")
-        return spark.read.parquet(f"{self.path}/{kind}/slot={max(held, key=held.get)}")
-
-    def totals(self, spark: SparkSession) -> DataFrame:
-        """Messages per topic so far."""
-        return self._latest(spark, "totals")
-
-    def classify(self, spark: SparkSession, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
-        """Classifications over everything seen so far; to be used before the next batch but one."""
-        stats, samples = self._latest(spark, "types"), self._latest(spark, "samples")
-        return C.classify_counts(stats, self.totals(spark), thresholds, samples)
-
-
-def _sum_types(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in ("type_count", "confidence_sum", "messages")]
-    return (
-        rows.groupBy("topic", "field_path", "pii_type").agg(*sums)
-        .withColumn("type_confidence", F.col("confidence_sum") / F.col("type_count"))
+class FieldStatistics(StatefulProcessor):
+    """State of one field of a topic: counts per type, and the ten smallest values found.
+
+    Both are bounded: there are twenty types, and values beyond the tenth are let go. After each batch
+    that touches the field, one row per type tells all there is of it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._types = handle.getMapState("types", "pii_type string", "type_count long, confidence_sum double, messages long")
+        self._samples = handle.getValueState("samples", "sample_values array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        types = {k[0]: tuple(v) for k, v in self._types.iterator()}
+        samples = set(self._samples.get()[0]) if self._samples.exists() else set()
+        changed = set()
+        for row in rows:
+            before = types.get(row.pii_type, (0, 0.0, 0))
+            types[row.pii_type] = (before[0] + row.n, before[1] + row.confidence_sum, before[2] + row.messages)
+            changed.add(row.pii_type)
+            samples.update(row.sample_values)
+        for name in changed:
+            self._types.updateValue((name,), types[name])
+        smallest = sorted(samples)[: C.MAX_SAMPLES]
+        self._samples.update((smallest,))
+        for name, (n, confidence, messages) in sorted(types.items()):
+            yield Row(
+                topic=key[0], field_path=key[1], pii_type=name, type_count=n, confidence_sum=confidence,
+                messages=messages, sample_values=smallest,
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def running_statistics(stream: DataFrame, enabled: list[str] | None = None) -> DataFrame:
+    """Statistics of all fields as a stream in update mode; the totals live in Spark's state store.
+
+    Each batch gives the fields that it touched, and the message counts of its topics, as they are
+    after it. ``running_state`` reads all of them from the checkpoint. Messages without a topic, and
+    findings without a path, are left out, as in the batch classification.
+    """
+    found = detect_messages(stream, enabled).select(
+        "topic", "field_path", "pii_type", F.lit(1).cast("long").alias("n"), F.col("confidence").alias("confidence_sum"),
+        (F.col("hit_no") == 1).cast("long").alias("messages"), "value",
+    )
+    one = F.lit(1).cast("long")
+    seen = stream.select(
+        "topic", F.lit(_NO_TYPE).alias("field_path"), F.lit(_NO_TYPE).alias("pii_type"), one.alias("n"),
+        F.lit(0.0).alias("confidence_sum"), one.alias("messages"), F.lit(None).cast("string").alias("value"),
+    )
+    parts = found.unionByName(seen).where("topic is not null and field_path is not null").mapInArrow(_parts, _PARTS)
+    return parts.groupBy("topic", "field_path").transformWithState(FieldStatistics(), RUNNING, "update", "none")
+
+
+def running_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All statistics after the last finished batch, from the state of the query with that checkpoint."""
+    # (types and values are two variables of one state)
+    state = spark.read.format("statestore").option("path", checkpoint)
+    types = state.option("stateVarName", "types").load().select(
+        "key.topic", "key.field_path", F.col("user_map_key.pii_type").alias("pii_type"), "user_map_value.*"
     )
+    samples = state.option("stateVarName", "samples").load().select("key.topic", "key.field_path", "value.sample_values")
+    return types.join(samples, ["topic", "field_path"], "left").select(*[c.split()[0] for c in RUNNING.split(", ")])
 
 
-def _sum_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("topic").agg(F.sum("total_samples").alias("total_samples"))
+def message_totals(rows: DataFrame) -> DataFrame:
+    """Messages per topic out of running statistics."""
+    return rows.where(F.col("pii_type") == _NO_TYPE).select("topic", F.col("type_count").alias("total_samples"))
 
 
-def _smallest(rows: DataFrame) -> DataFrame:
-    """One list of the ten smallest values out of two for each field."""
-    both = F.array_distinct(F.flatten(F.collect_list("sample_values")))
-    return rows.groupBy("topic", "field_path").agg(F.slice(F.array_sort(both), 1, C.MAX_SAMPLES).alias("sample_values"))
+def classify_running(rows: DataFrame, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
+    """Classifications out of running statistics: the state, or what one batch gave."""
+    stats = rows.where(F.col("pii_type") != _NO_TYPE)
+    samples = stats.groupBy("topic", "field_path").agg(F.min("sample_values").alias("sample_values"))
+    counts = stats.withColumn("type_confidence", F.col("confidence_sum") / F.col("type_count"))
+    return C.classify_counts(counts, message_totals(rows), thresholds, samples)
 
 
 class StreamTagger:
-    """``foreachBatch`` sink that tags the schema catalog from running classifications.
+    """``foreachBatch`` sink of ``running_statistics`` that tags the schema catalog.
 
-    The catalog gets a new version only where the annotation text changes.
+    A batch classifies the fields that it touched, by all that was seen of them so far. The catalog
+    gets a new version only where the annotation text changes, so a repeated batch adds nothing.
     """
 
-    def __init__(self, running: RunningClassification, catalog_path: str, thresholds: C.Thresholds = C.Thresholds()):
-        self.running, self.catalog_path, self.thresholds = running, catalog_path, thresholds
+    def __init__(self, catalog_path: str, thresholds: C.Thresholds = C.Thresholds()):
+        self.catalog_path, self.thresholds = catalog_path, thresholds
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        self.running(batch, batch_id)
-        cls = self.running.classify(spark, self.thresholds)
-        catalog = spark.read.parquet(self.catalog_path)
-        _, appended = tag_catalog(catalog, cls, only_changes=True)
-        # A few rows per changed schema; fixed before the append, as it reads the same folder.
         shared_folder(spark)
+        # a few rows per touched field; fixed, as the statistics are read more than once
+        cls = classify_running(batch.checkpoint(), self.thresholds)
+        _, appended = tag_catalog(spark.read.parquet(self.catalog_path), cls, only_changes=True)
+        # A few rows per changed schema; fixed before the append, as it reads the same folder.
         appended.checkpoint().write.mode("append").parquet(self.catalog_path)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelight.operators.ordering import CHUNK
 
@@ -102,28 +105,62 @@ def carry_streaks(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     return joined.select(*_PARTITION, streak.alias("streak"), longest.alias("longest"))
 
 
-class StreakMonitor:
-    """``foreachBatch`` sink that keeps the streak of every partition in a table.
+class StreakStatistics(StatefulProcessor):
+    """State of one topic partition: failures since its last success, the longest run, and events on hold.
 
-    Each batch writes its own folder, so a repeated batch replaces its earlier attempt.
+    An event is held until the watermark has passed it; then all held events up to there are counted in
+    the order of their offsets. So files and batches may come in any order within the watermark's delay.
     """
 
-    def __init__(self, path: str, threshold: int = 100):
-        self.path, self.threshold = path.rstrip("/"), threshold
-        self.tripped = False
-
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/batch={batch_id}"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._streak = handle.getValueState("streak", "streak long, longest long")
+        self._held = handle.getListState("held", "offset long, failed boolean, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(row.offset, row.failed, row.at) for row in rows]
+        self._held.appendList(new)
+        self._handle.registerTimer(max(at for _, _, at in new) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = list(self._held.get())
+        due = sorted((offset, failed) for offset, failed, at in held if at < mark)
+        if not due:
+            return
+        streak, longest = self._streak.get() if self._streak.exists() else (0, 0)
+        for _, failed in due:
+            streak = streak + 1 if failed else 0
+            longest = max(longest, streak)
+        self._streak.update((streak, longest))
+        rest = [e for e in held if e[2] >= mark]
+        self._held.put(rest) if rest else self._held.clear()
+        yield Row(topic=key[0], partition=key[1], streak=streak, longest=longest)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_streaks(events: DataFrame, threshold: int = 100, delay: str = "10 minutes") -> DataFrame:
+    """Streak and longest run of each partition as a stream in update mode, by event time.
+
+    ``events`` is a stream with topic, partition, offset, ``failed`` and ``timestamp``. A row comes whenever
+    the watermark lets events of its partition be counted; ``tripped`` marks runs of the threshold.
+    """
+    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    rows = timed.withWatermark("timestamp", delay).select(
+        *_PARTITION, "offset", "failed", "timestamp", F.unix_millis("timestamp").alias("at")
+    )
+    counted = rows.groupBy(*_PARTITION).transformWithState(
+        StreakStatistics(), "topic string, partition int, streak long, longest long", "update", "eventTime"
+    )
+    return counted.withColumn("tripped", F.col("longest") >= threshold)
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(self._folder(batch_id - 1)) if batch_id else None
-        carry_streaks(before, batch).write.mode("overwrite").parquet(self._folder(batch_id))
-        now = spark.read.parquet(self._folder(batch_id))
-        self.tripped = not now.where(F.col("longest") >= self.threshold).isEmpty()
 
-    def state(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """State after a batch."""
-        return spark.read.parquet(self._folder(batch_id)).withColumn(
-            "tripped", F.col("longest") >= self.threshold
-        )
+def streak_state(spark: SparkSession, checkpoint: str, threshold: int = 100) -> DataFrame:
+    """Streak and longest run of each partition from the state of a ``stream_streaks`` query, events on hold included."""
+    state = spark.read.format("statestore").option("path", checkpoint)
+    counted = state.option("stateVarName", "streak").load().select("key.*", "value.*")
+    held = state.option("stateVarName", "held").load().select("key.*", "list_element.offset", "list_element.failed")
+    return carry_streaks(counted, held).withColumn("tripped", F.col("longest") >= threshold)
