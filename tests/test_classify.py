@@ -83,12 +83,36 @@ def test_distinct_first_equals_finding_rows(field_rows, spark):
     assert sizes == sorted(sizes, reverse=True)
 
 
-def test_detection_shuffle_is_used_twice(field_rows, spark):
+def test_detection_stands_once_in_the_plan(field_rows, spark):
+    """Statistics and sample values come from one pass over the findings."""
     fields = field_rows([("email", "a@b.com")] * 3)
     for plan in (C.classify_fields(D.detect_fields(fields), total(spark, 3)), C.classify_values(fields, total(spark, 3))):
+        assert plan.count() == 1
         plan.collect()
         text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        assert "ReusedExchange" in text
+        assert sum("Generate posexplode" in line for line in text.splitlines()) == 1 and "Window" not in text
+
+
+def test_statistics_of_a_hot_field(spark):
+    """Many findings of one field become a row per type and task, with ten values at most."""
+    rows = spark.range(50_000).selectExpr(
+        "'t' as topic", "'f' as field_path", "if(id % 10 = 0, 'SSN', 'EMAIL') as pii_type", "lpad(id % 977, 4, '0') as value",
+        "1L as n", "0.5D as confidence_sum", "1L as messages",
+    ).repartition(6)
+    assert C.partial_statistics(rows).count() <= 12
+    found = {r["pii_type"]: r for r in C.statistics(rows).collect()}
+    assert (found["SSN"]["type_count"], found["EMAIL"]["type_count"], found["SSN"]["type_confidence"]) == (5000, 45000, 0.5)
+    assert found["EMAIL"]["sample_values"] == [f"{i:04d}" for i in range(10)]
+
+
+def test_many_fields_are_sent_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "_MOST_KEYS", 5)
+    rows = spark.range(300).selectExpr(
+        "'t' as topic", "concat('f', id % 30) as field_path", "'SSN' as pii_type", "cast(id as string) as value",
+        "2L as n", "1.0D as confidence_sum", "if(id % 2 = 0, 1L, 0L) as messages",
+    )
+    found = C.statistics(rows).collect()
+    assert len(found) == 30 and all((r["type_count"], r["confidence_sum"]) == (20, 10.0) for r in found)
 
 
 def test_summaries(spark):

@@ -138,14 +138,6 @@ def test_statistics_of_a_batch_hold_all_types_of_its_fields(spark, messages, tmp
     assert list(seen[2]) == [("", "")] and seen[2]["", ""]["type_count"] == 3
 
 
-def test_samples_and_partial_sums_are_bounded(spark):
-    rows = [("t", "f", "EMAIL", 1, 0.95, 1, f"{i % 50:03d}") for i in range(1000)]
-    df = spark.createDataFrame(rows, "topic string, field_path string, pii_type string, n long, confidence_sum double, messages long, value string")
-    parts = df.coalesce(1).mapInArrow(WC._parts, WC._PARTS).collect()
-    assert sum(r["n"] for r in parts) == 1000 and len(parts) < 5
-    assert all(r["sample_values"] == [f"{i:03d}" for i in range(10)] for r in parts)
-
-
 def test_windows(spark, messages, tmp_path):
     msgs = store(messages, str(tmp_path / "in"), 1)
     bound = C.Thresholds(0.7, 0.3, True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ from tracelight.operators.detect import value_findings
 from tracelight.operators.fields import MESSAGE_KEY
 from tracelight.schemas import HIGH_RISK, PII_TYPES, TYPE_NAMES, pii_types
 
-_FIELD = ["topic", "field_path"]
 MAX_SAMPLES = 10
+# Fields of one task that are summed up before they are sent on.
+_MOST_KEYS = 100_000
+# Groups that the partial sums of a hot field are merged in first.
+_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -24,79 +29,116 @@ class Thresholds:
     require_multiple: bool = True
 
 
-def value_counts(det: DataFrame) -> DataFrame:
-    """Findings per field, type and value: the one shuffle both branches below start from.
-
-    Equal values are merged before they leave their task, and the key holds the value, so a hot
-    field spreads over all reducers.
-    """
+def _weighted(det: DataFrame, slot: Sequence[str]) -> DataFrame:
+    """Findings with what each counts: itself, its confidence, and one message if it is the first of its field."""
     if "hit_no" not in det.columns:
         # Findings from outside: give one finding of each field and message the number 1.
-        per_field = Window.partitionBy(*MESSAGE_KEY, "field_path").orderBy("pii_type", "value")
+        key = list(dict.fromkeys([*slot, *MESSAGE_KEY, "field_path"]))
+        per_field = Window.partitionBy(*key).orderBy("pii_type", "value")
         det = det.withColumn("hit_no", F.row_number().over(per_field))
-    # Joins further up add these null filters to one branch only, which would split the shuffle.
-    det = det.where(F.col("topic").isNotNull() & F.col("field_path").isNotNull())
-    return det.groupBy(*_FIELD, "value", "pii_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("confidence").alias("confidence_sum"),
-        F.sum((F.col("hit_no") == 1).cast("long")).alias("messages"),
+    return det.select(
+        *slot,
+        "field_path",
+        "pii_type",
+        "value",
+        F.lit(1).cast("long").alias("n"),
+        F.col("confidence").alias("confidence_sum"),
+        (F.col("hit_no") == 1).cast("long").alias("messages"),
     )
 
 
-def type_stats(det: DataFrame) -> DataFrame:
-    """Count and mean confidence of each type in each field."""
-    return merge_types(value_counts(det)).select(
-        *_FIELD, "pii_type", "type_count", "type_confidence"
+def _summed(key: list[str]):
+    """Per task: sums and the smallest values of each key, whatever the number of findings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kinds: list[pa.DataType] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*held), kinds)]
+            sums = [pa.array(c) for c in zip(*(v[:3] for v in held.values()))]
+            values = pa.array([sorted(v[3])[:MAX_SAMPLES] for v in held.values()], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([*columns, *sums, values], names=[*key, *_SUMS, "sample_values"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in key]
+            sums = [(c, "sum") for c in ("n", "confidence_sum", "messages")]
+            # sums of the batch in Arrow; Python only sees one row for each key of it
+            table = pa.Table.from_batches([batch]).group_by(key).aggregate([*sums, ("value", "distinct")])
+            names = [*key, "n_sum", "confidence_sum_sum", "messages_sum", "value_distinct"]
+            for *own, n, confidence, messages, values in zip(*(table.column(c).to_pylist() for c in names)):
+                now = held.setdefault(tuple(own), [0, 0.0, 0, set()])
+                now[0] += n
+                now[1] += confidence
+                now[2] += messages
+                # an empty value is found, but shows nothing
+                now[3] = set(sorted({*now[3], *(v for v in values if v)})[:MAX_SAMPLES])
+            if len(held) > _MOST_KEYS:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    return run
+
+
+_SUMS = ("type_count", "confidence_sum", "messages")
+
+
+def partial_statistics(rows: DataFrame, slot: Sequence[str] = ("topic",)) -> DataFrame:
+    """Weighted findings (n, confidence_sum, messages, value) summed up within their task; see ``statistics``."""
+    key = [*slot, "field_path", "pii_type"]
+    known = rows.where(" and ".join(f"{k} is not null" for k in key)).select(*key, "value", "n", "confidence_sum", "messages")
+    kinds = ", ".join(f"{k} {known.schema[k].dataType.simpleString()}" for k in key)
+    return known.mapInArrow(
+        _summed(key), f"{kinds}, type_count long, confidence_sum double, messages long, sample_values array<string>"
     )
 
 
-def merge_types(counts: DataFrame) -> DataFrame:
-    """Value counts summed up to field and type."""
-    return (
-        counts.groupBy(*_FIELD, "pii_type")
-        .agg(
-            F.sum("n").alias("type_count"),
-            F.sum("confidence_sum").alias("confidence_sum"),
-            F.sum("messages").alias("messages"),
-        )
-        .withColumn("type_confidence", F.col("confidence_sum") / F.col("type_count"))
+def _smallest(lists: str) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))), 1, MAX_SAMPLES).alias("sample_values")
+
+
+def statistics(rows: DataFrame, slot: Sequence[str] = ("topic",)) -> DataFrame:
+    """Per field and type: findings, sum and mean of confidence, messages, and the ten smallest values.
+
+    All in one pass: weighted findings are summed up in their task, then in salted groups, then per
+    type. What is sent on has one row for each type of a field that a task has seen, with ten values
+    at most, so a field that holds most findings costs no more than any other. ``slot`` names the
+    columns that keep results apart: the topic, or topic and window.
+    """
+    key = [*slot, "field_path", "pii_type"]
+    parts = partial_statistics(rows, slot).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    merged = parts.groupBy(*key, "_salt").agg(*sums, _smallest("sample_values"))
+    return merged.groupBy(*key).agg(*sums, _smallest("sample_values")).withColumn(
+        "type_confidence", F.col("confidence_sum") / F.col("type_count")
     )
 
 
+def type_stats(det: DataFrame) -> DataFrame:
+    """Count and mean confidence of each type in each field."""
+    return statistics(_weighted(det, ["topic"])).select("topic", "field_path", "pii_type", "type_count", "type_confidence")
+
+
 def detection_counts(det: DataFrame, totals: DataFrame) -> DataFrame:
     """Messages with a finding in each field, and their share of all messages of the topic."""
-    fields = merge_types(value_counts(det)).groupBy(*_FIELD).agg(
-        F.sum("messages").alias("detection_count")
-    )
-    return _with_rate(fields, totals)
+    fields = statistics(_weighted(det, ["topic"])).groupBy("topic", "field_path").agg(F.sum("messages").alias("detection_count"))
+    return _with_rate(fields, totals, ["topic"])
 
 
-def _with_rate(fields: DataFrame, totals: DataFrame) -> DataFrame:
+def _with_rate(fields: DataFrame, totals: DataFrame, slot: Sequence[str]) -> DataFrame:
     rate = F.when(
         F.col("total_samples") > 0,
         F.least(F.lit(1.0), F.col("detection_count") / F.col("total_samples")),
     ).otherwise(0.0)
-    return fields.join(totals, "topic").withColumn("detection_rate", rate)
+    return fields.join(totals, list(slot)).withColumn("detection_rate", rate)
 
 
 def sample_values(det: DataFrame) -> DataFrame:
     """Up to ten distinct detected values of each field, the smallest ones in order."""
-    return smallest_values(value_counts(det))
-
-
-def smallest_values(counts: DataFrame) -> DataFrame:
-    """The ten smallest distinct values of each field out of its value counts."""
-    # A finding always has a count, so the filter drops nothing; naming all three counters keeps
-    # this branch on the very shuffle the statistics read, and Spark scans and detects only once.
-    # For the same reason an empty value is dropped late; it ranks first, hence one rank more.
-    rows = counts.where((F.col("n") > 0) & (F.col("confidence_sum") >= 0) & (F.col("messages") >= 0))
-    rank = F.dense_rank().over(Window.partitionBy(*_FIELD).orderBy("value"))
-    return (
-        rows.select(*_FIELD, "value", rank.alias("rank"))
-        .where((F.col("rank") <= MAX_SAMPLES + 1) & (F.col("value") != ""))
-        .groupBy(*_FIELD)
-        .agg(F.slice(F.array_sort(F.collect_set("value")), 1, MAX_SAMPLES).alias("sample_values"))
-    )
+    found = statistics(_weighted(det, ["topic"])).groupBy("topic", "field_path").agg(_smallest("sample_values"))
+    return found.where(F.size("sample_values") > 0)
 
 
 def _type_list() -> str:
@@ -114,15 +156,14 @@ def tags_of(types: str) -> Column:
 
 
 def classify_fields(
-    det: DataFrame, totals: DataFrame, thresholds: Thresholds = Thresholds()
+    det: DataFrame, totals: DataFrame, thresholds: Thresholds = Thresholds(), slot: Sequence[str] = ("topic",)
 ) -> DataFrame:
     """One row per field whose findings pass the thresholds (all bounds inclusive).
 
     ``totals`` gives the sampled messages per topic, undecodable ones included. The detection rate
     counts messages with any finding in the field; the confidence bound applies per type.
     """
-    counts = value_counts(det)
-    return classify_counts(merge_types(counts), totals, thresholds, smallest_values(counts))
+    return classify_counts(statistics(_weighted(det, slot), slot), totals, thresholds, slot)
 
 
 def classify_values(
@@ -131,40 +172,42 @@ def classify_values(
     thresholds: Thresholds = Thresholds(),
     enabled: list[str] | None = None,
 ) -> DataFrame:
-    """``classify_fields`` straight from field rows, for the built-in patterns: each distinct value
-    is searched once and weighted by its count."""
-    counts = value_findings(fields, enabled)
-    return classify_counts(merge_types(counts), totals, thresholds, smallest_values(counts))
+    """``classify_fields`` straight from field rows, for the built-in patterns.
+
+    Values that may hold a finding are counted first; each distinct value is searched once and
+    weighted by its count.
+    """
+    return classify_counts(statistics(value_findings(fields, enabled)), totals, thresholds)
 
 
 def classify_counts(
-    stats: DataFrame, totals: DataFrame, thresholds: Thresholds, samples: DataFrame
+    stats: DataFrame, totals: DataFrame, thresholds: Thresholds = Thresholds(), slot: Sequence[str] = ("topic",)
 ) -> DataFrame:
-    """The thresholds applied to statistics per field and type (type_count, type_confidence,
-    messages), for callers that keep such statistics over time."""
+    """The thresholds applied to ``statistics``, also to those that a caller keeps over time."""
     # Means of sums of decimal fractions: compare without the last bits of the float sum.
     accepted = F.round("type_confidence", 9) >= thresholds.confidence
     ordinal = F.expr(f"array_position({_type_list()}, pii_type)")
     valid = F.when(accepted, F.struct(ordinal.alias("o"), F.col("pii_type").alias("t")))
-    fields = stats.groupBy(*_FIELD).agg(
+    fields = stats.groupBy(*slot, "field_path").agg(
         F.sum("messages").alias("detection_count"),
         F.avg(F.when(accepted, F.col("type_confidence"))).alias("confidence"),
         # At most one entry per type.
         F.array_sort(F.collect_list(valid)).alias("valid"),
+        _smallest("sample_values"),
     )
     wanted = (F.size("valid") > 0) & (F.col("detection_rate") >= thresholds.min_rate)
     if thresholds.require_multiple:
         wanted = wanted & (F.col("detection_count") >= 2)
-    passed = _with_rate(fields, totals).where(wanted)
-    return passed.join(samples, _FIELD, "left").select(
-        *_FIELD,
+    return _with_rate(fields, totals, slot).where(wanted).select(
+        *slot,
+        "field_path",
         F.col("valid.t").alias("pii_types"),
         tags_of("valid.t").alias("tags"),
         "confidence",
         "detection_count",
         "total_samples",
         "detection_rate",
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        "sample_values",
     )
 
 

@@ -67,13 +67,11 @@ def value_findings(fields: DataFrame, enabled: list[str] | None = None) -> DataF
 
     A finding depends on the field path and the value only. Values that may hold one are counted
     first, equal ones already within their task, and the patterns run on distinct values only. The
-    result has the shape of ``classify.value_counts`` without a second shuffle.
+    result is what ``classify.statistics`` sums up.
     """
     enabled = CORE_TYPES if enabled is None else enabled
     rows = fields.select("topic", "field_path", F.expr(patterns.strip("value")).alias("value"))
     values = (
-        # Joins of the callers add the null filters to one branch only; stated here, all branches
-        # read one shuffle.
         rows.where("topic is not null and field_path is not null")
         .where(patterns.may_hold_pii("field_path", "value"))
         .groupBy("topic", "field_path", "value")

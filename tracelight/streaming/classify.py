@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,25 +15,12 @@ from tracelight.session import shared_folder
 
 # One row for each type of a field; the row without a type holds the messages of a topic.
 _NO_TYPE = ""
-_PARTS = "topic string, field_path string, pii_type string, n long, confidence_sum double, messages long, sample_values array<string>"
 RUNNING = (
     "topic string, field_path string, pii_type string, type_count long, confidence_sum double, messages long, "
     "sample_values array<string>"
 )
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Findings summed up within each Arrow batch, so that a hot field sends few rows to its one key."""
-    key = ["topic", "field_path", "pii_type"]
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        sums = table.group_by(key).aggregate([("n", "sum"), ("confidence_sum", "sum"), ("messages", "sum"), ("value", "distinct")])
-        values = [sorted(v for v in vs if v)[: C.MAX_SAMPLES] for vs in sums.column("value_distinct").to_pylist()]
-        columns = [sums.column(c).combine_chunks() for c in (*key, "n_sum", "confidence_sum_sum", "messages_sum")]
-        names = [*key, "n", "confidence_sum", "messages", "sample_values"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.list_(pa.string()))], names=names)
-
-
 class FieldStatistics(StatefulProcessor):
     """State of one field of a topic: counts per type, and the ten smallest values found.
 
@@ -52,7 +38,7 @@ class FieldStatistics(StatefulProcessor):
         changed = set()
         for row in rows:
             before = types.get(row.pii_type, (0, 0.0, 0))
-            types[row.pii_type] = (before[0] + row.n, before[1] + row.confidence_sum, before[2] + row.messages)
+            types[row.pii_type] = (before[0] + row.type_count, before[1] + row.confidence_sum, before[2] + row.messages)
             changed.add(row.pii_type)
             samples.update(row.sample_values)
         for name in changed:
@@ -85,7 +71,7 @@ def running_statistics(stream: DataFrame, enabled: list[str] | None = None) -> D
         "topic", F.lit(_NO_TYPE).alias("field_path"), F.lit(_NO_TYPE).alias("pii_type"), one.alias("n"),
         F.lit(0.0).alias("confidence_sum"), one.alias("messages"), F.lit(None).cast("string").alias("value"),
     )
-    parts = found.unionByName(seen).where("topic is not null and field_path is not null").mapInArrow(_parts, _PARTS)
+    parts = C.partial_statistics(found.unionByName(seen))  # so a hot field sends few rows to its one key
     return parts.groupBy("topic", "field_path").transformWithState(FieldStatistics(), RUNNING, "update", "none")
 
 
@@ -108,9 +94,8 @@ def message_totals(rows: DataFrame) -> DataFrame:
 def classify_running(rows: DataFrame, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
     """Classifications out of running statistics: the state, or what one batch gave."""
     stats = rows.where(F.col("pii_type") != _NO_TYPE)
-    samples = stats.groupBy("topic", "field_path").agg(F.min("sample_values").alias("sample_values"))
     counts = stats.withColumn("type_confidence", F.col("confidence_sum") / F.col("type_count"))
-    return C.classify_counts(counts, message_totals(rows), thresholds, samples)
+    return C.classify_counts(counts, message_totals(rows), thresholds)
 
 
 class StreamTagger:
@@ -160,12 +145,12 @@ def monitor_stream(
     )
 
 
+_SLOT = ["topic", "window_start"]
+
+
 def classify_closed(counts: DataFrame, totals: DataFrame, thresholds: C.Thresholds = C.Thresholds()) -> DataFrame:
     """Classifications per closed window from the stored statistics of ``monitor_stream``."""
-    slot = F.struct("topic", "window_start")
-    found = counts.withColumn("topic", slot)
-    seen = totals.select(slot.alias("topic"), "total_samples")
-    return _split_slot(C.classify_counts(C.merge_types(found), seen, thresholds, C.smallest_values(found)))
+    return C.classify_counts(C.statistics(counts, _SLOT), totals, thresholds, _SLOT)
 
 
 def classify_windows(
@@ -175,13 +160,6 @@ def classify_windows(
     enabled: list[str] | None = None,
 ) -> DataFrame:
     """Classifications per event-time window of a message table."""
-    slotted = _in_window(msgs, interval).withColumn(
-        "topic", F.struct("topic", F.col("window.start").alias("window_start"))
-    )
-    totals = slotted.groupBy("topic").agg(F.count(F.lit(1)).alias("total_samples"))
-    return _split_slot(C.classify_fields(detect_messages(slotted, enabled), totals, thresholds))
-
-
-def _split_slot(cls: DataFrame) -> DataFrame:
-    rest = [c for c in cls.columns if c != "topic"]
-    return cls.select("topic.topic", "topic.window_start", *rest)
+    slotted = _in_window(msgs, interval).withColumn("window_start", F.col("window.start"))
+    totals = slotted.groupBy(*_SLOT).agg(F.count(F.lit(1)).alias("total_samples"))
+    return C.classify_fields(detect_messages(slotted, enabled, keep=["window_start"]), totals, thresholds, _SLOT)
