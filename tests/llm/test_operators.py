@@ -34,7 +34,6 @@ class TestAgainstBruteForce:
         return [] if rows == "none" else request.getfixturevalue(rows)
 
     def test_repeats(self, frame, data):
-        data = [(i, t if t is None else t[:20_000]) for i, t in data]
         result = remove_repeats(frame(data), with_bytes=True)
         assert got(result, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.remove_repeats(data, 200)
         assert all(brute.sha(bytes(r.kept)) == r.kept_sha256 for r in result.collect())
@@ -45,7 +44,6 @@ class TestAgainstBruteForce:
         assert all(brute.sha(r.kept) == r.kept_sha256 for r in result.collect())
 
     def test_simhash(self, frame, data):
-        data = [(i, t if t is None else t[:20_000]) for i, t in data]
         result = link_documents(frame(data))
         assert got(result, "doc_id", "fingerprint", "component_id") == brute.linked(data)
 
@@ -114,6 +112,39 @@ def test_many_random_texts(spark):
     assert found == brute.remove_passages(rows, 4)
 
 
+@pytest.mark.parametrize("width", [200, 1500, 5000])
+def test_wide_windows(spark, width):
+    """Passages planted in two documents each, somewhat longer than the window."""
+    rng = np.random.default_rng(width)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = []
+    for i in range(12):
+        passage = letters(width + 37)
+        rows += [(2 * i, letters(3000) + passage + letters(100)), (2 * i + 1, letters(50) + passage + letters(2000))]
+    rows.append((99, letters(9000)))
+    result = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=width)
+    found = {r.doc_id: r.n_removed for r in result.collect()}
+    assert found.pop(99) == 0 and all(n >= width + 37 for n in found.values())
+    assert sorted(found.values())[len(found) // 2] < width + 45
+
+
+def test_lines_and_words_whose_hashes_collide(frame):
+    """Thue-Morse lines and their complement have equal polynomial hashes, but are no repeats."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one}\n{other}"), (2, f"w x y z {one} w x y z {other}"), (3, f"{one}\n{other}\n{one}\n{other}"), (4, f"w x y z {one} w x y z {one}")]
+    found = judge_quality(frame(rows), frame(rows).selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    assert got(found, "row.doc_id", "n_dup_lines", "n_repeat_words") == [(1, 0, 0), (2, 0, 0), (3, 2, 0), (4, 0, 10)]
+
+
+def test_rare_languages_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    few = docs.filter("lang = 'en'").limit(400).unionByName(docs.filter("lang = 'fr'").limit(9))
+    found = [r for r in identify_documents(few).collect()]
+    french = {r.doc_id for r in few.filter("lang = 'fr'").collect()}
+    assert len(french) == 9 and all(r.kept and r.lang == "fr" for r in found if r.owner in french)
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 3000).astype(np.uint8)

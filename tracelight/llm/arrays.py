@@ -145,8 +145,10 @@ def anchors(grams: np.ndarray, offsets: np.ndarray, width: int, k: int):
     empty = np.zeros(0, np.int64)
     if n < span:
         return empty, empty, empty, empty
+    # the order of the whole hashes, then the place: equal windows choose alike in every block
+    order = np.unique(grams, return_inverse=True)[1].astype(U64)
     bits = U64(max(1, int(n).bit_length()))
-    least = (grams >> bits << bits) | np.arange(n, dtype=U64)
+    least = (order << bits) | np.arange(n, dtype=U64)
     size = 1
     while 2 * size <= span:
         least = np.minimum(least[:-size], least[size:])

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from tracelight.llm import arrays as A
 from tracelight.llm.tables import row_keyed, stored
 
-#: Rows that have to declare a language.
+#: Rows whose declaration is enough for a language. One that fewer declare, two at least, is a language if its
+#: rows agree: of their trigrams at least this share is found in two or more of them.
 MIN_SUPPORT = 10
+MIN_SHARED = 0.5
 #: More declared languages than this are an error: their counts would not fit the tasks.
 MAX_LANGUAGES = 256
 BUCKET_BITS = 15
@@ -49,13 +52,44 @@ def _trigrams(block: pa.RecordBatch):
     return buckets, np.searchsorted(offsets, first, "right") - 1, [data[first + i] for i in range(_GRAM)]
 
 
+class LanguageWarning(UserWarning):
+    """Some declared values are no languages of the model, as too few rows or no like rows declare them."""
+
+
+def _own_trigrams(batches):
+    """Each trigram bucket of a row once, with its count."""
+    for block in A.blocks(batches):
+        buckets, doc, _ = _trigrams(block)
+        pair, times = np.unique(doc << BUCKET_BITS | buckets, return_counts=True)
+        declared = block.column("declared").take(pa.array(pair >> BUCKET_BITS))
+        columns = [declared, pa.array(pair & ((1 << BUCKET_BITS) - 1)), pa.array(times)]
+        yield pa.RecordBatch.from_arrays(columns, names=["declared", "bucket", "n"])
+
+
 def declared_languages(rows: DataFrame, min_support: int = MIN_SUPPORT) -> tuple[str, ...]:
-    """The values of ``declared`` that at least ``min_support`` rows have, in order."""
-    counts = rows.filter("declared <> ''").groupBy("declared").count().filter(F.col("count") >= min_support)
-    found = sorted(r.declared for r in counts.limit(MAX_LANGUAGES + 1).collect())
+    """The values of ``declared`` that are languages, in order; a ``LanguageWarning`` names the others.
+
+    A value is one if ``min_support`` rows have it, or if two or more have it and are alike.
+    """
+    counts = rows.filter("declared <> ''").groupBy("declared").count()
+    found = {r.declared for r in counts.filter(F.col("count") >= min_support).limit(MAX_LANGUAGES + 1).collect()}
+    # the rarer ones have fewer rows than ``min_support`` each
+    rare = counts.filter((F.col("count") < min_support) & (F.col("count") >= 2)).select("declared")
+    trigrams = rows.select("text", "declared").join(rare, "declared").mapInArrow(_own_trigrams, "declared string, bucket long, n long")
+    shared = (
+        trigrams.groupBy("declared", "bucket")
+        .agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+        .groupBy("declared")
+        .agg((F.sum(F.when(F.col("rows") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    )
+    found |= {r.declared for r in shared.filter(F.col("share") >= MIN_SHARED).limit(MAX_LANGUAGES + 1).collect()}
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} declared languages")
-    return tuple(found)
+    odd = counts.filter(~F.col("declared").isin(*found)) if found else counts
+    left = [r.declared for r in odd.orderBy("declared").limit(20).collect()]
+    if left:
+        warnings.warn(f"declared by too few rows, or by rows that share nothing: {left}", LanguageWarning, stacklevel=2)
+    return tuple(sorted(found))
 
 
 def _count(languages: tuple[str, ...]):

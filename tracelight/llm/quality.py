@@ -86,7 +86,21 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     return share(trusted) - share(raw)
 
 
-def _repeated(hashes, offsets):
+def _same_as_before(look, doc) -> np.ndarray:
+    same = np.zeros(len(look), bool)
+    same[1:] = (look[1:] == look[:-1]) & (doc[1:] == doc[:-1])
+    return same
+
+
+def _spellings(data, starts, ends, at) -> np.ndarray:
+    """A number for each of the stretches named by ``at``: the same where the bytes are the same."""
+    known: dict[bytes, int] = {}
+    one, which = np.unique(at, return_inverse=True)
+    number = [known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+    return np.array(number, np.int64)[which]
+
+
+def _repeated(data, starts, ends, hashes, offsets):
     """Words inside windows that their document has twice or more."""
     first = A.whole_windows(offsets, REPEAT_WORDS)
     grams = A.PrefixHash(hashes).grams(REPEAT_WORDS)
@@ -95,10 +109,15 @@ def _repeated(hashes, offsets):
     doc = np.searchsorted(offsets, first, "right") - 1
     window = grams[first]
     order = np.lexsort((window, doc))
-    same = (window[order][1:] == window[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    # hashes name candidates; within one hash the words are compared, by the numbers of their spellings
+    group = _same_as_before(window[order], doc[order])
+    at = np.flatnonzero(group | np.append(group[1:], False))
+    word = first[order[at]][:, None] + np.arange(REPEAT_WORDS)
+    spelled = _spellings(data, starts, ends, word.reshape(-1)).reshape(-1, REPEAT_WORDS)
+    key = np.column_stack([doc[order[at]], spelled])
+    _, which, times = np.unique(key, axis=0, return_inverse=True, return_counts=True)
     twice = np.zeros(len(first), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
+    twice[order[at]] = times[which.reshape(-1)] > 1
     return A.covered(len(hashes), first[twice], first[twice] + REPEAT_WORDS)
 
 
@@ -113,10 +132,14 @@ def _repeated_lines(data, bytes_at, inside):
     doc = A.owners(lines)
     words = np.append(0, np.cumsum(inside))
     full = words[ends] > words[starts]
+    line = np.flatnonzero(full)
     doc, look = doc[full], A.word_hashes(data, starts, ends)[full]
     order = np.lexsort((look, doc))
-    same = (look[order][1:] == look[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    return np.bincount(doc[order][1:][same], minlength=n_docs)
+    group = _same_as_before(look[order], doc[order])
+    at = order[np.flatnonzero(group | np.append(group[1:], False))]
+    # of equal lines of a document all but one count; equal hashes alone do not
+    spelled = np.unique(np.column_stack([doc[at], _spellings(data, starts, ends, line[at])]), axis=0)
+    return np.bincount(doc[at], minlength=n_docs) - np.bincount(spelled[:, 0], minlength=n_docs)
 
 
 def _score(ratio: np.ndarray, min_score: float):
@@ -125,7 +148,7 @@ def _score(ratio: np.ndarray, min_score: float):
             n = block.num_rows
             per_doc = lambda flags, at: np.diff(np.append(0, np.cumsum(flags))[at])
             n_words = np.diff(offsets)
-            repeat = per_doc(_repeated(hashes, offsets), offsets)
+            repeat = per_doc(_repeated(data, starts, ends, hashes, offsets), offsets)
             buckets, doc = gram_buckets(hashes, offsets)
             grams = np.bincount(doc, minlength=n)
             score = np.bincount(doc, weights=ratio[buckets], minlength=n) / np.maximum(grams, 1)

@@ -65,18 +65,22 @@ def units(texts: pa.Array, words: bool) -> Units:
     return Units(spaced, offsets, at[:-1] + shift, at[1:] + shift, values)
 
 
-def packed(first, anchor, last):
-    return (first << 20) | ((anchor - first) << 10) | (last - first)
+def shaped(before, more):
+    """Units before the anchor and windows after the first as one number; each may be up to 2**31."""
+    return (before << 31) | more
 
 
-def unpacked(at):
-    first = at >> 20
-    return first, first + ((at >> 10) & 1023), first + (at & 1023)
+def before_of(shape):
+    return shape >> 31
+
+
+def more_of(shape):
+    return shape & ((1 << 31) - 1)
 
 
 _KNOWN = 1 << 62  # in ``at``: the block has this anchor more than once
 _DEALT = 1021
-_ANCHORS = "h long, rid long, at long"
+_ANCHORS = "h long, rid long, at long, shape long"  # at: the first window
 _PIECES = "h long, shape long, who binary, piece binary"
 SPANS = "rid long, first long, last long"
 
@@ -85,7 +89,7 @@ class Pieces(NamedTuple):
     """Pieces of whole groups, and the rows that have them."""
 
     h: np.ndarray
-    shape: np.ndarray  # anchor - first window << 10 | last window - first window
+    shape: np.ndarray  # place of the anchor in the first window, and windows after it
     data: np.ndarray
     ends: np.ndarray
     member: np.ndarray  # piece of each row
@@ -156,9 +160,9 @@ def _anchor_rows(scheme: Scheme):
             known = times[same] > 1
             salt = np.where(known, 1 + rid % _DEALT, 0)
             salt[one] = 0
-            at = packed(first - start, anchor - start, last - start) | np.where(known, _KNOWN, 0)
-            columns = [h.view(np.int64), rid, at, salt]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "rid", "at", "salt"])
+            at = (first - start) | np.where(known, _KNOWN, 0)
+            columns = [h.view(np.int64), rid, at, shaped(anchor - first, last - first), salt]
+            yield _batch(columns, ["h", "rid", "at", "shape", "salt"])
 
     return run
 
@@ -193,17 +197,18 @@ def _recurring(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, rid, at = (batch.column(c).to_numpy() for c in ("h", "rid", "at"))
+        names = ["h", "rid", "at", "shape"]
+        h, rid, at, shape = (batch.column(c).to_numpy() for c in names)
         keep = (at & _KNOWN) != 0
         same = h[1:] == h[:-1]
         keep[1:] |= same
         keep[:-1] |= same
-        rows = [h, rid, at & ~_KNOWN]
+        rows = [h, rid, at & ~_KNOWN, shape]
         if held is not None and held[0][0] == h[0]:
             keep[0] = True
-            if not held[3]:
-                yield _batch([c for c in held[:3]], ["h", "rid", "at"])
-        yield _batch([c[keep] for c in rows], ["h", "rid", "at"])
+            if not held[4]:
+                yield _batch(list(held[:4]), names)
+        yield _batch([c[keep] for c in rows], names)
         held = (*[c[-1:] for c in rows], keep[-1])
 
 
@@ -221,13 +226,12 @@ def _pieces(scheme: Scheme):
             if not counts.sum():
                 continue
             inner = asked.flatten()
-            h, at = inner.field("h").to_numpy(), inner.field("at").to_numpy()
+            h, first, shape = (inner.field(c).to_numpy() for c in ("h", "at", "shape"))
             doc = np.repeat(np.arange(block.num_rows), counts)
             u = units(block.column("text"), scheme.words)
-            first, _, last = unpacked(at)
             start = u.offsets[doc]
-            begin, end = u.starts[first + start], u.ends[last + start + scheme.width - 1]
-            copy_of, one = distinct_pieces(u.data, begin, end, h, at & 0xFFFFF)
+            begin, end = u.starts[first + start], u.ends[first + more_of(shape) + start + scheme.width - 1]
+            copy_of, one = distinct_pieces(u.data, begin, end, h, shape)
             owner = block.column("owner").fill_null(NOBODY).to_numpy()
             order = np.argsort(copy_of, kind="stable")
             who = np.stack([block.column("rid").to_numpy()[doc], owner[doc], first], axis=1)[order].reshape(-1)
@@ -236,7 +240,7 @@ def _pieces(scheme: Scheme):
             texts = slices(u.data, begin[one], end[one])
             for i in range(0, len(one), 20_000):
                 some = slice(i, i + 20_000)
-                columns = [h[one][some], (at & 0xFFFFF)[one][some], lists[some], texts[some]]
+                columns = [h[one][some], shape[one][some], lists[some], texts[some]]
                 yield _batch(columns, ["h", "shape", "who", "piece"])
 
     return run
@@ -251,8 +255,8 @@ def repeated_spans(keyed: DataFrame, scheme: Scheme, judge: Callable) -> DataFra
     anchors = keyed.select("rid", "owner", "text").mapInArrow(_anchor_rows(scheme), f"{_ANCHORS}, salt long")
     dealt = anchors.repartition("h", "salt").drop("salt").sortWithinPartitions("h")
     met = dealt.mapInArrow(_recurring, _ANCHORS)
-    asked = met.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
-    empty = F.array().cast("array<struct<h:bigint,at:bigint>>")
+    asked = met.groupBy("rid").agg(F.collect_list(F.struct("h", "at", "shape")).alias("asked"))
+    empty = F.array().cast("array<struct<h:bigint,at:bigint,shape:bigint>>")
     pieces = (
         keyed.join(asked, "rid", "left")
         .select("rid", "owner", "text", F.coalesce("asked", empty).alias("asked"))

@@ -84,7 +84,7 @@ def _judge(width: int):
         for table in R.whole_groups(batches):
             p = R.pieces_of(table)
             copy_of, one = R.distinct_pieces(p.data, p.ends[:-1], p.ends[1:], p.h, p.shape)
-            before, count = p.shape[one] >> 10, (p.shape[one] & 1023) + 1
+            before, count = R.before_of(p.shape[one]), R.more_of(p.shape[one]) + 1
             dup, base = _repeated_windows(p.data, p.ends[one], p.h[one], before, count, width)
             text = copy_of[p.member]
             dup |= np.repeat(np.bincount(text, minlength=len(one)) > 1, count)
@@ -110,7 +110,7 @@ def _repeated_windows(data, begin, h, before, count, width) -> tuple[np.ndarray,
     at = begin[piece[shared]] + place[shared]
     offset = before[piece[shared]] - place[shared]  # of the anchor in the window
     suffixes = Suffixes(data, width)
-    order, key = suffixes.sort(at, group[piece[shared]] * 2048 + offset + 1024)
+    order, key = suffixes.sort(at, group[piece[shared]] * (width + 1) + offset)
     x, y = at[order[:-1]], at[order[1:]]
     pair = np.flatnonzero(key[1:] == key[:-1])
     pair = pair[suffixes.extension(x[pair], y[pair]) == width]

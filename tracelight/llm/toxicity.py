@@ -381,7 +381,7 @@ def fit_toxicity(
         _training_rows(features, Swaps(terms)),
         "toxic int, size long, own binary, own_value binary, swapped binary, swapped_value binary",
     )
-    rows = stored(described.repartition(_PARTS, F.xxhash64("own", "own_value", "size")), "training")
+    rows = stored(described.repartition(_PARTS), "training")
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         parts = rows.mapInArrow(_loss(x, counterfactual), "loss double, slope binary").collect()
