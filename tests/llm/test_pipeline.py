@@ -26,6 +26,13 @@ def test_stages(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, shards.collect()))
 
 
+def test_columns_with_dots(spark, frame, odd):
+    docs = frame(odd[:25]).select("doc_id", "text", "lang", "source", "n_chars", "h").withColumnRenamed("h", "a.b")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns[-1] == "a.b" and {r["a.b"] for r in docs.collect()} == {"x"}
+
+
 def test_odd_rows(spark, frame, odd):
     docs = frame(odd).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in P.STAGES:

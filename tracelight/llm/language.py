@@ -250,8 +250,12 @@ def identify_documents(
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is found, columns as they are but ``lang``, which is the language found."""
-    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    """The documents whose language is found, columns as they are but ``lang``, which is the language found.
+
+    Columns may have any names. Rows are judged each for itself: ids may be null or repeat. Null, empty and
+    blank texts have no letters and go. An empty table gives an empty result.
+    """
+    rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     found = identify_documents(rows, keep=["_row"]).filter("kept")
-    columns = [F.col("lang") if c == "lang" else F.col(f"_row.{c}").alias(c) for c in docs.columns]
+    columns = [F.col("lang") if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return found.select(*columns)

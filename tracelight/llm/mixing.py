@@ -1,8 +1,8 @@
 """Document rates that bring a corpus to target domain weights (soft-membership mixing).
 
 A classifier fitted on the labelled documents gives each document a posterior over the domains. The
-expected tokens of a domain are the sum over documents of rate * tokens * posterior. Of the rates, none
-negative, whose expected domain tokens come closest to the targets, those nearest to 1 are found.
+expected tokens of a domain are the sum over documents of rate * tokens * posterior. Rates, none negative,
+whose expected domain tokens match the targets are found by distributed projected-gradient least squares.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.llm.tables import row_keyed, stored
@@ -30,8 +30,9 @@ SMOOTHING = 20_000.0
 EVIDENCE = 60.0
 #: Largest miss of a domain, as a share of the goal's tokens, with which the targets count as met.
 TOLERANCE = 1e-4
-#: Weights of the rates' distance from 1 against the miss: the first, and the last if the targets are not met before.
-PENALTY, LEAST_PENALTY = 1e-7, 1e-13
+#: Share of a full step below which a step is given up, and least fall of the miss, as a share of it, with which
+#: descent goes on.
+SHORTEST_STEP, LEAST_PROGRESS = 1e-4, 1e-6
 
 
 def _words(rows: DataFrame, *keep: str) -> DataFrame:
@@ -120,18 +121,18 @@ def solve_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> Fit:
     """``soft`` (rid, tokens, p0, ...) with the column ``rate``, and what the rates bring about.
 
     The targets are shares of a total that leaves the domain of largest target its own tokens, so
-    documents of that domain keep rates near 1. The rates are those projected gradient descent from
-    rate 1 tends to: 1 less a weighted sum of the document's domain tokens, at least 0. There is one
-    weight per domain; Newton steps with line search raise the concave dual over them, so a step needs
-    only sums over all documents, and neither steps nor rates are bounded. Documents without tokens
-    keep rate 1.
+    documents of that domain keep rates near 1. Projected gradient descent on the squared miss, from
+    rate 1: each step takes from a document's rate its domain tokens times one weight per domain, and
+    cuts at 0. The weights are the miss in the metric of the documents that still have a positive rate
+    (their Gram matrix), and a step is halved until the miss falls. So a step needs only sums over all
+    documents, and neither rates nor steps are bounded; descent ends once the targets are met, or once
+    no step lowers the miss any more. Documents without tokens keep rate 1.
     """
     n = len(targets)
     part = [F.col("tokens") * F.col(f"p{k}") for k in range(n)]
     sums = soft.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"),
         *[F.sum(p).alias(f"t{k}") for k, p in enumerate(part)],
-        *[F.coalesce(F.sum(p * p), F.lit(0.0)).alias(f"g{k}") for k, p in enumerate(part)],
     ).first()
     whole = float(sums["all"])
     if not whole:
@@ -140,41 +141,43 @@ def solve_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> Fit:
     # the total is what leaves the domain of largest target its own tokens
     first = int(share.argmax())
     goal = share * (sums[f"t{first}"] or whole) / share[first]
-    # domains measured in units in which their tokens have length 1
-    unit = np.sqrt(np.maximum([sums[f"g{k}"] for k in range(n)], 1e-12))
 
-    def rate(y: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), reduce(lambda a, b: a - b, [p * float(w) for p, w in zip(part, y / unit)], F.lit(1.0)))
-
-    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Sum of squared rates, expected tokens, and the Gram matrix of the documents of positive rate."""
+    def measured(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens, and the Gram matrix of the documents of positive rate."""
         x = F.col("rate")
         pairs = [F.when(x > 0, part[i] * part[j]).otherwise(0.0) for i in range(n) for j in range(n)]
-        got = soft.withColumn("rate", rate(y)).agg(*map(F.sum, [x * x, *[x * p for p in part], *pairs])).first()
-        return got[0], np.array(got[1 : n + 1], float), np.array(got[n + 1 :], float).reshape(n, n)
-
-    y, penalty, before = np.zeros(n), PENALTY, np.inf
-    squares, expected, gram = at(y)
-    while True:
-        slope = (expected - goal) / unit - penalty * y
-        miss = np.abs(expected - goal).max()
-        if np.abs(slope * unit).max() <= TOLERANCE / 100 * goal.sum():
-            if miss <= TOLERANCE * goal.sum() or penalty <= LEAST_PENALTY or miss > 0.99 * before:
-                break
-            penalty, before = penalty / 100, miss
-            continue
-        step = np.linalg.solve(gram / np.outer(unit, unit) + penalty * np.eye(n), slope)
-        value = lambda s, v: -s / 2 - goal / unit @ v - penalty / 2 * v @ v  # noqa: B023, E731
-        length, now = 1.0, value(squares, y)
-        while length > 1e-6:
-            there = at(y + length * step)
-            if value(there[0], y + length * step) >= now + 1e-4 * length * (slope @ step):
+        got = rows.agg(*map(F.sum, [*[x * p for p in part], *pairs])).first()
+        return np.array(got[:n], float), np.array(got[n:], float).reshape(n, n)
+
+    rows = soft.withColumn("rate", F.lit(1.0))
+    expected, gram = measured(rows)
+    metric = _inverse(gram)
+    miss = float((expected - goal) @ metric @ (expected - goal))
+    # what no weights of the domains can change is not in this metric: where nothing else is left, descent ends too
+    least = 1e-14 * float(goal @ metric @ goal)
+    while np.abs(expected - goal).max() > TOLERANCE / 10 * goal.sum() and miss > least:
+        slope, length = _inverse(gram) @ (expected - goal), 1.0
+        while length > SHORTEST_STEP:
+            less = reduce(lambda a, b: a + b, [p * float(length * w) for p, w in zip(part, slope, strict=True)])
+            moved = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - less))
+            there, gram_there = measured(moved)
+            now = float((there - goal) @ metric @ (there - goal))
+            if now <= miss * (1 - 1e-4 * length):
                 break
             length /= 2
-        else:  # no higher place: as near as sums of doubles tell
+        else:  # no step lowers the miss: the targets are out of reach
+            break
+        rows = stored(moved, "rates")  # the next rates depend on these
+        progress, miss, expected, gram = miss - now, now, there, gram_there
+        if progress <= LEAST_PROGRESS * now:
             break
-        y, (squares, expected, gram) = y + length * step, there
-    return Fit(soft.withColumn("rate", F.round(rate(y), 6)), expected, goal)
+    return Fit(rows.withColumn("rate", F.round("rate", 6)), expected, goal)
+
+
+def _inverse(gram: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse, in units in which each domain's tokens have length 1."""
+    unit = np.sqrt(np.maximum(np.diag(gram), 1e-12))
+    return np.linalg.pinv(gram / np.outer(unit, unit), rcond=1e-10) / np.outer(unit, unit)
 
 
 def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -209,9 +212,11 @@ def mix_documents(
 def sample_mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """The documents, each as often as its rate says; columns as they are.
 
-    The fraction of a rate is decided by a hash of the id, so a rerun decides alike.
+    The fraction of a rate is decided by a hash of the id, so a rerun decides alike; rows of one id, and
+    rows of null id, share the coin. Columns may have any names. Null and empty texts have rate 1 and stay
+    once. An empty table gives an empty result.
     """
-    inner = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    inner = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     mixed = mix_documents(inner, labels, "_id", "_text", targets, ["_row"])
     coin = F.shiftrightunsigned(F.xxhash64("owner", F.lit("mix")), 11) / F.lit(float(1 << 53))
     times = F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("int")

@@ -176,8 +176,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each group, the first by id, null ids last; columns as they are.
 
     Rows of one id are told apart: of equal ones any one stays, and others go only with their own group.
+    Columns may have any names. Null and empty texts are one group. An empty table gives an empty result.
     """
-    inner = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    inner = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     keyed = row_keyed(inner, "_id", "_text", ["_row"])
     lost = _linked(keyed, RADIUS, SHINGLE_WORDS).filter("rid <> least.rid").select("rid")
     return keyed.join(lost, "rid", "left_anti").select("_row.*")
