@@ -12,7 +12,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tracelight.plans.catalogue import QUERIES
+from tracelight.plans.catalogue import PARTITIONS_CONF, QUERIES
 
 HEADLINE = [
     "detect_tables",
@@ -45,6 +45,8 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        # each test table is one row group, which one task would read
+        .config(PARTITIONS_CONF, cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -161,19 +161,26 @@ def bernoulli_fill(
     msgs: DataFrame,
     percentage: float,
     min_per_partition: int = 10,
-    max_per_partition: int = 1000,
+    max_per_partition: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """The first ``min`` messages of each partition, then a coin per message, up to ``max``.
+    """The first ``min`` messages of each partition, then a coin per message, up to ``max`` if that is given.
 
-    The coin is a hash of the message position, so a repeated task decides alike. Both parts are
-    group limits; the earliest ``max`` of their union are the earliest ``max`` overall.
+    The coin is a digest of the message position, so a repeated task, and any other engine, decides
+    alike: the first eight hex digits of the MD5 of ``topic:partition:offset:seed`` under the share of
+    all. The first messages and the cap are group limits, which prune before the shuffle; the earliest
+    ``max`` of both parts are the earliest ``max`` overall. Without a cap the lucky messages are not shuffled.
     """
     share = fraction(percentage)
-    coin = F.pmod(F.xxhash64("topic", "partition", "offset", F.lit(seed)), F.lit(1_000_000))
-    always = _first(msgs, min(min_per_partition, max_per_partition))
-    lucky = _first(msgs.where(coin < int(share * 1_000_000)), max_per_partition)
-    both = always.unionByName(lucky).dropDuplicates([*_PARTITION, "offset"])
+    position = F.concat_ws(":", "topic", "partition", "offset", F.lit(str(seed)))
+    coin = F.conv(F.substring(F.md5(position.cast("binary")), 1, 8), 16, 10).cast("long")
+    lucky = coin < int(share * (1 << 32))
+    first = min_per_partition if max_per_partition is None else min(min_per_partition, max_per_partition)
+    always = _first(msgs, first)
+    if max_per_partition is None:
+        # what is among the first and has no luck is added; all others are kept where they are
+        return msgs.where(lucky).unionByName(always.where(~lucky))
+    both = always.where(~lucky).unionByName(_first(msgs.where(lucky), max_per_partition))
     return _first(both, max_per_partition)
 
 

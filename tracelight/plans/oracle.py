@@ -254,6 +254,16 @@ def _first_of_tail(n: int, keep: int) -> str:
     )
 
 
+def _bernoulli(most: int | None) -> str:
+    digits = "md5(topic || ':' || part || ':' || off || ':42')[:8]"
+    limit = f"qualify row_number() over (partition by topic, part order by off) <= {most}" if most else ""
+    return (
+        f"""with numbered as (select *, row_number() over (partition by topic, part order by off) rn,
+            cast('0x' || {digits} as bigint) < cast(floor(0.1 * 4294967296) as bigint) lucky from ({_EVENTS}))
+        select topic, cast(part as int) "partition", off as "offset" from numbered where rn <= 10 or lucky {limit}"""
+    )
+
+
 def _stride(tail: int | None, share: float, low: int, high: int | None = None) -> str:
     limit = f"where b <= {tail}" if tail else ""
     most = f" and place // step < {high}" if high else ""
@@ -451,6 +461,8 @@ ORACLE: dict[str, str] = {
     "sample_time_window": f"""select topic, cast(part as int) "partition", off as "offset" from ({_EVENTS})
         where ts >= timestamp '2024-01-15 12:00:00' - interval 36 hour""",
     "sample_first_partitions": f"""select topic, cast(part as int) "partition", off as "offset" from ({_EVENTS}) where part < 2""",
+    "sample_bernoulli": _bernoulli(None),
+    "sample_bernoulli_capped": _bernoulli(40),
     "target_sample_counts": f"""with t as (select topic, count(distinct part) partitions, count(*) total from ({_EVENTS}) group by topic)
         select topic, partitions, total, cast(target as bigint) target, strategy from (
         select *, total target, 'all' strategy from t

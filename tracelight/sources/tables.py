@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A stored table in the partitions of its scan; ``spark.sql.files.maxPartitionBytes`` sets their size."""
-    return spark.read.format(fmt).load(path)
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """A stored table in the partitions of its scan, or dealt to ``partitions`` ones.
+
+    ``spark.sql.files.maxPartitionBytes`` sets the size of a scan's partitions, but a row group is never
+    cut: a file of one row group is read by one task. Dealing such a table out costs one shuffle of it.
+    """
+    df = spark.read.format(fmt).load(path)
+    return df if partitions is None else df.repartition(partitions)
