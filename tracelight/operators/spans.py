@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelight.functions.patterns import VALUE_PATTERNS, luhn_ok, unlikely_ssn
+from tracelight.functions.patterns import DETECTION_ORDER, VALUE_PATTERNS, luhn_ok, unlikely_ssn
 from tracelight.functions.text import mask
+from tracelight.schemas import PRIORITY
 
 # Redaction order: what is more specific comes first.
 SPAN_TYPES = [
@@ -55,12 +62,16 @@ def text_matches(text: Column, pii_type: str) -> Column:
     )
 
 
+def _confidence_sql(pii_type: str, span: str) -> str:
+    return (
+        f"case when {pii_type} = 'CREDIT_CARD' then if({luhn_ok(span)}, 0.95D, 0.50D) "
+        f"when {pii_type} = 'SSN' and {unlikely_ssn(span)} then 0.30D else 0.70D end"
+    )
+
+
 def span_confidence(pii_type: str, span: str) -> Column:
     """Confidence of a span; free text has no field name to raise it."""
-    return F.expr(
-        f"""case when {pii_type} = 'CREDIT_CARD' then if({luhn_ok(span)}, 0.95D, 0.50D)
-            when {pii_type} = 'SSN' and {unlikely_ssn(span)} then 0.30D else 0.70D end"""
-    )
+    return F.expr(_confidence_sql(pii_type, span))
 
 
 def find_spans(df: DataFrame, text_col: str, keys: list[str], types: list[str] | None = None) -> DataFrame:
@@ -142,8 +153,114 @@ def mask_spans(text: Column, types: list[str] | None = None, keep_last: int = 0)
     return text
 
 
+class Span(NamedTuple):
+    """One match in a text; sorts by place."""
+
+    start: int
+    end: int
+    pii_type: str
+    value: str
+    confidence: float
+
+    @property
+    def strength(self) -> tuple[int, int]:
+        """Conflict priority; of equal ones the type detected first."""
+        return PRIORITY.get(self.pii_type, 0), -DETECTION_ORDER[self.pii_type]
+
+
+def _matched(df: DataFrame, text_col: str, keys: list[str], types: list[str] | None) -> DataFrame:
+    """``row`` (the keys) and per type that matches: matches, what lies before each, confidences.
+
+    Each pattern runs in the JVM, and only on texts of its shape.
+    """
+    text = F.col(f"`{text_col}`")
+    kinds = types or list(SPAN_PATTERNS)
+    hits = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("row"), text.alias("text"), *[text_matches(text, t).alias(t) for t in kinds])
+
+    def described(t: str) -> Column:
+        gaps = F.transform(F.split("text", SPAN_PATTERNS[t]), lambda x: F.length(x))
+        score = F.expr(f"transform({t}, m -> {_confidence_sql(repr(t), 'm')})")
+        found = F.struct(F.lit(t).alias("pii_type"), F.col(t).alias("m"), gaps.alias("gaps"), score.alias("confidence"))
+        return F.when(F.size(t) > 0, found)
+
+    return hits.select("row", F.array_compact(F.array(*map(described, kinds))).alias("found"))
+
+
+def _spans(found: list[dict]) -> list[Span]:
+    """All matches of a text in order; a place is the length of all gaps and matches before it."""
+    spans = []
+    for kind in found:
+        steps = ((gap, len(m)) for gap, m in zip(kind["gaps"], kind["m"]))
+        ends = accumulate(g + n for g, n in steps)
+        spans += [Span(e - len(m), e, kind["pii_type"], m, c) for e, m, c in zip(ends, kind["m"], kind["confidence"])]
+    return sorted(spans)
+
+
+def _survivors(spans: list[Span]) -> list[Span]:
+    """Spans that no overlapping span of another type beats, each judged against all of them.
+
+    The rules are those for findings of one value: a card removes phone numbers and dates, and the
+    strongest rival removes what has a lower priority and no higher confidence. One sweep in order of
+    place; a span only meets those that begin before it ends.
+    """
+    rivals: list[Span | None] = [None] * len(spans)
+    carded = [False] * len(spans)
+    for i, one in enumerate(spans):
+        for j in range(i + 1, len(spans)):
+            other = spans[j]
+            if other.start >= one.end:
+                break
+            if other.pii_type == one.pii_type:
+                continue
+            for own, rival in ((i, other), (j, one)):
+                carded[own] |= rival.pii_type == "CREDIT_CARD"
+                if rivals[own] is None or rival.strength > rivals[own].strength:
+                    rivals[own] = rival
+    return [
+        s
+        for s, r, card in zip(spans, rivals, carded)
+        if not (card and s.pii_type in ("PHONE_NUMBER", "DATE_OF_BIRTH"))
+        and not (r and r.strength[0] > s.strength[0] and r.confidence >= s.confidence)
+    ]
+
+
+_RESOLVED = pa.list_(
+    pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("value", pa.string()), ("confidence", pa.float64())])
+)
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        some = [i for i, f in enumerate(batch.column("found").to_pylist()) if f]
+        batch = batch.take(pa.array(some, pa.int64()))
+        spans = [[s._asdict() for s in _survivors(_spans(f))] for f in batch.column("found").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, _RESOLVED)], names=["row", "spans"])
+
+
+def resolve_spans(df: DataFrame, text_col: str, keys: list[str], types: list[str] | None = None) -> DataFrame:
+    """Spans of a text without those that an overlapping span of another type beats. Narrow: no shuffle.
+
+    ``pii_type, start, end, value, confidence``. Conflicts are settled as between findings of one value, so
+    a valid card number is a card only; spans of equal priority coexist. Types that are not looked for
+    beat nothing. Null texts have no spans.
+    """
+    rows = _matched(df, text_col, keys, types)
+    span = T.StructType(
+        [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pii_type", T.StringType()),
+         T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType())]
+    )
+    # (no filter on found: it would be pushed down, with a copy of all the patterns)
+    found = rows.mapInArrow(_resolved, T.StructType([rows.schema["row"], T.StructField("spans", T.ArrayType(span))]))
+    opened = found.select("row", F.explode("spans").alias("s"))
+    return opened.select(*[F.col(f"row.`{k}`").alias(k) for k in keys], "s.pii_type", "s.start", "s.end", "s.value", "s.confidence")
+
+
 def redact_text(df: DataFrame, text_col: str, types: list[str] | None = None, style: str = "type", keep_last: int = 0) -> DataFrame:
-    """The table with its text column redacted (``style="type"``) or masked (``style="mask"``)."""
+    """The table with its text column redacted (``style="type"``) or masked (``style="mask"``).
+
+    Types are replaced one after the other, the more specific first, so what a stronger type only covers
+    in part is still replaced where it matches; nothing is left over as with cuts at resolved spans.
+    """
     if style == "type":
         return df.withColumn(text_col, redact(F.col(text_col), types))
     out = df

@@ -614,6 +614,14 @@ def q_find_spans(spark, sf):
     return S.find_spans(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
+def q_resolve_spans(spark, sf):
+    return S.resolve_spans(table(spark, sf, "documents"), "text", ["doc_id"])
+
+
+def q_resolve_spans_pages(spark, sf):
+    return S.resolve_spans(table(spark, sf, "pages"), "html", ["page_id"])
+
+
 def q_find_spans_pages(spark, sf):
     return S.find_spans(table(spark, sf, "pages"), "html", ["page_id"])
 

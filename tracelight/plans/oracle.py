@@ -301,6 +301,18 @@ def _spans(table: str, column: str, keys: str) -> str:
     return " union all ".join(parts)
 
 
+def _resolved(table: str, column: str, key: str) -> str:
+    """CTEs up to survivors: spans without those that an overlapping one of another type beats."""
+    prio = "case t " + " ".join(f"when '{t}' then {p}" for t, p in PRIORITY.items()) + " else 0 end"
+    order = "case t " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(VALUE_PATTERNS)) + " end"
+    return f"""all_spans as materialized (select *, {prio} prio, {order} seq from (
+            select {key} k, pii_type t, "start" b, "end" e, "value" v, confidence c from ({_spans(table, column, key)}))),
+        rivals as (select s.k, s.t, s.b, s.e, bool_or(r.t = 'CREDIT_CARD') card, arg_max(struct_pack(p := r.prio, c := r.c), (r.prio, -r.seq)) top
+            from all_spans s join all_spans r on s.k = r.k and s.t <> r.t and s.b < r.e and r.b < s.e group by all),
+        survivors as (select s.* from all_spans s left join rivals r on s.k = r.k and s.t = r.t and s.b = r.b
+            where not coalesce(r.card and s.t in ('PHONE_NUMBER', 'DATE_OF_BIRTH'), false) and not coalesce(r.top.p > s.prio and r.top.c >= s.c, false))"""
+
+
 def _redacted(text: str) -> str:
     for t, p in SPAN_PATTERNS.items():
         text = f"regexp_replace({text}, '{p}', '[{t}]', 'g')"
@@ -527,6 +539,8 @@ ORACLE: dict[str, str] = {
     "topic_reports": f"""with {_classes(_ALL, **_STD)} select topic, total samples, coalesce(n, 0) pii_fields_found, coalesce(ps, '') classified
         from totals left join (select topic, count(*) n, string_agg(field_path, ',' order by field_path) ps from cls group by topic) using (topic)""",
     "find_spans": _spans("documents", "text", "doc_id"),
+    "resolve_spans": f"with {_resolved('documents', 'text', 'doc_id')} select k doc_id, t pii_type, b \"start\", e \"end\", substring(text, b + 1, e - b) as \"value\", c confidence from survivors join documents on k = doc_id",
+    "resolve_spans_pages": f"with {_resolved('pages', 'html', 'page_id')} select k page_id, t pii_type, b \"start\", e \"end\", substring(html, b + 1, e - b) as \"value\", c confidence from survivors join pages on k = page_id",
     "find_spans_pages": _spans("pages", "html", "page_id"),
     "find_spans_conversations": _spans("conversations", "text", "conv_id, turn"),
     "luhn_cards": f"""select doc_id, card, {_luhn('card')} as valid from (
