@@ -182,7 +182,7 @@ def _reporting(search):
 
 
 def _fields(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.schema.toDDL()
 
 
 def find_passages(

@@ -189,6 +189,6 @@ def judge_quality(
         ratio = fit_ratio(docs, labels, id_col, text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    kind = rows.select("row").schema.toDDL()
     counts = ", ".join(f"{c} long" for c in _COUNTS)
-    return rows.mapInArrow(_score(ratio, min_score), f"row {kind}, {counts}, base_failed boolean, score double, kept boolean")
+    return rows.mapInArrow(_score(ratio, min_score), f"{kind}, {counts}, base_failed boolean, score double, kept boolean")
