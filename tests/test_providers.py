@@ -1,8 +1,10 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracelight.operators import detect as D
 from tracelight.operators import providers as V
+from tracelight.plans.run import RunOptions, analyze
 from tracelight.schemas import TYPE_NAMES
 
 
@@ -111,6 +113,55 @@ def test_failing_detector_gives_error_rows(field_rows):
     fields = field_rows([("a", "secret"), ("b", "boom"), ("c", "a@b.com"), ("d", "boom")])
     got = {(r["offset"], r["pii_type"]) for r in V.detect_with(fields, ["picky"], TYPE_NAMES).collect()}
     assert got == {(0, "PASSWORD"), (2, "EMAIL")}
-    errors = [tuple(r) for r in V.provider_errors(fields, ["picky"]).collect()]
-    assert errors == [("t", "picky", "KeyError: 'no'", 2)]
-    assert V.provider_errors(fields).count() == 0
+    found, errors = V.run_providers(fields, ["picky"], TYPE_NAMES)
+    assert {(r["offset"], r["pii_type"]) for r in found.collect()} == got
+    assert [tuple(r) for r in errors.collect()] == [("t", "picky", "KeyError: 'no'", 2)]
+    assert V.run_providers(fields)[1].count() == 0
+
+
+def test_each_value_reaches_a_column_provider_once(field_rows, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def upper(paths, values):
+        if (values == "boom").any() and len(values) > 1:
+            raise ValueError("a batch with a bad value")
+        if (values == "boom").any():
+            raise ValueError("bad")
+        seen.add(len(values))
+        hit = values[values.str.isupper()]
+        return pd.DataFrame({"row": [values.index.get_loc(i) for i in hit.index], "pii_type": "PASSWORD", "confidence": 0.8, "pattern_matched": hit.to_list()})
+
+    V.register_provider("upper", lambda: V.ColumnProvider("upper", upper, ["PASSWORD"]))
+    values = [("a", "X"), ("a", "y"), ("a", "X"), ("b", "X"), ("c", "Z"), ("c", None)]
+    found, errors = V.run_providers(field_rows(values).coalesce(1), ["upper"], TYPE_NAMES)
+    assert sorted(r["offset"] for r in found.collect()) == [0, 2, 3, 4] and errors.count() == 0
+    assert seen.value == 4  # distinct pairs, in one run for both results
+    bad = field_rows([*values, ("d", "boom"), ("e", "boom"), ("f", "Q")]).coalesce(1)
+    found, errors = V.run_providers(bad, ["upper"], TYPE_NAMES)
+    assert sorted(r["offset"] for r in found.collect()) == [0, 2, 3, 4, 8]
+    assert [tuple(r) for r in errors.collect()] == [("t", "upper", "ValueError: bad", 2)]
+
+
+def test_providers_that_fail_as_a_whole(field_rows, messages):
+    class Broken:
+        def is_available(self):
+            return True
+
+        def detect(self, fields):
+            raise RuntimeError("no connection")
+
+    class BrokenSchema:
+        def is_available(self):
+            return True
+
+        def detect_in_schema(self, prompts):
+            raise RuntimeError("no model")
+
+    V.register_provider("broken", Broken)
+    V.register_provider("broken_schema", BrokenSchema)
+    msgs = messages([b'{"a": "u@x.com", "b": 1}'])
+    with pytest.warns(UserWarning, match="left out"):
+        result = analyze(msgs, options=RunOptions(providers=["broken", "broken_schema"]))
+    got = sorted(tuple(r) for r in result.errors.select("provider", "error", "failures").collect())
+    assert got == [("broken", "RuntimeError: no connection", 1), ("broken_schema", "RuntimeError: no model", 1)]
+    assert [r["pii_type"] for r in result.detections.collect()] == ["EMAIL"]

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,22 @@ def test_windows(spark, messages, tmp_path):
     cls = WC.classify_closed(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")), bound)
     closed = {r["window_start"].minute: r["detection_count"] for r in cls.collect()}
     assert closed == {0: 5, 5: 5}
+
+
+def test_latest_leaves_out_what_lay_there_before(spark, messages, tmp_path):
+    path = str(tmp_path / "in")
+    messages([b'{"email": "old@x.com"}']).write.parquet(path)
+    since = datetime.now(timezone.utc)
+    stream = W.read_stream(spark, path, since=since, bytes_per_trigger=1)
+    messages([b'{"email": "new@x.com"}', b'{"email": "newer@x.com"}']).repartition(2, "offset").write.mode("append").parquet(path)
+    drain(W.stream_detect(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
+    # A restart that names the first start takes what came in between.
+    messages([b'{"email": "last@x.com"}']).write.mode("append").parquet(path)
+    again = W.read_stream(spark, path, since=since, bytes_per_trigger=1)
+    drain(W.stream_detect(again), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["last@x.com", "new@x.com", "newer@x.com"]
+    late = W.read_stream(spark, path)
+    drain(W.stream_detect(late), str(tmp_path / "out2"), str(tmp_path / "ck2"))
+    assert spark.read.schema(late.schema).parquet(str(tmp_path / "out2")).count() == 0
+    with pytest.raises(ValueError, match="time zone"):
+        W.read_stream(spark, path, since=datetime(2024, 1, 1))

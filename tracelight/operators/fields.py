@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracelight.functions import records
 from tracelight.functions.patterns import strip
+from tracelight.operators.skew import skew_join
 
 MESSAGE_KEY = ["topic", "partition", "offset"]
 
@@ -44,8 +45,10 @@ def decode_records(
     """Messages that hold a record, with its JSON text in ``json`` and ``schema_type``.
 
     ``decoders`` maps a schema type (``AVRO``, ``JSON`` …) to ``Column -> Column`` from the framed
-    payload to JSON text, for example a ``from_avro`` wrapper where spark-avro is deployed. A type
-    without a decoder, an unframed value and a failing decoder all take the lenient JSON path.
+    payload to JSON text: a permissive built-in (null for what it cannot read, like ``from_avro`` in that mode), or a
+    Python codec in ``functions.decoders.row_decoder``. It gets null for rows of other types. A type without a
+    decoder, an unframed value and a payload that the decoder fails on all take the lenient JSON path.
+    The catalog is joined by ``skew_join``: one schema, or no schema, may hold most messages.
     Empty records are dropped; ``drop_empty=False`` keeps all messages, for callers that go on to
     the leaves, where a message without a record has none and a filter would only parse twice.
     """
@@ -57,13 +60,11 @@ def decode_records(
         by_id = catalog.select("schema_id", F.upper("schema_type").alias("schema_type")).dropDuplicates(
             ["schema_id"]
         )
-        typed = framed.join(by_id, "schema_id", "left")
+        typed = skew_join(framed, by_id, ["schema_id"], "left")
     decoded = F.lit(None).cast("string")
     for schema_type, decoder in decoders.items():
-        decoded = F.when(
-            F.col("framed") & (F.coalesce("schema_type", F.lit("AVRO")) == schema_type),
-            decoder(F.col("payload")),
-        ).otherwise(decoded)
+        mine = F.col("framed") & (F.coalesce("schema_type", F.lit("AVRO")) == schema_type)
+        decoded = F.when(mine, decoder(F.when(mine, F.col("payload")))).otherwise(decoded)
     # A decoder may return a bare value; it becomes a record with the single field "value".
     as_record = F.when(decoded.rlike(r"^\s*\{"), decoded).otherwise(
         F.concat(F.lit('{"value":'), decoded, F.lit("}"))

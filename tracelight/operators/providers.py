@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracelight.operators.detect import _detection_order, detect_pattern, resolve_findings
 from tracelight.operators.fields import MESSAGE_KEY
+from tracelight.operators.skew import skew_join, stored_side
 from tracelight.schemas import CORE_TYPES, DETECTION, TYPE_NAMES
 
 # Entity names of each provider and the type they stand for.
@@ -216,22 +217,23 @@ def prompt_samples(fields: DataFrame, uncovered: DataFrame) -> DataFrame:
     """Uncovered fields of each topic with up to five short sample values.
 
     Only the first ten records of a topic that have an uncovered field are looked at. They are
-    found by a rank that Spark turns into a group limit, so a huge topic sends ten keys per task.
+    found by a rank that Spark turns into a group limit, so a huge topic sends ten keys per task. The uncovered
+    fields, then the records, are stored and meet the field rows by ``skew_join``.
     """
-    wanted = fields.join(uncovered, ["topic", "field_path"], "left_semi")
+    uncovered = stored_side(uncovered.select("topic", "field_path"), "uncovered")
+    wanted = skew_join(fields, uncovered, ["topic", "field_path"], "left_semi")
     records = wanted.select(*MESSAGE_KEY)
     rank = F.dense_rank().over(Window.partitionBy("topic").orderBy("partition", "offset"))
     first = records.withColumn("record_no", rank).where(F.col("record_no") <= PROMPT_RECORDS).distinct()
     value = F.col("value")
     usable = value.isNotNull() & (value != "") & (F.length(value) < PROMPT_TEXT_LIMIT)
     samples = (
-        wanted.where(usable)
-        .join(first, MESSAGE_KEY)
+        skew_join(wanted.where(usable), first, MESSAGE_KEY)
         .groupBy("topic", "field_path")
         # At most ten records, hence ten values.
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("record_no", "value"))), 1, PROMPT_KEPT).alias("s"))
     )
-    return uncovered.select("topic", "field_path").join(samples, ["topic", "field_path"], "left").select(
+    return uncovered.join(samples, ["topic", "field_path"], "left").select(
         "topic", "field_path", F.coalesce(F.col("s.value"), F.array().cast("array<string>")).alias("sample_values")
     )
 
@@ -366,7 +368,8 @@ def spread_schema_findings(
 ) -> DataFrame:
     """Attach each schema-level finding to every message that has the field.
 
-    The small side is one row per field and type; Spark broadcasts it by its measured size.
+    The small side is one row per field and type; ``skew_join`` measures it, and a field of very many
+    messages is spread over tasks.
     """
     enabled = CORE_TYPES if enabled is None else enabled
     kept = findings.where(F.col("pii_type").isin(*enabled)) if enabled else findings.limit(0)
@@ -375,10 +378,8 @@ def spread_schema_findings(
         "topic", "field_path", "pii_type", "confidence", "value", "pattern_matched",
         F.lit(provider).alias("provider"), F.row_number().over(order).alias("hit_no"),
     )
-    return (
-        fields.select(*MESSAGE_KEY, "field_path")
-        .join(numbered, ["topic", "field_path"])
-        .select(*DETECTION.fieldNames())
+    return skew_join(fields.select(*MESSAGE_KEY, "field_path"), numbered, ["topic", "field_path"]).select(
+        *DETECTION.fieldNames()
     )
 
 
@@ -417,47 +418,74 @@ class PatternProvider:
         return list(SUPPORTED_TYPES)
 
 
-class RowProvider:
-    """A Python detector ``(field_path, value) -> [(type, confidence, matched)]`` run in Arrow
-    batches; for detectors that exist only as a Python library.
+# Columns of a report: findings, and rows with ``error`` for values on which the detector raised.
+REPORT = (
+    "topic string, partition int, offset long, field_path string, pii_type string, confidence double,"
+    "value string, pattern_matched string, provider string, error string"
+)
 
-    A value on which the detector raises becomes an error row and the other values keep their
-    findings: ``detect`` gives the findings, ``errors`` the error rows.
-    """
 
-    def __init__(self, name: str, detect_value: Callable[[str, str], Iterable[tuple]], types: list[str]):
-        self.name, self._detect_value, self._types = name, detect_value, types
+def _attempt(detect_columns: Callable, paths, values, first: int = 0) -> Iterator[tuple]:
+    """(row, type, confidence, matched, error) of a batch; one that fails is halved down to the failing values."""
+    try:
+        found = detect_columns(paths, values)
+        rows = zip(found["row"], found["pii_type"], found["confidence"], found["pattern_matched"])
+        out = [(first + int(row), kind, float(score), matched, None) for row, kind, score, matched in rows]
+    except Exception as error:  # noqa: BLE001 - any failure of a foreign detector becomes a row
+        if len(values) == 1:
+            yield first, None, None, None, f"{type(error).__name__}: {error}"
+            return
+        half = len(values) // 2
+        yield from _attempt(detect_columns, paths.iloc[:half], values.iloc[:half], first)
+        rest = (part.iloc[half:].reset_index(drop=True) for part in (paths, values))
+        yield from _attempt(detect_columns, *rest, first + half)
+    else:
+        yield from out
 
-    def detect(self, fields: DataFrame) -> DataFrame:
-        return self._run(fields).where("error is null").drop("error")
 
-    def errors(self, fields: DataFrame) -> DataFrame:
-        """(topic, field_path, error) of each value on which the detector raised."""
-        return self._run(fields).where("error is not null").select("topic", "field_path", "error")
+class ColumnProvider:
+    """A Python detector of whole columns, for detectors that exist only as a Python library.
 
-    def _run(self, fields: DataFrame) -> DataFrame:
-        name, detect_value = self.name, self._detect_value
+    ``detect_columns(paths, values)`` gets two pandas Series, the distinct pairs of an Arrow batch, and returns a frame
+    of findings with ``row`` (position in the Series), ``pii_type``, ``confidence`` and ``pattern_matched``.
 
-        def findings(t, p, o, path, value):
-            try:
-                return [(t, p, o, path, kind, float(score), value, m, name, None) for kind, score, m in detect_value(path, value)]
-            except Exception as error:  # noqa: BLE001 - any failure of a foreign detector becomes a row
-                return [(t, p, o, path, None, None, value, None, name, f"{type(error).__name__}: {error}")]
+    A value on which the detector raises becomes an error row and the other values keep their
+    findings. ``report`` holds both; ``detect`` gives the findings, ``errors`` the error rows.
+    """
+
+    def __init__(self, name: str, detect_columns: Callable, types: list[str]):
+        self.name, self._detect_columns, self._types = name, detect_columns, types
+
+    def report(self, fields: DataFrame) -> DataFrame:
+        """Findings and error rows of one run; each pair of path and value of a batch is searched once."""
+        name, detect_columns = self.name, self._detect_columns
 
         def run(batches: Iterator) -> Iterator:
             import pandas as pd
 
-            columns = [*MESSAGE_KEY, "field_path", "pii_type", "confidence", "value", "pattern_matched", "provider", "error"]
             for batch in batches:
-                out = [f for row in batch.itertuples(index=False, name=None) for f in findings(*row)]
-                yield pd.DataFrame(out, columns=columns)
+                pairs = batch[["field_path", "value"]].drop_duplicates().reset_index(drop=True)
+                if pairs.empty:
+                    continue
+                found = pd.DataFrame(
+                    list(_attempt(detect_columns, pairs["field_path"], pairs["value"])),
+                    columns=["pair", "pii_type", "confidence", "pattern_matched", "error"],
+                )
+                told = found.merge(pairs.assign(pair=pairs.index), on="pair").drop(columns="pair")
+                # a batch merged with its own distinct pairs: as many rows as findings
+                out = batch.assign(place=range(len(batch))).merge(told, on=["field_path", "value"])
+                out = out.sort_values("place", kind="stable").assign(provider=name)
+                yield out[[*MESSAGE_KEY, "field_path", "pii_type", "confidence", "value", "pattern_matched", "provider", "error"]]
 
         rows = fields.where(F.col("value").isNotNull()).select(*MESSAGE_KEY, "field_path", "value")
-        return rows.mapInPandas(
-            run,
-            "topic string, partition int, offset long, field_path string, pii_type string, confidence double,"
-            "value string, pattern_matched string, provider string, error string",
-        )
+        return rows.mapInPandas(run, REPORT)
+
+    def detect(self, fields: DataFrame) -> DataFrame:
+        return self.report(fields).where("error is null").drop("error")
+
+    def errors(self, fields: DataFrame) -> DataFrame:
+        """(topic, field_path, error) of each value on which the detector raised."""
+        return self.report(fields).where("error is not null").select("topic", "field_path", "error")
 
     def is_available(self) -> bool:
         return True
@@ -466,6 +494,27 @@ class RowProvider:
         return list(self._types)
 
 
+class RowProvider(ColumnProvider):
+    """A Python detector ``(field_path, value) -> [(type, confidence, matched)]`` of single values.
+
+    It is called for each distinct pair of a batch; where the detector can take columns, ``ColumnProvider``
+    saves these calls.
+    """
+
+    def __init__(self, name: str, detect_value: Callable[[str, str], Iterable[tuple]], types: list[str]):
+        def detect_columns(paths, values):
+            import pandas as pd
+
+            found = [
+                (row, kind, score, matched)
+                for row, (path, value) in enumerate(zip(paths, values))
+                for kind, score, matched in detect_value(path, value)
+            ]
+            return pd.DataFrame(found, columns=["row", "pii_type", "confidence", "pattern_matched"])
+
+        super().__init__(name, detect_columns, types)
+
+
 # Second names, added when a provider is registered under the first.
 PROVIDER_ALIASES = {
     "aws": ["comprehend"],
@@ -535,46 +584,105 @@ def active_providers(names: list[str] | None = None, use_pattern: bool = True) -
     return per_field, schema_level
 
 
+def _merged(found: list[tuple[int, str, DataFrame]], enabled: list[str] | None) -> DataFrame:
+    """Findings of several providers (place in the list, name, rows): deduplicated, resolved, filtered."""
+    union = None
+    for number, name, rows in found:
+        if "provider" not in rows.columns:
+            rows = rows.withColumn("provider", F.lit(name))
+        # Findings get their place within the field before they are mixed with others.
+        rows = rows.withColumn("provider_no", F.lit(number))
+        if "hit_no" in rows.columns:
+            rows = rows.withColumn("seq", F.col("hit_no")).drop("hit_no")
+        rows = rows.withColumn("seq", _detection_order(rows)).drop("provider_no")
+        union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
+    if "field_value" in union.columns:
+        union = union.withColumn("field_value", F.coalesce("field_value", "value"))
+    return resolve_findings(union, enabled)
+
+
 def detect_with(
     fields: DataFrame,
     providers: list[str] | None = None,
     enabled: list[str] | None = None,
     use_pattern: bool = True,
 ) -> DataFrame:
-    """Findings of all per-field providers, deduplicated, resolved and filtered."""
+    """Findings of all per-field providers, deduplicated, resolved and filtered. Lazy; errors are not kept."""
     per_field, _ = active_providers(providers, use_pattern)
-    union = None
+    found = []
     for number, (name, provider) in enumerate(per_field):
         try:
-            found = provider.detect(fields)
+            found.append((number, name, provider.detect(fields)))
         except Exception as error:
             warnings.warn(f"provider {name} is left out: {error}", stacklevel=2)
-            continue
-        if "provider" not in found.columns:
-            found = found.withColumn("provider", F.lit(name))
-        # Findings get their place within the field before they are mixed with others.
-        found = found.withColumn("provider_no", F.lit(number))
-        if "hit_no" in found.columns:
-            found = found.withColumn("seq", F.col("hit_no")).drop("hit_no")
-        found = found.withColumn("seq", _detection_order(found)).drop("provider_no")
-        union = found if union is None else union.unionByName(found, allowMissingColumns=True)
-    if union is None:
+    if not found:
         return fields.sparkSession.createDataFrame([], DETECTION)
-    if "field_value" in union.columns:
-        union = union.withColumn("field_value", F.coalesce("field_value", "value"))
-    return resolve_findings(union, enabled)
+    return _merged(found, enabled)
+
+
+ERRORS = "topic string, provider string, error string, failures bigint"
+
 
+def _failure(spark: SparkSession, name: str, error: Exception) -> DataFrame:
+    """The error row of a provider that failed as a whole: no topic, one failure."""
+    warnings.warn(f"provider {name} is left out: {error}", stacklevel=3)
+    # Of an error of a task only the first line; the rest is its stack trace.
+    text = f"{type(error).__name__}: {error}".strip().split("\n")[0]
+    return spark.createDataFrame([(None, name, text, 1)], ERRORS)
 
-def provider_errors(fields: DataFrame, providers: list[str] | None = None) -> DataFrame:
-    """Error rows of a run: topic, provider, error and on how many values (``failures``).
 
-    Only providers that report errors (``RowProvider.errors``) have any. The detectors run again for
-    this table, so it costs nothing unless it is read.
+def run_providers(
+    fields: DataFrame,
+    providers: list[str] | None = None,
+    enabled: list[str] | None = None,
+    use_pattern: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) of all per-field providers.
+
+    Findings are those of ``detect_with``; errors are topic, provider, error and on how many values
+    (``failures``). A provider with a ``report`` runs now and once: the report is written to the shared folder and
+    both results read it, so they fit together even if the detector is not deterministic. A provider that fails
+    as a whole gives one error row without a topic, and the others go on.
     """
-    schema = "topic string, provider string, error string, failures bigint"
-    rows = fields.sparkSession.createDataFrame([], schema)
-    for name, provider in active_providers(providers)[0]:
-        if callable(getattr(provider, "errors", None)):
-            failed = provider.errors(fields).groupBy("topic", F.lit(name).alias("provider"), "error")
-            rows = rows.unionByName(failed.agg(F.count(F.lit(1)).alias("failures")))
-    return rows
+    spark = fields.sparkSession
+    per_field, _ = active_providers(providers, use_pattern)
+    found, errors = [], spark.createDataFrame([], ERRORS)
+    for number, (name, provider) in enumerate(per_field):
+        try:
+            if callable(getattr(provider, "report", None)):
+                report = stored_side(provider.report(fields), "report")
+                failed = report.where("error is not null").groupBy("topic", F.lit(name).alias("provider"), "error")
+                errors = errors.unionByName(failed.agg(F.count(F.lit(1)).alias("failures")))
+                found.append((number, name, report.where("error is null").drop("error")))
+            else:
+                found.append((number, name, provider.detect(fields)))
+        except Exception as error:  # noqa: BLE001 - any failure of a foreign provider becomes a row
+            errors = errors.unionByName(_failure(spark, name, error))
+    if not found:
+        return spark.createDataFrame([], DETECTION), errors
+    return _merged(found, enabled), errors
+
+
+def detect_in_schemas(
+    fields: DataFrame,
+    detections: DataFrame,
+    providers: list[tuple[str, SchemaProvider]],
+    enabled: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) of schema-level providers, given as (name, provider).
+
+    They are asked about the fields without any of ``detections``, once per topic. What they say is
+    attached to every message with that field. One that fails gives an error row without a topic.
+    """
+    spark = fields.sparkSession
+    uncovered = stored_side(uncovered_fields(fields, detections), "uncovered")
+    prompts = stored_side(build_schema_prompts(fields, uncovered), "prompts")
+    found, errors = spark.createDataFrame([], DETECTION), spark.createDataFrame([], ERRORS)
+    for name, provider in providers:
+        try:
+            answers = stored_side(provider.detect_in_schema(prompts), "answers")
+            known = answers.join(uncovered, ["topic", "field_path"], "left_semi")
+            found = found.unionByName(spread_schema_findings(known, fields, enabled, name))
+        except Exception as error:  # noqa: BLE001 - any failure of a foreign provider becomes a row
+            errors = errors.unionByName(_failure(spark, name, error))
+    return found, errors

@@ -12,20 +12,13 @@ from tracelight.operators import classify as C
 from tracelight.operators import sampling
 from tracelight.operators.detect import detect_fields
 from tracelight.operators.fields import decode_records, extract_fields, flatten
-from tracelight.operators.providers import (
-    active_providers,
-    build_schema_prompts,
-    detect_with,
-    provider_errors,
-    spread_schema_findings,
-    uncovered_fields,
-)
+from tracelight.operators.providers import ERRORS, active_providers, detect_in_schemas, run_providers
 from tracelight.sources.messages import flag_schemaless, topic_totals
 
 
 @dataclass
 class RunResult:
-    """Lazy results of a run."""
+    """Results of a run: lazy, but for the reports of Python and schema-level providers, which are stored."""
 
     fields: DataFrame
     detections: DataFrame
@@ -84,15 +77,12 @@ def analyze(
     per_field, schema_level = active_providers(options.providers)
     if len(per_field) == 1 and per_field[0][0] == "pattern":
         det = detect_fields(fields, options.enabled)
+        errors = fields.sparkSession.createDataFrame([], ERRORS)
     else:
-        det = detect_with(fields, [name for name, _ in per_field], options.enabled)
+        det, errors = run_providers(fields, [name for name, _ in per_field], options.enabled)
     if schema_level:
-        uncovered = uncovered_fields(fields, det)
-        prompts = build_schema_prompts(fields, uncovered)
-        for name, provider in schema_level:
-            findings = provider.detect_in_schema(prompts)
-            known = findings.join(uncovered, ["topic", "field_path"], "left_semi")
-            det = det.unionByName(spread_schema_findings(known, fields, options.enabled, name))
+        more, failed = detect_in_schemas(fields, det, schema_level, options.enabled)
+        det, errors = det.unionByName(more), errors.unionByName(failed)
     only_patterns = len(per_field) == 1 and per_field[0][0] == "pattern" and not schema_level
     if options.normalize_paths:
         # The numbers of findings hold for single items; without them one per message and field is counted.
@@ -101,5 +91,4 @@ def analyze(
         cls = C.classify_fields(det, totals, options.thresholds)
     else:
         cls = C.classify_values(fields, totals, options.thresholds, options.enabled)
-    errors = provider_errors(fields, options.providers)
     return RunResult(fields, det, cls, C.topic_summary(cls, totals, topics, catalog), errors)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.operators.ordering import CHUNK, dense_offsets
+from tracelight.operators.skew import skew_join
 from tracelight.schemas import MESSAGE_SCHEMA
 
 # Topics left out of discovery unless other patterns are given.
@@ -149,10 +150,9 @@ def empty_topics(topic_catalog: DataFrame, msgs: DataFrame) -> DataFrame:
 
 
 def flag_schemaless(topics: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each topic with ``schemaless``: the catalog holds no subject ``<topic>-value``."""
+    """Each topic, or each message, with ``schemaless``: the catalog holds no subject ``<topic>-value``."""
     subjects = catalog.select("subject").distinct().withColumn("known", F.lit(True))
-    return (
-        topics.withColumn("subject", F.concat("topic", F.lit("-value")))
-        .join(subjects, "subject", "left")
-        .select(*topics.columns, F.col("known").isNull().alias("schemaless"))
+    named = topics.withColumn("subject", F.concat("topic", F.lit("-value")))
+    return skew_join(named, subjects, ["subject"], "left").select(
+        *topics.columns, F.col("known").isNull().alias("schemaless")
     )

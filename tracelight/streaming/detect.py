@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,26 +19,37 @@ def read_stream(
     fmt: str = "parquet",
     starting_position: str = "latest",
     per_trigger: int | None = None,
+    bytes_per_trigger: int | None = None,
+    since: datetime | None = None,
     **options: str,
 ) -> DataFrame:
     """Messages as a stream, from files or (where deployed) from Kafka.
 
-    ``starting_position`` is ``latest`` or ``earliest``. A file source always starts with what
-    lies in the folder; there ``latest`` means that newer files come first. ``per_trigger`` bounds
-    what one commit covers: offsets for Kafka, files otherwise.
+    ``starting_position`` is ``latest`` or ``earliest``. For files ``latest`` leaves out what was written before
+    ``since`` (a time with a zone), by default the time of this call; a restart names the first start, or it would leave out
+    what came in between. ``per_trigger`` bounds what one commit covers: offsets for Kafka, files otherwise;
+    ``bytes_per_trigger`` bounds it by the size of the files.
     """
     if starting_position not in ("latest", "earliest"):
         raise ValueError("starting_position must be latest or earliest")
+    if since is not None and since.tzinfo is None:
+        raise ValueError("since needs a time zone")
     reader = spark.readStream.format(fmt).options(**options)
     if fmt == "kafka":
         reader = reader.option("startingOffsets", starting_position)
         if per_trigger:
             reader = reader.option("maxOffsetsPerTrigger", per_trigger)
         return reader.load()
-    reader = reader.schema(MESSAGE_SCHEMA).option("latestFirst", str(starting_position == "latest").lower())
+    reader = reader.schema(MESSAGE_SCHEMA)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.load(path)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    msgs = reader.load(path)
+    if starting_position == "earliest":
+        return msgs
+    start = F.timestamp_micros(F.lit(int((since or datetime.now(timezone.utc)).timestamp() * 1_000_000)))
+    return msgs.where(F.col("_metadata.file_modification_time") >= start)
 
 
 def stream_detect(stream: DataFrame, enabled: list[str] | None = None) -> DataFrame:
