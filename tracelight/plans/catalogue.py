@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,88 @@ def word_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Fields made from the digits ``d`` of a key, their letters ``l`` and hash ``h``: a value of every type, on paths with
+# and without a hint. The text is SQL of Spark and DuckDB alike.
+_SSN = "substring(d, 1, 3) || '-' || substring(d, 4, 2) || '-' || substring(d, 6, 4)"
+_CARD = "'4111' || substring(d, 1, 4) || substring(d, 5, 4) || substring(d, 2, 4)"
+_BIRTH = "'198' || substring(d, 1, 1) || '-0' || cast(n % 9 + 1 as string) || '-1' || substring(d, 2, 1)"
+_PERSON = "substring(l, 1, 1) || lower(substring(l, 2, 4)) || ' ' || substring(l, 5, 1) || lower(substring(l, 6, 4))"
+_MAC = " || ':' || ".join(f"substring(h, {2 * i + 1}, 2)" for i in range(6))
+TYPE_FIELDS = [
+    ("person.ssn", _SSN), ("code", _SSN), ("tax_ssn", "'666-' || substring(d, 4, 2) || '-' || substring(d, 6, 4)"),
+    ("number", "d"), ("itin", "'9' || substring(d, 1, 2) || '7' || substring(d, 3, 5)"),
+    ("tax_code", "'9' || substring(d, 1, 2) || '8' || substring(d, 3, 5)"),
+    ("contact.email", "lower(l) || '@example.com'"), ("note", "lower(l) || '@example.com'"),
+    ("work_phone", "'(' || substring(d, 1, 3) || ') ' || substring(d, 4, 3) || '-' || substring(d, 6, 4)"),
+    ("event_time", "'17' || d"), ("reference", "'+1 ' || substring(d, 1, 3) || ' 555 ' || substring(d, 6, 4)"),
+    ("card_number", _CARD), ("payment_date", _CARD), ("birth_date", _CARD),
+    ("remark", "'4111 ' || substring(d, 1, 4) || ' ' || substring(d, 5, 4) || ' ' || substring(d, 2, 4)"),
+    ("client_ip", "cast(n % 256 as string) || '.10.' || cast(n % 100 as string) || '.7'"),
+    ("person.dob", _BIRTH), ("created_at", _BIRTH), ("customer_id", _BIRTH),
+    ("full_name", _PERSON), ("label", _PERSON), ("license_plate", _PERSON),
+    ("long_name", f"{_PERSON} || ' ' || {_PERSON} || ' ' || {_PERSON}"),
+    ("title", f"{_PERSON} || ' ' || {_PERSON} || ' ' || {_PERSON}"),
+    ("bank_account", "d || substring(d, 1, 3)"), ("iban", "'GB' || substring(d, 1, 2) || 'WEST' || d"),
+    ("document", "'DE' || substring(d, 1, 2) || d || d"), ("swift_code", "substring(l, 1, 8)"), ("branch", "l || 'XX'"),
+    ("aws_access_key", "'AKIA' || l || substring(l, 1, 7)"), ("key", "'AKIA' || l || substring(l, 1, 7)"),
+    ("aws_secret", "h || substring(h, 1, 8)"), ("digest", "h || substring(h, 1, 8)"),
+    ("national_insurance", "'AB' || substring(d, 1, 6) || 'C'"), ("member", "'AB' || substring(d, 1, 6)"),
+    ("mac_address", _MAC), ("device", _MAC), ("home_address", "substring(d, 1, 3) || ' Main Street'"), ("first_name", "lower(l)"),
+]
+
+
+def type_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """``TYPE_FIELDS`` of every customer."""
+    keys = table(spark, sf, "customer").selectExpr("c_custkey as n").selectExpr(
+        "n", "lpad(cast(n * 179424673 % 1000000000 as string), 9, '0') as d"
+    ).selectExpr("n", "d", "translate(d, '0123456789', 'ABCDEFGHIJ') as l", "md5(cast(d as binary)) as h")
+    cells = ", ".join(f"struct('{path}' as field_path, {value} as value)" for path, value in TYPE_FIELDS)
+    return keys.select("n", F.expr(f"posexplode(array({cells}))").alias("pos", "cell")).select(
+        F.lit("types").alias("topic"),
+        F.pmod("n", F.lit(3)).cast("int").alias("partition"),
+        (F.col("n") * 64 + F.col("pos")).alias("offset"),
+        "cell.field_path",
+        F.lit("string").alias("value_type"),
+        "cell.value",
+    )
+
+
+# Paths and values on which findings of other providers meet, and the types they report.
+RULE_PATHS = [
+    "event_time", "license_plate", "payment_date", "customer_id", "birth_date", "remark", "card_number", "home_address",
+]
+RULE_VALUES = ["'17' || d", "'17' || d || '.25'", "'1985-04-1' || substring(d, 1, 1)", "'Ann ' || d", "d"]
+RULE_TYPES = [
+    "PHONE_NUMBER", "DATE_OF_BIRTH", "CREDIT_CARD", "DRIVER_LICENSE", "NAME",
+    "ADDRESS", "BANK_ACCOUNT", "SSN", "IBAN", "USERNAME",
+]
+
+
+def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of any types and confidences about one value, for each order: every rule applies somewhere."""
+    paths = ", ".join(f"'{p}'" for p in RULE_PATHS)
+    types = ", ".join(f"'{t}'" for t in RULE_TYPES)
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey as n", "o_orderkey * 179424673 % 1000000000 as x")
+    digits = orders.withColumn("d", F.expr("lpad(cast(x as string), 9, '0')"))
+    values = digits.selectExpr(
+        "n", "x", f"element_at(array({paths}), cast(n % {len(RULE_PATHS)} as int) + 1) as field_path",
+        f"element_at(array({', '.join(RULE_VALUES)}), cast(floor(n / {len(RULE_PATHS)}) % {len(RULE_VALUES)} as int) + 1) as value",
+    )
+    said = values.select("*", F.expr(f"posexplode(array({types}))").alias("i", "pii_type")).where("shiftright(x, i) & 1 = 1")
+    return said.select(
+        F.lit("rules").alias("topic"),
+        F.pmod("n", F.lit(3)).cast("int").alias("partition"),
+        F.col("n").alias("offset"),
+        "field_path",
+        "pii_type",
+        F.expr("cast((x + i * 7919) % 20 as double) / 20").alias("confidence"),
+        "value",
+        F.col("value").alias("pattern_matched"),
+        F.lit("model").alias("provider"),
+        F.col("i").alias("seq"),
+    )
+
+
 def all_totals(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     """Messages per topic: rows of each table, and words of the documents if no table is named."""
     cells = None
@@ -447,6 +530,25 @@ def q_detect_dates(spark, sf):
     return D.detect_fields(FL.table_fields(renamed, "orders", "o_orderkey"), TYPE_NAMES).select(*_FOUND)
 
 
+def q_detect_all_types(spark, sf):
+    """Raw findings of all fifteen patterns and both hints."""
+    return D.detect_pattern(type_fields(spark, sf)).select(*_FOUND)
+
+
+def q_resolve_all_types(spark, sf):
+    return D.detect_fields(type_fields(spark, sf), TYPE_NAMES).select(*_FOUND)
+
+
+def q_resolve_all_rules(spark, sf):
+    """All conflict rules over findings of another provider."""
+    return D.resolve_findings(rule_findings(spark, sf), TYPE_NAMES).select(*_FOUND)
+
+
+def q_classify_type_fields(spark, sf):
+    fields = type_fields(spark, sf)
+    return _joined(C.classify_values(fields, M.topic_totals(fields), _LOW, TYPE_NAMES))
+
+
 def q_dedupe_findings(spark, sf):
     """Two providers report the same findings, one of them less sure."""
     first = D.detect_pattern(word_fields(spark, sf)).withColumn("provider_no", F.lit(0)).withColumn("seq", F.col("hit_no"))
@@ -610,6 +712,16 @@ def q_topic_reports(spark, sf):
     return rows.select("topic", "samples", "pii_fields_found", paths.alias("classified"))
 
 
+def q_write_report(spark, sf):
+    """The topics of a written JSON report, read back."""
+    cls = _classified(spark, sf)
+    summary = C.topic_summary(cls, all_totals(spark, sf))
+    target = R.write_report(summary, cls, scratch_path(spark, "reports"))
+    rows = spark.read.schema(R.topic_reports(summary, cls).schema).json(f"{target}/topics")
+    paths = F.coalesce(F.array_join("classifications.field_path", ","), F.lit(""))
+    return rows.select("topic", "samples", "pii_fields_found", paths.alias("classified"))
+
+
 def q_find_spans(spark, sf):
     return S.find_spans(table(spark, sf, "documents"), "text", ["doc_id"])
 
@@ -798,11 +910,49 @@ def _flaky_detector(path: str, value: str):
 def q_run_errors(spark, sf):
     """Findings of a detector that fails on some values, and the errors of the run, by topic."""
     V.register_provider("flaky", lambda: V.RowProvider("flaky", _flaky_detector, ["USERNAME"]))
-    fields = topic_fields(spark, sf, "part", "orders")
-    found = V.detect_with(fields, ["flaky"], TYPE_NAMES).where("provider = 'flaky'").groupBy("topic", "provider").agg(
+    found, errors = V.run_providers(topic_fields(spark, sf, "part", "orders"), ["flaky"], TYPE_NAMES)
+    found = found.where("provider = 'flaky'").groupBy("topic", "provider").agg(
         F.lit(None).cast("string").alias("error"), F.count(F.lit(1)).alias("n")
     )
-    return found.unionByName(V.provider_errors(fields, ["flaky"]).withColumnRenamed("failures", "n"))
+    return found.unionByName(errors.withColumnRenamed("failures", "n"))
+
+
+def _brand_columns(paths, values):
+    """The detector of ``_brand_detector`` over whole columns."""
+    hit = values[values.str.startswith("Brand#")]
+    return hit.rename("pattern_matched").rename_axis("row").reset_index().assign(pii_type="USERNAME", confidence=0.6)
+
+
+def q_detect_with_columns(spark, sf):
+    """The findings of ``detect_with_providers`` from a detector that takes columns."""
+    V.register_provider("brand_columns", lambda: V.ColumnProvider("brands", _brand_columns, ["USERNAME"]))
+    found, _ = V.run_providers(topic_fields(spark, sf, "part", "orders"), ["brand_columns"], TYPE_NAMES)
+    return found.select(*_FOUND, "provider")
+
+
+class _Clerk:
+    """A schema-level provider with one rule: uncovered fields called status or segment hold names."""
+
+    def is_available(self) -> bool:
+        return True
+
+    def supported_types(self) -> list[str]:
+        return ["NAME"]
+
+    def detect_in_schema(self, prompts: DataFrame) -> DataFrame:
+        lines = prompts.select("topic", F.explode(F.split("fields_text", "\n")).alias("line"))
+        paths = lines.select("topic", F.regexp_extract("line", "^- ([^:]+)", 1).alias("field_path"))
+        return paths.where(F.col("field_path").rlike("(status|segment)$")).select(
+            "topic", "field_path", F.lit("NAME").alias("pii_type"), F.lit(0.9).alias("confidence"),
+            F.lit(V.SCHEMA_VALUE).alias("value"), F.lit("schema").alias("pattern_matched"),
+        )
+
+
+def q_schema_provider(spark, sf):
+    """A schema-level provider from its prompts to findings of every message."""
+    fields = topic_fields(spark, sf, "orders", "customer")
+    found, _ = V.detect_in_schemas(fields, D.detect_fields(fields), [("clerk", _Clerk())], TYPE_NAMES)
+    return found.select(*_FOUND, "hit_no")
 
 
 # Tagging -----------------------------------------------------------------------------------------
@@ -850,6 +1000,13 @@ def q_tag_catalog(spark, sf):
     return log.withColumn("errors", F.array_join("errors", ";"))
 
 
+def q_backup_schemas(spark, sf):
+    """The schemas as they were before tagging."""
+    path = scratch_path(spark, "backup")
+    G.tag_catalog(_avro_catalog(spark, sf), _classified(spark, sf), backup_path=path)
+    return spark.read.parquet(path).select("subject", "version", "schema_id", "schema")
+
+
 # Streaming ---------------------------------------------------------------------------------------
 
 
@@ -892,6 +1049,16 @@ def q_stream_message_types(spark, sf):
     return rows.select("topic", "offset", F.array_join("pii_types", ",").alias("pii_types"))
 
 
+def q_stream_latest(spark, sf):
+    """Clicks that came after the start of a stream; all other events lay in the folder before and stay unread."""
+    msgs = event_messages(spark, sf)
+    path = scratch_path(spark, "stream")
+    msgs.where("topic <> 'click'").write.parquet(path)
+    since = datetime.now(timezone.utc)
+    msgs.where("topic = 'click'").write.mode("append").parquet(path)
+    return _drain(spark, _picked(W.read_stream(spark, path, since=since)))
+
+
 def q_dead_letters(spark, sf):
     stream = _stream(spark, sf, profile_messages(spark, sf))
     rows = _drain(spark, W.dead_letters(stream))

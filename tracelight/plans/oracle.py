@@ -12,7 +12,7 @@ from tracelight.functions.patterns import (
 )
 from tracelight.operators.providers import LIKELIHOOD, PROVIDER_ENTITIES
 from tracelight.operators.spans import SPAN_PATTERNS
-from tracelight.plans.catalogue import TABLE_KEYS, WORD_PATHS
+from tracelight.plans.catalogue import RULE_PATHS, RULE_TYPES, RULE_VALUES, TABLE_KEYS, TYPE_FIELDS, WORD_PATHS
 from tracelight.schemas import CORE_TYPES, HIGH_RISK, PII_TYPES, PRIORITY, TYPE_NAMES
 
 # Columns of the tables that are read as topics.
@@ -90,6 +90,30 @@ _PROFILE_FIELDS = " union all ".join(
 )
 
 
+_DIGITS = (
+    "select {key} n, {key} * 179424673 % 1000000000 x, lpad(cast({key} * 179424673 % 1000000000 as varchar), 9, '0') d from {table}"
+)
+_KEYED = (
+    "(select n, d, translate(d, '0123456789', 'ABCDEFGHIJ') l, md5(d) h from ("
+    + _DIGITS.format(key="c_custkey", table="customer") + "))"
+)
+_TYPED = " union all ".join(
+    f"select 'types' topic, n % 3 part, n * 64 + {i} off, '{path}' path, {value} raw from {_KEYED}"
+    for i, (path, value) in enumerate(TYPE_FIELDS)
+)
+
+
+def _pick(items: list[str], number: str) -> str:
+    return f"list_extract([{', '.join(items)}], cast({number} % {len(items)} as int) + 1)"
+
+
+_RULE_HITS = f"""hits as materialized (select n rid, 'rules' topic, n % 3 part, n off, path, v, i seq, t,
+        cast((x + i * 7919) % 20 as double) / 20 conf, case t {' '.join(f"when '{t}' then {p}" for t, p in PRIORITY.items())} else 0 end prio, v m
+    from (select *, {_pick([f"'{p}'" for p in RULE_PATHS], 'n')} path, {_pick(RULE_VALUES, f'(n // {len(RULE_PATHS)})')} v
+        from ({_DIGITS.format(key='o_orderkey', table='orders')})),
+        (values {', '.join(f"({i}, '{t}')" for i, t in enumerate(RULE_TYPES))}) said(i, t) where ((x >> i) & 1) = 1)"""
+
+
 def _luhn(text: str) -> str:
     digits = f"reverse(regexp_replace({text}, '[- ]', '', 'g'))"
     d = f"cast(substring({digits}, i, 1) as int)"
@@ -147,9 +171,11 @@ def _hits(fields: str) -> str:
     )
 
 
-def _kept(fields: str, enabled: list[str] = CORE_TYPES, field: str = "rid") -> str:
+def _kept(fields: str, enabled: list[str] = CORE_TYPES, field: str = "rid", hits: str | None = None) -> str:
     """CTEs up to det: the findings after the conflict rules and the type filter.
 
+    ``hits`` stands for the findings where they are no pattern findings of ``fields``.
+
     One finding of each ``field`` of a message has the number 1.
     """
     epoch = r"regexp_matches(v, '^[0-9]{10,13}(\.[0-9]+)?$')"
@@ -162,7 +188,7 @@ def _kept(fields: str, enabled: list[str] = CORE_TYPES, field: str = "rid") -> s
     )
     key = "rid"  # one field of one message
     return (
-        _hits(fields)
+        (hits or _hits(fields))
         + f""", ranked as (select *, row_number() over (partition by {key} order by prio desc, seq) place,
               bool_or(t = 'CREDIT_CARD') over (partition by {key}) card from hits),
         rivals as (select h.*, r.prio rival_prio, r.conf rival_conf from ranked h left join ranked r
@@ -391,6 +417,11 @@ _DOC_TAGGED = (
 )
 
 
+def _avro_schema(name: str) -> str:
+    fields = ",".join(f'{{"name":"{c}","type":"string"}}' for c in _COLUMNS[name].split())
+    return f'{{"type":"record","name":"r","fields":[{fields}]}}'
+
+
 def _avro(name: str) -> str:
     return ", ".join(_COLUMNS[name].split())
 
@@ -483,6 +514,10 @@ ORACLE: dict[str, str] = {
     "detect_values": f"with {_hits(_WORDS)} select {_OUT} from hits",
     "detect_tables": f"with {_hits(_table_fields(list(TABLE_KEYS)))} select {_OUT} from hits",
     "resolve_conflicts": f"with {_kept(_WORDS, TYPE_NAMES)} select {_OUT} from det",
+    "detect_all_types": f"with {_hits(_TYPED)} select {_OUT} from hits",
+    "resolve_all_types": f"with {_kept(_TYPED, TYPE_NAMES)} select {_OUT} from det",
+    "resolve_all_rules": f"with {_kept('', TYPE_NAMES, hits=_RULE_HITS)} select {_OUT} from det",
+    "classify_type_fields": f"""with {_classes(_TYPED, **_LOW, totals="select 'types' topic, count(*) total from f")} select {_SHOW} from cls""",
     "resolve_grouped": f"with {_kept(_WORDS, TYPE_NAMES)} select {_OUT} from det",
     "detect_core_types": f"with {_kept(_WORDS)} select {_OUT} from det",
     "detect_two_types": f"with {_hits(_WORDS)} select {_OUT} from hits where t in ('EMAIL', 'IP_ADDRESS')",
@@ -605,6 +640,13 @@ ORACLE: dict[str, str] = {
         cast(case topic when 'events' then 4 when 'orders' then 5 end as int) schema_id, topic in ('orders', 'events') metadata_applied,
         case when topic = 'words' then 'schema of words-value has no fields' when topic not in ('orders', 'events')
         then 'no schema found for subject ' || topic || '-value' else '' end errors from hit""",
+    "backup_schemas": f"""with {_classes(_ALL, **_STD)} select distinct topic || '-value' subject, 1 as "version",
+        case topic when 'events' then 1 else 2 end schema_id, case topic when 'events' then '{_avro_schema('events')}'
+        else '{_avro_schema('orders')}' end as "schema" from cls where topic in ('events', 'orders')""",
+    "schema_provider": f"""with {_kept(_ORDERS_CUSTOMER)} select topic, cast(off as bigint) as "offset", path field_path, 'NAME' pii_type,
+        cast(0.9 as double) confidence, '[schema-based detection]' as value, 'schema' pattern_matched, 1 hit_no from f
+        where (topic, path) in ({_UNCOVERED}) and regexp_matches(path, '(status|segment)$')""",
+    "stream_latest": f"""select topic, cast(part as int) "partition", off as "offset" from ({_EVENTS}) where topic = 'click'""",
     "stream_detect": f"with {_kept(_PROFILE_FIELDS)} select {_OUT} from det",
     "stream_message_types": f"""with {_kept(_PROFILE_FIELDS)} select topic, cast(off as bigint) as "offset",
         string_agg(distinct t, ',' order by t) pii_types from det group by topic, off""",
@@ -631,3 +673,5 @@ ORACLE: dict[str, str] = {
         (select timestamp '2024-01-01 00:00:00' + to_seconds(max(doc_id)) - interval 1 minute from documents)""",
     "monitor_windows": f"with {_classes(_WINDOWED, **_WINDOW_CLS)} select {_WINDOW_SHOW} from cls",
 }
+ORACLE["write_report"] = ORACLE["topic_reports"]
+ORACLE["detect_with_columns"] = ORACLE["detect_with_providers"]
