@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelight.operators import sampling as L
-from tracelight.operators.ordering import dense_offsets
+from tracelight.operators.ordering import dense_numbers, dense_offsets
 from tracelight.sources import messages as M
 
 
@@ -81,12 +81,36 @@ def test_target_counts(spark):
     assert target("percentage", percentage=1.5, min_per_partition=10, max_per_partition=40) == 30
 
 
-def test_dense_offsets_over_chunks(spark):
-    df = spark.range(0, 1000, 7).withColumn("g", F.col("id") % 2)
-    got = dense_offsets(df, F.col("g"), F.col("id"), "pos", chunk=50).collect()
+@pytest.mark.parametrize("ranges", [1, 2, 7, 256])
+def test_dense_offsets(spark, ranges):
+    """Dense, sparse, clustered and negative keys; a null key or group has no position."""
+    keys = [*range(0, 300, 7), *(10**15 + 3 * i for i in range(300)), *(-(2**40) * i - 1 for i in range(60)), None]
+    df = spark.createDataFrame([(k, None if k == 7 else (k or 0) % 2) for k in keys], "id long, g long")
+    got = dense_offsets(df, F.col("g"), F.col("id"), "pos", ranges).collect()
+    assert len(got) == len(keys) - 2
     for g in (0, 1):
         rows = sorted((r["id"], r["pos"]) for r in got if r["g"] == g)
         assert [p for _, p in rows] == list(range(len(rows)))
+    assert dense_offsets(df.limit(0), F.col("g"), F.col("id"), "pos", ranges).count() == 0
+
+
+def test_ranges_of_sparse_keys_are_even(spark):
+    df = spark.range(4000).selectExpr("id * id * 1000000000 as id", "cast(id >= 0 as int) as g")
+    plan = dense_offsets(df, F.col("g"), F.col("id"), "pos", 16)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text
+    cuts = df.agg(F.percentile_approx("id", [i / 16 for i in range(1, 16)], 256)).first()[0]
+    sizes = [sum(low < k * k * 10**9 <= high for k in range(4000)) for low, high in zip([-1, *cuts], [*cuts, 10**18])]
+    assert max(sizes) < 2 * 4000 / 16
+
+
+def test_dense_numbers(spark):
+    names = [f"s{i * 7919 % 500}" for i in range(500)]
+    df = spark.createDataFrame([(n, 1) for n in names], "name string, x int")
+    got = dense_numbers(df, ["name"], "no").collect()
+    assert [r["name"] for r in sorted(got, key=lambda r: r["no"])] == sorted(names)
+    assert sorted(r["no"] for r in got) == list(range(500))
+    assert dense_numbers(df.limit(0), ["name"], "no").count() == 0
 
 
 def test_topics(spark):

@@ -270,12 +270,18 @@ def q_topic_profile(spark, sf):
 
 
 def q_to_messages(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    msgs = M.to_messages(orders, "orders", "o_orderkey", n_partitions=4, chunk=1000)
+    msgs = M.to_messages(table(spark, sf, "orders"), "orders", "o_orderkey", n_partitions=4)
     return msgs.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"),
                        F.col("value").cast("string").alias("value"))
 
 
+def q_sparse_keys(spark, sf):
+    """Dense offsets of keys that lie far apart and in clusters."""
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey * o_orderkey * 1000003 as wide")
+    msgs = M.to_messages(orders, "orders", "wide", n_partitions=2, ranges=16)
+    return msgs.select("partition", "offset", F.col("value").cast("string").alias("value"))
+
+
 def q_read_messages(spark, sf):
     """Store all events by topic, then read two topics back."""
     path = scratch_path(spark, "messages")

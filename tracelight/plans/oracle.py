@@ -433,8 +433,12 @@ ORACLE: dict[str, str] = {
     ),
     "to_messages": """select 'orders' topic, cast(o_orderkey % 4 as int) "partition",
         row_number() over (partition by o_orderkey % 4 order by o_orderkey) - 1 as "offset", cast(o_orderkey as varchar) as key,
-        cast(json_object('o_orderkey', o_orderkey, 'o_custkey', o_custkey, 'o_orderstatus', o_orderstatus,
-        'o_orderpriority', o_orderpriority) as varchar) as value from orders""",
+        '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' ||
+        o_totalprice || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || '","o_orderpriority":"' || o_orderpriority || '"}'
+        as value from orders""",
+    "sparse_keys": """select cast(wide % 2 as int) "partition", row_number() over (partition by wide % 2 order by wide) - 1 as "offset",
+        '{"o_orderkey":' || o_orderkey || ',"wide":' || wide || '}' as value
+        from (select o_orderkey, o_orderkey * o_orderkey * 1000003 wide from orders)""",
     "read_messages": """select event_type topic, cast(event_id % 3 as int) "partition", event_id as "offset", props as value
         from events where event_type in ('click', 'error')""",
     "list_topics": "select distinct event_type topic from events where event_type like 'c%' or event_type like 'err%'",

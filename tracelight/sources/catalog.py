@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelight.operators.ordering import dense_numbers
 from tracelight.schemas import SCHEMA_CATALOG
 
 
@@ -48,18 +49,17 @@ def list_subjects(catalog: DataFrame) -> DataFrame:
 def new_versions(catalog: DataFrame, new: DataFrame) -> DataFrame:
     """Rows to append for ``new`` (subject, schema, schema_type): next version, new ids.
 
-    Ids go on after the highest one of the catalog, in subject order. One row per changed schema,
-    so the global numbering sorts a list as long as the list of subjects, not the data.
+    Ids go on after the highest one of the catalog, in subject order. Subjects are numbered by ranges, none of
+    which is all of them.
     """
     top = catalog.groupBy("subject").agg(F.max("version").alias("top"))
     top_id = catalog.agg(F.coalesce(F.max("schema_id"), F.lit(0))).scalar()
     return (
-        new.join(top, "subject", "left")
-        .withColumn("number", F.expr("row_number() over (order by subject)"))
+        dense_numbers(new.join(top, "subject", "left"), ["subject"], "number")
         .select(
             "subject",
             (F.coalesce("top", F.lit(0)) + 1).cast("int").alias("version"),
-            (top_id + F.col("number")).cast("int").alias("schema_id"),
+            (top_id + F.col("number") + 1).cast("int").alias("schema_id"),
             F.coalesce("schema_type", F.lit("AVRO")).alias("schema_type"),
             "schema",
             F.current_timestamp().alias("registered_at"),

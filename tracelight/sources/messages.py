@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.operators.ordering import CHUNK, dense_offsets
+from tracelight.operators.ordering import RANGES, dense_offsets
 from tracelight.operators.skew import skew_join
 from tracelight.schemas import MESSAGE_SCHEMA
 
@@ -48,12 +48,12 @@ def to_messages(
     n_partitions: int = 3,
     timestamp: str | None = None,
     value: Column | None = None,
-    chunk: int = CHUNK,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Rows of a table as JSON messages of a topic.
 
     The unique integer ``key`` decides the partition (``key`` modulo ``n_partitions``) and the
-    order of offsets within it.
+    order of offsets within it; offsets are dense however sparse the keys are.
     """
     body = value if value is not None else F.to_json(F.struct("*"))
     stamp = F.col(timestamp) if timestamp else F.lit(None)
@@ -64,7 +64,7 @@ def to_messages(
         body.cast("binary").alias("value"),
         stamp.cast("timestamp").alias("timestamp"),
     )
-    numbered = dense_offsets(rows, F.col("partition"), F.col("_k"), "offset", chunk)
+    numbered = dense_offsets(rows, F.col("partition"), F.col("_k"), "offset", ranges)
     headers = F.lit(None).cast(MESSAGE_SCHEMA["headers"].dataType)
     return numbered.select(
         F.lit(topic).alias("topic"), "partition", "offset", "key", "value", "timestamp",
