@@ -116,3 +116,82 @@ def test_deep_records_are_found_by_a_run(spark, messages):
     value = b'{"a":' * 12 + b'{"email": "someone@example.com"}' + b"}" * 12
     found = analyze(messages([value] * 3), options=RunOptions(strategy="all"))
     assert [r["field_path"] for r in found.classifications.collect()] == ["a." * 12 + "email"]
+
+
+def _parses(df):
+    """How often the executed plan parses JSON, adaptive plans counted once."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum(line.count("parseJson") for line in text.splitlines())
+
+
+def test_a_message_is_parsed_once(messages, spark):
+    from tracelight.operators.detect import detect_messages, message_types
+    from tracelight.plans.run import field_rows
+
+    msgs = messages([b'{"email": "a@b.com", "l": [[1]]}', b"junk", b"{}", b'\x01{"a":{"b":2}}'])
+    parsed = ops.parse_json_lenient(msgs)
+    catalog = spark.createDataFrame([(1, "JSON", "t-value")], "schema_id int, schema_type string, subject string")
+    plans = {
+        "flatten": ops.flatten(parsed),
+        "extract": ops.extract_fields(parsed),
+        "filtered": ops.flatten(parsed.where("json is not null")),
+        "infer": ops.infer_schema(ops.extract_fields(parsed)),
+        "detect": detect_messages(msgs),
+        "types": message_types(msgs),
+        "decode": ops.decode_records(msgs),
+        "decode with codecs": ops.flatten(ops.decode_records(msgs, catalog, {"JSON": lambda p: p.cast("string")})),
+        "by mode": field_rows(msgs, catalog),
+    }
+    assert {name: _parses(df) for name, df in plans.items()} == dict.fromkeys(plans, 1)
+
+
+def test_mode_of_each_topic(messages, spark):
+    """Topics with a schema keep lists in lists as values, others open them; both in one pass."""
+    from tracelight.plans.run import field_rows
+
+    msgs = messages([b'{"l": [[1]]}'], "known").unionByName(messages([b'{"l": [[1]]}', b'[{"x": 2}]'], "other"))
+    catalog = spark.createDataFrame([(1, "JSON", "known-value")], "schema_id int, schema_type string, subject string")
+    rows = [(r["topic"], r["field_path"], r["value"]) for r in field_rows(msgs, catalog).collect()]
+    assert sorted(rows) == [("known", "l[0]", "[1]"), ("other", "[0].x", "2"), ("other", "l[0][0]", "1")]
+
+
+def test_candidates_of_records(messages):
+    """Which part of a value is the record is decided by its brackets."""
+    values = [
+        b'[{"a":1}}', b'[bad {"a":1}]', b'[bad {"a":1}', b'x["y"', b'{"a":[1,{"b":2}]}', b'{"a":1}]', b'\xfe{"a":1}\n', b'["{", "]"]',
+    ]
+    rows = ops.parse_json_lenient(messages(values)).orderBy("offset").collect()
+    assert [(r["json"], r["levels"]) for r in rows] == [
+        (None, None), (None, None), ('{"a":1}', 1), (None, None), ('{"a":[1,{"b":2}]}', 3), (None, None), ('{"a":1}', 1), ('["{", "]"]', 1),
+    ]
+
+
+def test_records_of_text_alone(spark):
+    """Messages that only carry the text of their record are parsed on the way."""
+    df = spark.createDataFrame([("t", 0, 1, '{"a":[1]}')], "topic string, partition int, offset long, json string")
+    assert leaves(ops.flatten(df)) == {"a[0]": "1"}
+
+
+def test_profiles_of_hot_and_many_fields(spark, monkeypatch):
+    """Five values come from the earliest messages, whatever the partitions; equal ones stay."""
+    monkeypatch.setattr(ops, "_MOST_KEYS", 3)
+    rows = spark.range(30_000).selectExpr(
+        "if(id = 29999, null, 't') as topic", "cast(id % 3 as int) as partition", "id as offset",
+        "if(id % 5 = 0, 'hot', concat('f', id % 17)) as field_path",
+        "case when id % 7 = 0 then null when id % 2 = 0 then 'integer' else 'number' end as value_type",
+        "if(id % 7 = 0, null, cast(id % 10 as string)) as value",
+    ).repartition(5).cache()
+    got = {(r["topic"], r["field_path"]): r for r in ops.infer_schema(rows).collect()}
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["partition"], r["offset"])):
+        want.setdefault((r["topic"], r["field_path"]), []).append(r)
+    assert set(got) == set(want)
+    for key, own in want.items():
+        typed = [r for r in own if r["value_type"]]
+        row = got[key]
+        assert (row["sample_count"], row["total_count"]) == (len(typed), len(own))
+        assert row["sample_values"] == [r["value"] for r in typed[:5]]
+        kinds = {r["value_type"] for r in typed}
+        assert row["type"] == (min(kinds) if kinds else "unknown")
+    assert ops.infer_schema(rows.where("false")).count() == 0

@@ -9,35 +9,44 @@ def bracket_text(text: str) -> str:
     return rf"""regexp_replace({plain}, r'"[^"]*"|[^\[\]{{}}"]+', '')"""
 
 
-def _walk(text: str) -> str:
-    """Deepest level, and how often the level returns to zero, over the brackets of a text."""
+def _named(expression: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the value of an expression, which is evaluated once."""
+    return f"transform(array({expression}), {name} -> {body})[0]"
+
+
+def _walk(brackets: str) -> str:
+    """Last and deepest level, and how often the level returns to zero, over the brackets of a text."""
     step = """(acc, c) -> named_struct(
         'level', acc.level + if(c in ('{', '['), 1, -1),
         'deepest', greatest(acc.deepest, acc.level + if(c in ('{', '['), 1, 0)),
         'closed', acc.closed + if(acc.level = 1 and c in ('}', ']'), 1, 0))"""
     start = "named_struct('level', 0, 'deepest', 0, 'closed', 0)"
-    return f"aggregate(split({bracket_text(text)}, ''), {start}, {step})"
+    return f"aggregate(split({brackets}, ''), {start}, {step})"
 
 
 def nesting(text: str) -> str:
     """How deep objects and arrays are nested in a JSON text."""
     # "{}" and "[]" are by far the most common shapes and need no loop.
-    return f"if({bracket_text(text)} in ('{{}}', '[]'), 1, {_walk(text)}.deepest)"
+    return _named(bracket_text(text), "b", f"if(b in ('{{}}', '[]'), 1, {_walk('b')}.deepest)")
 
 
-def _one_record(text: str) -> str:
-    """The text if it can be one JSON object or array, without trailing content."""
-    trimmed = f"btrim({text}, ' \\t\\n\\r')"
-    single = f"({bracket_text(trimmed)} in ('{{}}', '[]') or {_walk(trimmed)}.closed = 1)"
-    outer = rf"rlike({trimmed}, r'^[{{\[]') and rlike({trimmed}, r'[}}\]]$')"
-    return f"if({outer} and {single} and try_parse_json({trimmed}) is not null, {trimmed}, null)"
+def _candidate(text: str) -> str:
+    """``(text, levels)`` of a text whose brackets are those of one object or array, else null."""
+    one = _named(_walk("b"), "w", "if(w.closed = 1 and w.level = 0, w.deepest, null)")
+    levels = _named(bracket_text("t"), "b", f"if(b in ('{{}}', '[]'), 1, {one})")
+    outer = "left(t, 1) in ('{', '[') and right(t, 1) in ('}', ']')"
+    shaped = _named(f"if({outer}, {levels}, null)", "n", "if(n is null, null, named_struct('text', t, 'levels', n))")
+    return _named(f"btrim({text}, ' \\t\\n\\r')", "t", shaped)
 
 
-def record_text(data: str) -> str:
-    """JSON text of a message value (binary), or null.
+def record(data: str, decoded: str | None = None) -> str:
+    """``(text, node, levels)`` of a message value (binary): its JSON text, the parsed VARIANT, null
+    where the text is no JSON, and how deep it is nested.
 
-    Whole value first; when that is no JSON, again from the first ``{``, else the first ``[``,
-    which skips a binary prefix.
+    Whole value first; when its brackets are not those of one object or array, again from the first
+    ``{``, else the first ``[``, which skips a binary prefix. The two exclude each other (the rest of
+    a balanced text is not balanced), so the choice needs no parsing and the text is parsed once.
+    ``decoded`` is a JSON text that goes before both where it is not null.
     """
     whole = f"if(is_valid_utf8(cast({data} as string)), cast({data} as string), null)"
     # One character per byte, so positions count bytes even where the text is no valid UTF-8.
@@ -45,20 +54,26 @@ def record_text(data: str) -> str:
     start = f"if(instr({chars}, '{{') > 0, instr({chars}, '{{'), instr({chars}, '['))"
     rest = f"cast(substring({data}, {start}, length({data})) as string)"
     tail = f"if({start} > 1 and is_valid_utf8({rest}), {rest}, null)"
-    return f"coalesce({_one_record(whole)}, {_one_record(tail)})"
+    choices = [_candidate(whole), _candidate(tail)]
+    if decoded:
+        ready = f"named_struct('text', {decoded}, 'levels', {nesting(decoded)})"
+        choices.insert(0, f"if({decoded} is null, null, {ready})")
+    parsed = "named_struct('text', p.text, 'node', try_parse_json(p.text), 'levels', p.levels)"
+    return _named(f"coalesce({', '.join(choices)})", "p", parsed)
 
 
 _ENTRY = "struct<path:string,node:variant,depth:int,in_object:boolean,is_root:boolean>"
 
 
 def entries(
-    text: str,
+    node: str = "record",
+    levels: str = "levels",
     *,
     expand_nested_lists: bool,
     include_arrays: bool = True,
     max_depth: int | None = None,
 ) -> str:
-    """All leaves of a JSON text as an array of ``(path, node, …)``.
+    """All leaves of a parsed record, nested ``levels`` deep, as an array of ``(path, node, …)``.
 
     A fold runs once per nesting level of this very record and opens every object and array found
     so far, so a flat record costs one round and no depth limit has to be planned in.
@@ -93,8 +108,8 @@ def entries(
         when e.is_root then {nothing}
         else array(e) end"""
     root = (
-        f"array(named_struct('path', '', 'node', try_parse_json({text}), 'depth', -1, "
+        f"array(named_struct('path', '', 'node', {node}, 'depth', -1, "
         "'in_object', false, 'is_root', true))"
     )
-    levels = f"sequence(1, greatest({nesting(text)}, 1))"
-    return f"aggregate({levels}, {root}, (acc, level) -> flatten(transform(acc, e -> {opened})))"
+    rounds = f"sequence(1, greatest({levels}, 1))"
+    return f"aggregate({rounds}, {root}, (acc, level) -> flatten(transform(acc, e -> {opened})))"

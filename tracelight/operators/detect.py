@@ -100,8 +100,7 @@ def detect_messages(
     msgs: DataFrame, enabled: list[str] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """JSON messages to resolved findings: parse, flatten, detect. Works on streams as well."""
-    # No filter on the parsed text: it would be pushed down and parse every message twice. A message
-    # without a record has no leaves.
+    # A message without a record has no leaves.
     return detect_fields(flatten(parse_json_lenient(msgs), keep), enabled, keep=keep)
 
 
@@ -120,7 +119,7 @@ def message_types(msgs: DataFrame, enabled: list[str] | None = None) -> DataFram
     per_value = f"flatten(transform(array({value}), value -> coalesce({per_hits}, array())))"
     scalars = "filter(leaves, l -> try_cast(l.node as array<variant>) is null)"
     parsed = parse_json_lenient(msgs).where(F.col("json").isNotNull())
-    leaves = parsed.withColumn("leaves", F.expr(records.entries("json", expand_nested_lists=False)))
+    leaves = parsed.withColumn("leaves", F.expr(records.entries(expand_nested_lists=False)))
     return leaves.select(
         *MESSAGE_KEY,
         F.expr(f"array_sort(array_distinct(flatten(transform({scalars}, l -> {per_value}))))").alias("pii_types"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,11 @@ from tracelight.functions.patterns import strip
 from tracelight.operators.skew import skew_join
 
 MESSAGE_KEY = ["topic", "partition", "offset"]
+# Values that a field's inferred schema shows.
+_FIRST_VALUES = 5
+# Fields of one task that are counted before they are sent on, and groups that their counts are merged in first.
+_MOST_KEYS = 100_000
+_SALTS = 64
 
 
 def stringify(value: Column) -> Column:
@@ -34,15 +41,33 @@ def split_wire_format(msgs: DataFrame) -> DataFrame:
     )
 
 
+def _parsed(msgs: DataFrame, record: str) -> DataFrame:
+    # A generator of one row: filters on what comes out of it are not pushed below it, where they
+    # would parse every message a second time.
+    kept = [F.col(f"`{c}`") for c in msgs.columns if c not in ("json", "record", "levels")]
+    return msgs.select(*kept, F.expr(f"inline_outer(array({record}))").alias("json", "record", "levels"))
+
+
 def parse_json_lenient(msgs: DataFrame, column: str = "value") -> DataFrame:
-    """Add ``json``: the record text of a message, null where there is none."""
-    return msgs.withColumn("json", F.expr(records.record_text(f"cast({column} as binary)")))
+    """Add ``json``, the record text of a message, with ``record``, the parsed text, and ``levels``,
+    how deep it is nested. All three are null where there is no record; a message is parsed once."""
+    rows = _parsed(msgs, records.record(f"cast({column} as binary)"))
+    found = F.col("record").isNotNull()
+    return rows.withColumns({"json": F.when(found, F.col("json")), "levels": F.when(found, F.col("levels"))})
+
+
+def _with_record(decoded: DataFrame) -> DataFrame:
+    """Messages with their parsed record, also if only the text is there."""
+    if "record" in decoded.columns and "levels" in decoded.columns:
+        return decoded
+    return decoded.withColumns({"record": F.expr("try_parse_json(json)"), "levels": F.expr(records.nesting("json"))})
 
 
 def decode_records(
     msgs: DataFrame, catalog: DataFrame | None = None, decoders=None, drop_empty: bool = True
 ) -> DataFrame:
-    """Messages that hold a record, with its JSON text in ``json`` and ``schema_type``.
+    """Messages that hold a record, with its JSON text in ``json``, parsed once in ``record`` (nested
+    ``levels`` deep), and ``schema_type``.
 
     ``decoders`` maps a schema type (``AVRO``, ``JSON`` …) to ``Column -> Column`` from the framed
     payload to JSON text: a permissive built-in (null for what it cannot read, like ``from_avro`` in that mode), or a
@@ -50,7 +75,7 @@ def decode_records(
     decoder, an unframed value and a payload that the decoder fails on all take the lenient JSON path.
     The catalog is joined by ``skew_join``: one schema, or no schema, may hold most messages.
     Empty records are dropped; ``drop_empty=False`` keeps all messages, for callers that go on to
-    the leaves, where a message without a record has none and a filter would only parse twice.
+    the leaves, where a message without a record has none.
     """
     decoders = {k.upper(): v for k, v in (decoders or {}).items()}
     framed = split_wire_format(msgs)
@@ -69,8 +94,12 @@ def decode_records(
     as_record = F.when(decoded.rlike(r"^\s*\{"), decoded).otherwise(
         F.concat(F.lit('{"value":'), decoded, F.lit("}"))
     )
-    text = F.expr(records.record_text("value"))
-    rows = typed.withColumn("json", F.coalesce(as_record, text) if decoders else text)
+    if decoders:
+        rows = _parsed(typed.withColumn("_decoded", as_record), records.record("value", "_decoded"))
+        from_text = F.when(F.col("record").isNotNull(), F.col("json"))
+        rows = rows.withColumn("json", F.coalesce("_decoded", from_text)).drop("_decoded")
+    else:
+        rows = parse_json_lenient(typed)
     rows = rows.drop("framed", "payload")
     if not drop_empty:
         return rows
@@ -80,7 +109,8 @@ def decode_records(
 def _leaf_rows(msgs: DataFrame, entry_array: str, keep: Sequence[str]) -> DataFrame:
     # inline_outer keeps Catalyst from copying the whole fold into a pre-filter; rows without
     # leaves come out as nulls and are dropped right after.
-    rows = msgs.select(*MESSAGE_KEY, *keep, F.expr(f"inline_outer({entry_array})")).where(F.col("path").isNotNull())
+    rows = _with_record(msgs).select(*MESSAGE_KEY, *keep, F.expr(f"inline_outer({entry_array})"))
+    rows = rows.where(F.col("path").isNotNull())
     kind = F.schema_of_variant("node")
     value_type = (
         F.when(kind == "BOOLEAN", "boolean")
@@ -101,7 +131,7 @@ def flatten(decoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Field rows of records with a schema: ``a.b``, ``a[0]``, ``a[0].b``; a list directly inside a
     list stays one value, empty containers vanish. ``value_type`` is null for a JSON null. ``keep``
     names further message columns to carry along, here and in the functions below."""
-    return _leaf_rows(decoded, records.entries("json", expand_nested_lists=False), keep)
+    return _leaf_rows(decoded, records.entries(expand_nested_lists=False), keep)
 
 
 def extract_fields(
@@ -118,7 +148,6 @@ def extract_fields(
     return _leaf_rows(
         decoded,
         records.entries(
-            "json",
             expand_nested_lists=True,
             include_arrays=include_arrays,
             max_depth=max_depth,
@@ -127,6 +156,12 @@ def extract_fields(
     )
 
 
+def fields_by_mode(decoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Field rows of messages flagged ``schemaless`` or not: each in its own mode, in one pass."""
+    known, unknown = (records.entries(expand_nested_lists=e) for e in (False, True))
+    return _leaf_rows(decoded, f"if(schemaless, {unknown}, {known})", keep)
+
+
 def _cell(field: T.StructField) -> tuple[str, str, str]:
     """Name literal, value type and text of one column."""
     kind, name = field.dataType, field.name.replace("`", "``")
@@ -195,43 +230,99 @@ def field_universe(fields: DataFrame) -> DataFrame:
     return fields.select("topic", "field_path").distinct()
 
 
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: types, counts and the earliest values of each field, whatever the number of rows."""
+    key = ["topic", "field_path"]
+    order = ["partition", "offset", "value"]
+    held: dict[tuple, list] = {}
+    first = pa.list_(pa.struct([("partition", pa.int32()), ("offset", pa.int64()), ("value", pa.string())]))
+
+    def flush() -> pa.RecordBatch:
+        topics, paths = zip(*held)
+        types, typed, rows, values = zip(*held.values())
+        shown = [[dict(zip(order, v)) for v in own] for own in values]
+        columns = [
+            pa.array(topics, pa.string()), pa.array(paths, pa.string()), pa.array(map(sorted, types), pa.list_(pa.string())),
+            pa.array(typed, pa.int64()), pa.array(rows, pa.int64()), pa.array(shown, first),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[*key, "types", "sample_count", "total_count", "ranked"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        # counts of the batch in Arrow; Python only sees a row for each field of it and its first values
+        counts = table.group_by(key).aggregate([("value_type", "distinct"), ("value_type", "count"), ([], "count_all")])
+        names = [*key, "value_type_distinct", "value_type_count", "count_all"]
+        for topic, path, types, typed, rows in zip(*(counts.column(c).to_pylist() for c in names)):
+            now = held.setdefault((topic, path), [set(), 0, 0, []])
+            now[0].update(t for t in types if t is not None)
+            now[1] += typed
+            now[2] += rows
+        known = table.filter(pc.is_valid(table["value_type"]))
+        known = known.sort_by([(c, "ascending") for c in (*key, *order)])
+        # The first values stand at the head of their field: rows that differ from the one five before.
+        new = pa.array([True] * min(_FIRST_VALUES, len(known)))
+        if len(known) > _FIRST_VALUES:
+            same = [
+                pc.or_kleene(
+                    pc.fill_null(pc.equal(known[k][_FIRST_VALUES:], known[k][:-_FIRST_VALUES]), False),
+                    pc.and_(pc.is_null(known[k][_FIRST_VALUES:]), pc.is_null(known[k][:-_FIRST_VALUES])),
+                )
+                for k in key
+            ]
+            new = pa.concat_arrays([new, pc.invert(pc.and_(*same)).combine_chunks()])
+        heads = known.filter(new)
+        for topic, path, *place in zip(*(heads.column(c).to_pylist() for c in (*key, *order))):
+            held[topic, path][3].append(tuple(place))
+        for now in held.values():
+            if len(now[3]) > _FIRST_VALUES:
+                now[3] = sorted(now[3])[:_FIRST_VALUES]
+        if len(held) > _MOST_KEYS:
+            yield flush()
+            held.clear()
+    if held:
+        yield flush()
+
+
+def field_profiles(fields: DataFrame) -> DataFrame:
+    """Types, counts and the five earliest values (``ranked``) of each field, in one pass.
+
+    Rows are counted in their task, then in salted groups, then per field. What is sent on has one
+    row for each field that a task has seen, so a field with billions of values costs no more than
+    any other.
+    """
+    known = fields.select("topic", "field_path", "partition", "offset", "value_type", "value")
+    parts = known.mapInArrow(
+        _profiled,
+        "topic string, field_path string, types array<string>, sample_count long, total_count long, "
+        "ranked array<struct<partition:int,offset:long,value:string>>",
+    )
+    merged = [
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
+        F.sum("sample_count").alias("sample_count"),
+        F.sum("total_count").alias("total_count"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("ranked"))), 1, _FIRST_VALUES).alias("ranked"),
+    ]
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
+    return salted.groupBy("topic", "field_path", "_salt").agg(*merged).groupBy("topic", "field_path").agg(*merged)
+
+
 def infer_schema(fields: DataFrame, min_samples: int = 10) -> DataFrame:
     """Type, nullability, counts and up to five values of each field path.
 
-    The five values are those of the earliest messages (by partition and offset). They come from a
-    bounded rank, not from a collected group, so a field with billions of values costs five rows.
+    The five values are those of the earliest messages (by partition and offset, then value).
     """
-    typed = F.col("value_type").isNotNull()
-    stats = fields.groupBy("topic", "field_path").agg(
-        F.array_sort(F.collect_set("value_type")).alias("types"),
-        F.sum(typed.cast("long")).alias("sample_count"),
-        F.count(F.lit(1)).alias("total_count"),
-    )
-    first_rows = (
-        fields.where(typed)
-        .withColumn(
-            "rank",
-            F.expr(
-                "row_number() over (partition by topic, field_path order by partition, offset, value)"
-            ),
-        )
-        .where("rank <= 5")
-        .groupBy("topic", "field_path")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
-        .select("topic", "field_path", F.col("ranked.value").alias("sample_values"))
-    )
     kind = (
         F.when(F.size("types") == 0, "unknown")
         .when(F.array_contains("types", "string"), "string")
         .otherwise(F.col("types")[0])
     )
-    return stats.join(first_rows, ["topic", "field_path"], "left").select(
+    return field_profiles(fields).select(
         "topic",
         "field_path",
         kind.alias("type"),
         (F.col("sample_count") < F.col("total_count")).alias("nullable"),
         "sample_count",
         "total_count",
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        F.col("ranked.value").alias("sample_values"),
         (F.col("total_count") < min_samples).alias("few_samples"),
     )

@@ -11,7 +11,7 @@ from tracelight.functions.text import normalize_path
 from tracelight.operators import classify as C
 from tracelight.operators import sampling
 from tracelight.operators.detect import detect_fields
-from tracelight.operators.fields import decode_records, extract_fields, flatten
+from tracelight.operators.fields import decode_records, extract_fields, fields_by_mode
 from tracelight.operators.providers import ERRORS, active_providers, detect_in_schemas, run_providers
 from tracelight.sources.messages import flag_schemaless, topic_totals
 
@@ -52,7 +52,7 @@ def field_rows(msgs: DataFrame, catalog: DataFrame | None = None, decoders: dict
     if catalog is None:
         return extract_fields(decoded)
     flagged = flag_schemaless(decoded, catalog)
-    return flatten(flagged.where(~F.col("schemaless"))).unionByName(extract_fields(flagged.where("schemaless")))
+    return fields_by_mode(flagged)
 
 
 def analyze(

@@ -65,7 +65,7 @@ def stream_message_types(stream: DataFrame, enabled: list[str] | None = None) ->
 def dead_letters(msgs: DataFrame) -> DataFrame:
     """Non-empty messages that hold no JSON record, for a sink of their own."""
     parsed = parse_json_lenient(msgs)
-    return parsed.where(F.col("json").isNull() & (F.length("value") > 0)).drop("json")
+    return parsed.where(F.col("json").isNull() & (F.length("value") > 0)).drop("json", "record", "levels")
 
 
 def stream_stats(msgs: DataFrame) -> DataFrame:
