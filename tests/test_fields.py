@@ -195,3 +195,29 @@ def test_profiles_of_hot_and_many_fields(spark, monkeypatch):
         kinds = {r["value_type"] for r in typed}
         assert row["type"] == (min(kinds) if kinds else "unknown")
     assert ops.infer_schema(rows.where("false")).count() == 0
+
+
+def test_text_fields(spark):
+    """Lines and sentences are values; empty ones keep their number, null and empty texts have none."""
+    from tracelight.operators.detect import detect_pattern
+
+    text = "\\n Ada Lovelace.  Card 4111 1111 1111 1111 was used!\n\n\t \nCall (555) 123-4567? v1.2 stays.\r\n"
+    df = spark.createDataFrame([(7, text, "x"), (8, None, "x"), (9, "", "x"), (None, "One.", None)], "id long, text string, `a.b` string")
+    rows = ops.text_fields(df, F.col("`a.b`"), "id", "text").collect()
+    assert [(r["topic"], r["partition"], r["offset"], r["field_path"], r["value"]) for r in rows] == [
+        # the empty first line is number 0; a mark and the empty lines after it are one end
+        ("x", 1, 7, "text[1]", "Ada Lovelace"),
+        ("x", 1, 7, "text[2]", "Card 4111 1111 1111 1111 was used"),
+        ("x", 1, 7, "text[3]", "Call (555) 123-4567"),
+        ("x", 1, 7, "text[4]", "v1.2 stays"),
+        (None, None, None, "text[0]", "One."),
+    ]
+    fields = ops.text_fields(df.where("id = 7"), "t", "id", "text")
+    types = {(r["field_path"], r["pii_type"]) for r in detect_pattern(fields).collect()}
+    assert {("text[1]", "NAME"), ("text[2]", "CREDIT_CARD"), ("text[3]", "PHONE_NUMBER")} <= types
+    assert ops.text_fields(df.where("false"), "t", "id", "text").count() == 0
+
+
+def test_text_fields_cut_where_asked(spark):
+    df = spark.createDataFrame([(1, "a; b ;c")], "id long, body string")
+    assert leaves(ops.text_fields(df, "t", "id", "body", boundary=";")) == {"body[0]": "a", "body[1]": "b", "body[2]": "c"}

@@ -225,6 +225,35 @@ def table_fields(
     return cell_rows(table_cells(df, topic, key, n_partitions, columns))
 
 
+# What ends a line or a sentence, with the blanks around it.
+SENTENCE_END = r"[.!?]+[ \t\r\n]+|[ \t\r]*\n[ \t\r\n]*"
+
+
+def text_fields(
+    df: DataFrame, topic: Column | str, key: str, column: str, n_partitions: int = 3, boundary: str = SENTENCE_END
+) -> DataFrame:
+    """Field rows of a free text: its lines and sentences are the items of a list, ``text[0]``,
+    ``text[1]`` …, so that a value with blanks (a name, a spaced phone or card number) is one value
+    and not several words.
+
+    The integer ``key`` gives the message partition and offset. Items without text are left out and
+    keep their number; a null text has none. ``normalize_path`` makes all items one field.
+    """
+    # Outer, and filtered above the generator: a filter on the split text would split it twice.
+    items = df.select(
+        (F.lit(topic) if isinstance(topic, str) else topic).alias("topic"),
+        F.pmod(F.col(key), F.lit(n_partitions)).cast("int").alias("partition"),
+        F.col(key).cast("long").alias("offset"),
+        F.posexplode_outer(F.split(F.col(f"`{column}`"), boundary)).alias("_pos", "_item"),
+    ).where(F.col("_item") != "")
+    return items.select(
+        *MESSAGE_KEY,
+        F.concat(F.lit(f"{column}["), F.col("_pos"), F.lit("]")).alias("field_path"),
+        F.lit("string").alias("value_type"),
+        stringify(F.col("_item")).alias("value"),
+    )
+
+
 def field_universe(fields: DataFrame) -> DataFrame:
     """All field paths of each topic."""
     return fields.select("topic", "field_path").distinct()

@@ -95,6 +95,11 @@ def word_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sentence_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines and sentences of all documents, one topic for each language."""
+    return FL.text_fields(table(spark, sf, "documents"), F.col("lang"), "doc_id", "text")
+
+
 # Fields made from the digits ``d`` of a key, their letters ``l`` and hash ``h``: a value of every type, on paths with
 # and without a hint. The text is SQL of Spark and DuckDB alike.
 _SSN = "substring(d, 1, 3) || '-' || substring(d, 4, 2) || '-' || substring(d, 6, 4)"
@@ -536,6 +541,14 @@ def q_detect_dates(spark, sf):
     return D.detect_fields(FL.table_fields(renamed, "orders", "o_orderkey"), TYPE_NAMES).select(*_FOUND)
 
 
+def q_detect_sentences(spark, sf):
+    return D.detect_pattern(sentence_fields(spark, sf)).select(*_FOUND)
+
+
+def q_resolve_sentences(spark, sf):
+    return D.detect_fields(sentence_fields(spark, sf), TYPE_NAMES).select(*_FOUND)
+
+
 def q_detect_all_types(spark, sf):
     """Raw findings of all fifteen patterns and both hints."""
     return D.detect_pattern(type_fields(spark, sf)).select(*_FOUND)
@@ -594,6 +607,16 @@ def q_classify_findings(spark, sf):
     return _joined(C.classify_fields(D.detect_fields(fields), all_totals(spark, sf)))
 
 
+def q_classify_texts(spark, sf):
+    """The text of each language as one field: all its lines and sentences."""
+    fields = sentence_fields(spark, sf).withColumn("field_path", normalize_path(F.col("field_path")))
+    totals = table(spark, sf, "documents").groupBy(F.col("lang").alias("topic")).agg(F.count(F.lit(1)).alias("total_samples"))
+    # Numbers of findings hold for single items; without them one for each text is counted.
+    return _joined(C.classify_fields(D.detect_fields(fields, TYPE_NAMES).drop("hit_no"), totals, _TEXTS))
+
+
+# A few of all documents hold a value.
+_TEXTS = C.Thresholds(confidence=0.5, min_rate=0.0, require_multiple=True)
 # Word fields are one of twelve paths each, so their share of all words is small.
 _LOW = C.Thresholds(confidence=0.6, min_rate=0.0, require_multiple=True)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from tracelight.functions.patterns import (
     CARD_WORDS, DATE_WORDS, ID_WORDS, NAME_INDICATORS, PATH_BOOSTS, PLATE_WORDS, TIME_WORDS, VALUE_PATTERNS,
 )
+from tracelight.operators.fields import SENTENCE_END
 from tracelight.operators.providers import LIKELIHOOD, PROVIDER_ENTITIES
 from tracelight.operators.spans import SPAN_PATTERNS
 from tracelight.plans.catalogue import RULE_PATHS, RULE_TYPES, RULE_VALUES, TABLE_KEYS, TYPE_FIELDS, WORD_PATHS
@@ -90,6 +91,17 @@ _PROFILE_FIELDS = " union all ".join(
 )
 
 
+def _sentences(path: str, table: str, topic: str, key: str) -> str:
+    return (
+        f"select topic, part, off, {path} path, raw from (select {topic} topic, {key} % 3 part, {key} off, unnest(ws) raw, "
+        rf"generate_subscripts(ws, 1) i from (select *, string_split_regex(text, '{SENTENCE_END}') ws from {table})) where raw <> ''"
+    )
+
+
+_ITEM = "'text[' || (i - 1) || ']'"
+_SENTENCES = _sentences(_ITEM, "documents", "lang", "doc_id")
+_WHOLE_TEXTS = _sentences("'text'", "documents", "lang", "doc_id")
+
 _DIGITS = (
     "select {key} n, {key} * 179424673 % 1000000000 x, lpad(cast({key} * 179424673 % 1000000000 as varchar), 9, '0') d from {table}"
 )
@@ -253,6 +265,10 @@ _STD = dict(enabled=CORE_TYPES, confidence=0.7, rate=0.3, multiple=True)
 _PROFILE_TOTALS = "select lang topic, count(*) total from documents group by lang"
 _PROFILE_CLS = dict(enabled=CORE_TYPES, confidence=0.5, rate=0.0, multiple=True, totals=_PROFILE_TOTALS)
 
+_TEXT_CLS = dict(
+    enabled=TYPE_NAMES, confidence=0.5, rate=0.0, multiple=True, totals=_PROFILE_TOTALS, field="topic, part, off, path"
+)
+
 _LIST_FIELDS = " union all ".join(
     f"select lang topic, doc_id % 3 part, doc_id off, '{path}' path, unnest({values}) raw from documents"
     for path, values in [("doc_id", "[cast(doc_id as varchar)]")] + [
@@ -518,6 +534,9 @@ ORACLE: dict[str, str] = {
     "detect_values": f"with {_hits(_WORDS)} select {_OUT} from hits",
     "detect_tables": f"with {_hits(_table_fields(list(TABLE_KEYS)))} select {_OUT} from hits",
     "resolve_conflicts": f"with {_kept(_WORDS, TYPE_NAMES)} select {_OUT} from det",
+    "detect_sentences": f"with {_hits(_SENTENCES)} select {_OUT} from hits",
+    "resolve_sentences": f"with {_kept(_SENTENCES, TYPE_NAMES)} select {_OUT} from det",
+    "classify_texts": f"with {_classes(_WHOLE_TEXTS, **_TEXT_CLS)} select {_SHOW} from cls",
     "detect_all_types": f"with {_hits(_TYPED)} select {_OUT} from hits",
     "resolve_all_types": f"with {_kept(_TYPED, TYPE_NAMES)} select {_OUT} from det",
     "resolve_all_rules": f"with {_kept('', TYPE_NAMES, hits=_RULE_HITS)} select {_OUT} from det",
