@@ -201,7 +201,7 @@ def test_text_fields(spark):
     """Lines and sentences are values; empty ones keep their number, null and empty texts have none."""
     from tracelight.operators.detect import detect_pattern
 
-    text = "\\n Ada Lovelace.  Card 4111 1111 1111 1111 was used!\n\n\t \nCall (555) 123-4567? v1.2 stays.\r\n"
+    text = "\n Ada Lovelace.  Card 4111 1111 1111 1111 was used!\n\n\t \nCall (555) 123-4567? v1.2 stays.\r\n"
     df = spark.createDataFrame([(7, text, "x"), (8, None, "x"), (9, "", "x"), (None, "One.", None)], "id long, text string, `a.b` string")
     rows = ops.text_fields(df, F.col("`a.b`"), "id", "text").collect()
     assert [(r["topic"], r["partition"], r["offset"], r["field_path"], r["value"]) for r in rows] == [
