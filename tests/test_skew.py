@@ -56,3 +56,13 @@ def test_a_raising_decoder_leaves_its_row_to_the_lenient_path(spark, messages):
     rows = ops.decode_records(msgs, catalog, {"custom": row_decoder(codec)})
     got = {r["offset"]: json.loads(r["json"]) for r in rows.collect()}
     assert got == {0: {"text": "abc"}, 1: {"k": 1}, 3: {"plain": 2}, 4: {"other": 3}}
+
+
+def test_a_large_side_is_never_broadcast(spark):
+    rows = spark.range(50).selectExpr("'t' as topic", "0 as partition", "id as offset", "id % 5 as k")
+    side = spark.range(5).selectExpr("id as k", "id as v")
+    for kept in (rows, rows.select("k")):
+        joined = skew_join(kept, side, ["k"], broadcast_bytes=0, salts=4)
+        assert joined.count() == 50
+        # the file of the side is far below the size that Spark broadcasts by itself
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()

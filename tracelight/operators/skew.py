@@ -40,7 +40,8 @@ def skew_join(
     ``how`` is inner, left, left_semi or left_anti. The side is stored and measured. Up to ``broadcast_bytes``
     it is broadcast and ``rows`` are not shuffled. Beyond that each of its rows is sent ``salts`` times, and the rows of a key are dealt
     to these copies by a hash of topic, partition and offset, so a retried task deals them alike. Rows with a null in
-    the key never match; they go to all tasks alike. Rows that only differ in other columns stay together.
+    the key never match; they go to all tasks alike. Rows that only differ in other columns stay together. A side that
+    large is merged whatever its file size says: a small compressed file may hold more than the driver can build.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unknown kind of join: {how}")
@@ -49,11 +50,11 @@ def skew_join(
         return rows.join(F.broadcast(kept), keys, how)
     dealt_by = [c for c in _ROW if c in rows.columns and c not in keys]
     if not dealt_by:
-        return rows.join(kept, keys, how)
+        return rows.join(kept.hint("merge"), keys, how)
     coin = F.xxhash64(*dealt_by)
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
     left = rows.withColumn("_salt", F.when(no_key, coin).otherwise(F.pmod(coin, F.lit(salts))))
     right = kept.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
