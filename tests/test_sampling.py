@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelight.operators import sampling as L
 from tracelight.operators.ordering import dense_numbers, dense_offsets
+from tracelight.plans.catalogue import q_sparse_keys
 from tracelight.sources import messages as M
 
 
@@ -141,3 +142,17 @@ def test_sampling_by_name(messages):
     assert L.sample(rows, "bernoulli", percentage=100, max_per_partition=5).count() == 5
     with pytest.raises(ValueError):
         L.sample(rows, "none of these")
+
+
+def test_offsets_of_keys_beyond_64_bits(spark, tmp_path):
+    """Squares of order keys times a million, as ``sparse_keys`` takes them, beyond the largest long."""
+    keys = [0, 7, 3_100_000, 9_000_000, 54_000_000, 54_000_001]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in q_sparse_keys(spark, str(tmp_path)).collect())
+    wide = sorted((k * k * 1000003 % 2, k * k * 1000003, k) for k in keys)
+    place = {0: 0, 1: 0}
+    expected = []
+    for part, w, k in wide:
+        expected.append((part, place[part], f'{{"o_orderkey":{k},"wide":{w}}}'))
+        place[part] += 1
+    assert got == expected

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelight.operators.skew import skew_join, stored_side
 from tracelight.session import scratch_path
@@ -25,6 +26,12 @@ def _numbered(rows: DataFrame, group: list[str], part: str, order: list[str], na
     return ranked.join(base, [*group, part]).withColumn(name, (F.col("_base") + F.col("_rank")).cast("long")).drop("_rank", "_base")
 
 
+def integer_key(df: DataFrame, key: Column) -> Column:
+    """The key as it is if it is a decimal without fraction, which may go beyond 64 bits, else as a long."""
+    kind = df.select(key).schema[0].dataType
+    return key if isinstance(kind, T.DecimalType) and kind.scale == 0 else key.cast("long")
+
+
 def dense_offsets(df: DataFrame, group: Column, key: Column, name: str, ranges: int = RANGES) -> DataFrame:
     """Add ``name``: 0, 1, 2 … within ``group`` in the order of the unique integer ``key``.
 
@@ -34,7 +41,7 @@ def dense_offsets(df: DataFrame, group: Column, key: Column, name: str, ranges:
     row counts of the parts are summed up front to back; rows are sorted within their part. Rows with a null group
     or key are left out.
     """
-    rows = df.withColumn("_group", group).withColumn("_key", key.cast("long"))
+    rows = df.withColumn("_group", group).withColumn("_key", integer_key(df, key))
     rows = rows.where(F.col("_group").isNotNull() & F.col("_key").isNotNull())
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     # the cuts are at most 1/16 of a part off

@@ -282,7 +282,9 @@ def q_to_messages(spark, sf):
 
 def q_sparse_keys(spark, sf):
     """Dense offsets of keys that lie far apart and in clusters."""
-    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey * o_orderkey * 1000003 as wide")
+    # beyond three million orders the products no longer fit 64 bits
+    square = "cast(cast(o_orderkey as decimal(38, 0)) * o_orderkey as decimal(38, 0))"
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", f"cast({square} * 1000003 as decimal(38, 0)) as wide")
     msgs = M.to_messages(orders, "orders", "wide", n_partitions=2, ranges=16)
     return msgs.select("partition", "offset", F.col("value").cast("string").alias("value"))
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.operators.ordering import RANGES, dense_offsets
+from tracelight.operators.ordering import RANGES, dense_offsets, integer_key
 from tracelight.operators.skew import skew_join
 from tracelight.schemas import MESSAGE_SCHEMA
 
@@ -59,7 +59,7 @@ def to_messages(
     stamp = F.col(timestamp) if timestamp else F.lit(None)
     rows = df.select(
         F.pmod(F.col(key), F.lit(n_partitions)).cast("int").alias("partition"),
-        F.col(key).cast("long").alias("_k"),
+        integer_key(df, F.col(key)).alias("_k"),
         F.col(key).cast("string").cast("binary").alias("key"),
         body.cast("binary").alias("value"),
         stamp.cast("timestamp").alias("timestamp"),
