@@ -1,8 +1,10 @@
 """Detection and conflict vectors: (path, value) -> findings before and after the rules."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelight.operators import detect
+from tracelight.plans.catalogue import TYPE_FIELDS, type_fields
 from tracelight.schemas import TYPE_NAMES
 
 VECTORS = [
@@ -165,3 +167,12 @@ def test_one_hit_carries_number_one(field_rows, spark):
     assert sorted(r["hit_no"] for r in detect.detect_fields(fields, TYPE_NAMES).collect()) == [1, 2]
     merged = detect.resolve_findings(detect.detect_pattern(fields), TYPE_NAMES)
     assert sorted(r["hit_no"] for r in merged.collect()) == [1, 2]
+
+
+def test_rows_that_open_into_many_are_spread(spark, tmp_path):
+    """One row group, which one task would read: tasks grow with the rows, findings stay."""
+    spark.range(12_000).selectExpr("id as c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    fields = type_fields(spark, str(tmp_path))
+    assert fields.rdd.getNumPartitions() == 3
+    sizes = [r["count"] for r in fields.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12_000 * len(TYPE_FIELDS) and max(sizes) < 4_500 * len(TYPE_FIELDS)

@@ -22,7 +22,7 @@ from tracelight.session import prepare_session, scratch_path, shared_folder
 from tracelight.sources import catalog as K
 from tracelight.sources import messages as M
 from tracelight.sources import reports as R
-from tracelight.sources.tables import read_table
+from tracelight.sources.tables import read_table, spread
 from tracelight.streaming import classify as WC
 from tracelight.streaming import detect as W
 from tracelight.streaming import streaks as WS
@@ -132,7 +132,7 @@ TYPE_FIELDS = [
 
 def type_fields(spark: SparkSession, sf: str) -> DataFrame:
     """``TYPE_FIELDS`` of every customer."""
-    keys = table(spark, sf, "customer").selectExpr("c_custkey as n").selectExpr(
+    keys = spread(table(spark, sf, "customer").selectExpr("c_custkey as n")).selectExpr(
         "n", "lpad(cast(n * 179424673 % 1000000000 as string), 9, '0') as d"
     ).selectExpr("n", "d", "translate(d, '0123456789', 'ABCDEFGHIJ') as l", "md5(cast(d as binary)) as h")
     cells = ", ".join(f"struct('{path}' as field_path, {value} as value)" for path, value in TYPE_FIELDS)
