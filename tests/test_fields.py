@@ -2,8 +2,11 @@ import json
 
 from tracelight.functions.text import mask, normalize_path, sanitize_field_name
 from tracelight.operators import fields as ops
+from tracelight.operators.detect import detect_fields
 from pyspark.sql import functions as F
 
+from tracelight.schemas import TYPE_NAMES
+
 
 def leaves(df):
     return {r["field_path"]: r["value"] for r in df.collect()}
@@ -221,3 +224,20 @@ def test_text_fields(spark):
 def test_text_fields_cut_where_asked(spark):
     df = spark.createDataFrame([(1, "a; b ;c")], "id long, body string")
     assert leaves(ops.text_fields(df, "t", "id", "body", boundary=";")) == {"body[0]": "a", "body[1]": "b", "body[2]": "c"}
+
+
+def test_searched_cells_lose_no_finding(spark):
+    """Values on both sides of what is left out unseen: small integers, short fractions, hinted paths."""
+    numbers = [0, 7, -9999999, 9999999, 10_000_000, -10_000_000, 123456789, 4111111111111111, -5551234567, None]
+    rows = [
+        (i, n, n, n if n is None else n / 1000, None if n is None else float(n) * 1e9, f" Ann Lee{i}" if i % 2 else "ann@x.com ", bytearray(b" 10.1.2.3 "))
+        for i, n in enumerate(numbers)
+    ]
+    df = spark.createDataFrame(rows, "k long, number long, address_no long, rate double, file_name double, note string, raw binary")
+    df = df.withColumns({"paid": F.expr("cast(number as decimal(20, 0))"), "at": F.expr("timestamp'2024-01-15 12:00:00'"), "day": F.expr("date'2024-01-15'")})
+    found = lambda rows, **how: sorted(map(tuple, detect_fields(rows, TYPE_NAMES, **how).collect()))
+    plain = ops.cell_rows(ops.table_cells(df, "t", "k"))
+    searched = ops.cell_rows(ops.table_cells(df, "t", "k", searched=True), searched=True)
+    assert found(searched) == found(plain) == found(searched, screen=False)
+    left = {(r["offset"], r["field_path"]) for r in searched.collect()}
+    assert not left & {(o, p) for o in (0, 1, 2, 3, 9) for p in ("k", "number", "rate")}
