@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from tracelight.operators import classify as C
 from tracelight.operators import detect as D
+from tracelight.plans import catalogue
 from tracelight.plans.run import RunOptions, analyze
-from tracelight.schemas import TYPE_NAMES
+from tracelight.schemas import CLASSIFICATION, SCHEMA_CATALOG, TYPE_NAMES
 
 
 def findings(spark, rows):
@@ -176,3 +177,34 @@ def test_array_items_count_as_one_field(messages):
     row = merged.classifications.collect()
     assert [(r["field_path"], r["detection_count"], r["detection_rate"]) for r in row] == [("c.e", 2, 0.5)]
     assert row[0]["sample_values"] == ["a@b.com", "d@e.org", "x@y.net"] and merged.errors.count() == 0
+
+
+def test_words_are_searched_once_for_two_providers(spark, tmp_path):
+    rows = [(0, "ann@x.com now"), (1, "call 555-123-4567"), (2, "nothing here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.q_dedupe_findings(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    got = sorted((r["offset"] >> 31, r["pii_type"], r["confidence"], r["provider"]) for r in found.collect())
+    assert got == [(0, "EMAIL", 0.99, "second"), (1, "PHONE_NUMBER", 0.7, "pattern")]
+
+
+@pytest.mark.parametrize("name", ["topic_reports", "write_report", "tag_catalog", "backup_schemas"])
+def test_classifications_are_computed_once(spark, monkeypatch, name):
+    """Several jobs or branches read them: a row is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    row = ("orders", "mail", ["EMAIL"], ["PII"], 0.9, 3, 4, 0.75, ["a@x.com"])
+    cls = spark.createDataFrame([row], CLASSIFICATION).mapInArrow(count, CLASSIFICATION)
+    schema = '{"type":"record","name":"r","fields":[{"name":"mail","type":"string"}]}'
+    catalog = spark.createDataFrame([("orders-value", 1, 1, "AVRO", schema, None)], SCHEMA_CATALOG)
+    monkeypatch.setattr(catalogue, "_classified", lambda *_: cls)
+    monkeypatch.setattr(catalogue, "_avro_catalog", lambda *_: catalog)
+    monkeypatch.setattr(catalogue, "all_totals", lambda *_: spark.createDataFrame([("orders", 4)], "topic string, total_samples long"))
+    rows = catalogue.QUERIES[name](spark, "").collect()
+    assert len(rows) == 1 and "orders" in str(rows[0]) and made.value == 1
