@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -105,6 +108,27 @@ def carry_streaks(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     return joined.select(*_PARTITION, streak.alias("streak"), longest.alias("longest"))
 
 
+# An event on hold; ``failed`` is -1 where it is not known, which ends a run.
+_EVENT = np.dtype([("offset", "<i8"), ("at", "<i8"), ("failed", "i1")])
+# Events in one entry of the state.
+_ENTRY = 1 << 16
+
+
+def _packed(events: np.ndarray) -> list[tuple[bytes]]:
+    return [(events[i : i + _ENTRY].tobytes(),) for i in range(0, len(events), _ENTRY)]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            events = np.frombuffer(row["packed"], _EVENT)
+            failed = pa.array(events["failed"] == 1, mask=events["failed"] < 0)
+            topic, partition = pa.array([row["topic"]], pa.string()), pa.array([row["partition"]], pa.int32())
+            zeros = pa.array(np.zeros(len(events), "int64"))
+            columns = [topic.take(zeros), partition.take(zeros), pa.array(events["offset"]), failed]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_PARTITION, "offset", "failed"])
+
+
 class StreakStatistics(StatefulProcessor):
     """State of one topic partition: failures since its last success, the longest run, and events on hold.
 
@@ -115,28 +139,46 @@ class StreakStatistics(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._streak = handle.getValueState("streak", "streak long, longest long")
-        self._held = handle.getListState("held", "offset long, failed boolean, at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(row.offset, row.failed, row.at) for row in rows]
-        self._held.appendList(new)
-        self._handle.registerTimer(max(at for _, _, at in new) + 1)
+        # thousands of events in one entry: state is read and written by entries
+        self._held = handle.getListState("held", "packed binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = None
+        for frame in rows:
+            if not len(frame):
+                continue
+            events = np.empty(len(frame), _EVENT)
+            events["offset"] = frame["offset"].astype("int64")
+            events["at"] = frame["at"].astype("int64")
+            events["failed"] = frame["failed"].map({True: 1, False: 0}).fillna(-1).astype("int8")
+            self._held.appendList(_packed(events))
+            last = max(int(events["at"].max()), last) if last is not None else int(events["at"].max())
+        if last is not None:
+            self._handle.registerTimer(last + 1)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = list(self._held.get())
-        due = sorted((offset, failed) for offset, failed, at in held if at < mark)
-        if not due:
+        entries = [np.frombuffer(packed, _EVENT) for (packed,) in self._held.get()]
+        held = np.concatenate(entries) if entries else np.empty(0, _EVENT)
+        passed = held["at"] < mark
+        due, rest = held[passed], held[~passed]
+        if not len(due):
             return
         streak, longest = self._streak.get() if self._streak.exists() else (0, 0)
-        for _, failed in due:
-            streak = streak + 1 if failed else 0
-            longest = max(longest, streak)
+        failed = due["failed"][np.lexsort((due["failed"], due["offset"]))] == 1
+        successes = np.flatnonzero(~failed)
+        if len(successes):
+            between = np.diff(successes) - 1
+            ended = [streak + int(successes[0]), *([int(between.max())] if len(between) else [])]
+            streak = len(failed) - 1 - int(successes[-1])
+        else:
+            ended = []
+            streak += len(failed)
+        longest = max(longest, streak, *ended)
         self._streak.update((streak, longest))
-        rest = [e for e in held if e[2] >= mark]
-        self._held.put(rest) if rest else self._held.clear()
-        yield Row(topic=key[0], partition=key[1], streak=streak, longest=longest)
+        self._held.put(_packed(rest)) if len(rest) else self._held.clear()
+        yield pd.DataFrame({"topic": [key[0]], "partition": [key[1]], "streak": [streak], "longest": [longest]})
 
     def close(self) -> None:
         pass
@@ -152,7 +194,7 @@ def stream_streaks(events: DataFrame, threshold: int = 100, delay: str = "10 min
     rows = timed.withWatermark("timestamp", delay).select(
         *_PARTITION, "offset", "failed", "timestamp", F.unix_millis("timestamp").alias("at")
     )
-    counted = rows.groupBy(*_PARTITION).transformWithState(
+    counted = rows.groupBy(*_PARTITION).transformWithStateInPandas(
         StreakStatistics(), "topic string, partition int, streak long, longest long", "update", "eventTime"
     )
     return counted.withColumn("tripped", F.col("longest") >= threshold)
@@ -162,5 +204,6 @@ def streak_state(spark: SparkSession, checkpoint: str, threshold: int = 100) ->
     """Streak and longest run of each partition from the state of a ``stream_streaks`` query, events on hold included."""
     state = spark.read.format("statestore").option("path", checkpoint)
     counted = state.option("stateVarName", "streak").load().select("key.*", "value.*")
-    held = state.option("stateVarName", "held").load().select("key.*", "list_element.offset", "list_element.failed")
+    packed = state.option("stateVarName", "held").load().select("key.*", "list_element.packed")
+    held = packed.mapInArrow(_unpacked, "topic string, partition int, offset long, failed boolean")
     return carry_streaks(counted, held).withColumn("tripped", F.col("longest") >= threshold)
