@@ -112,6 +112,26 @@ def test_odd_rows(spark, frame, odd):
     assert {r.predicted for r in T.judge_toxicity(frame(odd), odd_labels).collect()} == {0}
 
 
+@pytest.mark.parametrize("texts", [["unheard of"], [""], [None, "unheard", " "]])
+def test_blocks_without_features_of_the_model(spark, texts):
+    model = T.Model(np.array([5, 7], np.uint64), np.array([1.0, -1.0]), -2.0, 0.5, 0.25)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in T.judge_toxicity(docs, labels, model=model).collect()}
+    size = [len((t or "").split()) for t in texts]
+    want = [1 / (1 + np.exp(2 * np.log1p(n) / 5 - 0.5)) if n else 0.25 for n in size]
+    assert got == pytest.approx(dict(enumerate(want)), abs=1e-8)
+
+
+def test_fit_of_texts_without_features(spark):
+    """No feature occurs in three texts, so length and bias are all there is to learn."""
+    rows = [(i, f"w{i}a" + f" w{i}b" * (i % 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    scores = [r.score for r in T.judge_toxicity(docs, labels).collect()]
+    assert len(scores) == 40 and all(0 < s < 1 for s in scores)
+
+
 def test_long_texts_in_parts(spark, biased, monkeypatch):
     docs, labels = biased
     model = T.fit_toxicity(docs, labels)

@@ -401,8 +401,9 @@ def _scores(model: Model | None):
             score = np.zeros(block.num_rows)
             if model is not None:
                 size, (doc, number, value), _, _ = _described(block, model.features)
+                # a sum of no features at all comes in whole numbers, so nothing is added in place
                 z = np.bincount(doc, weights=model.weights[number] * value, minlength=block.num_rows)
-                z += model.length * _length(size) + model.bias
+                z = z + (model.length * _length(size) + model.bias)
                 score = np.round(np.where(size > 0, 0.5 * (1 + np.tanh(z / 2)), model.share), 9)
             predicted = (score >= THRESHOLD).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
