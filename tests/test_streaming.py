@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,67 @@ def test_streaks_in_state(spark, tmp_path):
     assert seen and any(r["tripped"] for r in seen) and all(r["longest"] <= want[r["partition"]][1] for r in seen)
 
 
+def test_events_travel_to_the_state_in_few_rows(spark, tmp_path, monkeypatch):
+    """Whatever the number of events, the stateful operator takes them by the thousand."""
+    log = str(tmp_path / "log")
+
+    class Counting(WS.StreakStatistics):
+        def handleInputRows(self, key, rows, timerValues):
+            frames = list(rows)
+            with open(log, "a") as f:
+                f.write(f"{sum(map(len, frames))}\n")
+            yield from WS.StreakStatistics.handleInputRows(self, key, iter(frames), timerValues)
+
+    monkeypatch.setattr(WS, "StreakStatistics", Counting)
+    flags = random.Random(9).choices([0, 1], weights=[1, 3], k=30_000)
+    stamp = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, offset)").alias("timestamp")
+    path, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")
+    events(spark, flags).select("*", stamp).orderBy(F.rand(3)).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    run(WS.stream_streaks(spark.readStream.schema(rows.schema).parquet(path), 5, "1 minute"), checkpoint)
+    runs = brute(flags)
+    got = WS.streak_state(spark, checkpoint, 5).first()
+    assert got["longest"] == max(n for _, _, n in runs)
+    assert got["streak"] == next((n for _, end, n in runs if end == len(flags) - 1), 0)
+    assert sum(map(int, open(log).read().split())) < 500
+
+
+def test_rows_that_carry_events():
+    rng = np.random.default_rng(5)
+    n = 5000
+    topic = pa.array([None if x == 2 else f"t{x}" for x in rng.integers(0, 3, n)])
+    partition = pa.array([None if x == 2 else int(x) for x in rng.integers(0, 3, n)], pa.int32())
+    failed = pa.array([None if x == 2 else bool(x) for x in rng.integers(0, 3, n)])
+    time = pa.array(rng.integers(-5_000_000, 5_000_000, n)).cast(pa.timestamp("us", "UTC"))
+    names = ["topic", "partition", "offset", "failed", "timestamp"]
+    batch = pa.RecordBatch.from_arrays([topic, partition, pa.array(np.arange(n)), failed, time], names=names)
+    rows = next(WS._carried(iter([batch.slice(0, 0), batch]))).to_pylist()
+    got = {}
+    for row in rows:
+        held = np.frombuffer(row["packed"], WS._EVENT)
+        got |= {int(e["offset"]): (row["topic"], row["partition"], int(e["failed"]), int(e["at"])) for e in held}
+        latest = time.cast(pa.int64()).to_numpy()[held["offset"]].max()
+        assert row["timestamp"].timestamp() == pytest.approx(latest / 1e6, abs=1e-7)
+    micros = time.cast(pa.int64()).to_pylist()
+    known = {None: -1, False: 0, True: 1}
+    columns = zip(topic.to_pylist(), partition.to_pylist(), failed.to_pylist(), micros, strict=True)
+    assert got == {i: (t, p, known[f], at // 1000) for i, (t, p, f, at) in enumerate(columns)}
+    assert sum(len(np.frombuffer(r["packed"], WS._EVENT)) for r in rows) == n and len(rows) < 9 * 50
+
+
+def test_late_events_are_left_out_of_streaks(spark, tmp_path):
+    """A success that comes after the watermark passed it ends no run, though it comes with events in time."""
+    path, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")
+    stamp = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, at)").alias("timestamp")
+    files = [[(i, i, True) for i in range(40)], [(1000, 5, False), (40, 40, True), (41, 41, True)], [(42, 80, True)]]
+    for rows in files:
+        df = spark.createDataFrame(rows, "offset long, at int, failed boolean")
+        df.select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), "offset", "failed", stamp).coalesce(1).write.mode("append").parquet(path)
+        run(WS.stream_streaks(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), 5), checkpoint)
+    got = WS.streak_state(spark, checkpoint, 5).first()
+    assert (got["streak"], got["longest"]) == (43, 43)
+
+
 def test_running_classification_survives_a_restart(spark, messages, tmp_path):
     """The second run goes on from the state of the first; nothing is counted twice."""
     path, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")

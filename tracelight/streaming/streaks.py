@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -110,8 +111,42 @@ def carry_streaks(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 # An event on hold; ``failed`` is -1 where it is not known, which ends a run.
 _EVENT = np.dtype([("offset", "<i8"), ("at", "<i8"), ("failed", "i1")])
-# Events in one entry of the state.
-_ENTRY = 1 << 16
+# Events in one entry of the state; entries are read by hundreds.
+_ENTRY = 1 << 14
+# Events in the rows that carry the events of a key to the state, from the oldest on; the last size goes on.
+_SIZES = [1] * 32 + [1 << n for n in range(1, 11)]
+
+
+def _cuts(first: int, end: int) -> np.ndarray:
+    """Where the rows begin that carry the events from ``first`` on, the oldest of them first, and ``end``."""
+    small = first + np.cumsum([0, *_SIZES])
+    return np.append(small[small < end], [*range(int(small[-1]) + _SIZES[-1], end, _SIZES[-1]), end])
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a topic partition in few rows, each with the latest of its events' timestamps.
+
+    A stateful operator takes its rows one by one, which costs far more than what is done with an event.
+    Its late rows are dropped whole, so the oldest events of a batch, which may be late, travel alone.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        topic, partition = (pc.dictionary_encode(batch.column(c), null_encoding="encode") for c in _PARTITION)
+        key = topic.indices.to_numpy().astype("int64") * len(partition.dictionary) + partition.indices.to_numpy()
+        time = batch.column("timestamp").cast(pa.int64()).to_numpy()
+        order = np.lexsort((time, key))
+        events = np.empty(len(order), _EVENT)
+        events["offset"] = batch.column("offset").to_numpy()[order]
+        events["at"] = time[order] // 1000
+        events["failed"] = pc.fill_null(batch.column("failed").cast(pa.int8()), -1).to_numpy()[order]
+        bounds = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(order))
+        cuts = [_cuts(first, end) for first, end in zip(bounds[:-1], bounds[1:], strict=True)]
+        begins, ends = np.concatenate([c[:-1] for c in cuts]), np.concatenate([c[1:] for c in cuts])
+        keys = (batch.column(c).take(pa.array(order[begins])) for c in _PARTITION)
+        latest = pa.array(time[order[ends - 1]]).cast(batch.column("timestamp").type)
+        packed = pa.array([events[i:j].tobytes() for i, j in zip(begins, ends, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*keys, latest, packed], names=[*_PARTITION, "timestamp", "packed"])
 
 
 def _packed(events: np.ndarray) -> list[tuple[bytes]]:
@@ -147,10 +182,7 @@ class StreakStatistics(StatefulProcessor):
         for frame in rows:
             if not len(frame):
                 continue
-            events = np.empty(len(frame), _EVENT)
-            events["offset"] = frame["offset"].astype("int64")
-            events["at"] = frame["at"].astype("int64")
-            events["failed"] = frame["failed"].map({True: 1, False: 0}).fillna(-1).astype("int8")
+            events = np.frombuffer(b"".join(frame["packed"]), _EVENT)
             self._held.appendList(_packed(events))
             last = max(int(events["at"].max()), last) if last is not None else int(events["at"].max())
         if last is not None:
@@ -159,14 +191,19 @@ class StreakStatistics(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        entries = [np.frombuffer(packed, _EVENT) for (packed,) in self._held.get()]
-        held = np.concatenate(entries) if entries else np.empty(0, _EVENT)
-        passed = held["at"] < mark
-        due, rest = held[passed], held[~passed]
-        if not len(due):
+        nothing = np.empty(0, _EVENT)
+        offsets, failures, later = [nothing["offset"]], [nothing["failed"]], [nothing]
+        for (packed,) in self._held.get():
+            events = np.frombuffer(packed, _EVENT)
+            passed = events["at"] < mark
+            offsets.append(events["offset"][passed])
+            failures.append(events["failed"][passed])
+            later.append(events[~passed])
+        offset, failed, rest = np.concatenate(offsets), np.concatenate(failures), np.concatenate(later)
+        if not len(offset):
             return
         streak, longest = self._streak.get() if self._streak.exists() else (0, 0)
-        failed = due["failed"][np.lexsort((due["failed"], due["offset"]))] == 1
+        failed = failed[np.lexsort((failed, offset))] == 1
         successes = np.flatnonzero(~failed)
         if len(successes):
             between = np.diff(successes) - 1
@@ -190,10 +227,9 @@ def stream_streaks(events: DataFrame, threshold: int = 100, delay: str = "10 min
     ``events`` is a stream with topic, partition, offset, ``failed`` and ``timestamp``. A row comes whenever
     the watermark lets events of its partition be counted; ``tripped`` marks runs of the threshold.
     """
-    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    rows = timed.withWatermark("timestamp", delay).select(
-        *_PARTITION, "offset", "failed", "timestamp", F.unix_millis("timestamp").alias("at")
-    )
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in _PARTITION)
+    timed = events.select(*_PARTITION, F.col("offset").cast("long"), "failed", F.col("timestamp").cast("timestamp"))
+    rows = timed.mapInArrow(_carried, f"{kinds}, timestamp timestamp, packed binary").withWatermark("timestamp", delay)
     counted = rows.groupBy(*_PARTITION).transformWithStateInPandas(
         StreakStatistics(), "topic string, partition int, streak long, longest long", "update", "eventTime"
     )
