@@ -174,34 +174,39 @@ class StreakStatistics(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._streak = handle.getValueState("streak", "streak long, longest long")
-        # thousands of events in one entry: state is read and written by entries
-        self._held = handle.getListState("held", "packed binary")
+        # thousands of events in one entry: state is read and written by entries; a list would be one value
+        self._held = handle.getMapState("held", "entry long", "packed binary")
+        self._entries = handle.getValueState("entries", "next long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = None
+        entry = self._entries.get()[0] if self._entries.exists() else 0
         for frame in rows:
             if not len(frame):
                 continue
             events = np.frombuffer(b"".join(frame["packed"]), _EVENT)
-            self._held.appendList(_packed(events))
+            for packed in _packed(events):
+                self._held.updateValue((entry,), packed)
+                entry += 1
             last = max(int(events["at"].max()), last) if last is not None else int(events["at"].max())
         if last is not None:
+            self._entries.update((entry,))
             self._handle.registerTimer(last + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        nothing = np.empty(0, _EVENT)
-        offsets, failures, later = [nothing["offset"]], [nothing["failed"]], [nothing]
-        for (packed,) in self._held.get():
+        offsets, failures, later = [], [], []
+        for (entry,), (packed,) in self._held.iterator():
             events = np.frombuffer(packed, _EVENT)
             passed = events["at"] < mark
-            offsets.append(events["offset"][passed])
-            failures.append(events["failed"][passed])
-            later.append(events[~passed])
-        offset, failed, rest = np.concatenate(offsets), np.concatenate(failures), np.concatenate(later)
-        if not len(offset):
+            if passed.any():
+                offsets.append(events["offset"][passed])
+                failures.append(events["failed"][passed])
+                later.append((entry, events[~passed]))
+        if not later:
             return
+        offset, failed = np.concatenate(offsets), np.concatenate(failures)
         streak, longest = self._streak.get() if self._streak.exists() else (0, 0)
         failed = failed[np.lexsort((failed, offset))] == 1
         successes = np.flatnonzero(~failed)
@@ -214,7 +219,8 @@ class StreakStatistics(StatefulProcessor):
             streak += len(failed)
         longest = max(longest, streak, *ended)
         self._streak.update((streak, longest))
-        self._held.put(_packed(rest)) if len(rest) else self._held.clear()
+        for entry, rest in later:
+            self._held.updateValue((entry,), (rest.tobytes(),)) if len(rest) else self._held.removeKey((entry,))
         yield pd.DataFrame({"topic": [key[0]], "partition": [key[1]], "streak": [streak], "longest": [longest]})
 
     def close(self) -> None:
@@ -240,6 +246,6 @@ def streak_state(spark: SparkSession, checkpoint: str, threshold: int = 100) ->
     """Streak and longest run of each partition from the state of a ``stream_streaks`` query, events on hold included."""
     state = spark.read.format("statestore").option("path", checkpoint)
     counted = state.option("stateVarName", "streak").load().select("key.*", "value.*")
-    packed = state.option("stateVarName", "held").load().select("key.*", "list_element.packed")
+    packed = state.option("stateVarName", "held").load().select("key.*", "user_map_value.packed")
     held = packed.mapInArrow(_unpacked, "topic string, partition int, offset long, failed boolean")
     return carry_streaks(counted, held).withColumn("tripped", F.col("longest") >= threshold)
